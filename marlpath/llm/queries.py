@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_counts
+from . import neardup, packing, quality, token_counts, toxicity
+from .labelled import crc_of_id
 
 SEQUENCE_TOKENS = 2048
 
@@ -23,15 +25,36 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rest = crc_of_id(F.col("doc_id")) % 5
+    model = quality.train(docs, labels, "quality", rest != 0)
+    return quality.scores(docs, model).select("doc_id", (rest == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=SEQUENCE_TOKENS
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rest = crc_of_id(F.col("doc_id")) % 4
+    model = toxicity.train(docs, labels, "toxic", rest != 2)
+    return toxicity.scores(docs, model).select("doc_id", (rest == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_minhash_neardup": op7_minhash_neardup,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
