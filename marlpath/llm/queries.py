@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, quality, token_counts, toxicity
+from . import neardup, packing, quality, sharding, token_counts, toxicity
 from .labelled import crc_of_id
 
 SEQUENCE_TOKENS = 2048
@@ -49,12 +49,17 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, model).select("doc_id", (rest == 2).alias("held_out"), "score", "predicted")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=24)
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_neardup": op7_minhash_neardup,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
+    "op10_sharding": op10_sharding,
 }
 
 ORACLES: dict[str, str] = {}
