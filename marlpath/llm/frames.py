@@ -73,3 +73,10 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], name: str,
         .withColumn(name, (F.col("_first") + F.col("_r") - 1).cast("long"))
         .drop("_b", "_r", "_first", "_kb", *[f"_k{i}" for i in range(len(keys))])
     )
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 2_000_000) -> DataFrame:
+    """``docs`` less the rows with one of ``ids`` (distinct): broadcast if at most ``broadcast_rows`` (16 MB), else a shuffled join. Null ids stay."""
+    ids = pinned(ids, "ids")
+    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti")
