@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, neardup, packing, quality, sharding, substring, token_counts, toxicity, warc
-from .frames import new_path
+from . import decontamination, media, neardup, packing, quality, sharding, substring, token_counts, toxicity, warc
+from .frames import new_path, pinned
 from .labelled import crc_of_id
 
 SEQUENCE_TOKENS = 2048
@@ -37,6 +37,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = pinned(media.encode_texts(table(spark, sf_dir, "documents")), "media", compression="none")
+    return media.decode_features(stored)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.shared_passages(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc": op3_warc,
+    "op4_media_columns": op4_media_columns,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_minhash_neardup": op7_minhash_neardup,
