@@ -52,14 +52,16 @@ def fold_ascii_text(text: str) -> str:
     return unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
 
 
-def vectorised(fold: Callable[[str], str]):
-    """A column function of a text function, in Arrow batches; null stays null. Only texts with a character beyond ASCII need Unicode tables, but the fold sees all."""
+def vectorised(fold: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A column function of a text function, in Arrow batches; null stays null. The UDF is made where it is used: workers import this module without a session."""
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(fold, na_action="ignore")
+    def apply(column: Column) -> Column:
+        def run(texts: pd.Series) -> pd.Series:
+            return texts.map(fold, na_action="ignore")
 
-    return run
+        return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(column)
+
+    return apply
 
 
 fold_title, fold_import, fold_store, fold_item, fold_match, fold_ascii = (
@@ -79,9 +81,8 @@ def collapse(column: Column) -> Column:
 def significant_tokens(title: Column) -> Column:
     """Distinct tokens of a folded title, aliases resolved, stop words off unless that leaves nothing."""
     words = F.filter(F.split(title, " "), lambda t: t != "")
-    for a, b in TOKEN_ALIASES.items():
-        words = F.transform(words, lambda t, a=a, b=b: F.when(t == a, b).otherwise(t))
-    words = F.array_distinct(words)
+    spelled = F.create_map(*[F.lit(x) for pair in TOKEN_ALIASES.items() for x in pair])
+    words = F.array_distinct(F.transform(words, lambda t: F.coalesce(F.try_element_at(spelled, t), t)))
     kept = F.filter(words, lambda t: ~t.isin(*STOP_WORDS))
     return F.when(F.size(kept) > 0, kept).otherwise(words)
 

@@ -48,4 +48,4 @@ def whole_number(column: Column) -> Column:
 
 def listed_values(column: Column) -> Column:
     """Values parted by commas or line ends, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(column, "[\n,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(column, "[\n,]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")

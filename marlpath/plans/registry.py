@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import catalog_queries, offer_queries, queue_queries, relational_queries
+from .binding import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (catalog_queries, queue_queries, offer_queries, relational_queries)
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["MODULES", "ORACLES", "QUERIES"]
