@@ -17,7 +17,7 @@ def distribute(eligible: DataFrame, start: Column, end: Column, phase: Column) -
     by_store = Window.partitionBy("store_id")
     rank = F.row_number().over(by_store.orderBy("id")) - 1
     micros = (F.unix_micros(end) - F.unix_micros(start)) * ((rank + phase) / F.count(F.lit(1)).over(by_store))
-    return eligible.select("id", "store_id", F.timestamp_micros((F.unix_micros(start) + F.floor(micros)).cast("long")).alias("next_update_at"))
+    return eligible.select("id", "store_id", F.timestamp_micros((F.unix_micros(start) + F.round(micros)).cast("long")).alias("next_update_at"))
 
 
 def run_date(now: Column, zone: str = "America/Mexico_City", start_hour: int = 3) -> Column:

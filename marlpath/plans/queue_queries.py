@@ -71,7 +71,7 @@ def keyset_cursor(spark, sf):
     return grid.keyset_page(tables.attempts(spark, sf), 400, 1000)[1]
 
 
-@query(ELIGIBLE + """ SELECT id, store_id, make_timestamp(epoch_us(TIMESTAMP '2024-05-01 15:00:00') + CAST(floor(72000000000.0 * ((row_number() OVER w - 1) + (store_id % 8) / 8.0)
+@query(ELIGIBLE + """ SELECT id, store_id, make_timestamp(epoch_us(TIMESTAMP '2024-05-01 15:00:00') + CAST(round(72000000000.0 * ((row_number() OVER w - 1) + (store_id % 8) / 8.0)
     / count(*) OVER (PARTITION BY store_id)) AS BIGINT)) AS next_update_at FROM eligible WINDOW w AS (PARTITION BY store_id ORDER BY id)""")
 def schedule_distribution(spark, sf):
     start, end = at("TIMESTAMP '2024-05-01 15:00:00'"), at("TIMESTAMP '2024-05-02 11:00:00'")
