@@ -15,10 +15,10 @@ DEFAULT_SIZE, MOST_SIZE, MOST_PAGE, DEFAULT_ROWS = 25, 200, 100_000, 200
 
 @dataclass(frozen=True)
 class GridColumn:
-    """What a column id filters and sorts by; ``fold`` turns a filter value into the form that the column holds."""
+    """What a column id filters and sorts by, as SQL expressions; ``fold`` turns a filter value into the form that the column holds."""
 
-    filter_by: Column | None = None
-    sort_by: Column | None = None
+    filter_by: str | None = None
+    sort_by: str | None = None
     fold: Callable[[str], str] = str
 
 
@@ -44,7 +44,7 @@ class GridRequest:
 
 
 def plain_columns(*names: str) -> dict[str, GridColumn]:
-    return {n: GridColumn(F.col(n), F.col(n)) for n in names}
+    return {n: GridColumn(n, n) for n in names}
 
 
 def bounded(value: str | int | None, default: int, low: int, high: int) -> int:
@@ -61,14 +61,14 @@ def filtered(df: DataFrame, spec: GridSpec, request: GridRequest) -> DataFrame:
     for name, value in request.filters.items():
         column = spec.columns.get(name)
         if column is not None and column.filter_by is not None and str(value).strip():
-            df = df.where(contains_fold(column.filter_by, column.fold(str(value).strip())))
+            df = df.where(contains_fold(F.expr(column.filter_by), column.fold(str(value).strip())))
     return df
 
 
 def ordered(df: DataFrame, spec: GridSpec, request: GridRequest) -> DataFrame:
     """Sorted as asked; an unknown column means the default column in its default direction. Nulls come last upwards, first downwards."""
     known = request.sort in spec.columns and spec.columns[request.sort].sort_by is not None
-    column = spec.columns[request.sort if known else spec.default_sort].sort_by
+    column = F.expr(spec.columns[request.sort if known else spec.default_sort].sort_by)
     desc = request.sort_direction == "desc" if known else spec.default_desc
     turn = (lambda c: c.desc_nulls_first()) if desc else (lambda c: c.asc_nulls_last())
     keys = [turn(column)]

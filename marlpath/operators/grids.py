@@ -16,7 +16,7 @@ GRIDS = {
     ),
     "items": GridSpec(
         plain_columns("id", "brand", "kind", "size", "item_type", "bgg_id")
-        | {"name": GridColumn(F.col("normalized_name"), F.col("canonical_name"), fold_title_text)},
+        | {"name": GridColumn("normalized_name", "canonical_name", fold_title_text)},
         "name",
         tiebreak="id",
     ),

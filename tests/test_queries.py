@@ -42,3 +42,19 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_queries_without_sql_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > 40, set(e.oracle_sql()) <= set(e.queries()))"], cwd=root, capture_output=True, text=True)
+    assert said.stdout.split() == ["True", "True"], said.stderr[-500:]
+
+
+def test_flagship_query(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
