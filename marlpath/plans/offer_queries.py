@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, offers, text
-from ..sources import pages, tables
+from ..sources import pages, products, tables
 from .binding import query
 
 #: Offer texts of listings, in DuckDB's and in Spark's words.
@@ -177,3 +177,28 @@ def page_link_rows(spark, sf):
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'), '\s[|–—-]\s.*$', '')) AS site_title FROM pages""")
 def site_titles(spark, sf):
     return tables.read(spark, sf, "pages").select("page_id", pages.site_title(F.col("html")).alias("site_title"))
+
+
+@query()
+def product_detail_rows(spark, sf):
+    """The details of every page as a product page; tested against hand-made pages."""
+    found = products.details(products.product_pages(tables.read(spark, sf, "pages")))
+    return found.select("page_id", "title", "description", "price", "availability", "min_age", F.col("language.language").alias("language"))
+
+
+@query(r"""WITH t AS (SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'tienda en nuevo leon' WHEN 1 THEN 'leon, nuevo leon' WHEN 2 THEN 'sucursal merida' WHEN 3 THEN 'baja california sur' WHEN 4 THEN 'cdmx' ELSE lower(c_mktsegment) END AS x FROM customer)
+SELECT id, CASE id % 6 WHEN 1 THEN 'León' WHEN 2 THEN 'Mérida' WHEN 4 THEN 'Ciudad de México' ELSE '' END AS city,
+    CASE id % 6 WHEN 0 THEN 'Nuevo León' WHEN 1 THEN 'Guanajuato' WHEN 2 THEN 'Yucatán' WHEN 3 THEN 'Baja California' WHEN 4 THEN 'Ciudad de México' ELSE '' END AS state FROM t""")
+def store_locations(spark, sf):
+    k = F.col("c_custkey") % 6
+    words = F.when(k == 0, "tienda en nuevo leon").when(k == 1, "leon, nuevo leon").when(k == 2, "sucursal merida").when(k == 3, "baja california sur").when(k == 4, "cdmx").otherwise(F.lower("c_mktsegment"))
+    return tables.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), products.location_of(words).alias("l")).select("id", "l.city", "l.state")
+
+
+@query("""SELECT l_suppkey AS store_id, min_by(CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_shipdate::DATE::VARCHAR END, (l_orderkey, l_linenumber)) FILTER (l_linenumber % 2 <> 0) AS first_date FROM lineitem GROUP BY 1""")
+def metadata_merge(spark, sf):
+    line = tables.read(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("store_id"), F.struct("l_orderkey", "l_linenumber").alias("pos"),
+        F.when(F.col("l_linenumber") % 2 != 0, F.col("l_shipdate").cast("date").cast("string")).otherwise("").alias("first_date"),
+    )
+    return products.merged_metadata(line, "store_id", "pos", ["first_date"])

@@ -227,3 +227,35 @@ def test_stream_gives_the_batch_counts(spark, tmp_path):
     seen = []
     clicks.apply_stream(source, str(tmp_path / "cp2"), lambda df, i: seen.append((i, df.count()))).awaitTermination()
     assert sum(n for _, n in seen) == events.count()
+
+
+def test_product_pages(spark):
+    from marlpath.sources import products
+
+    group = '{"@type": "ProductGroup", "name": "Catan", "brand": "Devir", "hasVariant": [{"@type": "Product", "url": "/products/catan", "offers": {"price": "1,200.50", "availability": "https://schema.org/InStock"}}]}'
+    other = '{"@graph": [{"@type": "Product", "name": "Azul", "gtin13": 0123, "url": "https://a.mx/products/azul"}]}'
+    html = f'<title>Catan | Tienda</title><h1>Catan</h1><script type="application/ld+json">{other}</script><script type="application/ld+json">{group}</script><p>De 3 a 4 jugadores, 60 min, edad: 10+. English</p>'
+    df = spark.createDataFrame([(1, "https://www.a.mx/products/catan/", html), (2, None, None), (3, "u", "<script type='x application/ld+json'>{bad</script>")], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in products.details(products.product_pages(df)).collect()}
+    assert found[1]["title"] == "Catan" and found[1]["price"] == "1200.50" and found[1]["availability"] == "available"
+    assert tuple(found[1]["players"]) == (3, 4) and found[1]["min_age"] == 10 and found[1]["language"]["language"] == "en" and found[2]["title"] == ""
+    assert products.picked_product([other], "", ["Azul"])["gtin13"] == "0123" and products.picked_product(["{"], "u", []) == {}
+    assert products._alike({"name": "Catan Base"}, ["Catan"]) == 501 and products._alike({"name": "Catan"}, ["catan"]) == 1001
+
+
+def test_places_images_and_titles(spark):
+    from marlpath.sources import products
+
+    f = lambda c: spark.range(1).select(c).first()[0]
+    assert tuple(f(products.location_of(F.lit("tienda en nuevo leon")))) == ("", "Nuevo León")
+    assert tuple(f(products.location_of(F.lit("leon, nuevo leon")))) == ("León", "Guanajuato") and tuple(f(products.location_of(F.lit("napoleon")))) == ("", "")
+    assert f(products.largest_source(F.lit("a.jpg 100w, b.jpg 300w, c.jpg 300w, d.jpg 2x"))) == "b.jpg" and f(products.largest_source(F.lit(""))) == ""
+    assert f(products.is_gone(F.lit("producto no encontrado"))) and not f(products.is_gone(F.lit("producto 404 piezas")))
+    reason = lambda t, s, lt, lu, ls: f(products.rejection_reason(*map(F.lit, (t, s, lt, lu, ls))))
+    assert reason("Catan base", "", "Catan", "https://a.mx/x", "") == "" and reason("Azul juego", "", "Catan juego", "https://a.mx/x", "") == "title_mismatch"
+    assert reason("Catan", "A1", "Catan", "u", "a2") == "store_sku_mismatch" and reason(" ", "", "x", "u", "") == "missing_detail_title"
+    assert f(products.refreshed_title(F.lit("Mine"), F.lit("Shop"), F.lit(" Shop "))) == "Mine" and f(products.refreshed_title(F.lit("Mine"), F.lit("Shop"), F.lit("New"))) == "New"
+    assert products.store_queries(["a", "A"], ["Leon"], ["Jalisco"], "full")[0] == "a" and len(products.store_queries(["a", "A"], ["Leon"], ["Jalisco"], "full")) == 5
+    assert products.dereferenced([{"a": 1, "b": 2}, [3], "x", 7]) == {"a": [7], "b": "x"} and products.dereferenced([[0]]) == [None]
+    pages_of = spark.createDataFrame([("s", 1, "", "x"), ("s", 2, "Leon", "y"), ("t", 1, None, "")], "store string, n int, city string, name string")
+    assert rows(products.merged_metadata(pages_of, "store", "n", ["city", "name"]).fillna("-")) == [("s", "Leon", "x"), ("t", "-", "-")]
