@@ -259,3 +259,34 @@ def test_places_images_and_titles(spark):
     assert products.dereferenced([{"a": 1, "b": 2}, [3], "x", 7]) == {"a": [7], "b": "x"} and products.dereferenced([[0]]) == [None]
     pages_of = spark.createDataFrame([("s", 1, "", "x"), ("s", 2, "Leon", "y"), ("t", 1, None, "")], "store string, n int, city string, name string")
     assert rows(products.merged_metadata(pages_of, "store", "n", ["city", "name"]).fillna("-")) == [("s", "Leon", "x"), ("t", "-", "-")]
+
+
+def test_imports_and_edits(spark):
+    from marlpath.functions.text import fold_title_ascii
+    from marlpath.operators import imports
+
+    items = spark.createDataFrame([(1, "Old", "old", 7, "unknown", None), (2, "Other", "other", None, "unknown", None)], "id long, canonical_name string, normalized_name string, bgg_id long, item_type string, rating decimal(8,2)")
+    records = spark.createDataFrame([(7, "boardgame", "New", ["Neu", "NEU!"], 7.5), (8, "boardgameexpansion", "Plus", ["Más"], None), (None, "x", "Broken", [], None)], "external_id long, kind string, name string, alternate_names array<string>, rating double")
+    aliases = spark.createDataFrame([(1, "neu", "neu")], "item_id long, alias string, normalized_alias string")
+    after = imports.import_records(records, items, aliases, fold_title_ascii)
+    assert rows(after["items"], "id", "canonical_name", "item_type") == [(1, "New", "base_game"), (2, "Other", "unknown"), (3, "Plus", "expansion")]
+    assert rows(after["aliases"], "item_id", "normalized_alias") == [(1, "neu"), (3, "m s")]
+    links = spark.createDataFrame([(7,), (9,), (10,), (11,)], "linked_bgg_id long")
+    cache = spark.createDataFrame([(9, T0 - dt.timedelta(days=10)), (10, T0 - dt.timedelta(days=200))], "bgg_id long, fetched_at timestamp")
+    assert rows(imports.frontier(links, items, cache, F.lit(T0).cast("timestamp"))) == [(10,), (11,)]
+    listings = spark.createDataFrame([(5, "A game", None, "PENDING", None), (6, "B", 2, "DELISTED", True)], "id long, title string, item_id long, listing_status string, is_boardgame_confirmed boolean")
+    made = imports.create_items(listings, items, fold_title_ascii)
+    assert rows(made["listings"], "id", "item_id", "listing_status", "is_boardgame_confirmed") == [(5, 3, "LISTED", True), (6, 2, "DELISTED", True)]
+    assert made["items"].count() == 3
+    bundled = imports.add_bundled(spark.createDataFrame([(6, 1)], "store_item_id long, item_id long"), listings, spark.createDataFrame([(6, 1), (6, 2), (5, 2)], "store_item_id long, item_id long"))
+    assert rows(bundled, "store_item_id", "item_id") == [(5, 2), (6, 1)]
+    gone = imports.delete_listings(listings, spark.createDataFrame([(5, 3), (6, 4)], "store_item_id long, n int"), bundled, spark.createDataFrame([(5,)], "id long"))
+    assert [gone[k].count() for k in ("listings", "clicks", "additional")] == [1, 1, 1]
+    q = spark.createDataFrame([("a", 1)], "query_key string, searched_at long")
+    r = spark.createDataFrame([("a", 1, 5), ("b", 1, 6)], "query_key string, rank int, external_id long")
+    q2, r2 = imports.replace_results(q, r, spark.createDataFrame([("a", 2), ("c", 2)], q.schema), spark.createDataFrame([("a", 1, 9)], r.schema))
+    assert rows(q2) == [("a", 2), ("c", 2)] and rows(r2) == [("a", 1, 9), ("b", 1, 6)]
+    src = spark.createDataFrame([(1, "h1"), (2, "h2")], "item_id long, source_hash string")
+    have = spark.createDataFrame([(1, "h1"), (2, "old")], "item_id long, source_hash string")
+    assert rows(imports.vectors_to_embed(src, have), "item_id") == [(2,)] and imports.vectors_to_embed(src, have, full=True).count() == 2
+    assert [r["id"] for r in imports.tutorial_queue(items, spark.createDataFrame([(1,)], "item_id long"), [5]).collect()] == [2]
