@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +27,17 @@ def build_session(app: str = "marlpath", master: str | None = None, **conf: str)
     for key, value in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors once, so that their Python workers can import it from any working directory."""
+    context = spark.sparkContext
+    if getattr(context, "_marlpath_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp(prefix="marlpath-")) / "marlpath.zip"
+    with zipfile.ZipFile(bundle, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(bundle))
+    context._marlpath_shipped = True
