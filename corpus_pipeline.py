@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from marlpath.llm import decontamination, neardup, packing, quality, substring
 from marlpath.llm.frames import pinned
 from marlpath.llm.labelled import crc_of_id
+from marlpath.session import ship_package
 
 SEQUENCE_TOKENS = 2048
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, "quality", crc_of_id(F.col("doc_id")) % 5 != 0)
     return quality.keep_good(docs, model)
@@ -22,21 +24,25 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate class."""
+    ship_package(spark)
     return neardup.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the long passages that an earlier document holds too."""
+    ship_package(spark)
     return substring.cut_repeats(docs, substring.shared_passages(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a copy of a benchmark item."""
+    ship_package(spark)
     return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all documents' pieces in sequences of SEQUENCE_TOKENS tokens."""
+    ship_package(spark)
     pieces = packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), SEQUENCE_TOKENS, keep_ids=False).drop("ids")
     return packing.pack(pieces, SEQUENCE_TOKENS).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from . import decontamination, media, neardup, packing, quality, sharding, substring, token_counts, toxicity, warc
 from .frames import new_path, pinned
 from .labelled import crc_of_id
@@ -74,6 +77,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=24)
 
 
+def shipped(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -86,6 +98,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 
 ORACLES = {
     "op3_warc": """
