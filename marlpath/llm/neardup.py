@@ -6,10 +6,11 @@
    ``bands * rows`` samples (shingle, quantised weight); two documents agree in one with the probability of their
    weighted Jaccard similarity.
 3. Documents with equal texts are one from here on. Those that agree in all samples of a band share a bucket.
-   Buckets give candidate pairs (all pairs up to ``dense`` members; beyond that see ``bucket_pairs``), of
-   which those whose samples agree too seldom for the threshold are dropped.
+   Members of a bucket are candidates, unless their samples agree too seldom for the threshold.
 4. Candidates are verified by the exact weighted Jaccard similarity of their whole texts.
-5. Classes are the connected components of equal texts and verified links.
+5. Classes are the connected components of equal texts and verified links. This is done twice: first with a few
+   candidates for each member of a bucket, which joins most of a large group; then with all others, but only between
+   documents that are not of one class yet.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import pinned
+from .frames import pinned, without_ids
 from .wordstream import chunks, mix, shingles, words
 
 CELLS = 1 << 21
@@ -163,53 +164,90 @@ def signatures(docs: DataFrame, n: int, idf, bands: int, rows: int, id_col: str,
     )
 
 
-def bucket_pairs(reps: DataFrame, least_agreeing: int, dense: int, hot: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) of documents that share a bucket and agree in at least ``least_agreeing`` samples.
+def bucket_members(reps: DataFrame, hot: int, low: int = 2, high: int | None = None) -> DataFrame:
+    """(band, key, part, turn, id, label, samples, lead) of the documents in buckets of ``low`` to ``high`` members that hold more than one label.
 
-    Up to ``dense`` members a bucket gives all its pairs. In a larger one each member meets the bucket's first
-    ``dense`` members and the ``dense`` before it, in an order of its own for each band: linear in its size, and
-    a pair that is missed in one band has its other bands. Buckets of over ``hot`` members are dealt over several
-    tasks, and each part also meets the bucket's first member. Rows stream through; a task holds 2 * ``dense`` of them.
+    ``reps`` has id, label, samples and band_keys. Buckets of over ``hot`` members are dealt over several parts, and
+    each part's rows also carry the bucket's first member as ``lead``. ``turn`` orders a bucket, differently in each band.
+    """
+    rows = reps.select("id", "label", "samples", F.posexplode("band_keys").alias("band", "key"))
+    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    within = (F.col("n") >= low) & (F.lit(True) if high is None else F.col("n") <= high)
+    sizes = sizes.where((F.col("lo") < F.col("hi")) & within).select("band", "key", "n")
+    leads = rows.join(sizes.where(F.col("n") > hot).select("band", "key"), ["band", "key"]).groupBy("band", "key").agg(F.min("id").alias("lead"))
+    part = F.when(F.col("n") > hot, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / hot))).otherwise(F.lit(0))
+    joined = rows.join(sizes, ["band", "key"]).join(leads, ["band", "key"], "left")
+    return joined.select("band", "key", part.alias("part"), F.xxhash64("band", "id").alias("turn"), "id", "label", "samples", "lead")
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """Each part of a bucket in one task, in its order; rows stream through, so a task never holds a part."""
+    return members.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "turn", "id")
+
+
+def bucket_pairs(members: DataFrame, least_agreeing: int, near: int) -> DataFrame:
+    """Distinct candidate pairs (a, b): each member with the first ``near`` of its bucket and the ``near`` before it, and its lead.
+
+    Only pairs of different label that agree in at least ``least_agreeing`` samples. Buckets of up to ``near`` + 1
+    members give all their pairs; for any bucket the number is linear in its size. (The lead's samples aren't at
+    hand, so that pair always counts.)
     """
-    rows = reps.select("id", "samples", F.posexplode("band_keys").alias("band", "key"))
-    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    leaders = (
-        rows.join(sizes.where(F.col("n") > hot).withColumnRenamed("n", "_n"), ["band", "key"])
-        .groupBy("band", "key")
-        .agg(F.min(F.struct("id", "samples")).alias("leader"))
-    )
-    members = (
-        rows.join(sizes, ["band", "key"])
-        .join(leaders, ["band", "key"], "left")
-        .withColumn("part", F.when(F.col("n") > hot, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / hot))).otherwise(F.lit(0)))
-        .withColumn("turn", F.xxhash64("band", "id"))
-        .select("band", "key", "part", "turn", "id", "samples", F.col("leader.id").alias("lead"), F.col("leader.samples").alias("lead_samples"))
-    )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, head, tail = None, [], []
-
         for batch in batches:
             a, b = [], []
-            for band, key, part, i, s, lead, lead_s in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5, 6, 7))):
+            for band, key, part, i, label, s, lead in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5, 6, 7))):
                 if (band, key, part) != now:
                     now, head, tail = (band, key, part), [], []
                 own = np.frombuffer(s, "<u2")
-                others = head + tail
+                for other, of, theirs in head + tail:
+                    if of != label and np.count_nonzero(theirs == own) >= least_agreeing:
+                        a.append(min(i, other)), b.append(max(i, other))
                 if lead is not None and lead != i:
-                    others = [*others, (lead, np.frombuffer(lead_s, "<u2"))]
-                if others:
-                    agree = (np.stack([o[1] for o in others]) == own).sum(axis=1)
-                    for j in np.flatnonzero(agree >= least_agreeing).tolist():
-                        a.append(min(i, others[j][0])), b.append(max(i, others[j][0]))
-                if len(head) < dense:
-                    head.append((i, own))
+                    a.append(min(i, lead)), b.append(max(i, lead))
+                if len(head) < near:
+                    head.append((i, label, own))
                 else:
-                    tail = [*tail[-dense + 1 :], (i, own)]
+                    tail = [*tail[-near + 1 :], (i, label, own)]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt(members).mapInArrow(run, "a long, b long").distinct()
+
+
+def bucket_links(members: DataFrame, texts: DataFrame, n: int, idf, threshold: float, least_agreeing: int, near: int) -> DataFrame:
+    """Distinct verified links (a, b) within large buckets, compared as in ``bucket_pairs`` but where they meet.
+
+    Members come with their texts, and a task holds the shingles of 2 * ``near`` of them; candidates are
+    verified at once, and only true links leave the task.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, now, head, tail = idf.value, None, [], []
+        for batch in batches:
+            a, b = [], []
+            for lo in range(0, len(batch), 256):
+                rows = batch.slice(lo, 256)
+                sets = {j: (h, weigh(h, tf, weights)) for j, h, tf in shingle_sets(rows.column(7).to_pylist(), n)}
+                for j, (band, key, part, i, label, s) in enumerate(zip(*(rows.column(c).to_pylist() for c in (0, 1, 2, 4, 5, 6)))):
+                    if (band, key, part) != now:
+                        now, head, tail = (band, key, part), [], []
+                    own, mine = np.frombuffer(s, "<u2"), sets[j]
+                    total = float(mine[1].sum(dtype=np.float64))
+                    others = [o for o in head + tail if o[1] != label and min(o[4], total) >= threshold * max(o[4], total)]
+                    if others:
+                        agree = np.count_nonzero(np.stack([o[2] for o in others]) == own, axis=1)
+                        for k in np.flatnonzero(agree >= least_agreeing).tolist():
+                            if weighted_jaccard(others[k][3], mine) >= threshold:
+                                a.append(min(i, others[k][0])), b.append(max(i, others[k][0]))
+                    if len(head) < near:
+                        head.append((i, label, own, mine, total))
+                    else:
+                        tail = [*tail[-near + 1 :], (i, label, own, mine, total)]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = members.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "turn", "id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    wide = members.drop("lead").join(texts, "id").select("band", "key", "part", "turn", "id", "label", "samples", "text")
+    return dealt(wide).mapInArrow(run, "a long, b long").distinct()
 
 
 def with_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -226,9 +264,11 @@ def verified_links(pairs: DataFrame, texts: DataFrame, n: int, idf, threshold: f
         weights = idf.value
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts = batch.column(2).to_pylist() + batch.column(3).to_pylist()
-            sets = {i: (h, weigh(h, tf, weights)) for i, h, tf in shingle_sets(texts, n)}
-            same = [weighted_jaccard(sets[i], sets[i + len(a)]) for i in range(len(a))]
+            same: list[float] = []
+            for lo in range(0, len(a), 200):
+                part = batch.slice(lo, 200)
+                sets = {i: (h, weigh(h, tf, weights)) for i, h, tf in shingle_sets(part.column(2).to_pylist() + part.column(3).to_pylist(), n)}
+                same += [weighted_jaccard(sets[i], sets[i + len(part)]) for i in range(len(part))]
             keep = [i for i, s in enumerate(same) if s >= threshold]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64()), pa.array([same[i] for i in keep], pa.float64())],
@@ -247,6 +287,7 @@ def near_duplicates(
     threshold: float = 0.8,
     bands: int = 10,
     rows: int = 3,
+    few: int = 2,
     dense: int = 64,
     hot: int = 20_000,
     id_col: str = "doc_id",
@@ -267,11 +308,19 @@ def near_duplicates(
     reps = signed.where("id is not null").groupBy("digest").agg(F.min(F.struct("id", "band_keys", "samples")).alias("r")).select("digest", "r.*")
     reps = pinned(reps, "reps")
     least = max(1, math.floor(threshold * bands * rows / 2))
-    pairs = pinned(bucket_pairs(reps.where("band_keys is not null"), least, dense, hot), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    links = verified_links(pairs, with_texts(docs, ids, id_col, text_col), n, idf, threshold).select("a", "b")
     copies = signed.join(reps.select("digest", F.col("id").alias("a")), "digest").where("id <> a").select("a", F.col("id").alias("b"))
-    classes = components(signed.select("id"), links.union(copies))
+    links, labels = copies, reps.select("id", F.col("id").alias("label"))
+    for near, high in ((few, None), (dense, dense)):
+        worded = reps.where("band_keys is not null").join(labels, "id")
+        pairs = pinned(bucket_pairs(bucket_members(worded, hot, 2, high), least, near), "pairs")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        links = links.union(pinned(verified_links(pairs, with_texts(docs, ids, id_col, text_col), n, idf, threshold).select("a", "b"), "verified"))
+        if high:
+            large = pinned(bucket_members(worded, hot, high + 1), "members")
+            texts = with_texts(docs, large.select("id").distinct(), id_col, text_col)
+            links = links.union(pinned(bucket_links(large, texts, n, idf, threshold, least, near), "verified"))
+        classes = pinned(components(signed.select("id"), links), "classes")
+        labels = classes.withColumnRenamed("class_id", "label")
     return (
         signed.select("id").join(classes, "id", "left")
         .select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("is_first"))
@@ -279,9 +328,10 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are the first of their class, one row for each id; rows with null ids all stay."""
-    first = near_duplicates(docs, **options).where("is_first")
-    found = docs.join(first.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        found = found.dropDuplicates(["doc_id"])
-    return found.unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` (doc_id, text and any others) that are the first of their class, one row for each id; rows with null ids all stay."""
+    rest = near_duplicates(docs, **options).where(~F.col("is_first")).select("doc_id").distinct()
+    found = without_ids(docs, rest)
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return found
+    once = found.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(found.where("doc_id is null"))
