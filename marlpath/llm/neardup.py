@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import pinned, without_ids
+from .frames import pinned, shuffle_width, without_ids
 from .wordstream import chunks, mix, shingles, words
 
 CELLS = 1 << 21
@@ -50,8 +50,9 @@ def shingle_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndar
 def cell_frequencies(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
     """For each of CELLS hash cells, in how many (document, distinct shingle) pairs of the corpus it occurs.
 
-    Each task sums its documents in one vector and hands it on in slices; slices are summed by slice, first for 16
-    groups of tasks and then over these, so no task holds more than one vector, and the driver gets one.
+    Each task sums its documents in one vector and hands it on in slices; slices are summed by slice, first for groups
+    of tasks (the root of the shuffle's width, 16 at least) and then over these, so no task holds more than one
+    vector, and the driver gets one.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +76,8 @@ def cell_frequencies(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
 
     kind = "slice int, cells binary"
     parts = docs.select(F.col(text_col)).mapInArrow(count, kind)
-    parts = parts.withColumn("_s", F.spark_partition_id() % 16).repartition(64, "slice", "_s").drop("_s").mapInArrow(merge, kind)
+    groups = max(16, math.isqrt(shuffle_width(docs.sparkSession)))
+    parts = parts.withColumn("_s", F.spark_partition_id() % groups).repartition(4 * groups, "slice", "_s").drop("_s").mapInArrow(merge, kind)
     parts = parts.repartition(CELLS // SLICE, "slice").mapInArrow(merge, kind)
     cells = np.zeros(CELLS, np.int64)
     for row in parts.collect():  # at most CELLS / SLICE rows, CELLS numbers
