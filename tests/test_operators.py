@@ -290,3 +290,22 @@ def test_imports_and_edits(spark):
     have = spark.createDataFrame([(1, "h1"), (2, "old")], "item_id long, source_hash string")
     assert rows(imports.vectors_to_embed(src, have), "item_id") == [(2,)] and imports.vectors_to_embed(src, have, full=True).count() == 2
     assert [r["id"] for r in imports.tutorial_queue(items, spark.createDataFrame([(1,)], "item_id long"), [5]).collect()] == [2]
+
+
+def test_storefronts_and_marketplace_rules(spark):
+    from marlpath.sources import storefronts
+
+    body = '{"data": {"product": {"title": " Catan ", "vendor": "Devir", "availableForSale": true, "priceRange": {"minVariantPrice": {"amount": "899.5", "currencyCode": null}}, "variants": {"nodes": [{"sku": "C1"}]}, "other": 1}}}'
+    df = spark.createDataFrame([(1, "u1", body), (2, "u2", '{"data": {"product": null}}'), (3, "u3", "oops"), (4, "u4", '{"data": {"product": {"title": ""}}}')], "store_id long, url string, body string")
+    got = storefronts.storefront_products(df).collect()
+    assert [(r["store_id"], r["title"], r["price"], r["currency"], r["availability"], r["store_sku"]) for r in got] == [(1, "Catan", "899.50", "MXN", "available", "C1")]
+    page = '{"total": 2, "page": 1, "per_page": 2, "products": [{"id": "a", "name": "A  b", "price": "1,200", "in_stock": true}, {"id": "b", "price": "-3"}]}'
+    found = storefronts.catalogue_products(spark.createDataFrame([(1, page), (2, "[]")], "store_id long, body string"))
+    assert [(r["key"], r["title"], r["price"] and float(r["price"]), r["availability"]) for r in found.orderBy("key").collect()] == [("a", "A b", 1200.0, "available"), ("b", None, None, "out_of_stock")]
+    assert pages.catalogue_faults(found).count() == 0
+    f = lambda c: spark.range(1).select(c).first()[0]
+    assert [f(storefronts.brand_of_byline(F.lit(b))) for b in ("Marca:  Devir", "Visita la tienda de Asmodee", "Visit the Z-Man Store", "Libre")] == ["Devir", "Asmodee", "Z-Man", "Libre"]
+    assert f(storefronts.brand_matches(F.lit("Marca: Dévir"), F.lit("devir"))) and not f(storefronts.brand_matches(F.lit("x"), F.lit("")))
+    assert tuple(f(storefronts.number_range(F.lit("2 hasta 4 personas")))) == (2, 4) and tuple(f(storefronts.number_range(F.lit("45 min")))) == (45, 45)
+    assert [f(storefronts.age_in_years(F.lit(a))) for a in ("10 años y más", "36 meses", "120", "6 months", "8")] == [10, 3, 10, 1, 8]
+    assert tuple(f(storefronts.buy_box(F.lit("5.00"), F.lit(False)))) == ("", "out_of_stock")
