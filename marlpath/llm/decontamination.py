@@ -1,14 +1,17 @@
-"""Benchmark decontamination: rare n-gram seeds find training passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare word and bigram seeds find training passages, Smith-Waterman alignment scores them.
+
+The result is that of aligning every document with every item, for these bounds let no copy go. An alignment of M
+matching words in runs parted by gaps or other words loses 1 at least between two runs, so that M and the
+bigrams within its runs are its score less 1 at least: an item of m words has 2m - 1 such features, and a copy
+must share ``need`` of them within ``span`` words. However its edits lie, any 2m - 1 - need + k of an item's
+features have k in the copy: the seeds are the rarest ones in the corpus.
 
 A benchmark is small beside a corpus, but has no fixed size: it is worked off in blocks of at most ``block_words``
 words, which bounds all that is broadcast. For each block:
 
-1. One pass over all documents finds the places of the block's n-grams and cuts out the passages around them.
-2. The n-grams' document frequencies over the whole corpus order them by rarity. Of every ``window`` consecutive
-   n-grams of an item the rarest are its seeds: frequent n-grams seed only where an item has nothing rarer,
-   and any copied run of n + window - 1 words still has one.
-3. Passages with a seed of an item are aligned to the whole item. The score is the alignment's, over that of an
-   exact copy.
+1. One pass over all documents counts the block's words and bigrams, which orders them by rarity.
+2. A second pass finds the seeds, in tiles of 2 * span words that step by span: each copy lies in one tile. Tiles with k
+   seeds and ``need`` features of an item are aligned to it. The score is the alignment's, over that of an exact copy.
 """
 
 from __future__ import annotations
@@ -29,45 +32,54 @@ BITS = 22
 
 
 class Block(NamedTuple):
-    """ids, words: of the items, words as 32-bit hashes; grams: all n-grams' hashes, sorted; near: how far an item with the gram can reach; of: items and places of each gram."""
+    """ids, words: of the items, words as 32-bit hashes; features: hashes of all words and bigrams, sorted; of: each item's features; need, span: see above."""
 
     ids: list
     words: list[np.ndarray]
-    grams: np.ndarray
-    near: np.ndarray
-    of: list[list[tuple[int, int]]]
+    features: np.ndarray
+    of: list[np.ndarray]
+    need: np.ndarray
+    span: np.ndarray
+
+
+class Seeds(NamedTuple):
+    """least: seeds that a copy of each item has; item[first[f] : first[f + 1]]: the items that feature f seeds."""
+
+    least: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
 
 
 def short(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def make_block(items: list[tuple], n: int) -> Block:
+def make_block(items: list[tuple], n: int, threshold: float) -> Block:
     w = words([t for _, t in items])
-    h, at = shingles(w, n)
-    grams, back = np.unique(h, return_inverse=True)
     size = np.diff(w.first)
-    near, of = np.zeros(len(grams), np.int64), [[] for _ in grams]
-    for g, a in zip(back.tolist(), at.tolist()):
-        i = int(w.doc[a])
-        near[g] = max(near[g], size[i] + size[i] // 2)
-        of[g].append((i, int(a - w.first[i])))
+    pair, at = shingles(w, 2)
+    own = size >= n
+    hashes = np.concatenate((w.hash[own[w.doc]], pair[own[w.doc[at]]]))
+    item = np.concatenate((w.doc[own[w.doc]], w.doc[at][own[w.doc[at]]]))
+    features, back = np.unique(hashes, return_inverse=True)
+    of = np.split(back[np.argsort(item, kind="stable")], np.cumsum(np.bincount(item, minlength=len(items)))[:-1])
+    score = np.ceil(threshold * MATCH * size - 1e-9).astype(np.int64)
     all_words = short(w.hash)
-    return Block([i for i, _ in items], [all_words[w.first[i] : w.first[i + 1]] for i in range(len(items))], grams, near, of)
+    return Block([i for i, _ in items], [all_words[w.first[i] : w.first[i + 1]] for i in range(len(items))], features, of, np.maximum(score - 1, 1), np.maximum(3 * size - score, 1))
 
 
-def blocks(benchmark: DataFrame, n: int, block_words: int, id_col: str, text_col: str) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, n: int, threshold: float, block_words: int, id_col: str, text_col: str) -> Iterator[Block]:
     """The items as blocks of at most ``block_words`` words (a longer item alone), streamed through the driver a block at a time."""
     held, size = [], 0
     for row in benchmark.select(id_col, text_col).where(F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
         count = len(row[1]) // 2 + 1
         if held and size + count > block_words:
-            yield make_block(held, n)
+            yield make_block(held, n, threshold)
             held, size = [], 0
         held.append((row[0], row[1]))
         size += count
     if held:
-        yield make_block(held, n)
+        yield make_block(held, n, threshold)
 
 
 def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,120 +110,139 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple
     return best, end
 
 
-def hits(docs: DataFrame, block, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Passages around the block's n-grams: (id, at, hashes of the words, grams found); at is the passage's first word."""
+def flags(features: np.ndarray) -> np.ndarray:
+    flag = np.zeros(1 << BITS, bool)
+    flag[(features >> np.uint64(64 - BITS)).astype(np.int64)] = True
+    return flag
+
+
+def located(features: np.ndarray, flag: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The index in ``features`` of each hash, -1 for others."""
+    found = np.full(len(h), -1, np.int64)
+    maybe = np.flatnonzero(flag[(h >> np.uint64(64 - BITS)).astype(np.int64)])
+    f = np.searchsorted(features, h[maybe])
+    f[f == len(features)] = 0
+    same = features[f] == h[maybe]
+    found[maybe[same]] = f[same]
+    return found
+
+
+def feature_counts(docs: DataFrame, block, text_col: str) -> np.ndarray:
+    """Occurrences of each of the block's features in the corpus."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Block = block.value
-        flag = np.zeros(1 << BITS, bool)
-        flag[(own.grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        features = block.value.features
+        flag, total = flags(features), np.zeros(len(features), np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for lo, hi in chunks(texts):
+                w = words(texts[lo:hi])
+                for h in (w.hash, shingles(w, 2)[0]):
+                    f = located(features, flag, h)
+                    total += np.bincount(f[f >= 0], minlength=len(features))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["feature", "n"])
+
+    counted = docs.select(docs[text_col].alias("t")).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()  # at most the block's features
+    total = np.zeros(len(block.value.features), np.int64)
+    total[found.column("feature").to_numpy()] = found.column("n").to_numpy()
+    return total
+
+
+def rare_seeds(block: Block, counts: np.ndarray, most: int = 3) -> Seeds:
+    """Of each item the rarest features, so many that any copy has ``most`` of them (or all it needs)."""
+    least = np.minimum(block.need, most)
+    pairs = []
+    for i, own in enumerate(block.of):
+        if len(own):
+            rare = own[np.argsort(counts[own], kind="stable")][: len(own) - block.need[i] + least[i]]
+            pairs.append(np.stack((np.unique(rare), np.full(len(np.unique(rare)), i))))
+    feature, item = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+    order = np.argsort(feature, kind="stable")
+    return Seeds(least, np.searchsorted(feature[order], np.arange(len(block.features) + 1)), item[order])
+
+
+def tiles(own: Block, seeds: Seeds, w, word: np.ndarray, pair: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(doc, item, first, last) of all tiles that can hold a copy; ``word`` and ``pair``: the feature at each word, or -1."""
+    feature, place = np.concatenate((word, pair)), np.tile(np.arange(len(word)), 2)
+    width = np.where(feature >= 0, seeds.first[feature + 1] - seeds.first[feature], 0)
+    hit = np.flatnonzero(width)
+    if not len(hit):
+        return
+    wide = width[hit]
+    item = seeds.item[np.repeat(seeds.first[feature[hit]] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())]
+    place = np.repeat(place[hit], wide)
+    doc = w.doc[place]
+    tile = (place - w.first[doc]) // own.span[item]
+    more, items = int(tile.max()) + 1, len(own.ids)
+    key = (doc * items + item) * more + tile
+    key, count = np.unique(np.concatenate((key, key[tile > 0] - 1)), return_counts=True)
+    pairing, tile = np.divmod(key, more)
+    doc, item = np.divmod(pairing, items)
+    seen = np.zeros(len(own.features) + 1, bool)
+    for k in np.flatnonzero(count >= seeds.least[item]).tolist():
+        d, i, first = int(doc[k]), int(item[k]), int(w.first[doc[k]] + tile[k] * own.span[item[k]])
+        last = int(min(first + 2 * own.span[i], w.first[d + 1]))
+        seen[word[first:last]] = seen[pair[first : last - 1]] = True
+        seen[-1] = False
+        if np.count_nonzero(seen[own.of[i]]) >= own.need[i]:
+            yield d, i, first, last
+        seen[word[first:last]] = seen[pair[first : last - 1]] = False
+
+
+def aligned(docs: DataFrame, block, seeds, threshold: float, id_col: str, text_col: str, item_type: str) -> DataFrame:
+    """(id, item_id, score, start, stop) of tiles that align with an item at ``threshold`` or more."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rare = block.value, seeds.value
+        flag = flags(own.features)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in chunks(texts):
                 w = words(texts[lo:hi])
-                h, at = shingles(w, n)
-                maybe = np.flatnonzero(flag[(h >> np.uint64(64 - BITS)).astype(np.int64)])
-                g = np.searchsorted(own.grams, h[maybe])
-                g[g == len(own.grams)] = 0
-                hit = own.grams[g] == h[maybe]
-                g, place = g[hit], at[maybe[hit]]
-                if not len(g):
-                    continue
-                doc = w.doc[place]
-                left = np.maximum(place - own.near[g], w.first[doc])
-                right = np.minimum(place + n + own.near[g], w.first[doc + 1])
-                reach = np.maximum.accumulate(right)
-                new = np.ones(len(g), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (left[1:] > reach[:-1])
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(g))
-                start = np.minimum.reduceat(left, first)
-                stop = np.maximum.reduceat(right, first)
+                h, at = shingles(w, 2)
+                word, pair = located(own.features, flag, w.hash), np.full(len(w.hash), -1, np.int64)
+                pair[at] = located(own.features, flag, h)
                 code = short(w.hash)
+                todo = sorted(tiles(own, rare, w, word, pair), key=lambda t: (t[3] - t[2], len(own.words[t[1]])))
+                rows, scores, starts, stops = [], [], [], []
+                now = 0
+                while now < len(todo):  # pairs of like length together, so that little is padded
+                    part = todo[now : now + max(1, min(256, 400_000 // (todo[now][3] - todo[now][2])))]
+                    text = [code[a:b] for _, _, a, b in part]
+                    best, end = smith_waterman([own.words[t[1]] for t in part], text)
+                    good = [j for j, t in enumerate(part) if best[j] >= threshold * MATCH * len(own.words[t[1]])]
+                    if good:
+                        _, back = smith_waterman([own.words[part[j][1]][::-1] for j in good], [text[j][: end[j]][::-1] for j in good])
+                        for j, b in zip(good, back):
+                            d, i, first, _ = part[j]
+                            rows.append((d, i))
+                            scores.append(float(best[j]) / (MATCH * len(own.words[i])))
+                            stops.append(int(first - w.first[d] + end[j]))
+                            starts.append(stops[-1] - int(b))
+                    now += len(part)
+                if not rows:
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(doc[first] + lo)),
-                        pa.array((start - w.first[doc[first]]).astype(np.int64)),
-                        pa.array([code[a:b].tobytes() for a, b in zip(start, stop)], pa.binary()),
-                        pa.array([np.unique(g[a:b]).astype(np.int32) for a, b in zip(first, last)], pa.list_(pa.int32())),
+                        batch.column(0).take(pa.array([d + lo for d, _ in rows], pa.int64())),
+                        pa.array([own.ids[i] for _, i in rows], pa.int64() if item_type == "bigint" else None),
+                        pa.array(scores, pa.float64()),
+                        pa.array(starts, pa.int64()),
+                        pa.array(stops, pa.int64()),
                     ],
-                    ["id", "at", "hashes", "grams"],
+                    ["id", "item_id", "score", "start", "stop"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).mapInArrow(run, f"id {kind}, at long, hashes binary, grams array<int>")
-
-
-def rare_seeds(block: Block, frequency: dict[int, int], window: int) -> dict[int, list[int]]:
-    """gram -> items it seeds: of each ``window`` consecutive n-grams of an item those of the least frequency."""
-    by_item: list[dict[int, int]] = [{} for _ in block.ids]
-    for g, places in enumerate(block.of):
-        for i, p in places:
-            by_item[i][p] = g
-    found: dict[int, set[int]] = {}
-    for i, places in enumerate(by_item):
-        row = [places[p] for p in sorted(places)]
-        for s in range(max(1, len(row) - window + 1) if row else 0):
-            part = row[s : s + window]
-            least = min(frequency.get(g, 0) for g in part)
-            for g in part:
-                if frequency.get(g, 0) == least:
-                    found.setdefault(g, set()).add(i)
-    return {g: sorted(items) for g, items in found.items()}
-
-
-def aligned(passages: DataFrame, block, seeds, threshold: float, id_type: str, item_type: str) -> DataFrame:
-    """(id, item_id, score, start, stop) of passages that align with a seeded item at ``threshold`` or more."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seed_of = block.value, seeds.value
-        for batch in batches:
-            todo = []
-            for r, (raw, grams) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                items = sorted({i for g in grams for i in seed_of.get(g, ())})
-                if not items:
-                    continue
-                text = np.frombuffer(raw, np.uint32)
-                for i in items:
-                    item = own.words[i]
-                    if np.isin(item, text).sum() >= threshold * len(item):  # no alignment can score more than its common words
-                        todo.append((len(text), len(item), r, i, text))
-            todo.sort(key=lambda t: t[:4])
-            rows, scores, starts, stops = [], [], [], []
-            lo = 0
-            while lo < len(todo):  # pairs of like length together, so that little is padded
-                hi = lo + max(1, min(256, 400_000 // todo[lo][0]))
-                part = todo[lo:hi]
-                best, end = smith_waterman([own.words[t[3]] for t in part], [t[4] for t in part])
-                good = [j for j, t in enumerate(part) if best[j] >= threshold * MATCH * t[1]]
-                if good:
-                    _, back = smith_waterman([own.words[part[j][3]][::-1] for j in good], [part[j][4][: end[j]][::-1] for j in good])
-                    for j, b in zip(good, back):
-                        rows.append((part[j][2], part[j][3]))
-                        scores.append(float(best[j]) / (MATCH * part[j][1]))
-                        starts.append(int(end[j] - b)), stops.append(int(end[j]))
-                lo = hi
-            at = batch.column(1).to_pylist()
-            item_ids = pa.array([own.ids[i] for _, i in rows], pa.int64() if item_type == "bigint" else None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array([r for r, _ in rows], pa.int64())),
-                    item_ids,
-                    pa.array(scores, pa.float64()),
-                    pa.array([at[r] + s for (r, _), s in zip(rows, starts)], pa.int64()),
-                    pa.array([at[r] + s for (r, _), s in zip(rows, stops)], pa.int64()),
-                ],
-                ["id", "item_id", "score", "start", "stop"],
-            )
-
-    return passages.mapInArrow(run, f"id {id_type}, item_id {item_type}, score double, start long, stop long")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).mapInArrow(run, f"id {kind}, item_id {item_type}, score double, start long, stop long")
 
 
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     n: int = 4,
-    window: int = 3,
     threshold: float = 0.5,
     block_words: int = 200_000,
     id_col: str = "doc_id",
@@ -228,15 +259,12 @@ def contaminated(
     id_type = docs.schema[id_col].dataType.simpleString()
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     result = spark.createDataFrame([], f"id {id_type}, item_id {item_type}, score double, start long, stop long")
-    for own in blocks(benchmark, n, block_words, "item_id", "text"):
-        if not len(own.grams):
+    for own in blocks(benchmark, n, threshold, block_words, "item_id", "text"):
+        if not len(own.features):
             continue
         block = spark.sparkContext.broadcast(own)
-        passages = pinned(hits(docs, block, n, id_col, text_col), "passages")
-        counted = passages.select("id", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-        frequency = {r["gram"]: r["df"] for r in counted.collect()}  # at most the block's n-grams
-        seeds = spark.sparkContext.broadcast(rare_seeds(own, frequency, window))
-        result = result.union(aligned(passages, block, seeds, threshold, id_type, item_type))
+        seeds = spark.sparkContext.broadcast(rare_seeds(own, feature_counts(docs, block, text_col)))
+        result = result.union(pinned(aligned(docs, block, seeds, threshold, id_col, text_col, item_type), "copies"))
     best = result.groupBy("id", "item_id").agg(F.max(F.struct("score", -F.col("start"), "stop")).alias("b"))
     return best.select(F.col("id").alias(id_col), "item_id", "b.score", (-F.col("b.col2")).alias("start"), "b.stop")
 

@@ -160,6 +160,28 @@ def test_leaks_are_found_and_clean_documents_are_not(spark, make_prose):
     assert {r["doc_id"] for r in decontamination.keep_clean(df, bench).collect()} == {*range(40), 200}
 
 
+def test_regularly_edited_copies_leak_as_in_brute_force(spark, make_prose):
+    # every 4th to 6th word changed, put in or left out; an exact copy of each item is there too
+    rng = random.Random(11)
+    common = make_prose(rng, 12)
+    items = {k: [rng.choice(common) if rng.random() < 0.4 else make_prose(rng, 1)[0] for _ in range(rng.randint(16, 40))] for k in range(8)}
+    texts = {k: plant(rng, make_prose, items[k]) for k in items}
+    for k in items:
+        for every in (2, 3, 4, 5, 6):
+            for kind in range(3):
+                copy = []
+                for p, word in enumerate(items[k], 1):
+                    copy += [word] if p % every else [["other"], [word, "added"], []][kind]
+                texts[1000 * kind + 100 * every + k] = plant(rng, make_prose, copy)
+    for i in range(20):
+        texts[5000 + i] = " ".join(rng.choice(common) for _ in range(150))
+    score = {(d, k): brute_sw(items[k], t.split()) / (2 * len(items[k])) for d, t in texts.items() for k in items}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.contaminated(frame(spark, texts), bench).collect()}
+    assert got == {pair: s for pair, s in score.items() if s >= 0.5}
+    assert all((100 * every + k, k) in got for k in items for every in (4, 5, 6))
+
+
 def test_frequent_passages_still_leak(spark, make_prose):
     rng = random.Random(7)
     item = make_prose(rng, 20)
