@@ -9,8 +9,8 @@
    Members of a bucket are candidates, unless their samples agree too seldom for the threshold.
 4. Candidates are verified by the exact weighted Jaccard similarity of their whole texts.
 5. Classes are the connected components of equal texts and verified links. This is done twice: first with a few
-   candidates for each member of a bucket, which joins most of a large group; then with all others, but only between
-   documents that are not of one class yet.
+   candidates for each member of a bucket, which joins most of a large group; then with all pairs of each bucket,
+   but only between documents that are not of one class yet. Large buckets are cut into parts that all meet.
 """
 
 from __future__ import annotations
@@ -167,7 +167,7 @@ def signatures(docs: DataFrame, n: int, idf, bands: int, rows: int, id_col: str,
 
 
 def bucket_members(reps: DataFrame, hot: int, low: int = 2, high: int | None = None) -> DataFrame:
-    """(band, key, part, turn, id, label, samples, lead) of the documents in buckets of ``low`` to ``high`` members that hold more than one label.
+    """(band, key, part, turn, id, label, samples, lead, parts) of the documents in buckets of ``low`` to ``high`` members that hold more than one label.
 
     ``reps`` has id, label, samples and band_keys. Buckets of over ``hot`` members are dealt over several parts, and
     each part's rows also carry the bucket's first member as ``lead``. ``turn`` orders a bucket, differently in each band.
@@ -179,7 +179,7 @@ def bucket_members(reps: DataFrame, hot: int, low: int = 2, high: int | None = N
     leads = rows.join(sizes.where(F.col("n") > hot).select("band", "key"), ["band", "key"]).groupBy("band", "key").agg(F.min("id").alias("lead"))
     part = F.when(F.col("n") > hot, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / hot))).otherwise(F.lit(0))
     joined = rows.join(sizes, ["band", "key"]).join(leads, ["band", "key"], "left")
-    return joined.select("band", "key", part.alias("part"), F.xxhash64("band", "id").alias("turn"), "id", "label", "samples", "lead")
+    return joined.select("band", "key", part.alias("part"), F.xxhash64("band", "id").alias("turn"), "id", "label", "samples", "lead", F.when(F.col("n") > hot, F.ceil(F.col("n") / hot)).otherwise(1).cast("int").alias("parts"))
 
 
 def dealt(members: DataFrame) -> DataFrame:
@@ -217,39 +217,52 @@ def bucket_pairs(members: DataFrame, least_agreeing: int, near: int) -> DataFram
     return dealt(members).mapInArrow(run, "a long, b long").distinct()
 
 
-def bucket_links(members: DataFrame, texts: DataFrame, n: int, idf, threshold: float, least_agreeing: int, near: int) -> DataFrame:
-    """Distinct verified links (a, b) within large buckets, compared as in ``bucket_pairs`` but where they meet.
+def bucket_links(members: DataFrame, texts: DataFrame, n: int, idf, threshold: float, least_agreeing: int) -> DataFrame:
+    """Distinct verified links (a, b) within large buckets: every two parts of a bucket meet in a task of their own, so all its pairs are compared.
 
-    Members come with their texts, and a task holds the shingles of 2 * ``near`` of them; candidates are
-    verified at once, and only true links leave the task.
+    Members come with their texts. A task holds the shingles of one part while the other streams by; candidates are
+    verified at once, only true links leave the task, and documents that its links joined already aren't compared again.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, now, head, tail = idf.value, None, [], []
+        weights, now, held, root = idf.value, None, [], {}
+        samples, labels, totals = np.empty((0, 0), "<u2"), np.empty(0, np.int64), np.empty(0)
         for batch in batches:
             a, b = [], []
             for lo in range(0, len(batch), 256):
                 rows = batch.slice(lo, 256)
-                sets = {j: (h, weigh(h, tf, weights)) for j, h, tf in shingle_sets(rows.column(7).to_pylist(), n)}
-                for j, (band, key, part, i, label, s) in enumerate(zip(*(rows.column(c).to_pylist() for c in (0, 1, 2, 4, 5, 6)))):
-                    if (band, key, part) != now:
-                        now, head, tail = (band, key, part), [], []
+                sets = {j: (h, weigh(h, tf, weights)) for j, h, tf in shingle_sets(rows.column(8).to_pylist(), n)}
+                for j, (band, key, p, q, side, i, label, s) in enumerate(zip(*(c.to_pylist() for c in rows.columns[:8]))):
                     own, mine = np.frombuffer(s, "<u2"), sets[j]
+                    if (band, key, p, q) != now:
+                        now, held, root = (band, key, p, q), [], {}
+                        samples, labels, totals = np.empty((64, len(own)), "<u2"), np.empty(64, np.int64), np.empty(64)
+                    while label in root:
+                        label = root[label]
                     total = float(mine[1].sum(dtype=np.float64))
-                    others = [o for o in head + tail if o[1] != label and min(o[4], total) >= threshold * max(o[4], total)]
-                    if others:
-                        agree = np.count_nonzero(np.stack([o[2] for o in others]) == own, axis=1)
-                        for k in np.flatnonzero(agree >= least_agreeing).tolist():
-                            if weighted_jaccard(others[k][3], mine) >= threshold:
-                                a.append(min(i, others[k][0])), b.append(max(i, others[k][0]))
-                    if len(head) < near:
-                        head.append((i, label, own, mine, total))
-                    else:
-                        tail = [*tail[-near + 1 :], (i, label, own, mine, total)]
+                    m = len(held)
+                    if side:
+                        near = np.flatnonzero((labels[:m] != label) & (np.minimum(totals[:m], total) >= threshold * np.maximum(totals[:m], total)))
+                        agree = np.count_nonzero(samples[near] == own, axis=1)
+                        for k in near[np.argsort(-agree, kind="stable")][: np.count_nonzero(agree >= least_agreeing)].tolist():
+                            if labels[k] != label and weighted_jaccard(held[k][1], mine) >= threshold:
+                                a.append(min(i, held[k][0])), b.append(max(i, held[k][0]))
+                                gone = int(labels[k])
+                                root[gone] = label
+                                labels[:m][labels[:m] == gone] = label
+                    if not side or p == q:
+                        if m == len(labels):
+                            samples, labels, totals = (np.concatenate((c, np.empty_like(c))) for c in (samples, labels, totals))
+                        samples[m], labels[m], totals[m] = own, label, total
+                        held.append((i, mine))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    wide = members.drop("lead").join(texts, "id").select("band", "key", "part", "turn", "id", "label", "samples", "text")
-    return dealt(wide).mapInArrow(run, "a long, b long").distinct()
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    meet = members.select("band", "key", F.col("part").cast("int").alias("part"), "turn", "id", "label", "samples", other)
+    both = (F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.when(F.col("part") >= F.col("other"), 1).otherwise(0).alias("side"))
+    wide = meet.select("band", "key", *both, "turn", "id", "label", "samples").join(texts, "id")
+    tasks = wide.repartition("band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q", "side", "turn", "id")
+    return tasks.select("band", "key", "p", "q", "side", "id", "label", "samples", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def with_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -292,6 +305,7 @@ def near_duplicates(
     few: int = 2,
     dense: int = 64,
     hot: int = 20_000,
+    block: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -300,7 +314,7 @@ def near_duplicates(
     Null texts are empty; equal texts are always one class, so all empty texts are. A text without words is like its
     equals only. Rows with one id are one document (its texts all count). A null id is a class of its own, with
     null class_id and is_first true. Ids are integers. An empty table gives no rows; other columns aren't read.
-    A pair of similarity s shares a bucket with probability 1 - (1 - s**rows)**bands: 0.9992 at 0.8.
+    All pairs of a bucket are compared, so that what is missed shares none: a pair of similarity s shares a bucket with probability 1 - (1 - s**rows)**bands: 0.9992 at 0.8.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -318,9 +332,9 @@ def near_duplicates(
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         links = links.union(pinned(verified_links(pairs, with_texts(docs, ids, id_col, text_col), n, idf, threshold).select("a", "b"), "verified"))
         if high:
-            large = pinned(bucket_members(worded, hot, high + 1), "members")
+            large = pinned(bucket_members(worded, block, high + 1), "members")
             texts = with_texts(docs, large.select("id").distinct(), id_col, text_col)
-            links = links.union(pinned(bucket_links(large, texts, n, idf, threshold, least, near), "verified"))
+            links = links.union(pinned(bucket_links(large, texts, n, idf, threshold, least), "verified"))
         classes = pinned(components(signed.select("id"), links), "classes")
         labels = classes.withColumnRenamed("class_id", "label")
     return (

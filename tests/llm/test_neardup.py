@@ -86,6 +86,20 @@ def test_large_group_of_near_copies_is_one_class(spark, make_prose):
     assert all(r["class_id"] == r["doc_id"] for r in got if r["doc_id"] >= 1000)
 
 
+def test_pairs_in_large_buckets_of_a_shared_template_are_all_found(spark, make_prose):
+    # all documents share 70 % of their weight, so that buckets hold nearly all of them; pairs within share 0.85
+    rng = random.Random(9)
+    template, texts = make_prose(rng, 1000), {}
+    for pair in range(100):
+        both = make_prose(rng, 31)
+        for i in (pair, 1000 + pair):
+            texts[i] = " ".join(template + both + make_prose(rng, 8))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (512, 30):  # in one part and in several
+        got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df, rows=1, dense=4, block=block).collect()}
+        assert got == {i: i % 1000 for i in texts}
+
+
 def test_odd_rows(odd, none):
     rows = neardup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
