@@ -163,12 +163,17 @@ def json_fields_and_hashes(spark, sf):
     return made.select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.sha2("props", 256).alias("digest"))
 
 
+def packed_events(events, most=50_000):
+    """(user_id, data): each user's events as JSON arrays of at most ``most``, so that no user is one unbounded group."""
+    rows = F.concat(F.lit("["), F.concat_ws(",", F.collect_list(F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(',"t":"'), "event_type", F.lit('"}')))), F.lit("]"))
+    run = events.withColumn("run", F.floor(F.monotonically_increasing_id() / most))
+    return run.groupBy("user_id", "run").agg(rows.alias("data")).drop("run")
+
+
 @query("""SELECT user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type FROM events""")
 def json_recordset(spark, sf):
     events = tables.read(spark, sf, "events")
-    rows = F.concat(F.lit("["), F.concat_ws(",", F.collect_list(F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(',"t":"'), "event_type", F.lit('"}')))), F.lit("]"))
-    packed = events.groupBy("user_id").agg(rows.alias("data"))
-    return pages.json_rows(packed, "data", "k int, t string").select("user_id", "k", F.col("t").alias("event_type"))
+    return pages.json_rows(packed_events(events), "data", "k int, t string").select("user_id", "k", F.col("t").alias("event_type"))
 
 
 @query(SQL + """ SELECT s.id, CASE WHEN trim(platform) <> '' THEN platform WHEN canonical_domain ILIKE '%a%' THEN 'shopify' ELSE 'custom' END AS platform FROM stores s""")

@@ -44,6 +44,15 @@ def test_queries_without_sql_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_json_arrays_of_a_user_are_bounded(spark):
+    from marlpath.plans.relational_queries import packed_events
+    from pyspark.sql import functions as F
+
+    events = spark.range(1000, numPartitions=3).select(F.lit(7).alias("user_id"), F.lit("view").alias("event_type"), F.lit('{"k": 1}').alias("props"))
+    sizes = [r["n"] for r in packed_events(events, 100).select(F.json_array_length("data").alias("n")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 100
+
+
 def test_entry_imports_without_a_session():
     import subprocess
     import sys
