@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import pinned
+from .frames import pinned, released
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 60, broadcast_rows: int = 1_000_000) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, rounds: int = 60, broadcast_rows: int = 300_000) -> DataFrame:
     """(id, class_id) for each distinct non-null ``id`` of ``nodes``: class_id is the smallest id reachable over ``links`` (a, b).
 
     Each round a node takes the least label among itself and its neighbours and then its label's label, so that
     paths halve. A round is two joins and a map-side combined minimum; a node with very many links is one key of a
-    join, which adaptive skew handling splits. Labels are broadcast while there are at most ``broadcast_rows`` (16 MB)
+    join, which adaptive skew handling splits. Labels are broadcast while there are at most ``broadcast_rows`` (about 12 MB as a hash table)
     and shuffled beyond that. Links with null ends, self links and ends outside ``nodes`` count
     for nothing. Raises if ``rounds`` don't suffice.
     """
@@ -36,6 +36,7 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60, broadcast_r
         new = pinned(
             step.join(small(above), "label", "left").select("id", F.least("label", "top").alias("label"), "was"), "labels"
         )
+        released(ids.sparkSession, labels)
         labels = new.drop("was")
         if new.where("label <> was").isEmpty():
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a fresh temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A fresh temporary one where that is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="marlpath-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -42,6 +45,17 @@ def pinned(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession, df: DataFrame) -> None:
+    """Removes the files of a pinned table that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _forget(spark, path)
+
+
+def few(keys: DataFrame, most: int = 500_000) -> DataFrame:
+    """``keys`` (one integer column), marked for a broadcast if they are at most ``most`` rows (about 12 MB as a hash table)."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -75,8 +89,6 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[Column], name: str,
     )
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 2_000_000) -> DataFrame:
-    """``docs`` less the rows with one of ``ids`` (distinct): broadcast if at most ``broadcast_rows`` (16 MB), else a shuffled join. Null ids stay."""
-    ids = pinned(ids, "ids")
-    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti")
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` less the rows with one of ``ids`` (distinct), which are broadcast if they are few. Null ids stay."""
+    return docs.join(few(pinned(ids, "ids")), id_col, "left_anti")

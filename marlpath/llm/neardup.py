@@ -4,13 +4,13 @@
    at any corpus size, and a frequent shingle stands out of its cell at any size.
 2. Each document's shingles weigh tf * (1 + ln((1 + N) / (1 + df))). Improved consistent weighted sampling draws
    ``bands * rows`` samples (shingle, quantised weight); two documents agree in one with the probability of their
-   weighted Jaccard similarity.
-3. Documents with equal texts are one from here on. Those that agree in all samples of a band share a bucket.
-   Members of a bucket are candidates, unless their samples agree too seldom for the threshold.
-4. Candidates are verified by the exact weighted Jaccard similarity of their whole texts.
-5. Classes are the connected components of equal texts and verified links. This is done twice: first with a few
-   candidates for each member of a bucket, which joins most of a large group; then with all pairs of each bucket,
-   but only between documents that are not of one class yet. Large buckets are cut into parts that all meet.
+   weighted Jaccard similarity. Those that agree in all samples of a band share a bucket.
+3. Documents with equal texts are one from here on. Each member of a bucket is verified against the bucket's first
+   by the exact weighted Jaccard similarity of their whole texts, which joins most of a large group: a linear number
+   of pairs.
+4. In each bucket that still holds several classes, all pairs of different class are verified, where their members
+   meet: no pair leaves its task but the links. A bucket is cut into parts of bounded size that all meet, and a pair
+   is looked at only in the first band that it shares. Classes are the components of all links.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import pinned, shuffle_width, without_ids
+from .frames import few, pinned, shuffle_width, without_ids
 from .wordstream import chunks, mix, shingles, words
 
 CELLS = 1 << 21
@@ -122,17 +122,17 @@ def icws(h: np.ndarray, log_weight: np.ndarray, first: np.ndarray, k: int) -> np
 
 
 def signatures(docs: DataFrame, n: int, idf, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: id, digest of its text, band_keys (null without words), samples (16 bits of each)."""
+    """Per document: id, digest of its text, band_keys (null without words), the same as bytes, and its number of shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = idf.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             digest = [blake2b(t.encode(), digest_size=16).digest() for t in texts]
-            keys, samples = [None] * len(texts), [None] * len(texts)
+            keys, joined, size = [None] * len(texts), [None] * len(texts), [0] * len(texts)
             group: list[tuple[int, np.ndarray, np.ndarray]] = []
 
-            def flush(group=group, keys=keys, samples=samples) -> None:
+            def flush(group=group, keys=keys, joined=joined, size=size) -> None:
                 h = np.concatenate([g[1] for g in group])
                 first = np.cumsum([0] + [len(g[1]) for g in group[:-1]])
                 log_weight = np.log(weigh(h, np.concatenate([g[2] for g in group]), weights))
@@ -141,9 +141,8 @@ def signatures(docs: DataFrame, n: int, idf, bands: int, rows: int, id_col: str,
                 key = band[:, :, 0].copy()
                 for j in range(1, rows):
                     key = mix(key * np.uint64(0xD1342543DE82EF95) + band[:, :, j])
-                small = (sig & np.uint64(0xFFFF)).astype("<u2")
-                for g, k, s in zip(group, key.view(np.int64).tolist(), small):
-                    keys[g[0]], samples[g[0]] = k, s.tobytes()
+                for g, k in zip(group, key.view(np.int64)):
+                    keys[g[0]], joined[g[0]], size[g[0]] = k.tolist(), k.astype("<i8").tobytes(), len(g[1])
                 group.clear()
 
             held = 0
@@ -156,119 +155,166 @@ def signatures(docs: DataFrame, n: int, idf, bands: int, rows: int, id_col: str,
             if group:
                 flush()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(samples, pa.binary())],
-                ["id", "digest", "band_keys", "samples"],
+                [batch.column(0), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(joined, pa.binary()), pa.array(size, pa.int64())],
+                ["id", "digest", "band_keys", "bands", "size"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("_t")).mapInArrow(
-        run, f"id {kind}, digest binary, band_keys array<bigint>, samples binary"
+        run, f"id {kind}, digest binary, band_keys array<bigint>, bands binary, size long"
     )
 
 
-def bucket_members(reps: DataFrame, hot: int, low: int = 2, high: int | None = None) -> DataFrame:
-    """(band, key, part, turn, id, label, samples, lead, parts) of the documents in buckets of ``low`` to ``high`` members that hold more than one label.
-
-    ``reps`` has id, label, samples and band_keys. Buckets of over ``hot`` members are dealt over several parts, and
-    each part's rows also carry the bucket's first member as ``lead``. ``turn`` orders a bucket, differently in each band.
-    """
-    rows = reps.select("id", "label", "samples", F.posexplode("band_keys").alias("band", "key"))
-    sizes = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    within = (F.col("n") >= low) & (F.lit(True) if high is None else F.col("n") <= high)
-    sizes = sizes.where((F.col("lo") < F.col("hi")) & within).select("band", "key", "n")
-    leads = rows.join(sizes.where(F.col("n") > hot).select("band", "key"), ["band", "key"]).groupBy("band", "key").agg(F.min("id").alias("lead"))
-    part = F.when(F.col("n") > hot, F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / hot))).otherwise(F.lit(0))
-    joined = rows.join(sizes, ["band", "key"]).join(leads, ["band", "key"], "left")
-    return joined.select("band", "key", part.alias("part"), F.xxhash64("band", "id").alias("turn"), "id", "label", "samples", "lead", F.when(F.col("n") > hot, F.ceil(F.col("n") / hot)).otherwise(1).cast("int").alias("parts"))
+def bucket_members(reps: DataFrame) -> DataFrame:
+    """(band, key, id, bands, size, lead) of the documents in buckets of two at least; lead is the bucket's least id."""
+    rows = reps.where("band_keys is not null").select("id", "bands", "size", F.posexplode("band_keys").alias("band", "key"))
+    leads = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1").drop("n")
+    return rows.join(leads, ["band", "key"])
 
 
-def dealt(members: DataFrame) -> DataFrame:
-    """Each part of a bucket in one task, in its order; rows stream through, so a task never holds a part."""
-    return members.repartition("band", "key", "part").sortWithinPartitions("band", "key", "part", "turn", "id")
+def open_buckets(members: DataFrame, labels: DataFrame, part_size: int) -> DataFrame:
+    """The rows of buckets with several labels, once for each meeting (i, j) of parts: band, key, i, j, side, id, label, main, bands.
 
+    ``main`` is the bucket's most frequent label; its members needn't meet one another. A bucket of at most
+    ``part_size`` shingles is one part; in a larger one the members of the main label and the others are dealt over
+    parts of that size each, and every part of others meets every part.
+    """
+    known = members.join(labels, "id")
+    counts = known.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    buckets = (
+        counts.groupBy("band", "key")
+        .agg(F.count(F.lit(1)).alias("labels"), F.max_by(F.struct("label", "size"), F.struct("n", "label")).alias("m"), F.sum("size").alias("all"))
+        .where("labels > 1")
+        .select(
+            "band", "key", F.col("m.label").alias("main"), (F.col("all") <= part_size).alias("one"),
+            F.ceil((F.col("all") - F.col("m.size")) / part_size).cast("int").alias("others"), F.ceil(F.col("m.size") / part_size).cast("int").alias("mains"),
+        )
+    )
+    rows, of_main = known.join(buckets, ["band", "key"]), F.col("label") == F.col("main")
+    turn = F.xxhash64("id")
+    own = F.when(F.col("one"), 0).when(of_main, F.col("others") + F.pmod(turn, "mains")).otherwise(F.pmod(turn, "others")).cast("int")
+    last = F.when(F.col("one"), 0).when(of_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    met = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    return met.select(
+        "band", "key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
+        F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "id", "label", "main", "bands",
+    )
 
-def bucket_pairs(members: DataFrame, least_agreeing: int, near: int) -> DataFrame:
-    """Distinct candidate pairs (a, b): each member with the first ``near`` of its bucket and the ``near`` before it, and its lead.
 
-    Only pairs of different label that agree in at least ``least_agreeing`` samples. Buckets of up to ``near`` + 1
-    members give all their pairs; for any bucket the number is linear in its size. (The lead's samples aren't at
-    hand, so that pair always counts.)
+class Postings:
+    """Which of some documents hold a shingle, and how often: all their similarities with another document at once."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
+        self.idf = idf
+        size = [len(h) for h, _ in sets]
+        h = np.concatenate([s[0] for s in sets])
+        order = np.argsort(h, kind="stable")
+        self.doc = np.repeat(np.arange(len(sets)), size)[order]
+        self.tf = np.concatenate([s[1] for s in sets])[order]
+        self.hash, self.first = np.unique(h[order], return_index=True)
+        self.last = np.append(self.first[1:], len(h))
+        self.total = np.array([float(weigh(x, tf, idf).sum(dtype=np.float64)) for x, tf in sets])
+
+    def similarities(self, h: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        own = np.flatnonzero(self.hash[at] == h)
+        at = at[own]
+        n = self.last[at] - self.first[at]
+        place = np.arange(n.sum()) + np.repeat(self.first[at] - (np.cumsum(n) - n), n)
+        least = np.minimum(self.tf[place], np.repeat(tf[own], n)) * np.repeat(weigh(h[own], np.ones(len(own)), self.idf).astype(np.float64), n)
+        both = np.bincount(self.doc[place], least, minlength=len(self.total))
+        return both / (self.total + float(weigh(h, tf, self.idf).sum(dtype=np.float64)) - both)
+
+
+class Meeting:
+    """Two parts of one bucket: the held documents, and those that are compared with all held ones of another label."""
+
+    def __init__(self, band: int, main: int, alone: bool, idf: np.ndarray, threshold: float):
+        self.band, self.main, self.alone, self.idf, self.threshold = band, main, alone, idf, threshold
+        self.rows: list[tuple] = []
+        self.index: Postings | None = None
+        self.links: list[tuple[int, int]] = []
+        self.root: dict[int, int] = {}
+
+    def close(self) -> None:
+        """No more held documents. Those of the main label are only compared, as they needn't meet one another."""
+        held = [r for r in self.rows if r[1] != self.main]
+        if held:
+            self.index = Postings([r[3] for r in held], self.idf)
+            self.ids, self.labels = (np.array([r[k] for r in held], np.int64) for k in (0, 1))
+            self.keys = np.stack([np.frombuffer(r[2], "<i8") for r in held])
+
+    def compare(self, doc: int, label: int, bands: bytes, own: tuple[np.ndarray, np.ndarray], before: int | None = None) -> None:
+        if self.index is None:
+            return
+        while label in self.root:
+            label = self.root[label]
+        keys = np.frombuffer(bands, "<i8")
+        met = (self.keys[:, : self.band] == keys[: self.band]).any(axis=1)
+        wanted = (self.labels != label) & ~met
+        if before is not None:
+            wanted[before:] = False
+        if not wanted.any():
+            return
+        near = np.flatnonzero(wanted & (self.index.similarities(*own) >= self.threshold))
+        for k in near.tolist():
+            was = int(self.labels[k])
+            if was != label:
+                self.links.append((min(doc, int(self.ids[k])), max(doc, int(self.ids[k]))))
+                self.root[was] = label
+                self.labels[self.labels == was] = label
+
+    def finish(self) -> list[tuple[int, int]]:
+        """Compares a part that is alone with itself."""
+        if self.alone:
+            self.close()
+            place = 0
+            for doc, label, bands, own in self.rows:
+                self.compare(doc, label, bands, own, None if label == self.main else place)
+                place += label != self.main
+        return self.links
+
+
+def bucket_links(meetings: DataFrame, texts: DataFrame, n: int, idf, threshold: float) -> DataFrame:
+    """Distinct links (a, b), similar by ``threshold``, between documents of different label in one bucket.
+
+    Each meeting is one task's: it holds the shingles of one part, of bounded size, while the other streams by.
+    Documents that its links have joined already aren't compared again.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head, tail = None, [], []
-        for batch in batches:
-            a, b = [], []
-            for band, key, part, i, label, s, lead in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4, 5, 6, 7))):
-                if (band, key, part) != now:
-                    now, head, tail = (band, key, part), [], []
-                own = np.frombuffer(s, "<u2")
-                for other, of, theirs in head + tail:
-                    if of != label and np.count_nonzero(theirs == own) >= least_agreeing:
-                        a.append(min(i, other)), b.append(max(i, other))
-                if lead is not None and lead != i:
-                    a.append(min(i, lead)), b.append(max(i, lead))
-                if len(head) < near:
-                    head.append((i, label, own))
-                else:
-                    tail = [*tail[-near + 1 :], (i, label, own)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return dealt(members).mapInArrow(run, "a long, b long").distinct()
-
-
-def bucket_links(members: DataFrame, texts: DataFrame, n: int, idf, threshold: float, least_agreeing: int) -> DataFrame:
-    """Distinct verified links (a, b) within large buckets: every two parts of a bucket meet in a task of their own, so all its pairs are compared.
-
-    Members come with their texts. A task holds the shingles of one part while the other streams by; candidates are
-    verified at once, only true links leave the task, and documents that its links joined already aren't compared again.
-    """
+        weights, now, meeting = idf.value, None, None
+
+        def out(links):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, now, held, root = idf.value, None, [], {}
-        samples, labels, totals = np.empty((0, 0), "<u2"), np.empty(0, np.int64), np.empty(0)
         for batch in batches:
-            a, b = [], []
+            found: list[tuple[int, int]] = []
             for lo in range(0, len(batch), 256):
                 rows = batch.slice(lo, 256)
-                sets = {j: (h, weigh(h, tf, weights)) for j, h, tf in shingle_sets(rows.column(8).to_pylist(), n)}
-                for j, (band, key, p, q, side, i, label, s) in enumerate(zip(*(c.to_pylist() for c in rows.columns[:8]))):
-                    own, mine = np.frombuffer(s, "<u2"), sets[j]
-                    if (band, key, p, q) != now:
-                        now, held, root = (band, key, p, q), [], {}
-                        samples, labels, totals = np.empty((64, len(own)), "<u2"), np.empty(64, np.int64), np.empty(64)
-                    while label in root:
-                        label = root[label]
-                    total = float(mine[1].sum(dtype=np.float64))
-                    m = len(held)
-                    if side:
-                        near = np.flatnonzero((labels[:m] != label) & (np.minimum(totals[:m], total) >= threshold * np.maximum(totals[:m], total)))
-                        agree = np.count_nonzero(samples[near] == own, axis=1)
-                        for k in near[np.argsort(-agree, kind="stable")][: np.count_nonzero(agree >= least_agreeing)].tolist():
-                            if labels[k] != label and weighted_jaccard(held[k][1], mine) >= threshold:
-                                a.append(min(i, held[k][0])), b.append(max(i, held[k][0]))
-                                gone = int(labels[k])
-                                root[gone] = label
-                                labels[:m][labels[:m] == gone] = label
-                    if not side or p == q:
-                        if m == len(labels):
-                            samples, labels, totals = (np.concatenate((c, np.empty_like(c))) for c in (samples, labels, totals))
-                        samples[m], labels[m], totals[m] = own, label, total
-                        held.append((i, mine))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    meet = members.select("band", "key", F.col("part").cast("int").alias("part"), "turn", "id", "label", "samples", other)
-    both = (F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.when(F.col("part") >= F.col("other"), 1).otherwise(0).alias("side"))
-    wide = meet.select("band", "key", *both, "turn", "id", "label", "samples").join(texts, "id")
-    tasks = wide.repartition("band", "key", "p", "q").sortWithinPartitions("band", "key", "p", "q", "side", "turn", "id")
-    return tasks.select("band", "key", "p", "q", "side", "id", "label", "samples", "text").mapInArrow(run, "a long, b long").distinct()
-
-
-def with_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """(id, text), one row for each of ``ids``: broadcast if they are at most ``broadcast_rows`` (16 MB), else a shuffled join."""
-    wanted = F.broadcast(ids) if ids.limit(broadcast_rows + 1).count() <= broadcast_rows else ids
-    found = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(wanted, "id", "left_semi")
+                sets = {k: (h, tf) for k, h, tf in shingle_sets(rows.column(9).to_pylist(), n)}
+                for k, (band, key, i, j, side, doc, label, main, bands) in enumerate(zip(*(c.to_pylist() for c in rows.columns[:9]))):
+                    if (band, key, i, j) != now:
+                        found += meeting.finish() if meeting else []
+                        now, meeting = (band, key, i, j), Meeting(band, main, i == j, weights, threshold)
+                    if side == 0:
+                        meeting.rows.append((doc, label, bands, sets[k]))
+                        continue
+                    if meeting.rows:
+                        meeting.close()
+                        meeting.rows = []
+                    meeting.compare(doc, label, bands, sets[k])
+            yield out(found)
+        if meeting:
+            yield out(meeting.finish())
+
+    tasks = meetings.join(texts, "id").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "side", "id")
+    return tasks.select("band", "key", "i", "j", "side", "id", "label", "main", "bands", "text").mapInArrow(run, "a long, b long").distinct()
+
+
+def with_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text), one row for each of ``ids``: these are broadcast if they are few, else a shuffled join."""
+    found = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(few(ids), "id", "left_semi")
     return pinned(found, "texts").dropDuplicates(["id"])
 
 
@@ -302,10 +348,7 @@ def near_duplicates(
     threshold: float = 0.8,
     bands: int = 10,
     rows: int = 3,
-    few: int = 2,
-    dense: int = 64,
-    hot: int = 20_000,
-    block: int = 512,
+    part_size: int = 1 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -314,29 +357,24 @@ def near_duplicates(
     Null texts are empty; equal texts are always one class, so all empty texts are. A text without words is like its
     equals only. Rows with one id are one document (its texts all count). A null id is a class of its own, with
     null class_id and is_first true. Ids are integers. An empty table gives no rows; other columns aren't read.
-    All pairs of a bucket are compared, so that what is missed shares none: a pair of similarity s shares a bucket with probability 1 - (1 - s**rows)**bands: 0.9992 at 0.8.
+    All pairs of a bucket are compared, whatever its size, so that what is missed shares none: a pair of similarity
+    s shares a bucket with probability 1 - (1 - s**rows)**bands: 0.9992 at 0.8. ``part_size`` bounds a task's memory.
     """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+    sc = docs.sparkSession.sparkContext
     n_docs = docs.count()
     idf = sc.broadcast(cell_weights(cell_frequencies(docs, n, text_col), n_docs))
     signed = pinned(signatures(docs.withColumn(id_col, docs[id_col].cast("long")), n, idf, bands, rows, id_col, text_col), "signed")
-    reps = signed.where("id is not null").groupBy("digest").agg(F.min(F.struct("id", "band_keys", "samples")).alias("r")).select("digest", "r.*")
+    reps = signed.where("id is not null").groupBy("digest").agg(F.min(F.struct("id", "band_keys", "bands", "size")).alias("r")).select("digest", "r.*")
     reps = pinned(reps, "reps")
-    least = max(1, math.floor(threshold * bands * rows / 2))
     copies = signed.join(reps.select("digest", F.col("id").alias("a")), "digest").where("id <> a").select("a", F.col("id").alias("b"))
-    links, labels = copies, reps.select("id", F.col("id").alias("label"))
-    for near, high in ((few, None), (dense, dense)):
-        worded = reps.where("band_keys is not null").join(labels, "id")
-        pairs = pinned(bucket_pairs(bucket_members(worded, hot, 2, high), least, near), "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        links = links.union(pinned(verified_links(pairs, with_texts(docs, ids, id_col, text_col), n, idf, threshold).select("a", "b"), "verified"))
-        if high:
-            large = pinned(bucket_members(worded, block, high + 1), "members")
-            texts = with_texts(docs, large.select("id").distinct(), id_col, text_col)
-            links = links.union(pinned(bucket_links(large, texts, n, idf, threshold, least), "verified"))
-        classes = pinned(components(signed.select("id"), links), "classes")
-        labels = classes.withColumnRenamed("class_id", "label")
+    members = pinned(bucket_members(reps), "members")
+    pairs = pinned(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    texts = with_texts(docs, members.select("id").distinct(), id_col, text_col)
+    links = pinned(verified_links(pairs, texts, n, idf, threshold).select("a", "b"), "verified")
+    labels = components(members.select("id"), links).withColumnRenamed("class_id", "label")
+    meetings = open_buckets(members, pinned(labels, "labels"), part_size)
+    rest = pinned(bucket_links(meetings, texts, n, idf, threshold), "rest")
+    classes = pinned(components(signed.select("id"), copies.union(links).union(rest)), "classes")
     return (
         signed.select("id").join(classes, "id", "left")
         .select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("is_first"))

@@ -81,7 +81,7 @@ def test_large_group_of_near_copies_is_one_class(spark, make_prose):
         copy[rng.randrange(300)] = f"edit{i}"
         rows.append((i, " ".join(copy)))
     rows += [(1000 + i, " ".join(make_prose(rng, 200))) for i in range(40)]
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), hot=50).collect()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), part_size=5000).collect()
     assert {r["class_id"] for r in got if r["doc_id"] < 400} == {0}
     assert all(r["class_id"] == r["doc_id"] for r in got if r["doc_id"] >= 1000)
 
@@ -95,8 +95,8 @@ def test_pairs_in_large_buckets_of_a_shared_template_are_all_found(spark, make_p
         for i in (pair, 1000 + pair):
             texts[i] = " ".join(template + both + make_prose(rng, 8))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for block in (512, 30):  # in one part and in several
-        got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df, rows=1, dense=4, block=block).collect()}
+    for part_size in (1 << 20, 30_000):  # in one part and in several
+        got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df, rows=1, part_size=part_size).collect()}
         assert got == {i: i % 1000 for i in texts}
 
 
