@@ -1,13 +1,15 @@
 """Substring dedup: passages that documents share, exactly or with edits, by seeds, collinear chains and alignment.
 
-1. Winnowed k-mers of words are each document's seeds: of every ``window`` consecutive k-mers the least hash, so any
-   shared run of k + window - 1 words shares a seed.
-2. Each occurrence of a repeated seed is an anchor to the seed's first and to its last document: two links an
-   occurrence, however often the seed occurs, never all pairs.
+1. Seeds of a document are those k-mers of words whose hash falls into one ``rate``-th of all, whatever stands
+   around them. Beside them stand its long keys: hashes of ``min_words`` words in a row, of every ``spread`` neighbours
+   the least. Who shares a long key shares a whole passage, and any shared run of ``min_words`` + ``spread`` - 1 words
+   shares one, so no such passage depends on who else holds a part of it.
+2. Each occurrence of a repeated seed is an anchor to the seed's first document and to the last one before its own
+   (of a long key, to the first): two links an occurrence, however often the seed occurs, never all pairs.
 3. The anchors of two documents are chained in text order. The best chain pays for the words it skips (an L1 gap
    cost), and a Fenwick tree of prefix maxima finds each anchor's best predecessor.
-4. Chains are aligned word by word, between their anchors and outwards from both ends; passages of at least
-   ``min_words`` matching words and ``similarity`` identity are the result.
+4. Chains are aligned word by word, between their anchors and outwards from both ends, as far as the score of a banded
+   alignment does not fall by ``DROP``; passages of ``min_words`` and ``similarity`` identity are the result.
 """
 
 from __future__ import annotations
@@ -20,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import pinned
+from .frames import few, pinned, shuffle_width
 from .neardup import with_texts
-from .wordstream import chunks, shingles, words
+from .wordstream import chunks, runs, shingles, words
 
-MARGIN = 96
+#: Words beyond its anchors with which a chain is first aligned; those that go on there are aligned again with more, at last with all.
+MARGINS = (48, 1024, None)
+#: Score of an equal word and of a changed, added or left out one; an alignment ends where its score has fallen by DROP.
+GAIN, LOSS, DROP = 1, 2, 12
+BAND = 8
 SIDES_A_ROW = 256
 
 
@@ -49,8 +55,8 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
     return at[~again]
 
 
-def seeds(docs: DataFrame, k: int, window: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, seed): at is the word at which the seed's k-mer begins."""
+def seeds(docs: DataFrame, k: int, rate: int, min_words: int, spread: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, at, seed): at is the word at which the seed's k-mer begins; of a long key that begins at word p it is -1 - p."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,15 +64,18 @@ def seeds(docs: DataFrame, k: int, window: int, id_col: str, text_col: str) -> D
             for lo, hi in chunks(texts):
                 w = words(texts[lo:hi])
                 h, at = shingles(w, k)
-                cut = np.searchsorted(w.doc[at], np.arange(hi - lo + 1))
-                own = [cut[i] + winnow(h[cut[i] : cut[i + 1]], window) for i in range(hi - lo)]
-                size = [len(o) for o in own]
-                place = np.concatenate(own).astype(np.int64) if own else np.empty(0, np.int64)
-                doc = np.repeat(np.arange(hi - lo), size)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(doc + lo)), pa.array((at[place] - w.first[doc]).astype(np.int32)), pa.array(h[place].view(np.int64))],
-                    ["id", "at", "seed"],
-                )
+                own = (h >> np.uint64(33)) % np.uint64(rate) == 0
+                h, at, doc = h[own], at[own], w.doc[at[own]]
+                at = at - w.first[doc]
+                long, begin = runs(w, min_words)
+                if len(long):
+                    cut = np.searchsorted(w.doc[begin], np.arange(hi - lo + 1))
+                    picked = [cut[i] + winnow(long[cut[i] : cut[i + 1]], spread) for i in range(hi - lo) if cut[i] < cut[i + 1]]
+                    place = np.concatenate(picked)
+                    of = w.doc[begin[place]]
+                    h, doc = np.concatenate((h, long[place])), np.concatenate((doc, of))
+                    at = np.concatenate((at, -1 - (begin[place] - w.first[of])))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + lo)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["id", "at", "seed"])
 
     return (
         docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t"))
@@ -75,22 +84,78 @@ def seeds(docs: DataFrame, k: int, window: int, id_col: str, text_col: str) -> D
     )
 
 
-def anchors(found: DataFrame) -> DataFrame:
-    """(x, y, px, py) with x < y: from each occurrence of a repeated seed to one in the seed's least and in its greatest id.
+def hot_seeds(sample: DataFrame, share: int = 4) -> DataFrame:
+    """(seed, parts) of the seeds that hold more than one ``share`` * width-th of the sampled occurrences: at most share * width seeds."""
+    width = share * shuffle_width(sample.sparkSession)
+    counts = pinned(sample.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 7"), "counts")
+    total = sample.count()
+    parts = F.ceil(F.col("n") * width / F.lit(max(1, total))).cast("int")
+    return counts.select("seed", parts.alias("parts")).where("parts > 1")
 
-    The ends come from one map-side combined aggregate and are written before the join, so that both its sides are
-    plain shuffles: a seed that very many documents have is then a key which adaptive skew handling splits.
+
+def linked(occurrences: DataFrame, keys: list[str], k: int, min_words: int) -> DataFrame:
+    """(x, y, px, py, seed) with x < y: from each occurrence of a seed to that of the first document with it and of the last one before.
+
+    Rows with a null x are the first of their keys and hand on (y, py, seed). Rows stream by in order; a task only keeps
+    the first and the last row of the seed at hand. A long key gives an anchor at each of its ends.
     """
-    ends = found.groupBy("seed").agg(
-        F.min("id").alias("lo"), F.max("id").alias("hi"), F.min_by("at", "id").alias("at_lo"), F.max_by("at", "id").alias("at_hi")
-    )
-    both = found.join(pinned(ends.where("lo < hi"), "ends"), "seed")
-    link = lambda x, px, y, py: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col(px).alias("px"), F.col(py).alias("py"))
-    pair = F.array(
-        F.when(F.col("id") != F.col("lo"), link("lo", "at_lo", "id", "at")),
-        F.when((F.col("id") != F.col("hi")) & (F.col("id") != F.col("lo")), link("id", "at", "hi", "at_hi")),
-    )
-    return both.select(F.explode(pair).alias("l")).where("l is not null").select("l.*")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(keys)
+        last = first = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            if last is not None:
+                cols = [np.concatenate(([f, v], c)) for f, v, c in zip(first, last, cols)]
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in cols[:n]], axis=0)
+            at = np.arange(len(new))
+            start = np.maximum.accumulate(np.where(new, at, 0))
+            own = at if last is None else at[2:]
+            doc, place, seed = cols[-2], cols[-1], cols[0]
+            first, last = [c[start[-1]] for c in cols], [c[-1] for c in cols]
+            heads = own[new[own]]
+            own = own[~new[own]]
+            to_first = own[doc[own] != doc[start[own]]]
+            before = own - 1
+            also = (doc[before] != doc[own]) & (doc[before] != doc[start[own]]) & (place[own] >= 0)
+            frm, to = np.concatenate((start[to_first], before[also])), np.concatenate((to_first, own[also]))
+            px, py = place[frm], place[to]
+            long = py < 0
+            px, py = np.where(long, -1 - px, px), np.where(long, -1 - py, py)
+            end = np.flatnonzero(long)
+            xs, ys = np.concatenate((doc[frm], doc[frm[end]])), np.concatenate((doc[to], doc[to[end]]))
+            px, py = np.concatenate((px, px[end] + min_words - k)), np.concatenate((py, py[end] + min_words - k))
+            none = len(xs)
+            heads = heads[cols[1][heads] >= 0] if "part" in keys else heads[:0]
+            zero = np.zeros(len(heads), np.int64)
+            xs, ys, px, py = (np.concatenate(c) for c in ((xs, zero), (ys, doc[heads]), (px, zero), (py, place[heads])))
+            seeds_of = np.concatenate((np.zeros(none, np.int64), seed[heads]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(xs, pa.int64(), mask=np.arange(len(xs)) >= none), pa.array(ys, pa.int64()),
+                    pa.array(px.astype(np.int32)), pa.array(py.astype(np.int32)), pa.array(seeds_of, pa.int64(), mask=np.arange(len(xs)) < none),
+                ],
+                ["x", "y", "px", "py", "seed"],
+            )
+
+    dealt = occurrences.repartition(*keys).sortWithinPartitions(*keys, "id", "at").select(*keys, "id", "at")
+    return dealt.mapInArrow(run, "x long, y long, px int, py int, seed long")
+
+
+def anchors(found: DataFrame, sample: DataFrame, k: int, min_words: int) -> DataFrame:
+    """(x, y, px, py) with x < y: the anchors of all seeds.
+
+    Seeds that are frequent in ``sample`` (some of the occurrences) are dealt over several tasks: there each
+    occurrence is linked within its part, and then the first ones of all parts with each other.
+    """
+    hot = F.broadcast(hot_seeds(sample))
+    part = F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), "parts")).cast("int")
+    made = pinned(linked(found.join(hot, "seed", "left").withColumn("part", part), ["seed", "part"], k, min_words), "anchors")
+    firsts = made.where("x is null").select("seed", F.col("y").alias("id"), F.col("py").alias("at"))
+    return made.where("x is not null").drop("seed").union(linked(firsts, ["seed"], k, min_words).where("x is not null").drop("seed"))
 
 
 class Fenwick:
@@ -133,6 +198,8 @@ def chain(parts: list[tuple[int, int, int]], skip_cost: float, max_gap: int) ->
     A chain's score is its words less ``skip_cost`` for each word between fragments in either text. Fragments that
     overlap their predecessor by a few words still follow it, as they begin later in both texts.
     """
+    if len(parts) == 1:
+        return [parts]
     ys = sorted({p[1] for p in parts})
     rank = {y: i for i, y in enumerate(ys)}
     tree, score, before = Fenwick(len(ys)), [0.0] * len(parts), [-1] * len(parts)
@@ -165,12 +232,11 @@ def chain(parts: list[tuple[int, int, int]], skip_cost: float, max_gap: int) ->
     return found
 
 
-def chains(links: DataFrame, k: int, window: int, min_words: int, max_gap: int) -> DataFrame:
-    """(chain, x, y, frags): the chains of each pair of documents that could reach ``min_words`` when extended.
+def chains(links: DataFrame, k: int, step: int, max_gap: int) -> DataFrame:
+    """(chain, x, y, frags, lo0, lo1, hi0, hi1): the chains of two anchors at least of each pair of documents, and where they begin and end in either.
 
     A pair's anchors come sorted to one task and are held together: they are at most two a seed of the later text.
     """
-    reach = max(k, min_words // 3)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 4
@@ -179,17 +245,17 @@ def chains(links: DataFrame, k: int, window: int, min_words: int, max_gap: int)
             first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
             last = np.append(first[1:], len(x))
             span = np.maximum.reduceat(py, first) - np.minimum.reduceat(py, first) + k
-            for i in np.flatnonzero((span >= reach) & (last - first >= 2)).tolist():
+            for i in np.flatnonzero(span >= 2 * k).tolist():
                 a, b = first[i], last[i]
-                for found in chain(fragments(px[a:b], py[a:b], k, window + k), 0.1, max_gap):
-                    if max(f[1] + f[2] for f in found) - found[0][1] >= reach:
-                        yield int(x[a]), int(y[a]), np.array(found, "<i4").tobytes()
+                for found in chain(fragments(px[a:b], py[a:b], k, step), 0.1, max_gap):
+                    if max(f[1] + f[2] for f in found) - found[0][1] >= 2 * k:
+                        own = np.array(found, "<i4")
+                        yield int(x[a]), int(y[a]), own.tobytes(), *own[0, :2].tolist(), *(own[:, :2] + own[:, 2:]).max(axis=0).tolist()
 
         def batch_of(rows):
             rows = list(rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["x", "y", "frags"]
-            )
+            kinds = [pa.int64(), pa.int64(), pa.binary(), *[pa.int32()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["x", "y", "frags", "lo0", "lo1", "hi0", "hi1"])
 
         for batch in batches:
             cols = [np.concatenate((h, c.to_numpy(zero_copy_only=False).astype(np.int64))) for h, c in zip(held, batch.columns)]
@@ -204,65 +270,140 @@ def chains(links: DataFrame, k: int, window: int, min_words: int, max_gap: int)
             yield batch_of(work(*held))
 
     dealt = links.repartition("x", "y").sortWithinPartitions("x", "y", "py", "px")
-    return dealt.mapInArrow(run, "x long, y long, frags binary").withColumn("chain", F.monotonically_increasing_id())
+    return dealt.mapInArrow(run, "x long, y long, frags binary, lo0 int, lo1 int, hi0 int, hi1 int").withColumn("chain", F.monotonically_increasing_id())
+
+
+def extend(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How far matches go on from the starts of each ``a`` and ``b``: (words of a, words of b, matches, 1 if it went on at the end of a, plus 2 if at that of b).
+
+    Banded alignment of all pairs side by side; each ends where its best score has fallen by more than DROP.
+    """
+    count, width = len(a), 2 * BAND + 1
+    ea, eb, got, open_ = (np.zeros(count, np.int64) for _ in range(4))
+    size = np.array([[len(x), len(y)] for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    who = np.flatnonzero(size.min(axis=1) > 0)
+    open_[:] = (size[:, 0] == 0) + 2 * (size[:, 1] == 0)
+    one, low = 1 << 24, -(1 << 50)
+    shift = np.arange(width) - BAND
+    best = np.zeros(count, np.int64)
+    score = np.full((len(who), width), low, np.int64)
+    score[:, BAND:] = -LOSS * one * np.arange(BAND + 1)
+    row, block = 0, 64
+    while len(who):
+        # the next words of those that still go on, in a block of rows
+        here = min(block, int(size[who, 0].max()) - row)
+        if here <= 0:
+            break
+        left = np.zeros((len(who), here), np.uint32)
+        right = np.zeros((len(who), here + width), np.uint32)
+        for r, i in enumerate(who.tolist()):
+            x, y = a[i][row : row + here], b[i][max(0, row - BAND) : row + here + BAND + 1]
+            left[r, : len(x)] = x
+            skip = max(0, BAND - row)
+            right[r, skip : skip + len(y)] = y
+        alive = np.ones(len(who), bool)
+        for t in range(here):
+            i = row + t
+            j = i + shift
+            inside = (j >= -1)[None, :] & (j[None, :] < size[who, 1][:, None]) & (i < size[who, 0])[:, None]
+            same = right[:, t : t + width] == left[:, t : t + 1]
+            new = np.where(same, score + GAIN * one + 1, score - LOSS * one)
+            new[:, :-1] = np.maximum(new[:, :-1], score[:, 1:] - LOSS * one)
+            new = np.where(inside, new, low)
+            ramp = LOSS * one * np.arange(width)
+            new = np.where(inside, np.maximum.accumulate(new + ramp, axis=1) - ramp, low)
+            at = new.argmax(axis=1)
+            top = new[np.arange(len(who)), at]
+            better = alive & (top > best[who]) & same[np.arange(len(who)), at]
+            own = who[better]
+            best[own], ea[own], eb[own], got[own] = top[better], i + 1, i + shift[at[better]] + 1, top[better] & (one - 1)
+            ended = alive & (top <= low // 2)
+            open_[who[ended]] = np.where(i >= size[who[ended], 0], 1, 2)
+            alive &= ~ended & (top >= best[who] - DROP * one)
+            score = new
+            if not alive.any():
+                break
+        score, who = score[alive], who[alive]
+        row += here
+    open_[who] = 1
+    return ea, eb, got, open_
 
 
-def align_gap(a: np.ndarray, b: np.ndarray) -> int:
-    """Most words of ``a`` and ``b`` that match in order (both short: at most a gap or a margin long)."""
+def gap_columns(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which columns match in an alignment of two short stretches: as many as the longer has words."""
+    n = max(len(a), len(b))
+    out = np.zeros(n, bool)
     if not len(a) or not len(b):
-        return 0
+        return out
+    if len(a) == len(b) and (a == b).mean() > 0.5:
+        return a == b
     row = np.zeros(len(b) + 1, np.int32)
     for word in a:
         row[1:] = np.maximum(row[1:], row[:-1] + (b == word))
         np.maximum.accumulate(row, out=row)
-    return int(row[-1])
-
+    out[(np.arange(int(row[-1])) * n) // max(1, int(row[-1]))] = True
+    return out
 
-def grow(a: np.ndarray, b: np.ndarray, drop: int = 12, band: int = 3) -> tuple[int, int, int]:
-    """How far a match goes on from the starts of ``a`` and ``b``: (words of a, words of b, matches).
 
-    Follows equal words; at a difference it takes the nearest resumption (two equal words in a row, within ``band``
-    words either side) and gives up once mismatches since the best end would cost more than ``drop``.
-    """
-    i = j = got = 0
-    best, debt = (0, 0, 0), 0
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            n = int(np.argmin(np.append(a[i : i + min(len(a) - i, len(b) - j)] == b[j : j + min(len(a) - i, len(b) - j)], False)))
-            i, j, got = i + n, j + n, got + n
-            debt = max(0, debt - n)
-            if n >= 2 or got == n:
-                best = (i, j, got)
+def columns(a: np.ndarray, b: np.ndarray, frags: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chain's alignment from its first to its last anchor: per column, whether its words match, and the place in either text."""
+    match, pa_, pb = [], [], []
+    e0, e1 = frags[0][0], frags[0][1]
+    for p, q, n in frags:
+        lap = max(0, e0 - p, e1 - q)  # what a fragment shares with those before it counts once
+        p, q, n = p + lap, q + lap, n - lap
+        if n <= 0:
             continue
-        move = None
-        for total in range(1, 2 * band + 1):
-            for di in range(max(0, total - band), min(band, total) + 1):
-                dj = total - di
-                if i + di + 1 < len(a) and j + dj + 1 < len(b) and a[i + di] == b[j + dj] and a[i + di + 1] == b[j + dj + 1]:
-                    if move is None or abs(di - dj) < abs(move[0] - move[1]):
-                        move = (di, dj)
-            if move:
-                break
-        if not move:
-            break
-        debt += 2 * max(move)
-        if debt > drop:
-            break
-        i, j = i + move[0], j + move[1]
-    return best
+        if p > e0 or q > e1:
+            found = gap_columns(a[e0:p], b[e1:q])
+            match.append(found)
+            pa_.append(np.minimum(e0 + np.arange(len(found)), p))
+            pb.append(np.minimum(e1 + np.arange(len(found)), q))
+        match.append(a[p : p + n] == b[q : q + n])
+        pa_.append(np.arange(p, p + n))
+        pb.append(np.arange(q, q + n))
+        e0, e1 = p + n, q + n
+    return np.concatenate(match), np.concatenate(pa_), np.concatenate(pb)
+
+
+def stretches(match: np.ndarray, loss: int = LOSS, drop: int = DROP) -> list[tuple[int, int]]:
+    """Ranges of columns, each from a match to a match, cut where the score falls by more than ``drop``."""
+    if match.all():
+        return [(0, len(match))]
+    edge = np.flatnonzero(np.diff(match.astype(np.int8))) + 1
+    bounds = [0, *edge.tolist(), len(match)]
+    out: list[tuple[int, int]] = []
+    start, score, best, end = None, 0, 0, 0
+    for lo, hi in zip(bounds, bounds[1:]):
+        if match[lo]:
+            if start is None or score < 0:
+                if start is not None:
+                    out.append((start, end))
+                start, score, best = lo, 0, 0
+            score += hi - lo
+            if score > best:
+                best, end = score, hi
+        elif start is not None:
+            score -= loss * (hi - lo)
+            if best - score > drop:
+                out.append((start, end))
+                start, score, best = None, 0, 0
+    if start is not None:
+        out.append((start, end))
+    return out
 
 
-def passages(found: DataFrame, docs: DataFrame, min_words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, start, stop, source_id, source_start, source_stop, matches, similarity) of the chains that align well enough."""
-    side = lambda of, s: found.select(F.col(of).alias("id"), "chain", F.lit(s).alias("side"), "frags")
+def aligned(found: DataFrame, docs: DataFrame, min_words: int, similarity: float, margin: int | None, id_col: str, text_col: str) -> DataFrame:
+    """(chain, open, doc_id, start, stop, source_id, source_start, source_stop, matches, similarity): the passages of chains, and those chains that would go on beyond ``margin`` (open)."""
+    side = lambda of, s: found.select(F.col(of).alias("id"), "chain", F.lit(s).alias("side"), F.col(f"lo{s}").alias("lo"), F.col(f"hi{s}").alias("hi"))
     sides = side("x", 0).union(side("y", 1))
-    counts = sides.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     # a document that very many others share a passage with has its sides dealt over several rows
+    counts = pinned(sides.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "counts")
     dealt = (
-        sides.join(counts, "id")
-        .withColumn("part", F.pmod(F.xxhash64("chain"), F.ceil(F.col("n") / SIDES_A_ROW)))
+        sides.join(few(counts.where(F.col("n") > SIDES_A_ROW)), "id", "left")
+        .withColumn("part", F.coalesce(F.pmod(F.xxhash64("chain"), F.ceil(F.col("n") / SIDES_A_ROW)), F.lit(0)))
         .groupBy("id", "part")
-        .agg(F.collect_list(F.struct("chain", "side", "frags")).alias("sides"))
+        .agg(F.collect_list(F.struct("chain", "side", "lo", "hi")).alias("sides"))
     )
     texts = with_texts(docs, counts.select("id"), id_col, text_col)
 
@@ -270,70 +411,96 @@ def passages(found: DataFrame, docs: DataFrame, min_words: int, similarity: floa
         for batch in batches:
             for text, own in zip(batch.column(0).to_pylist(), batch.column(1)):
                 w = words([text])
+                short, n = (w.hash >> np.uint64(32)).astype(np.uint32), len(w.hash)
                 out = []
                 for s in own.as_py():
-                    frag = np.frombuffer(s["frags"], "<i4").reshape(-1, 3)
-                    c = s["side"]
-                    lo = max(0, int(frag[0, c]) - MARGIN)
-                    hi = min(len(w.hash), int((frag[:, c] + frag[:, 2]).max()) + MARGIN)
-                    out.append((s["chain"], c, lo, w.hash[lo:hi].tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()),
-                        pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary()),
-                    ],
-                    ["chain", "side", "lo", "hashes"],
-                )
-
-    cut = texts.join(dealt, "id").select("text", "sides").mapInArrow(spans, "chain long, side int, lo int, hashes binary")
-    one = lambda s: cut_both.where(F.col("side") == s).select("chain", F.col("lo").alias(f"lo{s}"), F.col("hashes").alias(f"h{s}"))
-    cut_both = pinned(cut, "spans")
-    wide = found.join(one(0), "chain").join(one(1), "chain").select("x", "y", "frags", "lo0", "h0", "lo1", "h1")
+                    lo, hi = (0, n) if margin is None else (max(0, s["lo"] - margin), min(n, s["hi"] + margin))
+                    out.append((s["chain"], s["side"], lo, lo > 0, hi < n, short[lo:hi].tobytes()))
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["chain", "side", "lo", "less", "more", "hashes"])
+
+    cut = texts.join(dealt, "id").select("text", "sides").mapInArrow(spans, "chain long, side int, lo int, less boolean, more boolean, hashes binary")
+    both = pinned(cut, "spans")
+    one = lambda s: both.where(F.col("side") == s).select("chain", *[F.col(c).alias(f"{c}{s}") for c in ("lo", "less", "more", "hashes")])
+    wide = found.select("chain", "x", "y", "frags").join(one(0), "chain").join(one(1), "chain")
 
     def align(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for x, y, f, lo0, h0, lo1, h1 in zip(*(c.to_pylist() for c in batch.columns)):
-                frag = np.frombuffer(f, "<i4").reshape(-1, 3).astype(np.int64)
-                a, b = np.frombuffer(h0, np.uint64), np.frombuffer(h1, np.uint64)
-                frag[:, 0] -= lo0
-                frag[:, 1] -= lo1
-                (s0, s1, _), matches = frag[0].tolist(), 0
-                e0, e1 = s0, s1
-                for p, q, n in frag.tolist():
-                    lap = max(0, e0 - p, e1 - q)  # what a fragment shares with those before it counts once
-                    p, q, n = p + lap, q + lap, n - lap
-                    if n > 0:
-                        matches += align_gap(a[e0:p], b[e1:q]) + int((a[p : p + n] == b[q : q + n]).sum())
-                        e0, e1 = p + n, q + n
-                left = grow(a[:s0][::-1], b[:s1][::-1])
-                right = grow(a[e0:], b[e1:])
-                s0, e0, s1, e1 = s0 - left[0], e0 + right[0], s1 - left[1], e1 + right[1]
-                matches += left[2] + right[2]
-                same = matches / max(e0 - s0, e1 - s1)
-                if matches >= min_words and same >= similarity:
-                    rows.append((y, s1 + lo1, e1 + lo1, x, s0 + lo0, e0 + lo0, matches, same))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
-
-    names = ["doc_id", "start", "stop", "source_id", "source_start", "source_stop", "matches", "similarity"]
-    return wide.mapInArrow(align, "doc_id long, start int, stop int, source_id long, source_start int, source_stop int, matches int, similarity double")
+            for at in range(0, len(batch), 1024):
+                rows, cores, sides_ = [], [], ([], [], [], [])
+                for chain_id, x, y, f, lo0, less0, more0, h0, lo1, less1, more1, h1 in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
+                    frag = np.frombuffer(f, "<i4").reshape(-1, 3).astype(np.int64)
+                    a, b = np.frombuffer(h0, np.uint32), np.frombuffer(h1, np.uint32)
+                    frag[:, 0] -= lo0
+                    frag[:, 1] -= lo1
+                    match, p0, p1 = columns(a, b, frag.tolist())
+                    cores.append((chain_id, x, y, lo0, lo1, match, p0, p1, less0 + 2 * less1, more0 + 2 * more1))
+                    for own, piece in zip(sides_, (a[: p0[0]][::-1], b[: p1[0]][::-1], a[p0[-1] + 1 :], b[p1[-1] + 1 :])):
+                        own.append(piece)
+                left, right = extend(sides_[0], sides_[1]), extend(sides_[2], sides_[3])
+                for i, (chain_id, x, y, lo0, lo1, match, p0, p1, less, more) in enumerate(cores):
+                    if (less & int(left[3][i])) | (more & int(right[3][i])):
+                        rows.append((chain_id, True, y, 0, 0, x, 0, 0, 0, 0.0))
+                        continue
+                    for s, e in stretches(match):
+                        matches = int(match[s:e].sum())
+                        s0, s1, e0, e1 = int(p0[s]), int(p1[s]), int(p0[e - 1]) + 1, int(p1[e - 1]) + 1
+                        if s == 0:
+                            s0, s1, matches = s0 - int(left[0][i]), s1 - int(left[1][i]), matches + int(left[2][i])
+                        if e == len(match):
+                            e0, e1, matches = e0 + int(right[0][i]), e1 + int(right[1][i]), matches + int(right[2][i])
+                        same = matches / max(e0 - s0, e1 - s1)
+                        if same < similarity:  # its best part, if that is long enough
+                            part = stretches(match[s:e], loss=4, drop=8)
+                            u, v = max(part, key=lambda r: r[1] - r[0])
+                            u, v = u + s, v + s
+                            matches = int(match[u:v].sum())
+                            s0, s1, e0, e1 = int(p0[u]), int(p1[u]), int(p0[v - 1]) + 1, int(p1[v - 1]) + 1
+                            same = matches / max(e0 - s0, e1 - s1)
+                        if min(e0 - s0, e1 - s1) >= min_words and same >= similarity:
+                            rows.append((chain_id, False, y, s1 + lo1, e1 + lo1, x, s0 + lo0, e0 + lo0, matches, same))
+                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    names = ["chain", "open", "doc_id", "start", "stop", "source_id", "source_start", "source_stop", "matches", "similarity"]
+    return wide.mapInArrow(
+        align, "chain long, open boolean, doc_id long, start int, stop int, source_id long, source_start int, source_stop int, matches int, similarity double"
+    )
+
+
+def passages(found: DataFrame, docs: DataFrame, min_words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, start, stop, source_id, source_start, source_stop, matches, similarity) of the chains that align well enough.
+
+    All chains are aligned with a small margin first, those that go on at its edge with a larger one, and the rest with whole texts.
+    """
+    out = None
+    for margin in MARGINS:
+        done = pinned(aligned(found, docs, min_words, similarity, margin, id_col, text_col), "aligned")
+        kept = done.where(~F.col("open")).drop("chain", "open")
+        out = kept if out is None else out.union(kept)
+        still = done.where("open").select("chain").distinct()
+        if margin is None or still.isEmpty():
+            return out
+        found = pinned(found.join(few(still), "chain", "left_semi"), "chains")
 
 
 def shared_passages(
-    docs: DataFrame, k: int = 6, window: int = 12, min_words: int = 50, similarity: float = 0.8, max_gap: int = 40, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 5, rate: int = 5, spread: int = 16, min_words: int = 50, similarity: float = 0.8, max_gap: int = 40, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Passages that a document shares with one of a smaller id: doc_id, start, stop, source_id, source_start, source_stop, matches, similarity.
 
-    start and stop count words (see wordstream) of the whole text. Each repeated passage is reported against the
-    first or last document that has its seeds, so a passage of n documents gives about 2 n rows, not n squared, and
-    the document of the smallest id is only ever a source. Null and empty texts and null ids share nothing;
-    repetition within one document isn't reported; rows of one id are read as one document's. No rows from an
-    empty table; other columns aren't read.
+    start and stop count words (see wordstream) of the whole text; a passage has ``min_words`` words at least in
+    both. It is reported against the first document that has its seeds or long keys, and the last one before, so a
+    passage of n documents gives about 2 n rows, not n squared, and the document of the smallest id is only ever a source.
+    Every shared run of ``min_words`` + ``spread`` - 1 words or more is found; shorter and edited ones by their seeds.
+    Null and empty texts and null ids share nothing; repetition within one document isn't reported; rows of one id
+    are read as one document's. Of ties between places of a seed in its document the first counts. Ids are whole
+    numbers. No rows from an empty table; other columns aren't read.
     """
-    found = pinned(seeds(docs, k, window, id_col, text_col), "seeds")
-    linked = pinned(chains(anchors(found), k, window, min_words, max_gap), "chains")
-    return passages(linked, docs, min_words, similarity, id_col, text_col)
+    of = lambda table: seeds(table, k, rate, min_words, spread, id_col, text_col)
+    sample = docs.where(F.pmod(F.xxhash64(docs[id_col], F.lit(11)), F.lit(64)) == 0)  # only tells which seeds to deal over several tasks
+    links = anchors(of(docs), pinned(of(sample), "sample"), k, min_words)
+    return passages(pinned(chains(links, k, min_words, max_gap), "chains"), docs, min_words, similarity, id_col, text_col)
 
 
 _word = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")

@@ -109,6 +109,29 @@ def shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h[at]), at
 
 
+def runs(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingles``, for long runs: hashes of twice the length are made of two neighbours, so the steps are log2 of n."""
+    if len(w.hash) < n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    whole, size, block, step = None, 0, w.hash, 1
+    left = n
+    while left:
+        if left & 1:
+            if whole is None:
+                whole = block
+            else:
+                m = len(block) - size
+                whole = whole[:m] * np.uint64(pow(STEP, step, 1 << 64)) + block[size : size + m]
+            size += step
+        left >>= 1
+        if left:
+            m = len(block) - step
+            block = block[:m] * np.uint64(pow(STEP, step, 1 << 64)) + block[step:]
+            step *= 2
+    at = np.flatnonzero(w.doc[: len(whole)] == w.doc[n - 1 :])
+    return mix(whole[at] ^ np.uint64(n)), at
+
+
 def chunks(texts: Sequence[str | None], most_chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """(lo, hi) ranges over ``texts`` of about ``most_chars`` each; a longer text stands alone and whole."""
     lo = size = 0

@@ -92,6 +92,100 @@ def test_hidden_link_between_partial_copies(spark, make_prose):
     assert {(r["doc_id"], r["source_id"]) for r in substring.shared_passages(frame(spark, texts)).collect()} == {(3, 2)}
 
 
+def test_passage_hidden_behind_excerpts(spark, make_prose):
+    # two documents share 240 words; before and after them stand documents with overlapping excerpts, each too short to count
+    rng = random.Random(12)
+    passage = make_prose(rng, 240)
+    texts = {100: plant(rng, make_prose, passage), 101: plant(rng, make_prose, passage)}
+    for n, first in enumerate((0, 200)):
+        for i in range(12):
+            at = (i * 18 + 9 * n) % 196
+            texts[first + i] = plant(rng, make_prose, passage[at : at + 45])
+    got = {(r["doc_id"], r["source_id"]): r for r in substring.shared_passages(frame(spark, texts)).collect()}
+    assert set(got) == {(101, 100)} and got[101, 100]["stop"] - got[101, 100]["start"] == 240
+    halves = {1: passage[:35], 2: passage[35:70], 3: passage[:70], 4: passage[:70], 5: passage[:35], 6: passage[35:70]}
+    got = substring.shared_passages(frame(spark, {i: plant(rng, make_prose, w) for i, w in halves.items()})).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in got} == {(4, 3)}
+
+
+def test_every_exact_passage_is_found_as_by_brute_force(spark, make_prose):
+    # passages of many lengths, cut from few texts, so that most share parts with many others
+    rng = random.Random(13)
+    sources = [make_prose(rng, 400) for _ in range(3)]
+    texts = {}
+    for i in range(150):
+        at, n = rng.randrange(300), rng.choice((30, 45, 50, 60, 66, 80, 100))
+        texts[i] = plant(rng, make_prose, rng.choice(sources)[at : at + n])
+    number = {w: k for k, w in enumerate(sorted({w for t in texts.values() for w in t.split()}))}
+    grams = {i: np.array([number[w] for w in t.split()]) for i, t in texts.items()}
+    longest = dict.fromkeys(texts, 0)
+    for j in texts:
+        for i in range(j):
+            run = np.zeros(len(grams[i]) + 1, int)
+            for word in grams[j]:
+                run[1:] = np.where(grams[i] == word, run[:-1] + 1, 0)
+                longest[j] = max(longest[j], int(run.max()))
+    got: dict[int, int] = {}
+    for r in substring.shared_passages(frame(spark, texts)).collect():
+        got[r["doc_id"]] = max(got.get(r["doc_id"], 0), r["stop"] - r["start"])
+    assert all(got.get(i, 0) >= 50 for i, n in longest.items() if n >= 65)
+    wanted = [i for i, n in longest.items() if n >= 50]
+    assert sum(i in got for i in wanted) >= 0.95 * len(wanted)  # hard on purpose: 50 to 64 words have no long key for sure
+    assert all(n <= longest[i] + 2 for i, n in got.items())
+
+
+@pytest.mark.parametrize(("every", "least"), [(10, 0.97), (7, 0.9)])
+def test_edited_passages_are_found(spark, make_prose, every, least):
+    rng = random.Random(every)
+    texts, n = {}, 120
+    for i in range(n):
+        passage = make_prose(rng, 70)
+        copy = [w if p % every else "changed" for p, w in enumerate(passage, 1)]
+        texts[i], texts[1000 + i] = plant(rng, make_prose, passage), plant(rng, make_prose, copy)
+    got = {(r["doc_id"], r["source_id"]) for r in substring.shared_passages(frame(spark, texts)).collect()}
+    assert got <= {(1000 + i, i) for i in range(n)} and len(got) >= least * n
+
+
+def test_long_extensions_need_no_margin(spark, make_prose):
+    # seeds of the shared text's later part lead to other documents; the alignment still reaches its end
+    rng = random.Random(14)
+    shared = make_prose(rng, 3000)
+    texts = {i: " ".join(shared[300 * i : 300 * i + 330]) for i in range(10)} | {50: " ".join(shared), 51: " ".join(shared)}
+    got = substring.shared_passages(frame(spark, texts)).collect()
+    assert max(r["stop"] - r["start"] for r in got if (r["doc_id"], r["source_id"]) == (51, 50)) == 3000
+
+
+def brute_extend(a, b, band):
+    """Best score of any pair of beginnings, by the plain recurrence."""
+    low, best = -(10**9), 0
+    row = [-2 * j if j <= band else low for j in range(len(b) + 1)]
+    for i in range(1, len(a) + 1):
+        new = [low] * (len(b) + 1)
+        for j in range(len(b) + 1):
+            if abs(i - j) <= band:
+                new[j] = max([row[j] - 2] + ([row[j - 1] + (1 if a[i - 1] == b[j - 1] else -2), new[j - 1] - 2] if j else []))
+        best, row = max(best, *new), new
+    return best
+
+
+def test_extensions_match_the_plain_recurrence(monkeypatch):
+    monkeypatch.setattr(substring, "DROP", 10**6)
+    rng = random.Random(1)
+    a, b = [], []
+    for _ in range(100):
+        one = [rng.randrange(1, 1000) for _ in range(rng.randint(0, 150))]
+        two = list(one)
+        for p in rng.sample(range(150), 6):
+            if p < len(two):
+                two[p : p + 1] = [[5000 + p], [], [7000, two[p]]][rng.randrange(3)]
+        a.append(np.array(one, np.uint32)), b.append(np.array(two[: rng.randint(0, 150)] + [rng.randrange(2000, 3000) for _ in range(20)], np.uint32))
+    ea, eb, got, _ = substring.extend(a, b)
+    for i in range(100):
+        assert got[i] <= min(ea[i], eb[i])
+        again = brute_extend(a[i][: ea[i]].tolist(), b[i][: eb[i]].tolist(), substring.BAND)
+        assert again == brute_extend(a[i].tolist(), b[i].tolist(), substring.BAND)
+
+
 def test_many_copies_give_linear_rows(spark, make_prose):
     rng = random.Random(6)
     passage = make_prose(rng, 80)
