@@ -36,13 +36,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path, least=100)
-    found = warc.read_archive(spark, path, payloads=False)
+    found = warc.read_archive(spark, path)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = pinned(media.encode_texts(table(spark, sf_dir, "documents")), "media", compression="none")
-    return media.decode_features(stored)
+    return media.decode_features(stored, pixels=True)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """A content-addressed WARC archive: payloads stored once by SHA-256, exact record headers beside them, records rebuilt by joins.
 
-The archive is two Parquet tables in one folder: ``payloads`` (payload_digest, payload) and ``heads`` (page_id, head,
-http, payload_digest), where head is a record's WARC header block and http its HTTP header block, byte for byte.
+The archive is two Parquet tables in one folder: ``payloads`` (payload_digest, payload) and ``heads`` (head, http),
+where head is a record's WARC header block and http its HTTP header block, byte for byte.
 """
 
 from __future__ import annotations
@@ -34,13 +34,14 @@ def write_archive(pages: DataFrame, path: str, least: int = 100, captured: str =
     Digests and the header of each record are made in one pass; only digests and ids meet to find the first of each
     payload, and each payload is shuffled once, to be stored.
     """
+    digest = F.lower(F.hex("payload_digest"))  # as bytes on the way
     payload = F.coalesce(pages["html"], F.lit("")).cast("binary")
-    hashed = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("payload_digest"))
+    hashed = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("payload_digest"))
     sized = hashed.select("page_id", "url", "payload_digest", F.octet_length("payload").cast("long").alias("n"))
     first = sized.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    store = hashed.join(first, "payload_digest").where(F.col("page_id").eqNullSafe(F.col("first_id"))).select("payload_digest", "payload")
+    store = hashed.join(first, "payload_digest").where(F.col("page_id").eqNullSafe(F.col("first_id"))).select(digest.alias("payload_digest"), "payload")
     repeated = sized.groupBy("page_id", "payload_digest").count().where("count > 1").limit(1).count()
-    (store.dropDuplicates(["payload_digest"]) if repeated else store).write.parquet(f"{path}/payloads")
+    (store.dropDuplicates(["payload_digest"]) if repeated else store).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     joined = sized.join(first, "payload_digest")
     revisits = (F.col("n") >= least) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
@@ -52,13 +53,13 @@ def write_archive(pages: DataFrame, path: str, least: int = 100, captured: str =
         line("WARC-Record-ID", record_id(F.col("page_id"))),
         line("WARC-Date", F.lit(captured)),
         line("WARC-Target-URI", one_line(F.col("url"))),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
         F.when(revisits, F.concat(line("WARC-Refers-To", record_id(F.col("first_id"))), line("WARC-Profile", F.lit(REVISIT)))).otherwise(F.lit("")),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", (F.length(http) + F.when(revisits, 0).otherwise(F.col("n"))).cast("string")),
         F.lit("\r\n"),
     )
-    joined.select("page_id", head.alias("head"), http.alias("http"), "payload_digest").write.parquet(f"{path}/heads")
+    joined.select(head.alias("head"), http.alias("http")).write.option("compression", "zstd").parquet(f"{path}/heads")
 
 
 def header(head: Column, name: str) -> Column:
@@ -66,35 +67,34 @@ def header(head: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(head, rf"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
 
 
-def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Per record: page_id, record_type, payload_digest, refers_to, payload_bytes, and with ``payloads`` also record (all its bytes) and payload.
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Per record: page_id, record_type, payload_digest, refers_to, payload_bytes, record (all its bytes) and payload.
 
-    Everything but page_id comes from the stored headers and payloads. Each stored payload is hashed again and must
-    have its digest. A payload joins all its records; with very many copies that join's one key is split by
-    adaptive skew handling. Without ``payloads`` no payload leaves the task that has verified it.
+    Records are rebuilt by joining heads and payloads on the digest that a head names. page_id, type and reference come
+    from the record's header lines; payload_bytes and payload_digest from the rebuilt bytes: a response's from behind its
+    header blocks, a revisit's from the payload that it shares. A digest or a Content-Length that doesn't hold raises.
+    A payload joins all its records; with very many copies that join's one key is split by adaptive skew handling.
     """
-    stored = spark.read.schema("payload_digest string, payload binary").parquet(f"{path}/payloads")
-    fresh = F.sha2("payload", 256)
-    checked = stored.select(
-        F.when(fresh == F.col("payload_digest"), fresh).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), "payload_digest"))).alias("digest"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        *(["payload"] if payloads else []),
-    )
-    kinds = "page_id long, head string, http string, payload_digest string"
-    heads = spark.read.schema(kinds).parquet(f"{path}/heads")
-    parsed = heads.select(
-        "page_id",
+    stored = spark.read.schema("payload_digest string, payload binary").parquet(f"{path}/payloads").select(F.unhex("payload_digest").alias("key"), "payload")
+    heads = spark.read.schema("head string, http string").parquet(f"{path}/heads")
+    named = heads.select("head", "http", F.unhex(F.regexp_extract(header(F.col("head"), "WARC-Payload-Digest"), "sha256:([0-9a-f]{64})", 1)).alias("key"))
+    full = named.join(stored, "key").withColumn("named", F.lower(F.hex("key"))).drop("key")
+    response = header(F.col("head"), "WARC-Type") == "response"
+    body = F.when(response, F.col("payload")).otherwise(F.lit(b""))
+    record = F.concat(F.col("head").cast("binary"), F.col("http").cast("binary"), body, F.lit(b"\r\n\r\n"))
+    made = full.withColumn("record", record).withColumn("blocks", F.octet_length("head") + F.octet_length("http"))
+    inside = F.octet_length("record") - F.col("blocks") - 4
+    made = made.withColumn("payload", F.when(response, F.substring(F.col("record"), F.col("blocks") + 1, inside)).otherwise(F.col("payload")))
+    fits = (F.sha2("payload", 256) == F.col("named")) & (header(F.col("head"), "Content-Length").try_cast("long") == F.octet_length("http") + inside)
+    return made.select(
+        F.regexp_extract(header(F.col("head"), "WARC-Record-ID"), r"page:(-?\d+)", 1).try_cast("long").alias("page_id"),
         header(F.col("head"), "WARC-Type").alias("record_type"),
-        F.regexp_extract(header(F.col("head"), "WARC-Payload-Digest"), "sha256:([0-9a-f]{64})", 1).alias("payload_digest"),
+        F.when(fits, F.col("named")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), "named"))).alias("payload_digest"),
         F.regexp_extract(header(F.col("head"), "WARC-Refers-To"), r"page:(-?\d+)", 1).try_cast("long").alias("refers_to"),
-        *(["head", "http"] if payloads else []),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        "record",
+        "payload",
     )
-    full = parsed.join(checked, parsed["payload_digest"] == checked["digest"]).drop("digest")
-    if not payloads:
-        return full
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    record = F.concat(F.col("head").cast("binary"), F.col("http").cast("binary"), body, F.lit(b"\r\n\r\n"))
-    return full.select("page_id", "record_type", "payload_digest", "refers_to", "payload_bytes", record.alias("record"), "payload")
 
 
 def export_files(records: DataFrame, path: str, records_a_file: int = 5000, compression: str = "none") -> None:

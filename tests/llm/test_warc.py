@@ -57,4 +57,4 @@ def test_a_damaged_payload_raises(spark):
     bad.write.parquet(f"{worse}/payloads")
     spark.read.parquet(f"{path}/heads").write.parquet(f"{worse}/heads")
     with pytest.raises(Exception, match="damaged payload"):
-        warc.read_archive(spark, worse, payloads=False).collect()
+        warc.read_archive(spark, worse).collect()
