@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import collapse
-
 #: Domains that never are a store of their own.
 BLOCKED_DOMAINS = (
     "amazon.com", "amazon.com.mx", "boardgamegeek.com", "ebay.com", "eventbrite.com", "facebook.com", "foursquare.com", "google.com",
@@ -19,18 +17,28 @@ PRODUCT_MARKERS = ("product", "products", "producto", "productos", "juego", "jue
 #: Words of availability; the first list is tested first.
 OUT_OF_STOCK = ("agotado", "sin stock", "no disponible")
 IN_STOCK = ("disponible", "en stock", "agregar al carrito", "comprar")
-#: Marker texts of store platforms, in the order they are tested.
+#: What Spanish product texts say of players, minutes and ages: a range of players before or after the word,
+#: the same only after it, a range of minutes, single minutes, an age behind its label, an age before "años".
+PLAYERS = r"(?iu)(?:jugadores?\s*:?\s*)?(?:de\s+)?(\d+)\s*(?:-|–|a)\s*(\d+)\s*jugadores?"
+PLAYERS_AFTER = r"(?iu)jugadores?\s*:?\s*(\d+)\s*(?:-|–|a)\s*(\d+)"
+MINUTES = r"(?iu)(\d+)\s*(?:-|–|a)\s*(\d+)\s*min"
+MINUTES_ONE = r"(?iu)(\d+)\s*min"
+AGE = r"(?iu)\bedad(?:\s+m[ií]nima)?(?:\s+recomendada)?\s*:?\s*(\d{1,2})(?!\d)\s*\+?"
+AGE_YEARS = r"(?iu)\b(\d{1,2})(?!\d)(?:\s*(?:-|–|a)\s*\d{1,2}(?!\d))?\s*\+?\s*(?:años|anos)\b"
+#: Marker texts of store platforms in pages, headers and addresses, in the order they are tested.
 PLATFORM_MARKERS = (
-    ("shopify", ("cdn.shopify.com", "shopify")),
-    ("woocommerce", ("woocommerce", "wp-content")),
-    ("tiendanube", ("tiendanube", "nuvemshop")),
-    ("prestashop", ("prestashop",)),
-    ("magento", ("magento", "mage/")),
-    ("wix", ("wixstatic", "wix.com")),
-    ("squarespace", ("squarespace",)),
-    ("bigcommerce", ("bigcommerce",)),
-    ("ecwid", ("ecwid",)),
+    ("shopify", ("cdn.shopify.com", "shopify.theme", "window.shopify", "myshopify.com", "x-shopify")),
+    ("woocommerce", ("wp-content/plugins/woocommerce", "woocommerce-layout.css", "wc-ajax=", "wp-json/wc/")),
+    ("godaddy_website_builder", ("dps_site_id", "websites + marketing", "godaddy website builder", 'server":"dps/')),
+    ("wix", ("wixstatic.com", "x-wix-request-id", "wix-code-sdk")),
+    ("squarespace", ("static1.squarespace.com", "squarespace.com/universal", "squarespace-context")),
+    ("tiendanube", ("tiendanube.com", "nuvemshop.com.br", "storefront.nuvemshop")),
+    ("prestashop", ("prestashop", "modules/ps_")),
+    ("magento", ("mage/cookies", "magento_", "x-magento")),
+    ("bigcommerce", ("cdn11.bigcommerce.com", "stencil-utils", "x-bc-")),
 )
+#: First path parts of social sites that are no account.
+NO_ACCOUNT = {"instagram": ("accounts", "explore", "p", "reel", "stories"), "facebook": ("events", "plugins", "share", "sharer")}
 
 
 def host(url: Column) -> Column:
@@ -105,22 +113,17 @@ def group(text: Column, pattern: str, i: int) -> Column:
 
 def players_of(text: Column) -> Column:
     """(min, max) players of "2 a 4 jugadores", "jugadores: 2-4" and the like."""
-    first = r"(?iu)(?:jugadores?\s*:?\s*)?(?:de\s+)?(\d+)\s*(?:-|–|a)\s*(\d+)\s*jugadores?"
-    second = r"(?iu)jugadores?\s*:?\s*(\d+)\s*(?:-|–|a)\s*(\d+)"
-    return F.struct(*[F.coalesce(group(text, first, i), group(text, second, i)).alias(n) for i, n in ((1, "min"), (2, "max"))])
+    return F.struct(*[F.coalesce(group(text, PLAYERS, i), group(text, PLAYERS_AFTER, i)).alias(n) for i, n in ((1, "min"), (2, "max"))])
 
 
 def minutes_of(text: Column) -> Column:
     """(min, max) minutes of a range, or of a single number both."""
-    span, one = r"(?iu)(\d+)\s*(?:-|–|a)\s*(\d+)\s*min", r"(?iu)(\d+)\s*min"
-    return F.struct(*[F.when(text.rlike(span), group(text, span, i)).otherwise(group(text, one, 1)).alias(n) for i, n in ((1, "min"), (2, "max"))])
+    return F.struct(*[F.when(text.rlike(MINUTES), group(text, MINUTES, i)).otherwise(group(text, MINUTES_ONE, 1)).alias(n) for i, n in ((1, "min"), (2, "max"))])
 
 
 def min_age_of(text: Column) -> Column:
     """The age after a label, or before "años"; null unless from 1 to 99."""
-    label = r"(?iu)\bedad(?:\s+m[ií]nima)?(?:\s+recomendada)?\s*:?\s*(\d{1,2})(?!\d)\s*\+?"
-    years = r"(?iu)\b(\d{1,2})(?!\d)(?:\s*(?:-|–|a)\s*\d{1,2}(?!\d))?\s*\+?\s*(?:años|anos)\b"
-    age = F.when(text.rlike(label), group(text, label, 1)).otherwise(group(text, years, 1))
+    age = F.when(text.rlike(AGE), group(text, AGE, 1)).otherwise(group(text, AGE_YEARS, 1))
     return F.when(age.between(1, 99), age)
 
 
@@ -140,21 +143,20 @@ def item_type_of(title: Column, url: Column) -> Column:
     return F.when(F.lower(F.concat_ws(" ", title, url)).rlike("expansi(o|ó)n"), "expansion").otherwise("unknown")
 
 
-def platform_of_page(domain: Column, html: Column) -> Column:
-    """The first platform that the host name or the page's text gives away, else "custom"."""
-    low, out = F.lower(html), None
-    for name, _ in PLATFORM_MARKERS:
-        hit = domain.contains(name)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+def platform_of_page(url: Column, html: Column, headers: Column | None = None) -> Column:
+    """"amazon" by the host of the page's address; else the first platform that page, headers (as JSON) or address hold a marker of, else "custom"."""
+    everything = F.lower(F.concat_ws("\n", html, F.coalesce(headers, F.lit("{}")) if headers is not None else F.lit("{}"), url))
+    out = F.when(host(url).rlike(r"(?:^|\.)amazon\.[a-z.]+$"), "amazon")
     for name, marks in PLATFORM_MARKERS:
-        out = out.when(any_word(low, marks), name)
+        out = out.when(any_word(everything, marks), name)
     return out.otherwise("custom")
 
 
 def social_url(url: Column, site: str) -> Column:
-    """The plain address of an account on ``site``, without query and further path."""
-    name = F.regexp_extract(url, rf"(?i)^(?:https?:)?//(?:[a-z]+\.)?{site}\.com/([^/?#]+)", 1)
-    return F.when(name != "", F.concat(F.lit(f"https://www.{site}.com/"), name)).otherwise("")
+    """The plain address of an account on ``site``, without query and further path; empty for posts, stories, share links and other sites."""
+    name = F.regexp_extract(url, r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*/+([^/?#]+)", 1)
+    own = (canonical_domain(url) == f"{site}.com") & (name != "") & ~F.lower(name).isin(*NO_ACCOUNT[site])
+    return F.when(own, F.concat(F.lit(f"https://{site}.com/"), name)).otherwise("")
 
 
 def likes_of(text: Column) -> Column:
@@ -172,9 +174,3 @@ def money(value: Column) -> Column:
     """A finite amount of at least zero as decimal(12,2), else null."""
     amount = F.trim(value).try_cast("decimal(12,2)")
     return F.when(amount >= 0, amount)
-
-
-def is_removed_page(html: Column) -> Column:
-    """The title or a heading says that the page is gone."""
-    heads = F.concat_ws(" ", F.regexp_extract_all(F.lower(html), F.lit(r"(?s)<(?:title|h1)[^>]*>(.*?)</(?:title|h1)>"), 1))
-    return collapse(heads).rlike(r"404|no encontrad|not found|no existe|ya no est(a|á) disponible")

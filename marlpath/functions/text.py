@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -69,6 +70,25 @@ fold_title, fold_import, fold_store, fold_item, fold_match, fold_ascii = (
 )
 
 
+@lru_cache(maxsize=1)
+def accented() -> tuple[str, str]:
+    """The characters that Unicode takes apart into an ASCII letter with accents, and these letters."""
+    taken = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2130)}
+    found = {c: t[0] for c, t in taken.items() if t[0].isascii() and all("\u0300" <= x <= "\u036f" for x in t[1:])}
+    return "".join(found), "".join(found.values())
+
+
+def without_accents(column: Column) -> Column:
+    """Latin letters without their accents, whether one character or two; other characters stay."""
+    return F.regexp_replace(F.translate(column, *accented()), "[\u0300-\u036f]", "")
+
+
+def fold_title_words(column: Column) -> Column:
+    """fold_title_text as an expression, which stays in the JVM."""
+    plain = F.regexp_replace(F.replace(without_accents(column), F.lit("&"), F.lit(" and ")), "[^a-zA-Z0-9]+", " ")
+    return F.trim(F.lower(plain))
+
+
 def fold_title_ascii(column: Column) -> Column:
     """fold_title for ASCII text, without leaving the JVM."""
     return F.trim(F.regexp_replace(F.lower(F.replace(column, F.lit("&"), F.lit(" and "))), "[^a-z0-9]+", " "))
@@ -90,12 +110,20 @@ def significant_tokens(title: Column) -> Column:
 def slug_title(url: Column) -> Column:
     """A title from the last part of an address's path."""
     path = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", "")
-    return collapse(F.regexp_replace(F.element_at(F.split(path, "/"), -1), "[-_]+", " "))
+    return collapse(F.regexp_replace(F.element_at(F.split(path, "/"), -1), "-+", " "))
+
+
+def fold_ascii_words(column: Column) -> Column:
+    """Lower-case ASCII: accents off, ligatures spelled out, other characters dropped."""
+    text = F.lower(column)
+    for a, b in (("æ", "ae"), ("œ", "oe"), ("ß", "ss")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.regexp_replace(without_accents(text), r"[^\x00-\x7f]", "")
 
 
 def listing_tokens(title: Column, url: Column, ignored: tuple[str, ...]) -> Column:
-    """Distinct words of three letters or more in a title and in its address's slug."""
-    text = F.lower(F.concat_ws(" ", title, slug_title(url)))
+    """Distinct words of three letters or more in a title and in its address's slug, accents off."""
+    text = fold_ascii_words(F.concat_ws(" ", title, slug_title(url)))
     words = F.regexp_extract_all(text, F.lit("([a-z0-9]+)"), 1)
     return F.array_distinct(F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(*ignored)))
 

@@ -146,7 +146,7 @@ def title_normalise(spark, sf):
 
 @query(OFFERS + r""", u AS (SELECT id, 'https://tienda.example.com/' || CASE n % 3 WHEN 0 THEN 'producto/' WHEN 1 THEN 'blog/' ELSE 'juegos//' END || replace(p_name, ' ', '-') || '_' || p_size || '/?ref=' || n AS url FROM o)
 SELECT id, regexp_matches(regexp_extract(url, '^[a-z]+://[^/]+([^?]*)', 1), '/(product|products|producto|productos|juego|juegos)/+[^/]') AS is_product,
-    trim(regexp_replace(regexp_extract(regexp_replace(url, '/?\?.*$', ''), '([^/]*)$', 1), '[-_]+', ' ', 'g')) AS slug FROM u""")
+    trim(regexp_replace(regexp_extract(regexp_replace(url, '/?\?.*$', ''), '([^/]*)$', 1), '-+', ' ', 'g')) AS slug FROM u""")
 def url_parts(spark, sf):
     n = F.col("n") % 3
     url = F.concat(F.lit("https://tienda.example.com/"), F.when(n == 0, "producto/").when(n == 1, "blog/").otherwise("juegos//"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("_"), "p_size", F.lit("/?ref="), "n")

@@ -64,10 +64,17 @@ def test_languages(spark):
 def test_small_extractors(spark):
     assert one(spark, offers.likes_of, "1.2K") == 1200 and one(spark, offers.likes_of, "x") == 0
     assert one(spark, offers.video_id, "https://t.com/@a/video/123?x") == "123"
-    assert one(spark, lambda u: offers.social_url(u, "instagram"), "https://www.instagram.com/tienda/?hl=es") == "https://www.instagram.com/tienda"
-    assert one(spark, offers.is_removed_page, "<title>404 - No encontrado</title>") is True
+    assert one(spark, lambda u: offers.social_url(u, "instagram"), "https://www.instagram.com/tienda/?hl=es") == "https://instagram.com/tienda"
+    for no in ("https://www.instagram.com/p/abc", "https://instagram.com/Reel/1", "https://example.com/tienda", "https://instagram.com/", "https://notinstagram.com/a"):
+        assert one(spark, lambda u: offers.social_url(u, "instagram"), no) == ""
+    assert one(spark, lambda u: offers.social_url(u, "facebook"), "https://m.facebook.com//Mi.Tienda/about") == "https://facebook.com/Mi.Tienda"
+    assert one(spark, lambda u: offers.social_url(u, "facebook"), "https://facebook.com/sharer/sharer.php?u=x") == ""
     assert one(spark, offers.money, "-1") is None and float(one(spark, offers.money, " 12.5 ")) == 12.5
-    assert one(spark, offers.platform_of_page, "tienda.mx", "<script src='https://CDN.shopify.com/x.js'>") == "shopify"
+    platform = lambda url, html, headers=None: one(spark, lambda a, b: offers.platform_of_page(a, b, F.lit(headers)), url, html)
+    assert platform("https://tienda.mx", "<script src='https://CDN.shopify.com/x.js'>") == "shopify"
+    assert platform("https://tienda.mx", "we moved from shopify to our own shop") == "custom" and platform("https://www.amazon.com.mx/x", "cdn.shopify.com") == "amazon"
+    assert platform("https://a.mx", "", '{"server":"DPS/2.0"}') == "godaddy_website_builder" and platform("https://x.myshopify.com/", "wc-ajax=") == "shopify"
+    assert platform("https://a.mx", "<link href='/modules/ps_x'> magento_") == "prestashop"
 
 
 def test_normalisers_differ(spark):
@@ -84,7 +91,7 @@ def test_normalisers_differ(spark):
 def test_tokens_and_titles(spark):
     assert one(spark, text.significant_tokens, "catan the exp de") == ["catan", "expansion"]
     assert one(spark, text.significant_tokens, "the of") == ["the", "of"]
-    assert one(spark, text.slug_title, "https://a.mx/p/catan-el_juego/?x=1") == "catan el juego"
+    assert one(spark, text.slug_title, "https://a.mx/p/catan-el_juego/?x=1") == "catan el_juego"
     assert one(spark, text.without_site_suffix, "Catan - Base | Tienda - MX") == "Catan - Base"
     assert one(spark, lambda c: text.bounded_text(c, 6), "abcdefgh") == "abc..."
     assert one(spark, lambda a, b: text.listing_tokens(a, b, ("the",)), "The Big Catan", "https://x.mx/catan-5") == ["big", "catan"]

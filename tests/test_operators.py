@@ -157,21 +157,88 @@ def test_rating_plan(spark):
     assert rows(merge.rating_plan(items, cache), "id", "outcome") == [(1, "update"), (2, "unchanged"), (3, "missing_rating"), (4, "missing_cache"), (5, "malformed")]
 
 
-@pytest.mark.parametrize("title, names, low, high", [
-    ("Catan", ["Catan"], 0.94, 0.94), ("Catan (Spanish edition)", ["Catan"], 0.94, 0.94), ("Catan edicion en español", ["Catan"], 0.94, 0.94),
-    ("Barista Cafe", ["Cafe Barista"], 0.92, 0.92), ("Nuevo Barista Cafe Oficial", ["Cafe Barista"], 0.92, 0.92),
-    ("Ticket to Ride Europe Deluxe Thing", ["Ticket to Ride Europe"], 0.91, 0.91), ("Catan Plus", ["Catan"], 0.6, 0.79), ("Zebra", ["Catan"], 0.2, 0.2), ("", ["Catan"], 0.2, 0.2),
-])
-def test_item_scores(title, names, low, high):
-    assert low <= match.item_score(title, names, []) <= high
+PAIR = "title string, names array<struct<label: string, name: string>>, publishers array<string>, publisher string, store_name string, kind string, item_kind string"
+
+
+def test_item_scores_and_reasons(spark):
+    name = "item name"
+    cases = [
+        (("Catan", [(name, "Catan")]), 0.94, ["exact local item name match"]),
+        (("Catan (Spanish edition)", [(name, "Catan")]), 0.94, ["exact local item name match after ignoring language edition"]),
+        (("Catan edicion en español", [(name, "Catan")]), 0.94, ["exact local item name match after ignoring language edition"]),
+        (("Catan (english & espanol)", [(name, "Catan")]), None, None),
+        (("Los Colonos", [(name, "Catan"), ("alias", "Los Colonos")]), 0.94, ["exact local alias match"]),
+        (("Los Colonos", [(name, "Catan"), ("Spanish item name", "Los Colonos"), ("alias", "los colonos")]), 0.94, ["exact local Spanish item name match"]),
+        (("Barista Cafe", [(name, "Cafe Barista")]), 0.92, ["order-independent local item name match"]),
+        (("Nuevo Barista Cafe Oficial", [(name, "Cafe Barista")]), 0.92, ["order-independent local item name match", "ignored listing context tokens: nuevo, oficial"]),
+        (("Ticket to Ride Europe Deluxe Thing", [(name, "Ticket to Ride Europe")]), 0.91, ["complete embedded local item name match: ticket to ride europe", "unexplained extra title token: deluxe", "unexplained extra title token: thing"]),
+        (("Catan Plus", [(name, "Catan")]), 0.66, ["local item name token overlap: 1/1", "meaningful extra title token: plus"]),
+        (("Zebra", [(name, "Catan")]), 0.2, ["no local name token overlap"]),
+        (("", [(name, "Catan")]), 0.2, ["no local name token overlap"]),
+        ((None, [(name, None)]), 0.2, ["no local name token overlap"]),
+        (("Rising Sun Daimyo Box Kami", [(name, "Kami Rising Sun")]), 0.7175, None),
+        (("Rising Sun Daimyo Kami", [(name, "Kami Rising Sun")]), 0.91, ["embedded local item name phrase match: rising sun", "additional shared local title tokens: kami", "unexplained extra title token: daimyo"]),
+    ]
+    df = spark.createDataFrame([(*c[0], [], None, None, None, None) for c in cases] + [("Catan", [(name, "Catan")], [], None, None, "expansion", "base_game"), ("Azul Devir", [(name, "Azul")], ["Devir"], None, None, "", "x")], PAIR)
+    got = [(r["match_score"], r["match_reasons"], r["accepted"]) for r in match.scored(df.coalesce(1)).collect()]
+    for (_, score, reasons), (have, why, accepted) in zip(cases, got):
+        assert score is None or have == score, (score, have, why)
+        assert reasons is None or why == reasons
+        assert accepted == (have >= 0.9)
+    assert got[3][0] < 0.94
+    assert got[-2][:2] == (0.69, ["exact local item name match", "item type conflict"])
+    assert got[-1][:2] == (0.92, ["order-independent local item name match", "ignored listing context tokens: devir"])
+
+
+def test_external_scores_and_words(spark):
+    rows_of = [
+        ("Cafe Barista", "devir", None, 2, None, "Otro", ["Café Barista"], ["Devir"], "boardgame", 2, 4),
+        ("Catan Plus", None, None, None, None, "Catan", None, [], "boardgame", None, None),
+        ("Zebra", None, "expansion", None, 4, "Catan", [], [], "boardgame", None, 4),
+    ]
+    df = spark.createDataFrame(rows_of, "title string, publisher string, kind string, min_players int, max_players int, name string, alternate_names array<string>, publishers array<string>, record_kind string, record_min int, record_max int")
+    got = [(r["match_score"], r["match_reasons"]) for r in match.scored_external(df.coalesce(1)).collect()]
+    assert got == [
+        (0.95, ["exact BGG alternate name match", "publisher overlap", "minimum players match"]),
+        (0.55, ["substring title overlap only", "meaningful extra title token: plus"]),
+        (0.0, ["no exact BGG name match", "item type conflict", "maximum players match"]),
+    ]
+    f = lambda c: spark.range(1).select(c).first()[0]
+    words = lambda t: F.array(*[F.lit(x) for x in t])
+    assert f(match.shared_phrase(words("xabcy"), words("zabcd"))) == ["a", "b", "c"] and f(match.shared_phrase(words("abxcd"), words("cdab"))) == ["a", "b"]
+    assert f(match.search_words(F.lit("Nuevo juego de mesa Catan 5"))) == ["catan", "5"] and f(match.search_words(F.lit("el la"))) == ["el", "la"]
+    assert f(match.title_variants(F.lit("Edition English"))) == ["edition english"] and f(match.validated_name(F.lit("Catan (en español)"), F.lit("CATÁN")))
+
 
+def test_folding_in_the_jvm_is_that_in_python(spark):
+    from marlpath.functions import text
 
-def test_other_scores():
-    assert match.item_score("Catan", ["Catan"], [], kind="expansion", item_kind="base_game") == 0.69
-    assert match.external_score("Cafe Barista", ["Otro", "Café Barista"], ["Devir"], "boardgame", publisher="devir", same_low=True) == 0.95
-    assert match.external_score("Catan Plus", ["Catan"], [], "boardgame") == 0.55
-    assert match.shared_phrase(list("xabcy"), list("zabcd")) == 3
-    assert match.search_tokens("Nuevo juego de mesa Catan 5") == ["catan", "5"] and match.search_tokens("el la") == ["el", "la"]
+    odd = ["Dominó Español & Más", "Ångström ﬁ ß Ǆ", "e\u0301a\u0300", "日本 7", "İstanbul ıI", "ÀÉÎÕÜ çñ ŠŽ ạ ệ", "", "a_b-c\u00a0d"] + [chr(c) + "x" for c in range(0xC0, 0x250)]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", text.fold_title_words(F.col("t")).alias("f")).collect()
+    assert {r["i"]: r["f"] for r in got} == {i: text.fold_title_text(t) for i, t in enumerate(odd)}
+    f = lambda c: spark.range(1).select(c).first()[0]
+    assert f(text.listing_tokens(F.lit("Dominó Español"), F.lit("https://a.mx/p/juego_azul-rey"), ())) == ["domino", "espanol", "juego", "azul", "rey"]
+    assert f(text.slug_title(F.lit("https://a.mx/p/juego_azul-rey/?x=1"))) == "juego_azul rey"
+
+
+def test_candidates_are_those_of_the_plain_join(spark):
+    rng = random.Random(3)
+    vocabulary = ["red", "blue", "dragon", "castle", "night", "king", "the", "card", "x1"]
+    names = [(i % 60, " ".join(rng.choices(vocabulary, weights=[9, 5, 3, 2, 2, 1, 9, 4, 1], k=rng.randint(1, 6)))) for i in range(90)]
+    titles = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 5)))) for i in range(60)]
+    for most in (3, 10, 100):
+        want = set()
+        for listing, title in titles:
+            own, best = set(title.split()), {}
+            for item, name in set(names):
+                overlap = sum(w in own for w in name.split())
+                if overlap:
+                    exact, had = best.get(item, (False, 0))
+                    best[item] = (exact or name == title, max(had, overlap))
+            order = sorted(best, key=lambda i: (not best[i][0], -best[i][1], i))
+            want |= {(listing, i, *best[i], r) for r, i in enumerate(order[:most], 1)}
+        got = match.candidates(spark.createDataFrame(titles, "listing_id long, title string"), spark.createDataFrame(names, "item_id long, name string"), most)
+        assert {(r["listing_id"], r["item_id"], r["exact"], r["overlap"], r["rank"]) for r in got.collect()} == want
 
 
 def test_candidates_count_repeated_tokens_and_rank(spark):
@@ -181,11 +248,17 @@ def test_candidates_count_repeated_tokens_and_rank(spark):
     assert got == [(5, 3, False, 2), (7, 3, True, 1)]
 
 
-def test_match_scores_query_follows_the_rules(spark):
+def test_match_scores_query_finds_each_order_s_item(spark):
     from marlpath.plans.registry import QUERIES
 
-    for r in QUERIES["match_scores"](spark, "/root/testdata/sf0.001").limit(20).collect():
-        assert r["match_score"] == 0.94 and r["accepted"]
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["match_scores"](spark, sf).collect()
+    names = {r["p_partkey"]: r["p_name"] for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    orders = [k for k, in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect() if k % len(names) + 1 in names]
+    assert sorted(r["listing_id"] for r in got) == sorted(orders)
+    for r in got:
+        assert names[r["item_id"]] == names[r["listing_id"] % len(names) + 1] and r["match_score"] == 0.94 and r["accepted"]
+        assert r["match_reasons"] == "exact local item name match after ignoring language edition"
 
 
 def test_page_sources(spark):
@@ -239,8 +312,14 @@ def test_product_pages(spark):
     found = {r["page_id"]: r for r in products.details(products.product_pages(df)).collect()}
     assert found[1]["title"] == "Catan" and found[1]["price"] == "1200.50" and found[1]["availability"] == "available"
     assert tuple(found[1]["players"]) == (3, 4) and found[1]["min_age"] == 10 and found[1]["language"]["language"] == "en" and found[2]["title"] == ""
-    assert products.picked_product([other], "", ["Azul"])["gtin13"] == "0123" and products.picked_product(["{"], "u", []) == {}
-    assert products._alike({"name": "Catan Base"}, ["Catan"]) == 501 and products._alike({"name": "Catan"}, ["catan"]) == 1001
+    f = lambda c: spark.range(1).select(c).first()[0]
+    pick = lambda scripts, url, titles: f(products.picked_product(F.array(*map(F.lit, scripts)), F.lit(url), F.array(*map(F.lit, titles))))
+    assert pick([other], "", ["Azul"])["name"] == "Azul" and pick(["{"], "u", ["x"]) is None
+    deep = '[{"@type": "WebPage", "mainEntity": {"@graph": [{"@type": ["Thing", "PRODUCT"], "name": "Uno", "@id": "/other"}, {"@type": "Product", "name": "Dos", "offers": [1, {"url": "dos?x=1", "price": 7}]}]}}]'
+    assert pick([deep, other], "https://a.mx/p/dos", ["Uno"])["price"] == "7" and pick([deep, other], "https://a.mx/q", ["Azul"])["name"] == "Azul"
+    assert pick([deep], "https://a.mx/q", ["nothing"])["name"] == "Uno"
+    like = lambda name, *titles: f(products.likeness(F.lit(name), F.array(*map(F.lit, titles))))
+    assert like("Catan Base", "Catan") == 501 and like("Catan", "catan") == 1001 and like("Dominó", "domino azul", "x") == 501 and like("", "x") == 0 and like("a b", "b c") == 1
 
 
 def test_places_images_and_titles(spark):
@@ -253,6 +332,11 @@ def test_places_images_and_titles(spark):
     assert f(products.is_gone(F.lit("producto no encontrado"))) and not f(products.is_gone(F.lit("producto 404 piezas")))
     reason = lambda t, s, lt, lu, ls: f(products.rejection_reason(*map(F.lit, (t, s, lt, lu, ls))))
     assert reason("Catan base", "", "Catan", "https://a.mx/x", "") == "" and reason("Azul juego", "", "Catan juego", "https://a.mx/x", "") == "title_mismatch"
+    assert reason("Dominó", "", "Domino", "https://a.mx/x", "") == ""
+    market = lambda t, s, lt, lu, ls: f(products.rejection_reason(*map(F.lit, (t, s, lt, lu, ls)), F.lit(" Amazon ")))
+    assert market("Otra cosa", "b0abcdefgh", "Catan", "https://amazon.com.mx/x/dp/B0ABCDEFGH?th=1", "") == "" and market("Catan", "B0ABCDEFG1", "Catan", "https://amazon.com.mx/dp/B0ABCDEFGH", "") == "store_sku_mismatch"
+    gone = lambda h: f(products.is_removed_page(F.lit(h)))
+    assert gone("<title>404</title>") and gone("<h1 class='x'>Página <b>no encontrada</b></h1>") and not gone("<title>Puzzle 404 piezas</title>") and not gone("<p>page not found</p>")
     assert reason("Catan", "A1", "Catan", "u", "a2") == "store_sku_mismatch" and reason(" ", "", "x", "u", "") == "missing_detail_title"
     assert f(products.refreshed_title(F.lit("Mine"), F.lit("Shop"), F.lit(" Shop "))) == "Mine" and f(products.refreshed_title(F.lit("Mine"), F.lit("Shop"), F.lit("New"))) == "New"
     assert products.store_queries(["a", "A"], ["Leon"], ["Jalisco"], "full")[0] == "a" and len(products.store_queries(["a", "A"], ["Leon"], ["Jalisco"], "full")) == 5
