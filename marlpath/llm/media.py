@@ -16,7 +16,7 @@ from . import webp
 ROW = 192
 STRIP_ROWS = 64
 #: Bytes of payload that are encoded or decoded together in a task.
-TOGETHER = 2 << 20
+TOGETHER = 4 << 20
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -42,9 +42,10 @@ def to_images(payload: bytes) -> list[bytes]:
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): media is the text's payload as WebP files of 64 pixels by up to 64 rows, one after the other.
+    """(id, n_bytes, media): media is the text's payload as one WebP file 64 pixels wide, of frames of up to 64 rows.
 
-    Three payload bytes are a pixel's red, green and blue. Null is the empty text; it and texts of up to 192 bytes have
+    Three payload bytes are a pixel's red, green and blue. A text of up to 12,288 bytes is a simple lossless file; a longer one
+    has its frames below each other on one canvas, so that they are coded side by side. Null is the empty text; it and texts of up to 192 bytes have
     one row of pixels. Texts of any length are stored whole. Equal texts give equal media.
     """
 
@@ -60,7 +61,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     files += webp.encode(flat[a : a + 512])
                 media, at = [], 0
                 for own in strips:
-                    media.append(b"".join(files[at : at + len(own)]))
+                    media.append(webp.stacked(files[at : at + len(own)], ROW // 3, [len(p) // ROW for p in own]))
                     at += len(own)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array([n for _, n in made], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"]
@@ -71,16 +72,6 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
-def files_of(media: bytes) -> list[bytes]:
-    """The WebP files of a media value, by the sizes in their headers."""
-    found, at = [], 0
-    while at < len(media):
-        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        found.append(media[at : at + size])
-        at += size
-    return found
-
-
 def describe(pixels: list[np.ndarray]) -> str:
     """Height, mean of each colour channel, and the share of pixels that differ from the one to their left, as text."""
     height = sum(p.shape[0] for p in pixels)
@@ -91,7 +82,7 @@ def describe(pixels: list[np.ndarray]) -> str:
 
 
 def decode_features(stored: DataFrame, pixels: bool = False, id_col: str = "doc_id") -> DataFrame:
-    """Per row of encode_texts, read back: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; with ``pixels`` also payload, the pixel bytes.
+    """Per row of encode_texts, read back: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and with ``pixels`` also pixels, the array of pixel bytes: R, G, B from left to right and top to bottom, 192 a row.
 
     Everything but id and n_bytes is made from the stored bytes. Damaged media raise.
     """
@@ -100,7 +91,7 @@ def decode_features(stored: DataFrame, pixels: bool = False, id_col: str = "doc_
         for batch in batches:
             media = batch.column(2).to_pylist()
             for lo, hi in together([2 * len(m) for m in media]):
-                files = [files_of(m) for m in media[lo:hi]]
+                files = [webp.frames(m) for m in media[lo:hi]]
                 found = webp.decode([f for own in files for f in own])
                 payloads, features, at = [], [], 0
                 for own in files:
@@ -123,8 +114,8 @@ def decode_features(stored: DataFrame, pixels: bool = False, id_col: str = "doc_
                     names,
                 )
 
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["payload"] * pixels
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["pixels"] * pixels
     kind = stored.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    out = stored.select(F.col(id_col).alias("id"), "n_bytes", "media").mapInArrow(run, schema + ", payload binary" * pixels)
+    out = stored.select(F.col(id_col).alias("id"), "n_bytes", "media").mapInArrow(run, schema + ", pixels binary" * pixels)
     return out.withColumnRenamed("id", id_col)

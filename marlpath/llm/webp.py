@@ -1,4 +1,4 @@
-"""Lossless WebP images, many at a time: decoding of the whole format and a plain encoder, in numpy.
+"""Lossless WebP images, many at a time: decoding of the whole format, and an encoder that picks its means by image, in numpy.
 
 Images are decoded side by side: every step decodes one pixel of each image that still has one, so that the cost of a
 numpy call is shared by all. Bits are read in the order of the format, least significant first.
@@ -208,21 +208,17 @@ def entropy_decode(bits: Bits, who: np.ndarray, width: np.ndarray, height: np.nd
                 if i < m:
                     x, y, side = t % width[i], t // width[i], tile[i]
                     base[i] = first[order[i]] + maps[i][(y >> side) * ((width[i] + (1 << side) - 1) >> side) + (x >> side)]
-        if copying and runs[:m].any():
-            still = np.flatnonzero(runs[:m] > 0)
-            out[t, still] = out[t - back[still], still]
-            runs[still] -= 1
-            go = np.flatnonzero(runs[:m] == 0)
-            go = go[~np.isin(go, still, assume_unique=True)]
-        else:
-            copying = False
-            go = slice(0, m)
+        still = np.flatnonzero(runs[:m]) if copying else ()  # these copy a pixel; what their bits say here is passed over
+        copying = len(still) > 0
+        go = slice(0, m)
         place = np.minimum(at[go], end[go])
         window = words[place >> 3] >> (place & 7).astype(np.uint64)
         who_group = base[go]
         entry = flat[0][(who_group << wide[0]) + (window & mask[0]).astype(np.int64)]
         used = entry & np.uint32(15)
         symbol = entry >> np.uint32(4)
+        if copying:
+            symbol[still] = 0
         special = np.flatnonzero(symbol >= 256)
         pixel = symbol << np.uint32(8)
         taken = used
@@ -238,6 +234,10 @@ def entropy_decode(bits: Bits, who: np.ndarray, width: np.ndarray, height: np.nd
             entry = flat[3][(who_group << wide[3]) + (late & mask[3]).astype(np.int64)]
             pixel |= (entry >> np.uint32(4)) << np.uint32(24)
             taken = taken + (entry & np.uint32(15))
+        if copying:
+            pixel[still] = out[t - back[still], still]
+            taken[still] = 0
+            runs[still] -= 1
         own = lanes[go]
         if len(special):
             taken = taken.astype(np.int64)
@@ -314,8 +314,16 @@ def undo_predictor(residual: np.ndarray, modes: np.ndarray, size_bits: int) -> n
     """Pixels from residuals: each adds the prediction of its block's mode; edges predict from what is there."""
     rest = channels(residual)
     height, width = residual.shape
-    out = np.zeros((height, width, 4), np.int32)
     mode_of = (modes >> np.uint32(8)) & np.uint32(15)
+    first = rest[0].copy()
+    first[0, 0] += 255
+    first = np.cumsum(first, axis=0)
+    if (mode_of == 2).all():  # sums down the columns
+        return packed(np.cumsum(np.concatenate((first[None], rest[1:])), axis=0) & 255)
+    if (mode_of == 1).all():  # sums along the rows, whose first pixels are summed down
+        lead = np.cumsum(np.concatenate((first[None, 0], rest[1:, 0])), axis=0)
+        return packed(np.concatenate((first[None], np.cumsum(np.concatenate((lead[1:, None], rest[1:, 1:]), axis=1), axis=1))) & 255)
+    out = np.zeros((height, width, 4), np.int32)
     for y in range(height):
         for x in range(width):
             if y == 0:
@@ -498,88 +506,313 @@ def _length_code_header() -> tuple[int, int]:
     return value, n + 1  # all symbols of the alphabet are coded
 
 
+class Writer:
+    """Bits for many streams at once: each call appends to the streams that it names, in order of the calls."""
+
+    def __init__(self, n: int):
+        self.n, self.who, self.value, self.bits = n, [], [], []
+
+    def put(self, who, value, bits) -> None:
+        who = np.asarray(who, np.int64)
+        self.who.append(who)
+        self.value.append(np.broadcast_to(np.asarray(value).astype(np.uint64), who.shape))
+        self.bits.append(np.broadcast_to(np.asarray(bits, np.int64), who.shape))
+
+    def streams(self) -> list[bytes]:
+        size = np.zeros((len(self.who), self.n), np.int64)
+        for k, (who, bits) in enumerate(zip(self.who, self.bits)):
+            size[k] = np.bincount(who, bits, minlength=self.n).astype(np.int64)
+        total = size.sum(axis=0)
+        words = (total + 63) // 64 + 1
+        base = np.concatenate(([0], np.cumsum(words)[:-1])).astype(np.int64)
+        before = np.cumsum(size, axis=0) - size
+        out = np.zeros(int(words.sum()) + 1, np.uint64)
+        for k, (who, value, bits) in enumerate(zip(self.who, self.value, self.bits)):
+            run = np.cumsum(bits) - bits
+            own = np.concatenate(([0], np.cumsum(size[k])[:-1]))
+            at = base[who] * 64 + before[k][who] + run - own[who]
+            word, shift = at >> 6, (at & 63).astype(np.uint64)
+            np.add.at(out, word, value << shift)
+            over = np.flatnonzero((at & 63) + bits > 64)
+            np.add.at(out, word[over] + 1, value[over] >> (np.uint64(64) - shift[over]))
+        raw = out.tobytes()
+        return [raw[8 * b : 8 * b + (t + 7) // 8] for b, t in zip(base.tolist(), total.tolist())]
+
+
+def prefix_symbol(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, their number) of lengths or distance codes: prefix_value's inverse."""
+    x = value - 1
+    high = np.frexp(np.maximum(x, 1).astype(np.float64))[1] - 1
+    extra = np.where(x < 4, 0, high - 1)
+    return np.where(x < 4, x, 2 * high + ((x >> np.maximum(high - 1, 0)) & 1)), np.where(x < 4, 0, x & ((1 << extra) - 1)), extra
+
+
+@lru_cache(maxsize=16)
+def distance_codes(width: int) -> np.ndarray:
+    """The code of each distance in an image of that width: a short one where there is one, else the distance plus 120."""
+    table = np.arange(16 * width + 16) + 120
+    for code, (dx, dy) in reversed(list(enumerate(near_distances().tolist(), 1))):
+        table[max(1, dx + dy * width)] = code
+    return table
+
+
+def repeats(image: np.ndarray, argb: np.ndarray, window: int = 4, least: int = 6, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance) of back-references that don't overlap: runs of pixels that stand ``distance`` before in the same image.
+
+    Each window's last occurrence before is found by one sort; windows in a row with one distance are one run.
+    """
+    none = np.empty(0, np.int64)
+    m = len(argb) - window + 1
+    if m <= 0:
+        return none, none, none
+    key = image[:m].astype(np.uint64)
+    for j in range(window):
+        key = (key * np.uint64(0xD1342543DE82EF95)) + argb[j : j + m]
+        key ^= key >> np.uint64(29)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    at, before = order[1:][same], order[:-1][same]
+    good = (image[at + window - 1] == image[before]) & (image[before + window - 1] == image[before])
+    for j in range(window):
+        good &= argb[at + j] == argb[before + j]
+    back = np.zeros(m, np.int64)
+    back[at[good]] = at[good] - before[good]
+    new = back > 0
+    new[1:] &= back[1:] != back[:-1]
+    start = np.flatnonzero(new)
+    edge = np.append(np.flatnonzero(np.diff(back)) + 1, m)
+    size = edge[np.searchsorted(edge, start, "right")] - start + window - 1
+    found, end = [], 0
+    for place, n, distance in zip(start.tolist(), size.tolist(), back[start].tolist()):
+        if place < end:
+            place, n = end, n - (end - place)
+        while n >= least:
+            found.append((place, min(n, most), distance))
+            place, n = place + found[-1][1], n - found[-1][1]
+            end = place
+    if not found:
+        return none, none, none
+    return tuple(np.array(found, np.int64).T)
+
+
+def put_pixels(out: Writer, who: np.ndarray, image: np.ndarray, argb: np.ndarray, widths: np.ndarray | None, cache_bits: int = 0) -> None:
+    """One entropy-coded image for each stream of ``who``: ``image`` says whose each pixel is. With ``widths`` it is the main image, which has back-references."""
+    n = len(who)
+    out.put(who, 1 | (cache_bits << 1) if cache_bits else 0, 5 if cache_bits else 1)
+    if widths is not None:
+        out.put(who, 0, 1)  # one group of prefix codes
+    alpha, red, green, blue = (((argb >> np.uint32(k)) & np.uint32(255)).astype(np.int64) for k in (24, 16, 8, 0))
+    symbol, plain, keep = green, np.ones(len(argb), bool), np.ones(len(argb), bool)
+    if cache_bits:
+        slot = ((argb * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+        order = np.argsort((image << cache_bits) + slot, kind="stable")
+        hit = order[1:][(argb[order[1:]] == argb[order[:-1]]) & (image[order[1:]] == image[order[:-1]])]
+        plain[hit] = False
+        symbol = green.copy()
+        symbol[hit] = 280 + slot[hit]
+    more_value, more_bits = np.zeros(len(argb), np.uint64), np.zeros(len(argb), np.int64)
+    refs = np.empty(0, np.int64)
+    if widths is not None:
+        refs, length, distance = repeats(image, argb)
+    if len(refs):
+        gone = np.zeros(len(argb) + 1, np.int64)
+        np.add.at(gone, refs, 1)
+        np.add.at(gone, refs + length, -1)
+        keep = np.cumsum(gone[:-1]) == 0
+        keep[refs] = True
+        plain[~keep] = False
+        plain[refs] = False
+        of_width = widths[image[refs]]
+        code = distance + 120
+        for w in np.unique(of_width).tolist():
+            table, own = distance_codes(w), of_width == w
+            code[own] = np.where(distance[own] < len(table), table[np.minimum(distance[own], len(table) - 1)], code[own])
+        length_symbol, length_extra, length_more = prefix_symbol(length)
+        far_symbol, far_extra, far_more = prefix_symbol(code)
+        symbol = symbol.copy()
+        symbol[refs] = 256 + length_symbol
+    sizes = [280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40]
+    count = lambda where, of, size: np.bincount(image[where] * size + of, minlength=n * size).reshape(n, size)
+    counts = [count(keep, symbol[keep], sizes[0])] + [count(plain, c[plain], 256) for c in (red, blue, alpha)]
+    counts.append(count(refs, far_symbol, 40) if len(refs) else np.zeros((n, 40), np.int64))
+    length_value, length_bits = _length_code_header()
+    turned = reversed_bits(4)
+    codes, spent = [], []
+    for c in counts:
+        single = (c > 0).sum(axis=1) <= 1
+        one, many = np.flatnonzero(single), np.flatnonzero(~single)
+        code, bits = np.zeros(c.shape, np.int64), np.zeros(c.shape, np.int64)
+        # a simple code of one symbol takes no bits; each stream has either that or the lengths of a normal code
+        out.put(who[one], 0b101 | (c[one].argmax(axis=1) << 3), 11)
+        if len(many):
+            bits[many] = code_lengths(c[many], 13)
+            code[many] = codes_of(bits[many])
+            out.put(who[many], length_value & ((1 << 32) - 1), 32)
+            out.put(who[many], length_value >> 32, length_bits - 32)
+            row, value, size = length_tokens(bits[many])
+            out.put(who[many[row]], turned[value & 15] | ((value >> 4) << 4), size)
+        codes.append(code), spent.append(bits)
+    value = codes[0][image, np.where(keep, symbol, 0)].astype(np.uint64)
+    size = spent[0][image, np.where(keep, symbol, 0)]
+    for k, c in ((1, red), (2, blue), (3, alpha)):
+        if spent[k].any():
+            value |= np.where(plain, codes[k][image, c], 0).astype(np.uint64) << size.astype(np.uint64)
+            size = size + np.where(plain, spent[k][image, c], 0)
+    if len(refs):
+        own, v, b = image[refs], value[refs], size[refs]
+        for piece, bits in ((length_extra, length_more), (codes[4][own, far_symbol], spent[4][own, far_symbol]), (far_extra, far_more)):
+            v, b = v | (piece.astype(np.uint64) << b.astype(np.uint64)), b + bits
+        value[refs], size[refs] = v, b
+    out.put(who[image[keep]], value[keep], size[keep])
+
+
+def entropy(image: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Bits of each image's values (bytes) in an ideal code of single values."""
+    counts = np.bincount(image * 256 + (value & 255), minlength=n * 256).reshape(n, 256)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(counts > 0, counts * np.log2(counts.sum(axis=1, keepdims=True) / np.maximum(counts, 1)), 0).sum(axis=1)
+
+
+PLAIN, LEFT, TOP, GREEN, CROSS, PALETTE = range(6)
+
+
 def encode(payloads: list[bytes], width: int = 64, cache_bits: int = 6) -> list[bytes]:
     """A lossless WebP file for each payload, its bytes as R, G, B of ``width`` pixels a row; payloads are whole rows of at most 8192 pixels.
 
-    Literals and a colour cache, one group of prefix codes fitted to the image. All images are coded at once.
+    Each image gets the transform of the least estimated size: none, a predictor (left or top), subtracted green, a
+    cross-colour factor or a palette of up to 256 colours, with small indices packed. Pixels that stand before in the
+    image are back-references, others literals or in the colour cache. All images are coded at once.
     """
     sizes = np.array([len(p) // 3 for p in payloads], np.int64)
-    if any(len(p) % (3 * width) or not p for p in payloads) or sizes.max(initial=0) > 8192:
+    if any(len(p) % (3 * width) or not p for p in payloads) or sizes.max(initial=0) > 8192 or sizes.max(initial=0) > 16384 * width:
         raise ValueError("payloads must be whole rows and at most 8192 pixels")
     n = len(payloads)
-    rgb = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 3)
+    rgb = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, width, 3).astype(np.int32)
+    rows = sizes // width
+    top_row = np.zeros(len(rgb), bool)
+    top_row[np.cumsum(rows) - rows] = True
+    row_of = np.repeat(np.arange(n, dtype=np.int64), rows)
     image = np.repeat(np.arange(n, dtype=np.int64), sizes)
-    red, green, blue = (rgb[:, k].astype(np.int64) for k in range(3))
-    argb = (OPAQUE | (red << 16) | (green << 8) | blue).astype(np.uint32)
-    slot = ((argb * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64)
-    order = np.argsort((image << cache_bits) + slot, kind="stable")
-    hit = np.zeros(len(argb), bool)
-    hit[order[1:]] = (argb[order[1:]] == argb[order[:-1]]) & (image[order[1:]] == image[order[:-1]])
-    symbol = np.where(hit, 280 + slot, green)
-    plain = ~hit
-    alphabet = 280 + (1 << cache_bits)
-    counts = [
-        np.bincount(image * alphabet + symbol, minlength=n * alphabet).reshape(n, alphabet),
-        np.bincount(image[plain] * 256 + red[plain], minlength=n * 256).reshape(n, 256),
-        np.bincount(image[plain] * 256 + blue[plain], minlength=n * 256).reshape(n, 256),
-    ]
-    lengths = [code_lengths(c, 13) for c in counts]
-    codes = [codes_of(x) for x in lengths]
-    # a single symbol is announced with length 1 and coded with no bits
-    single = [(x > 0).sum(axis=1) == 1 for x in lengths]
-    spent = [np.where(s[:, None], 0, x) for s, x in zip(single, lengths)]
-    codes = [np.where(s[:, None], 0, c) for s, c in zip(single, codes)]
-
-    length_value, length_bits = _length_code_header()
-    turned = reversed_bits(4)
-    spell = np.zeros(16, np.int64)
-    for rank, s in enumerate(LENGTH_SYMBOLS):
-        spell[rank] = turned[rank]
-    stream, values, bits = [], [], []
-
-    def put(who, value, count) -> None:
-        stream.append(np.asarray(who, np.int64)), values.append(np.asarray(value, np.uint64)), bits.append(np.asarray(count, np.int64))
-
+    flat = rgb.reshape(-1, 3)
+    left = np.concatenate((np.zeros_like(rgb[:, :1]), rgb[:, :-1]), axis=1)
+    top = np.concatenate((np.zeros_like(rgb[:1]), rgb[:-1]))
+    top[top_row] = left[top_row]
+    left[:, 0] = top[:, 0]
+    by_left, by_top = (rgb - left).reshape(-1, 3), (rgb - top).reshape(-1, 3)
+    green = signed(flat[:, 1]).astype(np.float64)
+    spread = np.bincount(image, green * green, minlength=n) + 1e-9
+    factor = np.stack([np.clip(np.rint(32 * np.bincount(image, green * signed(flat[:, k]), minlength=n) / spread), -128, 127).astype(np.int64) for k in (0, 2)])
+    crossed = [flat[:, k] - ((factor[j][image] * signed(flat[:, 1])) >> 5) for j, k in enumerate((0, 2))]
+    bits = lambda *parts: sum(entropy(image, p, n) for p in parts)
+    plain_green = bits(flat[:, 1])
+    cost = np.stack([
+        plain_green + bits(flat[:, 0], flat[:, 2]),
+        bits(*by_left.T) + 60,
+        bits(*by_top.T) + 60,
+        plain_green + bits(flat[:, 0] - flat[:, 1], flat[:, 2] - flat[:, 1]) + 3,
+        plain_green + bits(*crossed) + 60,
+        np.full(n, np.inf),
+    ])
+    colour = (flat[:, 0] << 16 | flat[:, 1] << 8 | flat[:, 2]).astype(np.int64)
+    known, at = np.unique((image << 24) | colour, return_inverse=True)
+    first = np.searchsorted(known, np.arange(n + 1, dtype=np.int64) << 24)
+    index, colours = at - first[image], np.diff(first)
+    few_colours = np.flatnonzero(colours <= 256)
+    if len(few_colours):
+        cost[PALETTE, few_colours] = entropy(image, np.where(colours[image] <= 256, index, 0), n)[few_colours] + 18 * colours[few_colours] + 300
+    cost[PLAIN] *= 0.99  # a transform must be worth its work
+    kind = cost.argmin(axis=0)
+
+    out = Writer(n)
     everyone = np.arange(n, dtype=np.int64)
-    rows = sizes // width
-    start = SIGNATURE | ((width - 1) << 8) | ((rows - 1) << 22)
-    put(everyone, start, np.full(n, 40))  # no alpha, version 0
-    put(everyone, np.full(n, (cache_bits << 2) | (1 << 1)), np.full(n, 7))  # no transform, a cache, one group
-    for x in lengths:
-        put(everyone, np.full(n, length_value & ((1 << 32) - 1)), np.full(n, 32))
-        put(everyone, np.full(n, length_value >> 32), np.full(n, length_bits - 32))
-        who, value, count = length_tokens(x)
-        put(who, spell[value & 15] | ((value >> 4) << 4), count)
-    put(everyone, np.full(n, 0b101 | (255 << 3)), np.full(n, 11))  # alpha: the one symbol 255
-    put(everyone, np.full(n, 0b0001), np.full(n, 4))  # distance: the one symbol 0
-    value = codes[0][image, symbol].astype(np.uint64)
-    count = spent[0][image, symbol]
-    for k, channel in ((1, red), (2, blue)):
-        more = np.where(plain, spent[k][image, channel], 0)
-        value |= np.where(plain, codes[k][image, channel], 0).astype(np.uint64) << count.astype(np.uint64)
-        count = count + more
-    put(image, value, count)
-
-    size = np.zeros((len(stream), n), np.int64)
-    for k, (who, count) in enumerate(zip(stream, bits)):
-        size[k] = np.bincount(who, count, minlength=n).astype(np.int64)
-    total = size.sum(axis=0)
-    words = (total + 63) // 64 + 1
-    base = np.concatenate(([0], np.cumsum(words)[:-1])).astype(np.int64)
-    before = np.cumsum(size, axis=0) - size
-    out = np.zeros(int(words.sum()) + 1, np.uint64)
-    for k, (who, value, count) in enumerate(zip(stream, values, bits)):
-        run = np.cumsum(count) - count
-        own = np.concatenate(([0], np.cumsum(size[k])[:-1]))
-        at = base[who] * 64 + before[k][who] + run - own[who]
-        word, shift = at >> 6, (at & 63).astype(np.uint64)
-        np.add.at(out, word, value << shift)
-        over = np.flatnonzero((at & 63) + count > 64)
-        np.add.at(out, word[over] + 1, value[over] >> (np.uint64(64) - shift[over]))
-    raw = out.tobytes()
-    files = []
-    for b, t in zip(base.tolist(), total.tolist()):
-        data = raw[8 * b : 8 * b + (t + 7) // 8]
-        pad = b"\0" * (len(data) & 1)
-        files.append(b"RIFF" + (12 + len(data) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(data).to_bytes(4, "little") + data + pad)
-    return files
+    out.put(everyone, SIGNATURE | ((width - 1) << 8) | ((rows - 1) << 22), 40)  # no alpha, version 0
+    argb = (OPAQUE | colour).astype(np.uint32)
+    three = lambda r, g, b, a=0: packed(np.stack([np.broadcast_to(a, np.shape(g)), r, g, b], axis=-1))
+    for k, rest in ((LEFT, by_left), (TOP, by_top)):
+        who = np.flatnonzero(kind == k)
+        if len(who):
+            out.put(who, 1 | (5 << 3), 6)  # one block of up to 128 pixels a side
+            put_pixels(out, who, np.arange(len(who)), np.full(len(who), OPAQUE | (k << 8), np.uint32), None)
+            own = kind[image] == k
+            argb[own] = three(*rest[own].T)
+    who = np.flatnonzero(kind == GREEN)
+    if len(who):
+        out.put(who, 1 | (2 << 1), 3)
+        own = kind[image] == GREEN
+        argb[own] = three(flat[own, 0] - flat[own, 1], flat[own, 1], flat[own, 2] - flat[own, 1], 255)
+    who = np.flatnonzero(kind == CROSS)
+    if len(who):
+        out.put(who, 1 | (1 << 1) | (5 << 3), 6)
+        put_pixels(out, who, np.arange(len(who)), three(0 * who, factor[1][who], factor[0][who], 255), None)
+        own = kind[image] == CROSS
+        argb[own] = three(crossed[0][own], flat[own, 1], crossed[1][own], 255)
+    widths = np.full(n, width)
+    who = np.flatnonzero(kind == PALETTE)
+    pieces = None
+    if len(who):
+        out.put(who, 1 | (3 << 1) | ((colours[who] - 1) << 3), 11)
+        table = np.concatenate([known[first[i] : first[i + 1]] & 0xFFFFFF for i in who])
+        of = np.repeat(np.arange(len(who)), colours[who])
+        begin = np.concatenate(([True], of[1:] != of[:-1]))
+        each = np.stack([np.full(len(table), 255), table >> 16, (table >> 8) & 255, table & 255], axis=-1)
+        each[1:] -= np.where(begin[1:, None], 0, each[:-1].copy())
+        put_pixels(out, who, of, packed(each), None)
+        cut = np.concatenate(([0], np.cumsum(sizes)))
+        pieces = [argb[cut[i] : cut[i + 1]] for i in range(n)]
+        for i in who.tolist():
+            shift = palette_shift(int(colours[i]))
+            per, size = 1 << shift, 8 >> shift
+            own = index[cut[i] : cut[i + 1]].reshape(-1, width)
+            own = np.pad(own, ((0, 0), (0, -width % per))).reshape(len(own), -1, per)
+            pieces[i] = (OPAQUE | ((own << (np.arange(per) * size)).sum(axis=2) << 8)).astype(np.uint32).reshape(-1)
+            widths[i] = (width + per - 1) // per
+        argb = np.concatenate(pieces)
+        image = np.repeat(everyone, [len(p) for p in pieces])
+    out.put(everyone, 0, 1)  # no further transform
+    put_pixels(out, everyone, image, argb, widths, cache_bits)
+    return [simple_file(s) for s in out.streams()]
+
+
+def piece(name: bytes, data: bytes) -> bytes:
+    return name + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) & 1)
+
+
+def simple_file(stream: bytes) -> bytes:
+    body = b"WEBP" + piece(b"VP8L", stream)
+    return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+
+def stacked(files: list[bytes], width: int, heights: list[int]) -> bytes:
+    """One WebP file that shows simple ones below each other: a canvas on which each is a frame at its place, shown at once and kept. A single one stays as it is."""
+    if len(files) == 1:
+        return files[0]
+    number = lambda x: int(x).to_bytes(3, "little")
+    body = [b"WEBP", piece(b"VP8X", b"\x02\0\0\0" + number(width - 1) + number(sum(heights) - 1)), piece(b"ANIM", bytes(4) + b"\x01\0")]
+    at = 0
+    for f, h in zip(files, heights):
+        body.append(piece(b"ANMF", number(0) + number(at // 2) + number(width - 1) + number(h - 1) + number(0) + b"\x02" + f[12:]))
+        at += h
+    data = b"".join(body)
+    return b"RIFF" + len(data).to_bytes(4, "little") + data
+
+
+def frames(image: bytes) -> list[bytes]:
+    """The simple files of the frames of ``stacked``, from top to bottom; of a simple file that itself. Raises where frames don't fill the canvas row by row."""
+    if len(image) < 30 or image[:4] != b"RIFF" or image[8:12] != b"WEBP" or int.from_bytes(image[4:8], "little") + 8 != len(image):
+        raise ValueError("not a WebP file")
+    if image[12:16] == b"VP8L":
+        return [image]
+    number = lambda at: int.from_bytes(image[at : at + 3], "little")
+    found, at, row, canvas = [], 12, 0, number(27) + 1
+    while at < len(image):
+        name, size = image[at : at + 4], int.from_bytes(image[at + 4 : at + 8], "little")
+        if name == b"ANMF":
+            if number(at + 8) or 2 * number(at + 11) != row or number(at + 14) != number(24):
+                raise ValueError("a frame isn't below the one before")
+            row += number(at + 17) + 1
+            body = b"WEBP" + image[at + 24 : at + 8 + size]
+            found.append(b"RIFF" + len(body).to_bytes(4, "little") + body)
+        at += 8 + size + (size & 1)
+    if row != canvas:
+        raise ValueError("frames don't fill the canvas")
+    return found

@@ -140,6 +140,75 @@ def test_encoder_round_trips(seed):
         assert webp.channels(got)[..., 1:].astype(np.uint8).tobytes() == p and (got >> 24 == 255).all()
 
 
+def first_transform(file):
+    """0 predictor, 1 cross-colour, 2 subtracted green, 3 palette, None without one."""
+    bits = int.from_bytes(file[20:28], "little") >> 40
+    return (bits >> 1) & 3 if bits & 1 else None
+
+
+def test_encoder_picks_each_transform_where_it_helps():
+    rng = np.random.default_rng(4)
+    y, x = np.mgrid[:40, :64]
+    noise = lambda hi: rng.integers(0, hi, (40, 64))
+    bytes_of = lambda r, g, b: (np.stack([r, g, b], axis=-1) & 255).astype(np.uint8).tobytes()
+    wild = noise(256)
+    images = {
+        0: bytes_of(5 * x + noise(3), 3 * x + 1 + noise(2), x + noise(3)),
+        2: bytes_of(wild + noise(2), wild, wild + 7 + noise(2)),
+        1: bytes_of(((wild ^ 128) - 128) // 2 + noise(2), wild, noise(256)),
+        3: bytes_of(*(rng.integers(0, 256, (3, 9))[:, noise(9)])),
+        None: rng.bytes(192 * 40),
+    }
+    down = bytes_of(7 * y + 77 * x + noise(2), 5 * y + 31 * x * x + noise(2), y + noise(2))
+    files = webp.encode([*images.values(), down])
+    assert [first_transform(f) for f in files] == [*images, 0]
+    for p, got in zip([*images.values(), down], webp.decode(files)):
+        assert webp.channels(got)[..., 1:].astype(np.uint8).tobytes() == p
+
+
+@pytest.mark.parametrize("colours", [1, 2, 3, 4, 5, 16, 17, 200, 256])
+def test_encoded_palettes(colours):
+    rng = np.random.default_rng(colours)
+    table = rng.integers(0, 256, (colours, 3)).astype(np.uint8)
+    p = table[rng.integers(0, colours, 64 * 64)].tobytes()
+    file = webp.encode([p])[0]
+    assert first_transform(file) == 3 or colours in (1, 17, 200, 256)
+    assert webp.channels(webp.decode([file])[0])[..., 1:].astype(np.uint8).tobytes() == p
+
+
+def test_back_references_of_real_documents(docs):
+    texts = [r["text"] or "" for r in docs.collect()]
+    strips = [x for t in texts for x in media.to_images(media.padded(t)[0])]
+    files = webp.encode(strips)
+    kinds = [first_transform(f) for f in files]
+    assert kinds.count(3) > 0
+    pixels = webp.decode(files)
+    held = 0
+    for p in pixels:
+        flat = p.reshape(-1)
+        place, length, distance = webp.repeats(np.zeros(len(flat), np.int64), flat)
+        held += len(place) > 0
+        assert all((flat[a : a + n] == flat[a - d : a - d + n]).all() for a, n, d in zip(place, length, distance))
+        assert (place[1:] >= place[:-1] + length[:-1]).all()
+    assert held > 0.2 * len(files)
+    twice = webp.encode([strips[0][: 192 * 8] * 2, strips[0][: 192 * 8]])
+    assert len(twice[0]) < len(twice[1]) + 40
+
+
+def test_a_long_text_is_one_file_of_frames():
+    text = " ".join(f"word{i}" for i in range(20_000))
+    payload, _ = media.padded(text)
+    strips = media.to_images(payload)
+    file = webp.stacked(webp.encode(strips), 64, [len(s) // 192 for s in strips])
+    assert int.from_bytes(file[4:8], "little") + 8 == len(file) and file[12:16] == b"VP8X" and file[20] == 2
+    assert int.from_bytes(file[24:27], "little") == 63 and int.from_bytes(file[27:30], "little") + 1 == len(payload) // 192
+    own = webp.frames(file)
+    assert len(own) == len(strips) and b"".join(webp.channels(p)[..., 1:].astype(np.uint8).tobytes() for p in webp.decode(own)) == payload
+    for bad in (file[:-2], file[:12] + b"VP8Y" + file[16:40], file[:27] + b"\x01\0\0" + file[30:]):
+        with pytest.raises(ValueError):
+            webp.decode(webp.frames(bad))
+
+
 def test_code_lengths_are_complete():
     rng = np.random.default_rng(0)
     counts = rng.integers(0, 50, (40, 90)) * (rng.random((40, 90)) < 0.3)
@@ -156,9 +225,9 @@ def test_media_of_odd_and_real_rows(docs, odd, none):
     for df in (odd, docs.limit(40)):
         rows = media.decode_features(media.encode_texts(df), pixels=True).collect()
         want = sorted(str((r["doc_id"], (r["text"] or "").encode())) for r in df.collect())
-        assert sorted(str((r["doc_id"], bytes(r["payload"])[: r["n_bytes"]])) for r in rows) == want
+        assert sorted(str((r["doc_id"], bytes(r["pixels"])[: r["n_bytes"]])) for r in rows) == want
         for r in rows:
-            p = bytes(r["payload"])
+            p = bytes(r["pixels"])
             assert len(p) % 192 == 0 and p and set(p[r["n_bytes"] :]) <= {32} and len(p) - r["n_bytes"] < (192 if r["n_bytes"] else 193)
             assert r["payload_sha256"] == hashlib.sha256(p).hexdigest() and r["tail_crc32"] == zlib.crc32(p[-16:]) and r["payload_bytes"] == len(p)
     same = {r["doc_id"]: (r["media_sha256"], r["feature"]) for r in media.decode_features(media.encode_texts(odd)).collect()}
