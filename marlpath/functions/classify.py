@@ -69,7 +69,7 @@ def store_decision(domain: Column, text: Column) -> Column:
 
 
 def item_decision(text: Column, publisher: Column, players: Column, minutes: Column, age: Column) -> Column:
-    """(category, confidence) of an item from its folded text and publisher and from whether players, minutes and age are known."""
+    """(category, confidence, reasons) of an item from its folded text and publisher and from whether players, minutes and age are known."""
     number = F.size(word_hits(text, ITEM_TERMS))
     known = F.lit(False)
     for p in PUBLISHERS:
@@ -85,7 +85,14 @@ def item_decision(text: Column, publisher: Column, players: Column, minutes: Col
     expansion = F.size(word_hits(text, EXPANSION_TERMS)) > 0
     against = F.least(F.lit(0.85), F.size(word_hits(text, OTHER_TERMS)) * 0.25)
     sure = lambda x: F.bround(F.greatest(F.lit(0.0), F.least(F.lit(0.99), x)), 2)
-    made = lambda name, x: F.struct(F.lit(name).alias("category"), sure(x).alias("confidence"))
+    none = F.array().cast("array<string>")
+    say = lambda condition, word: F.when(F.coalesce(condition, F.lit(False)), F.array(F.lit(word))).otherwise(none)
+    tagged = lambda mark, terms: F.transform(word_hits(text, terms), lambda t: F.concat(F.lit(f"{mark}:"), t))
+    reasons = F.concat(
+        say(players, "players"), say(minutes, "play_time"), say(age, "minimum_age"), tagged("term", ITEM_TERMS), say(known, "publisher"),
+        tagged("expansion", EXPANSION_TERMS), F.when(expansion, none).otherwise(tagged("negative", OTHER_TERMS)),
+    )
+    made = lambda name, x: F.struct(F.lit(name).alias("category"), sure(x).alias("confidence"), reasons.alias("reasons"))
     return (
         F.when(expansion, made("LIKELY_EXPANSION", 0.75 + (points + 0.3) / 4))
         .when(points >= 0.5, made("LIKELY_BOARDGAME", 0.65 + points / 3))

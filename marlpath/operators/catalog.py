@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ordered_rank
+
 
 def active_items(items: DataFrame, store_items: DataFrame, additional: DataFrame, relationships: DataFrame) -> DataFrame:
     """Items with an eligible listing, directly or bundled, with has_approved_listing and is_expansion.
@@ -97,39 +99,44 @@ def ordered_list(value: str, by: str) -> Column:
     return F.transform(F.array_sort(pairs), lambda p: p["v"])
 
 
-def greedy_assignment(matches: DataFrame, categories: list[int], cycles: int = 32, seed: int = 0) -> list[tuple[int, int, int]]:
-    """(category, item, order) by cycling over the categories, each taking a random unused item of its own; a driver-side loop.
+def greedy_assignment(matches: DataFrame, categories: list[int], order: Column, cycles: int = 32) -> DataFrame:
+    """(front_page_category_id, item_id, item_order) by cycling over the categories, each taking its first unused item in ``order``.
 
-    Each turn depends on all before it, so at most ``cycles`` items for each category matter: that many candidates
-    of each, in seeded hash order, times the number of categories that could use them up before, are collected.
+    Each turn depends on all before it, but a category can lose no more items to others than there are turns: so many
+    candidates of each matter, and the turns are one fold over them. ``cycles`` and the number of categories, both small, bound it.
     """
-    w = Window.partitionBy("front_page_category_id").orderBy(F.xxhash64("front_page_category_id", "item_id", F.lit(seed)), "item_id")
-    top = matches.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cycles * max(1, len(categories)))
-    waiting: dict[int, list[int]] = {}
-    for r in top.select("front_page_category_id", "item_id").orderBy("front_page_category_id", "_r").collect():
-        waiting.setdefault(r[0], []).append(r[1])
-    used, out, at = set(), [], dict.fromkeys(categories, 0)
-    for turn in range(cycles):
-        for c in categories:
-            own = waiting.get(c, [])
-            while at[c] < len(own) and own[at[c]] in used:
-                at[c] += 1
-            if at[c] < len(own):
-                used.add(own[at[c]])
-                out.append((c, own[at[c]], turn + 1))
-    return out
-
-
-def balanced_assignment(matches: DataFrame, position: Column, tie: Column) -> DataFrame:
+    turns = cycles * len(categories)
+    if not turns:
+        return matches.select("front_page_category_id", "item_id", F.lit(0).alias("item_order")).limit(0)
+    w = Window.partitionBy("front_page_category_id").orderBy("_o", "item_id")
+    top = matches.distinct().withColumn("_o", order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= turns)
+    own = top.groupBy("front_page_category_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "item_id"))), lambda x: x["item_id"]).alias("items"))
+    table = own.agg(F.map_from_entries(F.collect_list(F.struct("front_page_category_id", "items"))).alias("of"))
+    listed = F.array(*[F.lit(c).cast("long") for c in categories])
+    pick_kind = "array<struct<category: bigint, item: bigint, turn: int>>"
+    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast(pick_kind).alias("picks"))
+
+    def take(held, slot):
+        category = F.element_at(listed, (slot % len(categories) + 1).cast("int"))
+        left = F.filter(F.coalesce(F.try_element_at(F.col("of"), category), F.array().cast("array<bigint>")), lambda x: ~F.array_contains(held["used"], x))
+        item = F.try_element_at(left, F.lit(1))
+        picks = F.concat(held["picks"], F.array(F.struct(category.alias("category"), item.alias("item"), (F.floor(slot / len(categories)) + 1).cast("int").alias("turn"))).cast(pick_kind))
+        return F.when(item.isNull(), held).otherwise(F.struct(F.concat(held["used"], F.array(item)).alias("used"), picks.alias("picks")))
+
+    picked = table.select(F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(turns - 1)), start, take, lambda held: held["picks"])).alias("p"))
+    return picked.select(F.col("p.category").alias("front_page_category_id"), F.col("p.item").alias("item_id"), F.col("p.turn").alias("item_order"))
+
+
+def balanced_assignment(matches: DataFrame, position: Column, tie: Column, pieces: int = 64) -> DataFrame:
     """(item_id, front_page_category_id, item_order): each item goes to its matching category with the fewest matching items from its own place on.
 
-    ``matches`` is (item_id, front_page_category_id). The places are the order of ``position``; the number of items that
-    remain in a category is a running count from the item's place to the end. A category's count is one window
-    group: it grows with the category, of which the front page has few.
+    ``matches`` is (item_id, front_page_category_id). The places are the order of ``position`` (0 or more, spread evenly
+    over 10,007); the items that remain in a category are its number less the item's rank. A category is ranked in ``pieces``.
     """
-    onward = Window.partitionBy("front_page_category_id").orderBy("position", "item_id").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    counted = matches.withColumn("position", position).withColumn("remaining", F.count(F.lit(1)).over(onward))
+    placed = matches.withColumn("position", position)
+    piece = F.floor(F.col("position") * pieces / 10_007)
+    ranked = ordered_rank(placed, ["front_page_category_id"], piece, [F.col("position"), F.col("item_id")], "_rank", "_all")
+    counted = ranked.withColumn("remaining", F.col("_all") - F.col("_rank") + 1)
     choice = Window.partitionBy("item_id").orderBy("remaining", tie, "front_page_category_id")
-    chosen = counted.withColumn("_c", F.row_number().over(choice)).where("_c = 1")
-    order = Window.partitionBy("front_page_category_id").orderBy("position", "item_id")
-    return chosen.select("item_id", "front_page_category_id", F.row_number().over(order).alias("item_order"))
+    chosen = counted.withColumn("_c", F.row_number().over(choice)).where("_c = 1").select("item_id", "front_page_category_id", "position")
+    return ordered_rank(chosen, ["front_page_category_id"], piece, [F.col("position"), F.col("item_id")], "item_order").select("item_id", "front_page_category_id", "item_order")

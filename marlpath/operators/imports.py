@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import latest
 from .merge import insert_missing, insert_numbered, upsert
+from .ranking import id_bucket
 
 
 def import_records(records: DataFrame, items: DataFrame, aliases: DataFrame, fold) -> dict[str, DataFrame]:
@@ -19,7 +20,7 @@ def import_records(records: DataFrame, items: DataFrame, aliases: DataFrame, fol
     seen = latest(records.where("external_id is not null and name is not null"), ["external_id"], F.col("name").asc())
     fresh = seen.select(F.col("external_id").alias("bgg_id"), F.col("name").alias("canonical_name"), kind.alias("item_type"), F.col("rating").cast("decimal(8,2)").alias("rating"), "alternate_names")
     known = fresh.join(items.where("bgg_id is not null").select("id", "bgg_id"), "bgg_id")
-    new = insert_numbered(items, fresh.join(items.select("bgg_id").where("bgg_id is not null").distinct(), "bgg_id", "left_anti"), [F.col("bgg_id")])
+    new = insert_numbered(items, fresh.join(items.select("bgg_id").where("bgg_id is not null").distinct(), "bgg_id", "left_anti"), [F.col("bgg_id")], id_bucket("bgg_id"))
     fields = ["canonical_name", "item_type", "rating"]
     changed = upsert(items, known.select("id", *fields), ["id"], fields)
     added = new.select(*[F.col(c) if c in new.columns else F.lit(None).alias(c) for c in items.columns])
@@ -40,7 +41,7 @@ def frontier(links: DataFrame, items: DataFrame, cache: DataFrame, as_of: Column
 
 def create_items(listings: DataFrame, items: DataFrame, fold) -> dict[str, DataFrame]:
     """Items after one was made of each listing (id, title, …) without a match, and the listings with them: listed, confirmed, matched by hand."""
-    made = insert_numbered(items, listings.where("item_id is null").select(F.col("id").alias("listing_id"), F.col("title").alias("canonical_name")), [F.col("listing_id")])
+    made = insert_numbered(items, listings.where("item_id is null").select(F.col("id").alias("listing_id"), F.col("title").alias("canonical_name")), [F.col("listing_id")], id_bucket("listing_id"))
     made = made.withColumn("normalized_name", fold(F.col("canonical_name")))
     added = made.select(*[F.col(c) if c in made.columns else F.lit(None).alias(c) for c in items.columns])
     new = made.select(F.col("id").alias("_item"), "listing_id")
@@ -84,6 +85,13 @@ def vectors_to_embed(sources: DataFrame, stored: DataFrame, full: bool = False)
     return sources if full else sources.join(stored.select("item_id", "source_hash"), ["item_id", "source_hash"], "left_anti")
 
 
+def write_vectors(vectors: DataFrame, path: str, size: int) -> None:
+    """Stores (item_id, source_hash, vector) as float arrays, one row an item; a vector of another length than ``size`` raises."""
+    values = F.col("vector").cast("array<float>")
+    right = F.when(F.size("vector") == size, values).otherwise(F.raise_error(F.concat(F.lit("a vector of another length: item "), F.col("item_id").cast("string"))))
+    vectors.groupBy("item_id").agg(F.max_by(F.struct("source_hash", "vector"), "source_hash").alias("v")).select("item_id", "v.*").select("item_id", "source_hash", right.alias("vector")).write.mode("overwrite").parquet(path)
+
+
 def tutorial_queue(items: DataFrame, links: DataFrame, skipped: list[int]) -> DataFrame:
     """Active items that have no tutorial yet and weren't skipped, best rated first."""
     open_items = items.join(links.select(F.col("item_id").alias("id")).distinct(), "id", "left_anti")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import ordered_rank
+
 
 def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Null-safe equality of all keys; it is still a hash join."""
@@ -42,10 +44,10 @@ def insert_missing(target: DataFrame, source: DataFrame, keys: Sequence[str]) ->
     return target.unionByName(fresh.select(*target.columns))
 
 
-def insert_numbered(target: DataFrame, source: DataFrame, order: Sequence[Column], id_col: str = "id") -> DataFrame:
-    """The rows of ``source`` with ids that go on from the largest in ``target``: sequential, for small inserts."""
+def insert_numbered(target: DataFrame, source: DataFrame, order: Sequence[Column], bucket: Column, id_col: str = "id") -> DataFrame:
+    """The rows of ``source`` with ids that go on from the largest in ``target``, in ``order``, ranked in pieces of one ``bucket`` each (see ordered_rank)."""
     last = target.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_last"))
-    ranked = source.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    ranked = ordered_rank(source, [], bucket, order, "_r")
     return ranked.crossJoin(F.broadcast(last)).withColumn(id_col, F.col("_last") + F.col("_r")).drop("_r", "_last")
 
 
@@ -55,14 +57,60 @@ def price_changed(old: Column, new: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), a != b).otherwise(~old.eqNullSafe(new))
 
 
+def canonical_json(text: Column) -> Column:
+    """A JSON text in one spelling, keys in order, for comparison; null where it isn't JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def as_json(df: DataFrame, field: str, alias: str) -> Column:
+    """A field as JSON: texts quoted, numbers and booleans bare, structures with their keys in order, null as null."""
+    kind, value = df.schema[field].dataType.simpleString(), F.col(f"{alias}.{field}")
+    if kind.startswith("decimal") or kind in ("string", "date", "timestamp"):
+        value = F.substring(F.to_json(F.array(value.cast("string"))), F.lit(2), F.length(F.to_json(F.array(value.cast("string")))) - 2)
+    elif kind.startswith(("struct", "map", "array")):
+        value = canonical_json(F.to_json(value))
+    else:
+        value = value.cast("string")
+    return F.coalesce(value, F.lit("null"))
+
+
+def kept_confirmation(known: DataFrame, fresh: DataFrame, key: str = "id") -> DataFrame:
+    """``fresh`` listings with is_boardgame and is_boardgame_confirmed of ``known`` ones where these were confirmed by hand."""
+    own = known.where("is_boardgame_confirmed").select(F.col(key).alias("_k"), F.col("is_boardgame").alias("_is"))
+    joined = fresh.join(own, fresh[key] == own["_k"], "left")
+    held = F.col("_k").isNotNull()
+    values = {"is_boardgame": F.when(held, F.col("_is")).otherwise(F.col("is_boardgame")), "is_boardgame_confirmed": held | F.coalesce("is_boardgame_confirmed", F.lit(False))}
+    return joined.withColumns(values).select(*fresh.columns)
+
+
+def copied_covers(items: DataFrame, listings: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``items`` with the cover of a chosen listing (chosen: listing_id) where the item has none; of several the least listing's."""
+    own = listings.join(chosen.select(F.col("listing_id").alias("id")), "id", "left_semi").where("item_id is not null and image_url <> ''")
+    cover = own.groupBy("item_id").agg(F.min_by("image_url", "id").alias("_cover"))
+    joined = items.join(cover, items["id"] == cover["item_id"], "left")
+    empty = F.coalesce(F.nullif(F.col("image_url"), F.lit("")), F.col("_cover"))
+    return joined.withColumn("image_url", empty).select(*items.columns)
+
+
+def translated(listings: DataFrame, translations: DataFrame) -> DataFrame:
+    """``listings`` after translations (id, description_es) came: a pending one takes its text and is listed if it has a match; others stay."""
+    joined = listings.join(translations.select("id", F.col("description_es").alias("_es")), "id", "left")
+    take = (F.col("listing_status") == "PENDING") & (F.coalesce(F.col("_es"), F.lit("")) != "")
+    values = {
+        "description_es": F.when(take, F.col("_es")).otherwise(F.col("description_es")),
+        "listing_status": F.when(take & F.col("item_id").isNotNull(), "LISTED").otherwise(F.col("listing_status")),
+    }
+    return joined.withColumns(values).select(*listings.columns)
+
+
 def captured_changes(before: DataFrame, after: DataFrame, fields: Sequence[str], prices: Sequence[str] = ("price",), key: str = "id") -> DataFrame:
-    """(key, field_name, old_value, new_value) for each tracked field that differs in rows of both tables; one join, then an unpivot in the row."""
+    """(key, field_name, old_value, new_value) for each tracked field that differs in rows of both tables, values as JSON; one join, then an unpivot in the row."""
     o, n = before.alias("o"), after.alias("n")
     cases = []
     for f in fields:
         a, b = F.col(f"o.{f}").cast("string"), F.col(f"n.{f}").cast("string")
         differs = price_changed(a, b) if f in prices else ~a.eqNullSafe(b)
-        cases.append(F.when(differs, F.struct(F.lit(f).alias("field_name"), a.alias("old_value"), b.alias("new_value"))))
+        cases.append(F.when(differs, F.struct(F.lit(f).alias("field_name"), as_json(before, f, "o").alias("old_value"), as_json(after, f, "n").alias("new_value"))))
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}")).select(F.col(f"o.{key}").alias(key), F.explode(F.array(*cases)).alias("c"))
     return joined.where("c is not null").select(key, "c.*")
 
@@ -80,7 +128,7 @@ def deactivated(listings: DataFrame, gone: DataFrame, key: str = "id") -> tuple[
 def approve(candidates: DataFrame, stores: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates, stores) after approving the pending ones among ``ids``: their stores are put in by domain."""
     chosen = candidates.join(ids, "id", "left_semi").where("status = 'PENDING'")
-    named = insert_numbered(stores, chosen.select("canonical_domain", F.col("store_name").alias("canonical_name")).join(stores, "canonical_domain", "left_anti"), [F.col("canonical_domain")])
+    named = insert_numbered(stores, chosen.select("canonical_domain", F.col("store_name").alias("canonical_name")).join(stores, "canonical_domain", "left_anti"), [F.col("canonical_domain")], F.left("canonical_domain", F.lit(2)))
     renamed = upsert(stores, chosen.select("canonical_domain", F.col("store_name").alias("canonical_name")), ["canonical_domain"], ["canonical_name"]).where("id is not null")
     added = named.select(*[F.col(c) if c in named.columns else F.lit(None).alias(c) for c in stores.columns])
     done = upsert(candidates, chosen.select("id").withColumn("status", F.lit("APPROVED")), ["id"], ["status"])

@@ -75,6 +75,30 @@ def store_statistics(stores: DataFrame, attempts: DataFrame, since: Column) -> D
     )
 
 
+def classification_counters(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
+    """(class, n, gained, lost) of the four classes by is_boardgame and its confirmation, after listings were classified anew.
+
+    The counts that a running tally, one up and one down at each change, ends with: one join, one group.
+    """
+    def label(game, sure):
+        return F.concat(F.when(game, "boardgame").otherwise("other"), F.when(sure, "_confirmed").otherwise("_open"))
+
+    own = before.select(F.col(key).alias("_k"), label(F.col("is_boardgame"), F.col("is_boardgame_confirmed")).alias("was"))
+    joined = after.select(F.col(key).alias("_n"), label(F.col("is_boardgame"), F.col("is_boardgame_confirmed")).alias("now")).join(own, F.col("_n") == F.col("_k"), "full")
+    moves = joined.select(F.explode(F.array(F.struct(F.col("now").alias("class"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("was").alias("class"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("m"), F.col("now").eqNullSafe(F.col("was")).alias("same"))
+    rows = moves.where("m.class is not null").select("m.*", "same")
+    return rows.groupBy("class").agg(F.sum("up").alias("n"), F.sum(F.when(~F.col("same"), F.col("up")).otherwise(0)).alias("gained"), F.sum(F.when(~F.col("same"), F.col("down")).otherwise(0)).alias("lost"))
+
+
+def batch_summary(runs: DataFrame) -> DataFrame:
+    """One row for a batch over stores (store_id, found, saved, error): sums, and the failed stores in order."""
+    failed = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.col("store_id"))))
+    return runs.agg(
+        F.count(F.lit(1)).alias("stores"), F.coalesce(F.sum("found"), F.lit(0)).alias("found"), F.coalesce(F.sum("saved"), F.lit(0)).alias("saved"),
+        F.count("error").alias("failures"), F.array_join(failed.cast("array<string>"), ",").alias("failed_stores"),
+    )
+
+
 def worker_health(status: Column, heartbeat: Column, lease_until: Column, as_of: Column, poll_seconds: int) -> Column:
     """stopped, or healthy with a live lease or a heartbeat of the last three polls (30 s at least), else stale."""
     limit = max(30, 3 * poll_seconds)

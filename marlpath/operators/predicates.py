@@ -37,6 +37,32 @@ def in_order(column: Column, tokens: list[str]) -> Column:
     return column.ilike("%" + "%".join(unlike_sql(t) for t in tokens) + "%")
 
 
+def any_of(values: Column, wanted: list) -> Column:
+    """The array holds one of the wanted values."""
+    return F.arrays_overlap(values, F.array(*[F.lit(w) for w in wanted])) if wanted else F.lit(False)
+
+
+def none_of(value: Column, listed: Column) -> Column:
+    """The value is in no entry of the array; an empty or null array lists nothing."""
+    return ~F.coalesce(F.array_contains(listed, value), F.lit(False))
+
+
+def starts_with(column: Column, text: str) -> Column:
+    """The column begins with a literal text, whatever signs that has; a null column with none."""
+    return F.coalesce(column, F.lit("")).startswith(text)
+
+
+def same_json(column: Column, literal: str) -> Column:
+    """Two JSON texts have one value, however they are spelled; what isn't JSON equals nothing."""
+    spelled = lambda c: F.to_json(F.try_parse_json(c))
+    return F.coalesce(spelled(column) == spelled(F.lit(literal)), F.lit(False))
+
+
+def finite_number(column: Column) -> Column:
+    """The number that a text spells, else null: no NaN, no infinity."""
+    return F.when(F.trim(column).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(column).try_cast("double"))
+
+
 def truthy(column: Column) -> Column:
     return F.lower(F.trim(column)).isin("true", "1", "on", "yes")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import id_bucket, ordered_rank
+
 #: Minutes to wait after the first, second, third and any further failure.
 BACKOFF_MINUTES = (15, 60, 360, 1440)
 
@@ -12,12 +14,11 @@ BACKOFF_MINUTES = (15, 60, 360, 1440)
 def distribute(eligible: DataFrame, start: Column, end: Column, phase: Column) -> DataFrame:
     """(id, store_id, next_update_at): a store's listings spread evenly over the window, shifted by the store's phase in [0, 1).
 
-    A store's listings are ranked by id in one window group, which holds ids and nothing else.
+    A store's listings are ranked by id, in pieces of neighbouring ids.
     """
-    by_store = Window.partitionBy("store_id")
-    rank = F.row_number().over(by_store.orderBy("id")) - 1
-    micros = (F.unix_micros(end) - F.unix_micros(start)) * ((rank + phase) / F.count(F.lit(1)).over(by_store))
-    return eligible.select("id", "store_id", F.timestamp_micros((F.unix_micros(start) + F.round(micros)).cast("long")).alias("next_update_at"))
+    ranked = ordered_rank(eligible, ["store_id"], id_bucket("id"), [F.col("id")], "_rank", "_all")
+    micros = (F.unix_micros(end) - F.unix_micros(start)) * ((F.col("_rank") - 1 + phase) / F.col("_all"))
+    return ranked.select("id", "store_id", F.timestamp_micros((F.unix_micros(start) + F.round(micros)).cast("long")).alias("next_update_at"))
 
 
 def run_date(now: Column, zone: str = "America/Mexico_City", start_hour: int = 3) -> Column:
@@ -96,6 +97,19 @@ def recover(attempts: DataFrame, listings: DataFrame, as_of: Column) -> DataFram
     return joined.withColumn("status", F.when(lost, "LEASE_LOST").otherwise(F.col("status"))).drop("_live")
 
 
+def phased_pools(listings: DataFrame, outcomes: DataFrame, cooling: DataFrame, n: int, order: Column) -> DataFrame:
+    """(id, pool, turn) of a batch's work: the two halves of ``update_pools``, then listings of hosts that cool down, then those that failed for a passing reason.
+
+    ``outcomes`` (id, outcome) are the first tries' "succeeded", "removed" or "transient"; ``cooling`` is (host). A
+    host's listings wait in the second pool as long as it cools down; the third runs after all others.
+    """
+    halves = update_pools(listings, n, order)
+    hosts = cooling.select("host").distinct().withColumn("_cool", F.lit(True))
+    joined = halves.join(F.broadcast(hosts), "host", "left").join(outcomes.select("id", "outcome"), "id", "left")
+    phase = F.when(F.col("outcome") == "transient", 3).when(F.col("_cool") & F.col("outcome").isNull(), 2).when(F.col("outcome").isNull(), 1)
+    return joined.withColumn("phase", phase).where("phase is not null").select("id", "phase", "pool", "turn")
+
+
 def update_pools(listings: DataFrame, n: int, order: Column) -> DataFrame:
     """(pool, turn) for a batch of ``n`` listings: the older half first, each half in ``order`` (a seeded hash)."""
     oldest = Window.partitionBy(F.lit(0)).orderBy("last_updated", "id")  # one batch run's listings, at most n

@@ -142,7 +142,7 @@ def category_products(spark, sf):
 
 
 @query(LINKED + """, assigned AS (SELECT item_id, front_page_category_id, row_number() OVER (PARTITION BY front_page_category_id ORDER BY item_id) AS item_order
-    FROM matches WHERE item_id % 5 = 0)
+    FROM matches)
 SELECT f.front_page_category_id, f.category_type, f.category_id,
     coalesce('[' || string_agg('{"id":' || i.id || ',"canonical_name":"' || i.canonical_name || '"}', ',' ORDER BY i.size DESC NULLS LAST, a.item_order, i.canonical_name, i.id) || ']', '[]') AS products
 FROM front_page f LEFT JOIN assigned a USING (front_page_category_id) LEFT JOIN items i ON i.id = a.item_id GROUP BY ALL""")
@@ -150,17 +150,17 @@ def preview_json_agg(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("front_page_category_id").orderBy("item_id")
-    assigned = matches(spark, sf).where("item_id % 5 = 0").withColumn("item_order", F.row_number().over(w))
+    assigned = matches(spark, sf).withColumn("item_order", F.row_number().over(w))
     return catalog.front_page_preview(front_page(spark, sf), assigned, tables.items(spark, sf).select("id", "canonical_name", "size"), ["id", "canonical_name"], "size")
 
 
 @query(LINKED + """ SELECT item_id, link_type, other_id, direction, i.canonical_name AS other_name FROM (
     SELECT item_a_id AS item_id, link_type, item_b_id AS other_id, 'outbound' AS direction FROM relationships
     UNION ALL SELECT item_b_id, link_type, item_a_id, 'inbound' FROM relationships
-) r JOIN items i ON i.id = r.other_id WHERE item_id % 2 = 1""")
+) r JOIN items i ON i.id = r.other_id""")
 def either_endpoint_join(spark, sf):
     items = tables.items(spark, sf)
-    ids = items.where("id % 2 = 1").select(F.col("id").alias("item_id"))
+    ids = items.select(F.col("id").alias("item_id"))
     return catalog.relations_of(relationships(spark, sf), items, ids)
 
 
@@ -184,11 +184,16 @@ def balanced_assignment(spark, sf):
     return catalog.balanced_assignment(matches(spark, sf), (F.col("item_id") * 7919) % 10007, tie)
 
 
-@query()
+@query("WITH RECURSIVE " + LINKED.strip().removeprefix("WITH") + """, pool AS (SELECT front_page_category_id AS c, list(item_id ORDER BY (item_id * 7919 + front_page_category_id * 31) % 10007, item_id) AS items
+    FROM matches WHERE front_page_category_id % 3 = 0 GROUP BY 1), cats AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k, items FROM pool),
+turns AS (SELECT 0::BIGINT AS slot, []::BIGINT[] AS used, NULL::BIGINT AS c, NULL::BIGINT AS item
+    UNION ALL SELECT slot + 1, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, cat, pick FROM (
+        SELECT t.slot, t.used, cats.c AS cat, list_filter(cats.items, lambda x: NOT list_contains(t.used, x))[1] AS pick
+        FROM turns t JOIN cats ON cats.k = t.slot % (SELECT count(*) FROM cats) WHERE t.slot < 32 * (SELECT count(*) FROM cats)))
+SELECT c AS front_page_category_id, item AS item_id, ((slot - 1) // (SELECT count(*) FROM cats) + 1)::INT AS item_order FROM turns WHERE item IS NOT NULL""")
 def greedy_assignment(spark, sf):
-    shown = [r[0] for r in front_page(spark, sf).select("front_page_category_id").orderBy("front_page_category_id").collect()]
-    rows = catalog.greedy_assignment(matches(spark, sf), shown)
-    return spark.createDataFrame(rows, "front_page_category_id long, item_id long, item_order int")
+    shown = [r[0] for r in matches(spark, sf).where("front_page_category_id % 3 = 0").select("front_page_category_id").distinct().orderBy("front_page_category_id").collect()]
+    return catalog.greedy_assignment(matches(spark, sf), shown, (F.col("item_id") * 7919 + F.col("front_page_category_id") * 31) % 10007)
 
 
 @query(LINKED + """ SELECT item_id, category_type, category_id FROM links WHERE item_id % 3 = 0

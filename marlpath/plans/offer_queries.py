@@ -12,11 +12,11 @@ from .binding import query
 OFFERS = """WITH o AS (SELECT l_orderkey * 8 + l_linenumber AS id, p_name, p_size, l_linenumber AS n,
     CASE l_linenumber % 4 WHEN 0 THEN 'Precio $ 1,' || p_size || '99 ' WHEN 1 THEN p_size || '.50 MXN ' WHEN 2 THEN 'mxn ' || p_partkey || ' ' ELSE 'sin precio ' END
     || CASE l_orderkey % 5 WHEN 0 THEN 'Agotado disponible' WHEN 1 THEN 'En Stock' WHEN 2 THEN 'Agregar al carrito' WHEN 3 THEN 'No disponible' ELSE 'pronto' END AS t
-    FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 5)"""
+    FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 
 
 def offer_texts(spark, sf):
-    line = tables.read(spark, sf, "lineitem").where("l_linenumber <= 5").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
+    line = tables.read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"))
     joined = line.join(tables.read(spark, sf, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
     n, k = F.col("l_linenumber") % 4, F.col("l_orderkey") % 5
     price = (

@@ -17,8 +17,8 @@ def orders(spark, sf):
 
 @query("""WITH n AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END::DECIMAL(14, 2)::VARCHAR AS price,
     CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS availability, o_totalprice::DECIMAL(14, 2)::VARCHAR AS was_price, o_orderstatus AS was FROM orders)
-SELECT id, 'price' AS field_name, was_price AS old_value, price AS new_value FROM n WHERE was_price <> price
-UNION ALL SELECT id, 'availability', was, availability FROM n WHERE was IS DISTINCT FROM availability""")
+SELECT id, 'price' AS field_name, '"' || was_price || '"' AS old_value, '"' || price || '"' AS new_value FROM n WHERE was_price <> price
+UNION ALL SELECT id, 'availability', '"' || was || '"', coalesce('"' || availability || '"', 'null') FROM n WHERE was IS DISTINCT FROM availability""")
 def change_capture(spark, sf):
     amount = F.col("o_totalprice").cast("decimal(14,2)").cast("string")
     before = orders(spark, sf).select(F.col("o_orderkey").alias("id"), amount.alias("price"), F.col("o_orderstatus").alias("availability"))
@@ -57,10 +57,10 @@ def nullsafe_existing(spark, sf):
     return joined.select("id", F.col("p2").isNotNull().alias("known"))
 
 
-@query("""SELECT p_partkey AS id FROM part WHERE p_partkey % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)""")
+@query("""SELECT p_partkey AS id FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)""")
 def anti_missing_cache(spark, sf):
     cached = tables.read(spark, sf, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id")).distinct()
-    return tables.read(spark, sf, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id")).join(cached, "id", "left_anti")
+    return tables.read(spark, sf, "part").select(F.col("p_partkey").alias("id")).join(cached, "id", "left_anti")
 
 
 @query("""SELECT text, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY text""")
@@ -90,7 +90,7 @@ def rating_sync_plan(spark, sf):
 
 
 REPAIR = SQL + """, l AS (SELECT p_partkey AS pos, p_partkey + 100000 AS bgg_id, (p_partkey * 17) % (SELECT count(*) FROM part) + 100001 AS linked_bgg_id,
-    CASE WHEN p_size % 4 = 0 THEN 'implementation' ELSE 'extension' END AS link_type, p_size % 2 = 0 AS inbound FROM part WHERE p_partkey % 3 <> 0
+    CASE WHEN p_size % 4 = 0 THEN 'implementation' ELSE 'extension' END AS link_type, p_size % 2 = 0 AS inbound FROM part
 ), k AS (SELECT l.*, m.id AS me, o.id AS other FROM l JOIN items m ON m.bgg_id = l.bgg_id LEFT JOIN items o ON o.bgg_id = l.linked_bgg_id
 ), e AS (SELECT *, CASE WHEN inbound THEN me ELSE other END AS a, CASE WHEN inbound THEN other ELSE me END AS b FROM k WHERE other IS NOT NULL
 ), x AS (SELECT a AS item_a_id, link_type, b AS item_b_id, max_by(linked_bgg_id, pos)::VARCHAR AS source_ref FROM e GROUP BY ALL
@@ -103,7 +103,7 @@ UNION ALL SELECT 'parent', item_a_id, parent, NULL FROM p WHERE parent IS DISTIN
 UNION ALL SELECT 'target', bgg_id, linked_bgg_id, link_type FROM k WHERE other IS NULL""")
 def relationship_repair(spark, sf):
     part = tables.read(spark, sf, "part")
-    links = part.where("p_partkey % 3 <> 0").select(
+    links = part.select(
         F.col("p_partkey").alias("pos"), (F.col("p_partkey") + 100000).alias("bgg_id"), ((F.col("p_partkey") * 17) % part.count() + 100001).alias("linked_bgg_id"),
         F.when(F.col("p_size") % 4 == 0, "implementation").otherwise("extension").alias("link_type"), (F.col("p_size") % 2 == 0).alias("inbound"),
     )
@@ -162,9 +162,9 @@ def match_scores(spark, sf):
     return listings.join(titles, "title").select("listing_id", "title_id").join(found, "title_id").drop("title_id")
 
 
-@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, sha256(props) AS digest FROM events WHERE event_type <> 'view'""")
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, sha256(props) AS digest FROM events""")
 def json_fields_and_hashes(spark, sf):
-    made = tables.read(spark, sf, "events").where("event_type <> 'view'")
+    made = tables.read(spark, sf, "events")
     return made.select("event_id", F.from_json("props", "k int")["k"].alias("k"), F.sha2("props", 256).alias("digest"))
 
 

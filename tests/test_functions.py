@@ -116,7 +116,8 @@ def test_item_classifier(spark):
     paint = decide(spark, "pintura acrilica, paint brush")
     assert paint["category"] == "LIKELY_NON_BOARDGAME" and paint["confidence"] >= 0.75
     assert decide(spark, "catan expansion", "", True)["category"] == "LIKELY_EXPANSION"
-    assert tuple(decide(spark, "cosa")) == ("UNCERTAIN", 0.5)
+    assert tuple(decide(spark, "cosa"))[:2] == ("UNCERTAIN", 0.5) and decide(spark, "cosa")["reasons"] == []
+    assert game["reasons"][:3] == ["players", "play_time", "minimum_age"] and "publisher" in game["reasons"] and paint["reasons"][0].startswith("negative:")
     assert decide(spark, "painted sleevesx")["category"] == "UNCERTAIN"
 
 

@@ -67,8 +67,16 @@ def test_balanced_assignment_matches_the_definition(spark):
 
 def test_greedy_assignment_uses_items_once(spark):
     pairs = [(i, c) for i in range(20) for c in (1, 2) if (i + c) % 3]
-    got = catalog.greedy_assignment(spark.createDataFrame(pairs, "item_id long, front_page_category_id long"), [1, 2], cycles=4)
-    assert len(got) == 8 and len({i for _, i, _ in got}) == 8 and all((i, c) in pairs for c, i, _ in got)
+    df = spark.createDataFrame(pairs, "item_id long, front_page_category_id long")
+    got = [tuple(r) for r in catalog.greedy_assignment(df, [1, 2, 9], (F.col("item_id") * 7) % 11, cycles=4).collect()]
+    used, want = set(), []
+    for turn in range(4):
+        for c in (1, 2, 9):
+            left = sorted(((i * 7) % 11, i) for i, d in pairs if d == c and i not in used)
+            if left:
+                used.add(left[0][1])
+                want.append((c, left[0][1], turn + 1))
+    assert sorted(got) == sorted(want) and len(got) == 8 and catalog.greedy_assignment(df, [], F.lit(0)).count() == 0
 
 
 def test_monitor(spark):
@@ -125,7 +133,7 @@ def test_merge(spark):
     assert got == sorted(map(str, [(-1, "N", "x"), (1, "a", "x"), (2, "b", None)]))
     before = spark.createDataFrame([(1, "700.00", "a"), (2, "5", None), (3, "x", "s")], "id long, price string, title string")
     after = spark.createDataFrame([(1, "700.0", "b"), (2, "6", None), (3, "y", "s")], "id long, price string, title string")
-    assert rows(merge.captured_changes(before, after, ["price", "title"])) == [(1, "title", "a", "b"), (2, "price", "5", "6"), (3, "price", "x", "y")]
+    assert rows(merge.captured_changes(before, after, ["price", "title"])) == [(1, "title", '"a"', '"b"'), (2, "price", '"5"', '"6"'), (3, "price", '"x"', '"y"')]
     links = spark.createDataFrame([(1, "extension", 2)], "item_a_id long, link_type string, item_b_id long")
     flipped = merge.add_relationship(links, spark.createDataFrame([(2, "extension", 1)], links.schema))
     assert rows(flipped) == [(2, "extension", 1)]
