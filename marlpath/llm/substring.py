@@ -85,9 +85,12 @@ def seeds(docs: DataFrame, k: int, rate: int, min_words: int, spread: int, id_co
 
 
 def hot_seeds(sample: DataFrame, share: int = 4) -> DataFrame:
-    """(seed, parts) of the seeds that hold more than one ``share`` * width-th of the sampled occurrences: at most share * width seeds."""
+    """(seed, parts) of the seeds that hold more than one ``share`` * width-th of the sampled occurrences: at most share * width seeds.
+
+    Those with fewer than 150 sampled ones, some 10,000 in all, are no burden to a task.
+    """
     width = share * shuffle_width(sample.sparkSession)
-    counts = pinned(sample.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 7"), "counts")
+    counts = pinned(sample.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n >= 150"), "counts")
     total = sample.count()
     parts = F.ceil(F.col("n") * width / F.lit(max(1, total))).cast("int")
     return counts.select("seed", parts.alias("parts")).where("parts > 1")
@@ -97,7 +100,8 @@ def linked(occurrences: DataFrame, keys: list[str], k: int, min_words: int) -> D
     """(x, y, px, py, seed) with x < y: from each occurrence of a seed to that of the first document with it and of the last one before.
 
     Rows with a null x are the first of their keys and hand on (y, py, seed). Rows stream by in order; a task only keeps
-    the first and the last row of the seed at hand. A long key gives an anchor at each of its ends.
+    the first and the last row of the seed at hand. A long key gives an anchor at each of its ends. Occurrences that follow
+    another in the same document within ``min_words`` words give none: the alignment reaches them.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +122,8 @@ def linked(occurrences: DataFrame, keys: list[str], k: int, min_words: int) -> D
             first, last = [c[start[-1]] for c in cols], [c[-1] for c in cols]
             heads = own[new[own]]
             own = own[~new[own]]
+            # of occurrences in one document less than a passage apart, as in a line said over and over, the first speaks for all
+            own = own[(doc[own] != doc[own - 1]) | (np.abs(place[own] - place[own - 1]) >= min_words)]
             to_first = own[doc[own] != doc[start[own]]]
             before = own - 1
             also = (doc[before] != doc[own]) & (doc[before] != doc[start[own]]) & (place[own] >= 0)
@@ -232,7 +238,22 @@ def chain(parts: list[tuple[int, int, int]], skip_cost: float, max_gap: int) ->
     return found
 
 
-def chains(links: DataFrame, k: int, step: int, max_gap: int) -> DataFrame:
+def joined(found: list[list[tuple[int, int, int]]], far: int) -> list[list[tuple[int, int, int]]]:
+    """Chains that go on, at most ``far`` words later, on nearly the same diagonal are one: whether the words between match is seen when they are aligned."""
+    out: list[list[tuple[int, int, int]]] = []
+    for one in sorted(found):
+        x, y, _ = one[0]
+        for other in out[:-5:-1]:
+            a, b, n = other[-1]
+            if 0 < x - a <= far + n and 0 < y - b <= far + n and abs((x - y) - (a - b)) <= BAND:
+                other.extend(one)
+                break
+        else:
+            out.append(list(one))
+    return out
+
+
+def chains(links: DataFrame, k: int, step: int, max_gap: int, far: int) -> DataFrame:
     """(chain, x, y, frags, lo0, lo1, hi0, hi1): the chains of two anchors at least of each pair of documents, and where they begin and end in either.
 
     A pair's anchors come sorted to one task and are held together: they are at most two a seed of the later text.
@@ -247,7 +268,7 @@ def chains(links: DataFrame, k: int, step: int, max_gap: int) -> DataFrame:
             span = np.maximum.reduceat(py, first) - np.minimum.reduceat(py, first) + k
             for i in np.flatnonzero(span >= 2 * k).tolist():
                 a, b = first[i], last[i]
-                for found in chain(fragments(px[a:b], py[a:b], k, step), 0.1, max_gap):
+                for found in joined(chain(fragments(px[a:b], py[a:b], k, step), 0.1, max_gap), far):
                     if max(f[1] + f[2] for f in found) - found[0][1] >= 2 * k:
                         own = np.array(found, "<i4")
                         yield int(x[a]), int(y[a]), own.tobytes(), *own[0, :2].tolist(), *(own[:, :2] + own[:, 2:]).max(axis=0).tolist()
@@ -330,13 +351,22 @@ def extend(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 
 
 def gap_columns(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which columns match in an alignment of two short stretches: as many as the longer has words."""
+    """Which columns match in an alignment of two stretches: as many as the longer has words.
+
+    Long ones may differ by words put in or left out at one place, short ones anywhere.
+    """
     n = max(len(a), len(b))
     out = np.zeros(n, bool)
     if not len(a) or not len(b):
         return out
     if len(a) == len(b) and (a == b).mean() > 0.5:
         return a == b
+    if n > 64:
+        m = min(len(a), len(b))
+        head, tail = a[:m] == b[:m], a[len(a) - m :] == b[len(b) - m :]
+        t = int(np.argmax(np.concatenate(([0], np.cumsum(head))) - np.concatenate(([0], np.cumsum(tail)))))
+        out[:t], out[n - m + t :] = head[:t], tail[t:]
+        return out
     row = np.zeros(len(b) + 1, np.int32)
     for word in a:
         row[1:] = np.maximum(row[1:], row[:-1] + (b == word))
@@ -485,13 +515,13 @@ def passages(found: DataFrame, docs: DataFrame, min_words: int, similarity: floa
 
 
 def shared_passages(
-    docs: DataFrame, k: int = 5, rate: int = 5, spread: int = 16, min_words: int = 50, similarity: float = 0.8, max_gap: int = 40, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 5, rate: int = 5, spread: int = 16, min_words: int = 50, similarity: float = 0.8, max_gap: int = 40, far: int = 400, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Passages that a document shares with one of a smaller id: doc_id, start, stop, source_id, source_start, source_stop, matches, similarity.
 
     start and stop count words (see wordstream) of the whole text; a passage has ``min_words`` words at least in
     both. It is reported against the first document that has its seeds or long keys, and the last one before, so a
-    passage of n documents gives about 2 n rows, not n squared, and the document of the smallest id is only ever a source.
+    passage of n documents gives 2 to 3 n rows, not n squared, and the document of the smallest id is only ever a source.
     Every shared run of ``min_words`` + ``spread`` - 1 words or more is found; shorter and edited ones by their seeds.
     Null and empty texts and null ids share nothing; repetition within one document isn't reported; rows of one id
     are read as one document's. Of ties between places of a seed in its document the first counts. Ids are whole
@@ -500,7 +530,7 @@ def shared_passages(
     of = lambda table: seeds(table, k, rate, min_words, spread, id_col, text_col)
     sample = docs.where(F.pmod(F.xxhash64(docs[id_col], F.lit(11)), F.lit(64)) == 0)  # only tells which seeds to deal over several tasks
     links = anchors(of(docs), pinned(of(sample), "sample"), k, min_words)
-    return passages(pinned(chains(links, k, min_words, max_gap), "chains"), docs, min_words, similarity, id_col, text_col)
+    return passages(pinned(chains(links, k, min_words, max_gap, far), "chains"), docs, min_words, similarity, id_col, text_col)
 
 
 _word = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")

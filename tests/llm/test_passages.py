@@ -190,7 +190,7 @@ def test_many_copies_give_linear_rows(spark, make_prose):
     rng = random.Random(6)
     passage = make_prose(rng, 80)
     got = substring.shared_passages(frame(spark, {i: plant(rng, make_prose, passage) for i in range(300)})).collect()
-    assert {r["doc_id"] for r in got} == set(range(1, 300)) and len(got) <= 600
+    assert {r["doc_id"] for r in got} == set(range(1, 300)) and len(got) <= 900  # two, and a third where the first holder of a long key at an edge is another
 
 
 def test_passages_of_odd_rows(odd, none):
