@@ -44,6 +44,34 @@ def test_a_text_larger_than_a_shard(spark):
     assert split.pop("copy") <= 7 and sum(n > 1 for n in split.values()) <= 2
 
 
+def test_large_groups_that_fit_stay_whole(spark):
+    # groups of an eighth of a shard up to a whole one, beside pairs and single texts
+    sizes = [100, 90, 70, 45, 30, 25, 20, 14] + [2] * 60
+    texts, i = {}, 0
+    for g, size in enumerate(sizes):
+        for _ in range(size):
+            texts[i] = f"group {g}"
+            i += 1
+    while i < 800:
+        texts[i] = f"single {i}"
+        i += 1
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = sharding.shard_rows(docs, 8).collect()
+    check(rows, docs, 8)
+    split = parts(rows, texts)
+    assert all(split[f"group {g}"] == 1 for g in range(8))
+    # cut links as a share of all links in stars, against the least possible: none
+    cut = sum(n - 1 for n in split.values()) / sum(n - 1 for n in sizes if n > 1)
+    assert cut <= 0.01
+
+
+def test_shards_do_not_depend_on_the_order_of_rows(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for df, shards in ((docs, 5), (odd, 3)):
+        one = sorted(map(str, sharding.shard_rows(df, shards).collect()))
+        assert one == sorted(map(str, sharding.shard_rows(df.repartition(5), shards).collect()))
+
+
 def test_odd_few_and_no_rows(odd, none):
     check(sharding.shard_rows(odd, 3).collect(), odd, 3)
     check(sharding.shard_rows(odd, 24).collect(), odd, 24)
@@ -69,10 +97,11 @@ def test_shared_folder_is_the_session_s(spark):
     assert frames.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_without_ids_by_either_join(spark):
+def test_without_ids_by_either_join(spark, monkeypatch):
     docs, ids = spark.range(20).withColumnRenamed("id", "doc_id"), spark.range(0, 20, 2).withColumnRenamed("id", "doc_id")
     for most in (100, 3):
-        assert sorted(r[0] for r in frames.without_ids(docs, ids, broadcast_rows=most).collect()) == list(range(1, 20, 2))
+        monkeypatch.setattr(frames, "few", lambda keys, most=most: F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys)
+        assert sorted(r[0] for r in frames.without_ids(docs, ids).collect()) == list(range(1, 20, 2))
 
 
 def test_stages_in_order_and_each_takes_effect(spark):
