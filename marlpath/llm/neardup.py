@@ -313,9 +313,13 @@ def bucket_links(meetings: DataFrame, texts: DataFrame, n: int, idf, threshold:
 
 
 def with_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text), one row for each of ``ids``: these are broadcast if they are few, else a shuffled join."""
+    """(id, text), one row for each of ``ids`` (distinct): these are broadcast if they are few, else a shuffled join.
+
+    A written table, so that joins with it are plain ones, which adaptive skew handling splits.
+    """
     found = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(few(ids), "id", "left_semi")
-    return pinned(found, "texts").dropDuplicates(["id"])
+    table = pinned(found, "texts")
+    return table if table.count() <= ids.count() else pinned(table.dropDuplicates(["id"]), "texts")
 
 
 def verified_links(pairs: DataFrame, texts: DataFrame, n: int, idf, threshold: float) -> DataFrame:
