@@ -25,6 +25,13 @@ MINUTES = r"(?iu)(\d+)\s*(?:-|–|a)\s*(\d+)\s*min"
 MINUTES_ONE = r"(?iu)(\d+)\s*min"
 AGE = r"(?iu)\bedad(?:\s+m[ií]nima)?(?:\s+recomendada)?\s*:?\s*(\d{1,2})(?!\d)\s*\+?"
 AGE_YEARS = r"(?iu)\b(\d{1,2})(?!\d)(?:\s*(?:-|–|a)\s*\d{1,2}(?!\d))?\s*\+?\s*(?:años|anos)\b"
+#: Folded labels of product fields with players and minutes, in the order they are looked up.
+LEAST_PLAYERS = ("n min jugadores", "no min jugadores", "numero min jugadores", "min jugadores", "jugadores minimos")
+MOST_PLAYERS = ("n max jugadores", "no max jugadores", "numero max jugadores", "max jugadores", "jugadores maximos")
+LEAST_MINUTES = ("tiempo min partida min", "tiempo minimo partida min", "duracion min", "minutos min")
+MOST_MINUTES = ("tiempo max partida min", "tiempo maximo partida min", "duracion max", "minutos max")
+#: Class names of stock blocks.
+SOLD_OUT_CLASSES, STOCKED_CLASSES = ("out-of-stock", "outofstock"), ("in-stock", "instock")
 #: Marker texts of store platforms in pages, headers and addresses, in the order they are tested.
 PLATFORM_MARKERS = (
     ("shopify", ("cdn.shopify.com", "shopify.theme", "window.shopify", "myshopify.com", "x-shopify")),
@@ -107,18 +114,54 @@ def availability_of_schema(value: Column) -> Column:
     return F.when(any_word(low, ("instock", "in_stock")), "available").when(any_word(low, ("outofstock", "soldout", "out_of_stock")), "out_of_stock").otherwise("unknown")
 
 
+def price_of_page(offer: Column, blocks: Column, text: Column) -> Column:
+    """(source, price) of a page: its structured offer's, else that of the first price block with one, else that of its text."""
+    amount = F.regexp_extract(F.replace(F.coalesce(offer, F.lit("")), F.lit(","), F.lit("")), r"^\s*(\d+(?:\.\d+)?)\s*$", 1)
+    given = F.when(amount == "", "").when(amount.contains("."), amount).otherwise(F.concat(amount, F.lit(".00")))
+    found = F.try_element_at(F.filter(F.transform(blocks, lambda b: price_of(b)["price"]), lambda p: p != ""), F.lit(1))
+    chosen = first_price(json_ld_offer=given, woocommerce_product_price=F.coalesce(found, F.lit("")), generic_text=price_of(text)["price"])
+    return F.struct(F.coalesce(F.nullif(chosen["source"], F.lit("")), F.lit("none")).alias("source"), chosen["price"].alias("price"))
+
+
+def availability_of_page(offer: Column, blocks: Column, text: Column) -> Column:
+    """(source, availability) of a page: its structured offer's, else by class or words of the first stock block (class, text) that tells, else by its text."""
+    def told(block):
+        names = F.split(F.lower(F.trim(block["class"])), r"\s+")
+        has = lambda words: F.arrays_overlap(names, F.array(*[F.lit(w) for w in words]))
+        return F.when(has(SOLD_OUT_CLASSES), "out_of_stock").when(has(STOCKED_CLASSES), "available").otherwise(availability_of(block["text"]))
+
+    of_offer = availability_of_schema(F.coalesce(offer, F.lit("")))
+    of_block = F.coalesce(F.try_element_at(F.filter(F.transform(blocks, told), lambda a: a != "unknown"), F.lit(1)), F.lit("unknown"))
+    pair = lambda source, value: F.struct(F.lit(source).alias("source"), value.alias("availability"))
+    of_text = availability_of(text)
+    return (
+        F.when(of_offer != "unknown", pair("json_ld_offer", of_offer)).when(of_block != "unknown", pair("woocommerce_stock", of_block))
+        .when(of_text != "unknown", pair("generic_text", of_text)).otherwise(pair("none", F.lit("unknown")))
+    )
+
+
 def group(text: Column, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).try_cast("int")
 
 
-def players_of(text: Column) -> Column:
-    """(min, max) players of "2 a 4 jugadores", "jugadores: 2-4" and the like."""
-    return F.struct(*[F.coalesce(group(text, PLAYERS, i), group(text, PLAYERS_AFTER, i)).alias(n) for i, n in ((1, "min"), (2, "max"))])
+def field_number(fields: Column | None, labels: tuple[str, ...]) -> Column:
+    """The first number in the field with the first of these (folded) labels; null without one."""
+    if fields is None:
+        return F.lit(None).cast("int")
+    return group(F.coalesce(*[F.try_element_at(fields, F.lit(label)) for label in labels], F.lit("")), r"(\d+)", 1)
+
+
+def players_of(text: Column, fields: Column | None = None) -> Column:
+    """(min, max) players of "2 a 4 jugadores", "jugadores: 2-4" and the like; without such a text out of labelled fields (a map of folded labels)."""
+    said = text.rlike(PLAYERS) | text.rlike(PLAYERS_AFTER)
+    part = lambda i, labels: F.when(said, F.coalesce(group(text, PLAYERS, i), group(text, PLAYERS_AFTER, i))).otherwise(field_number(fields, labels))
+    return F.struct(part(1, LEAST_PLAYERS).alias("min"), part(2, MOST_PLAYERS).alias("max"))
 
 
-def minutes_of(text: Column) -> Column:
-    """(min, max) minutes of a range, or of a single number both."""
-    return F.struct(*[F.when(text.rlike(MINUTES), group(text, MINUTES, i)).otherwise(group(text, MINUTES_ONE, 1)).alias(n) for i, n in ((1, "min"), (2, "max"))])
+def minutes_of(text: Column, fields: Column | None = None) -> Column:
+    """(min, max) minutes of a range, or of a single number both; without either out of labelled fields."""
+    part = lambda i, labels: F.when(text.rlike(MINUTES), group(text, MINUTES, i)).when(text.rlike(MINUTES_ONE), group(text, MINUTES_ONE, 1)).otherwise(field_number(fields, labels))
+    return F.struct(part(1, LEAST_MINUTES).alias("min"), part(2, MOST_MINUTES).alias("max"))
 
 
 def min_age_of(text: Column) -> Column:

@@ -22,6 +22,12 @@ def platform_of(platform: Column, payload: Column) -> Column:
     return F.when(F.trim(platform) != "", platform).when(payload.ilike("%shopify%"), "shopify").otherwise("custom")
 
 
+def change_event(field: Column, value: Column) -> Column:
+    """What a change row says: a store's item switched on or off, an update without a field, or the field in words."""
+    switched = F.when(field == "store_active", F.when(same_json(value, "false"), "Item deactivated").when(same_json(value, "true"), "Item activated"))
+    return F.coalesce(switched, F.when(field == "", "Item updated").otherwise(F.concat(F.initcap(F.replace(field, F.lit("_"), F.lit(" "))), F.lit(" changed"))))
+
+
 def unlike_sql(text: str) -> str:
     """``text`` with LIKE's wildcards and the escape itself escaped."""
     return text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")

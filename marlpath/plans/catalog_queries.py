@@ -206,9 +206,8 @@ def union_distinct_links(spark, sf):
 
 @query(SQL + """ SELECT brand, string_agg(canonical_name, '|' ORDER BY size, canonical_name) AS names FROM items WHERE item_type = 'expansion' GROUP BY brand""")
 def ordered_array_agg(spark, sf):
-    pairs = F.array_sort(F.collect_list(F.struct("size", "canonical_name")))
-    found = tables.items(spark, sf).where("item_type = 'expansion'").groupBy("brand").agg(pairs.alias("p"))
-    return found.select("brand", F.array_join(F.transform("p", lambda x: x["canonical_name"]), "|").alias("names"))
+    found = tables.items(spark, sf).where("item_type = 'expansion'").groupBy("brand").agg(catalog.ordered_list("canonical_name", "size").alias("p"))
+    return found.select("brand", F.array_join("p", "|").alias("names"))
 
 
 @query(SQL + """ SELECT store_id, list_aggregate(list_sort(list(DISTINCT brand)), 'string_agg', ',') AS brands FROM store_items s JOIN items i ON i.id = s.item_id GROUP BY store_id""")

@@ -126,6 +126,20 @@ kernel("json_equality", lambda v: predicates.same_json(v, '{"a": 1, "b": [true]}
 kernel("name_prefixes", lambda v: predicates.starts_with(v, "50%_"), (("50%_off",), "true"), (("50xyoff",), "false"), ((None,), "false"))
 kernel("array_conditions", lambda v: F.concat_ws(" ", predicates.any_of(F.split(v, ","), ["a", "b"]), predicates.none_of(F.lit("c"), F.split(v, ","))), (("a,x",), "true true"), (("c,x",), "false false"), (("",), "false true"))
 
+kernel("page_prices", lambda o, b, t: F.concat_ws(" ", *[offers.price_of_page(o, F.array_compact(F.array(b)), t)[c] for c in ("source", "price")]),
+    (("1,200.50", "$ 3", "$ 5"), "json_ld_offer 1200.50"), ((None, "$ 300", "$ 5"), "woocommerce_product_price 300.00"), (("", "agotado", "desde $5.5"), "generic_text 5.5"), ((None, None, "x"), "none "))
+kernel("page_stock", lambda o, c, b, t: F.concat_ws(" ", *[offers.availability_of_page(o, F.array(F.struct(c.alias("class"), b.alias("text"))), t)[n] for n in ("source", "availability")]),
+    (("InStock", "stock out-of-stock", "", ""), "json_ld_offer available"), (("", "stock Out-Of-Stock", "hay", "comprar"), "woocommerce_stock out_of_stock"), ((None, "p", "agotado", "comprar"), "woocommerce_stock out_of_stock"),
+    ((None, "p", "x", "comprar"), "generic_text available"), ((None, "in-stock-x", "", ""), "none unknown"))
+kernel("labelled_players", lambda t, k, v: pair(offers.players_of(t, F.create_map(k, v, F.lit("max jugadores"), F.lit("hasta 6")))),
+    (("", "n min jugadores", "2 personas"), "2-6"), (("De 3 a 4 jugadores", "n min jugadores", "2"), "3-4"), (("", "otro", "9"), "6"))
+kernel("labelled_minutes", lambda t, k, v: pair(offers.minutes_of(t, F.create_map(k, v))), (("", "duracion min", "30"), "30"), (("45 min", "duracion min", "30"), "45-45"), (("", "x", "1"), ""))
+kernel("visible_descriptions", lambda t, n: products.visible_description(t, F.split(n, r"\|")),
+    (("Catan", "Inicio|CATÁN|Un juego de comercio.|$ 500|Agregar al carrito|Jugadores: 3|Para toda la familia.|Productos relacionados|Azul"), "Un juego de comercio. Para toda la familia."),
+    (("Catan", "Inicio|Azul|Un juego"), ""), (("Catan", "Catan|Agotado|" + "x" * 899 + "|mas|otra"), "x" * 899 + " mas"), (("", "a|b"), ""))
+kernel("change_events", lambda f, v: predicates.change_event(f, v),
+    (("store_active", "false"), "Item deactivated"), (("store_active", " true "), "Item activated"), (("", "1"), "Item updated"), (("raw_price", '"1"'), "Raw Price changed"), (("store_active", "null"), "Store Active changed"))
+
 
 SCORED = (
     ("Catan (Spanish edition)", "Catan", "", "0.94 exact local item name match after ignoring language edition"),

@@ -203,3 +203,34 @@ def cache_cascade(spark, sf):
     first = talk.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("value")).select(F.col("conv_id").alias("key"), "value")
     never = first.where("key < 0")
     return match.cache_lookup(talk.select(F.col("conv_id").alias("key")).distinct(), never, first).select(F.col("key").alias("conv_id"), F.col("value").alias("first_user_text"))
+
+
+CASCADE = """WITH w AS (SELECT p_partkey AS query_id, p_name AS query, lower(p_name) AS folded, 'img' || p_size AS context FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 3), lower(split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 3)), NULL FROM part WHERE p_partkey % 2 = 1),
+s AS (SELECT lower(p_name) || CASE p_partkey % 4 WHEN 0 THEN '::cover-context:img' || p_size WHEN 1 THEN '' ELSE '::cover-context:img' || (p_size + 1) END AS key, 'ai' AS kind, p_partkey * 2 AS external_id, 1 AS result_rank, p_size AS age FROM part
+UNION ALL SELECT lower(p_name), 'plain', p_partkey * 2 + k, k, p_size FROM part, (VALUES (1), (2), (3)) AS r(k)),
+c AS (SELECT p_partkey AS external_id, lower(p_name) AS name, p_size AS year FROM part WHERE p_partkey % 3 <> 0), t AS (SELECT p_partkey + 500 AS external_id, lower(p_name) AS name, p_size AS year FROM part WHERE p_partkey % 3 <> 1),
+h AS (SELECT query_id, external_id, 1 AS level, 0 AS a, result_rank AS b FROM w JOIN s ON kind = 'ai' AND key = folded || '::cover-context:' || context
+UNION ALL SELECT query_id, external_id, 2, age, result_rank FROM w JOIN s ON kind = 'ai' AND split_part(key, '::cover-context:', 1) = folded AND key LIKE '%::cover-context:%' AND key <> coalesce(folded || '::cover-context:' || context, '')
+UNION ALL SELECT query_id, external_id, CASE kind WHEN 'ai' THEN 3 ELSE 4 END, 0, result_rank FROM w JOIN s ON key = folded
+UNION ALL SELECT query_id, external_id, level, 0, b FROM (SELECT query_id, external_id, level, row_number() OVER (PARTITION BY query_id, level ORDER BY lower(query) <> name, year DESC NULLS LAST, external_id DESC) AS b
+    FROM w JOIN (SELECT *, 5 AS level FROM c UNION ALL SELECT *, 6 FROM t) n ON name LIKE '%' || replace(folded, ' ', '%') || '%') WHERE b <= 20),
+m AS (SELECT query_id, external_id, min((level, a, b)) AS m FROM h WHERE external_id > 0 GROUP BY ALL)
+SELECT query_id, external_id, m[1] AS level, m[1] = 1 AS verified, row_number() OVER (PARTITION BY query_id ORDER BY m, external_id) AS rank FROM m"""
+
+
+@query(CASCADE)
+def search_caches(spark, sf):
+    """Half of the catalogue's names with a picture as context and two words of the others, looked up in searches and names made of the catalogue."""
+    part = tables.read(spark, sf, "part")
+    key, name = F.col("p_partkey"), F.lower("p_name")
+    short = F.concat_ws(" ", F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(3)))
+    even = part.where("p_partkey % 2 = 0").select(key.alias("query_id"), F.col("p_name").alias("query"), name.alias("folded"), F.concat(F.lit("img"), "p_size").alias("context"))
+    odd = part.where("p_partkey % 2 = 1").select(key.alias("query_id"), short.alias("query"), F.lower(short).alias("folded"), F.lit(None).cast("string").alias("context"))
+    other = F.when(key % 4 == 0, F.concat(F.lit("::cover-context:img"), "p_size")).when(key % 4 == 1, "").otherwise(F.concat(F.lit("::cover-context:img"), F.col("p_size") + 1))
+    at = F.timestamp_seconds(F.lit(10**9) - F.col("p_size"))
+    by_ai = part.select(F.concat(name, other).alias("key"), F.lit("ai").alias("kind"), (key * 2).alias("external_id"), F.lit(1).alias("result_rank"), at.alias("updated_at"))
+    plain = part.select(name.alias("key"), F.lit("plain").alias("kind"), F.explode(F.array(*[F.struct((key * 2 + k).alias("external_id"), F.lit(k).alias("result_rank")) for k in (1, 2, 3)])).alias("r"), at.alias("updated_at"))
+    searches = by_ai.unionByName(plain.select("key", "kind", "r.*", "updated_at"))
+    named = lambda more, rest: part.where(F.col("p_partkey") % 3 != rest).select((key + more).alias("external_id"), F.col("p_name").alias("name"), F.col("p_size").alias("year"))
+    return match.search_cascade(even.unionByName(odd), searches, named(0, 0), named(500, 1))
