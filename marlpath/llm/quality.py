@@ -1,8 +1,8 @@
-"""Text quality by naive Bayes support vectors over n-grams of token shapes.
+"""Text quality by naive Bayes support vectors over n-grams of token shapes and of words.
 
 A token's shape is its leading and trailing punctuation and the case of what is between; a token that repeats the
-one before it has the shape "again". Indicators of shape n-grams (n = 1 to 3) are scaled by the classes' log-count
-ratios, and a linear squared-hinge model is fitted to them by dual coordinate descent.
+one before it has the shape "again". Indicators of shape n-grams (n = 1 to 3) and word n-grams (n = 1, 2) are scaled by
+the classes' log-count ratios, and a linear model with hinge loss is fitted to them by dual coordinate descent.
 """
 
 from __future__ import annotations
@@ -18,8 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import calibrate, labelled_sample, sigmoid
+from .wordstream import chunks, mix, shingles, words
 
-DIM = 1 << 17
+#: Hash cells of shape n-grams, and of word n-grams after them.
+SHAPES, WORDS = 1 << 17, 1 << 19
+DIM = SHAPES + WORDS
+#: A word n-gram counts from so many documents of the sample on.
+LEAST = 5
 AGAIN = np.uint64(0x51ED270B)
 _parts = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 
@@ -67,6 +72,19 @@ def shape_ngrams(text: str, longest: int = 3) -> np.ndarray:
     return np.unique(np.concatenate(found)).astype(np.uint32)
 
 
+def ngrams(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The distinct features of each text: its shape n-grams, and its words and pairs of words."""
+    for lo, hi in chunks(texts):
+        w = words(texts[lo:hi])
+        pair, at = shingles(w, 2)
+        cell = lambda h: ((mix(h) >> np.uint64(45)) + np.uint64(SHAPES)).astype(np.uint32)
+        one, two = cell(w.hash), cell(pair ^ np.uint64(0x5BF03635))
+        cut = np.searchsorted(w.doc[at], np.arange(hi - lo + 1))
+        for i in range(hi - lo):
+            own = np.concatenate((one[w.first[i] : w.first[i + 1]], two[cut[i] : cut[i + 1]]))
+            yield np.concatenate((shape_ngrams(texts[lo + i] or ""), np.unique(own)))
+
+
 class Model(NamedTuple):
     """Weight of each n-gram indicator, and the sigmoid's offset; ``constant`` where no model could be fitted."""
 
@@ -78,24 +96,25 @@ class Model(NamedTuple):
 
 
 def nb_support_vectors(features: list[np.ndarray], label: np.ndarray, c: float, epochs: int, seed: int = 0) -> tuple[np.ndarray, float]:
-    """(weights, bias): log-count ratios times the weights that dual coordinate descent fits to the scaled indicators."""
+    """(weights, bias): log-count ratios times the weights that dual coordinate descent fits to the scaled indicators, with hinge loss and penalty ``c``."""
     sums = [np.ones(DIM), np.ones(DIM)]
     for f, y in zip(features, label):
         sums[y][f] += 1
     ratio = np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
+    ratio[SHAPES:][(sums[0] + sums[1])[SHAPES:] - 2 < LEAST] = 0
+    features = [f[ratio[f] != 0] for f in features]
     sign = 2.0 * label - 1
     w, bias = np.zeros(DIM), 0.0
     alpha = np.zeros(len(features))
-    scaled = [ratio[f] for f in features]
-    square = np.array([x @ x + 1 for x in scaled])
-    slack = 1 / (2 * c)
+    scaled = [ratio[f].astype(np.float32) for f in features]
+    square = np.array([float(x @ x) + 1 for x in scaled])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(features)):
             f, x = features[i], scaled[i]
-            gradient = sign[i] * (w[f] @ x + bias) - 1 + slack * alpha[i]
-            new = max(alpha[i] - gradient / (square[i] + slack), 0.0)
+            gradient = sign[i] * (w[f] @ x + bias) - 1
+            new = min(max(alpha[i] - gradient / square[i], 0.0), c)
             step = (new - alpha[i]) * sign[i]
             if step:
                 w[f] += step * x
@@ -116,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: in
     def features(texts: DataFrame) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                made = [shape_ngrams(t or "").tobytes() for t in batch.column(1).to_pylist()]
+                made = [f.tobytes() for f in ngrams(batch.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "features"])
 
         return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, features binary")
@@ -147,7 +166,7 @@ def scores(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
-            found = np.array([own.score(shape_ngrams(t.as_py() or "")) for t in batch.column(1)], float)
+            found = np.array([own.score(f) for f in ngrams(batch.column(1).to_pylist())], float)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32), pa.int32())], ["id", "score", "predicted"]
             )
@@ -165,7 +184,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
-            good = [own.score(shape_ngrams(t.as_py() or "")) >= threshold for t in batch.column(at)]
+            good = [own.score(f) >= threshold for f in ngrams(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
