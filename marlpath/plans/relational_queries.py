@@ -135,14 +135,17 @@ n AS (SELECT p_partkey AS item_id, p_name AS name FROM part), t AS (SELECT DISTI
 w AS (SELECT DISTINCT title, unnest(string_split(title, ' ')) AS token FROM t), h AS (SELECT item_id, name, unnest(string_split(name, ' ')) AS token FROM n),
 s AS (SELECT title, item_id, name, count(*) AS shared FROM w JOIN h USING (token) GROUP BY ALL),
 p AS (SELECT title, item_id, max(shared) AS overlap, bool_or(name = title) AS exact FROM s GROUP BY ALL),
-r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY exact DESC, overlap DESC, item_id) AS rank FROM p) WHERE rank <= 100)
-SELECT listing_id, item_id, exact, overlap, rank FROM l JOIN r USING (title)""")
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY title ORDER BY exact DESC, overlap DESC, item_id) AS rank FROM p) WHERE rank <= 100),
+b AS (SELECT title, bool_or(exact) AS exact, string_agg(item_id, ',' ORDER BY rank) AS items, string_agg(overlap, ',' ORDER BY rank) AS shared FROM r GROUP BY title)
+SELECT listing_id, exact, items, shared FROM l JOIN b USING (title)""")
 def token_overlap_block(spark, sf):
     part = tables.read(spark, sf, "part")
     names = part.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"))
     sold = orders(spark, sf).withColumn("item_id", F.col("o_orderkey") % part.count() + 1)
     listings = sold.join(names, "item_id").select(F.col("o_orderkey").alias("listing_id"), F.concat("name", F.when(F.col("o_orderkey") % 3 == 0, " english edition").otherwise("")).alias("title"))
-    return match.candidates(listings, names)
+    found = match.candidate_lists(listings, names)
+    joined = lambda field: F.array_join(F.transform("found", lambda x: x[field].cast("string")), ",")
+    return found.select("listing_id", F.exists("found", lambda x: x["exact"]).alias("exact"), joined("item_id").alias("items"), joined("overlap").alias("shared"))
 
 
 @query()
