@@ -142,6 +142,48 @@ def add_relationship(relationships: DataFrame, wanted: DataFrame) -> DataFrame:
     return insert_missing(relationships.join(back, key, "left_anti"), wanted, key)
 
 
+def relate_items(relationships: DataFrame, taxonomy: DataFrame, items: DataFrame, wanted: DataFrame) -> dict[str, DataFrame]:
+    """Relationships and taxonomy after edits (current_id, other_id, link_type, direction, source, source_ref) of known, different items.
+
+    "incoming" edits run from the other item to the current one. An extension or implementation removes its opposite; a known
+    edge takes the new source. An implementation's first item takes the categories of its second (taxonomy: item_id,
+    category_type, category_id). Of several edits of one edge the one with the greatest source counts.
+    """
+    known = items.select("id")
+    turned = F.col("direction") == "incoming"
+    edges = (
+        wanted.where("current_id <> other_id")
+        .join(known.withColumnRenamed("id", "current_id"), "current_id", "left_semi").join(known.withColumnRenamed("id", "other_id"), "other_id", "left_semi")
+        .select(F.when(turned, F.col("other_id")).otherwise(F.col("current_id")).alias("item_a_id"), "link_type", F.when(turned, F.col("current_id")).otherwise(F.col("other_id")).alias("item_b_id"), "source", "source_ref")
+    )
+    key = ["item_a_id", "link_type", "item_b_id"]
+    saved = edges.groupBy(*key).agg(F.max(F.struct("source", "source_ref")).alias("s")).select(*key, "s.*")
+    back = saved.where(F.col("link_type").isin("extension", "implementation")).select(F.col("item_b_id").alias("item_a_id"), "link_type", F.col("item_a_id").alias("item_b_id"))
+    after = upsert(relationships.join(back, key, "left_anti"), saved, key, ["source", "source_ref"])
+    base = taxonomy.withColumnRenamed("item_id", "item_b_id")
+    copied = saved.where("link_type = 'implementation'").join(base, "item_b_id").select(F.col("item_a_id").alias("item_id"), "category_type", "category_id")
+    return {"relationships": after, "taxonomy": insert_missing(taxonomy, copied, ["item_id", "category_type", "category_id"])}
+
+
+def upsert_listings(listings: DataFrame, fresh: DataFrame, next_ids: Column) -> DataFrame:
+    """``listings`` with fetched ones put in by (store_id, source_url), null-safe, and should_process.
+
+    Known ones keep id, listing_status and item_id; others are new with the id ``next_ids`` (over the fetched row) and always to be processed.
+    A known one is to be processed if it has no item, no match_source and was never processed.
+    """
+    kept = {"id", "listing_status", "item_id", "match_source", "processed_at", "store_id", "source_url"}
+    o, n = listings.withColumn("_old", F.lit(True)).alias("o"), fresh.withColumn("id", next_ids).alias("n")
+    both = n.join(o, F.col("n.store_id").eqNullSafe(F.col("o.store_id")) & F.col("n.source_url").eqNullSafe(F.col("o.source_url")), "left")
+    has = F.col("o._old").isNotNull()
+    value = lambda c: (F.col(f"n.{c}") if c in fresh.columns or c == "id" else F.lit(None))
+    touched = both.select(
+        *[(F.when(has, F.col(f"o.{c}")).otherwise(value(c)) if c in kept else (value(c) if c in fresh.columns else F.col(f"o.{c}"))).alias(c) for c in listings.columns],
+        F.when(has, F.col("o.item_id").isNull() & (F.coalesce(F.col("o.match_source"), F.lit("")) == "") & F.col("o.processed_at").isNull()).otherwise(True).alias("should_process"),
+    )
+    rest = listings.join(touched.select("id"), "id", "left_anti").withColumn("should_process", F.lit(False))
+    return rest.unionByName(touched)
+
+
 def delete_items(store_items: DataFrame, additional: DataFrame, relationships: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
     """All tables after items went: their listings wait for a match again, their links and relations go; counts beside them."""
     own = ids.select(F.col("item_id")).distinct()

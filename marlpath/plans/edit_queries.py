@@ -165,3 +165,44 @@ def stale_vectors(spark, sf):
     sources = part.select(F.col("p_partkey").alias("item_id"), F.concat(F.lit("a"), "p_size").alias("source_hash"))
     stored = part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("item_id"), F.when(F.col("p_size") % 3 == 0, "old").otherwise(F.concat(F.lit("a"), "p_size")).alias("source_hash"))
     return imports.vectors_to_embed(sources, stored)
+
+
+RELATED = SQL + """, r AS (SELECT p_partkey AS a, CASE p_size % 3 WHEN 0 THEN 'extension' WHEN 1 THEN 'expansion' ELSE 'implementation' END AS t, (p_partkey * 13) % (SELECT count(*) FROM part) + 1 AS b, 'old' AS source FROM part WHERE p_partkey % 5 = 0),
+w AS (SELECT CASE WHEN p_size % 2 = 0 THEN o ELSE p_partkey END AS a, t, CASE WHEN p_size % 2 = 0 THEN p_partkey ELSE o END AS b FROM (SELECT *, (p_partkey * 13) % (SELECT count(*) FROM part) + 1 AS o,
+    CASE p_size % 3 WHEN 0 THEN 'extension' WHEN 1 THEN 'expansion' ELSE 'implementation' END AS t FROM part) WHERE o <> p_partkey AND o IN (SELECT p_partkey FROM part)),
+s AS (SELECT DISTINCT a, t, b FROM w), k AS (SELECT r.* FROM r WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.t = r.t AND s.t <> 'expansion' AND s.a = r.b AND s.b = r.a))"""
+
+
+def edits_of(spark, sf):
+    part = tables.read(spark, sf, "part")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(size % 3 == 0, "extension").when(size % 3 == 1, "expansion").otherwise("implementation")
+    other = (key * 13) % part.count() + 1
+    had = part.where("p_partkey % 5 = 0").select(key.alias("item_a_id"), kind.alias("link_type"), other.alias("item_b_id"), F.lit("old").alias("source"), F.lit(None).cast("string").alias("source_ref"))
+    wanted = part.select(key.alias("current_id"), other.alias("other_id"), kind.alias("link_type"), F.when(size % 2 == 0, "incoming").otherwise("outgoing").alias("direction"), F.lit("new").alias("source"), F.lit("x").alias("source_ref"))
+    groups = part.select(key.alias("item_id"), F.lit("brand").alias("category_type"), F.col("p_brand").alias("category_id"))
+    return merge.relate_items(had, groups, tables.items(spark, sf), wanted)
+
+
+@query(RELATED + """ SELECT coalesce(s.a, k.a) AS item_a_id, coalesce(s.t, k.t) AS link_type, coalesce(s.b, k.b) AS item_b_id, CASE WHEN s.a IS NULL THEN k.source ELSE 'new' END AS source
+FROM k FULL JOIN s ON s.a = k.a AND s.t = k.t AND s.b = k.b""")
+def related_items(spark, sf):
+    return edits_of(spark, sf)["relationships"].select("item_a_id", "link_type", "item_b_id", "source")
+
+
+@query(RELATED + """ SELECT p_partkey AS item_id, p_brand AS category_id FROM part UNION SELECT s.a, p_brand FROM s JOIN part ON p_partkey = s.b WHERE s.t = 'implementation'""")
+def copied_taxonomy(spark, sf):
+    return edits_of(spark, sf)["taxonomy"].select("item_id", "category_id")
+
+
+@query(ONE + """, u AS (SELECT store_id, source_url, min(id) AS id, min(item_id) AS item_id, min(listing_status) AS listing_status FROM one GROUP BY ALL),
+had AS (SELECT *, CASE WHEN id % 4 = 0 THEN 'ai' ELSE '' END AS match_source, id % 9 = 0 AS done FROM u WHERE id % 3 <> 0)
+SELECT coalesce(h.id, u.id + 1000000000) AS id, u.source_url, h.item_id, coalesce(h.listing_status, 'PENDING') AS listing_status, 'T' || u.id AS title,
+    h.id IS NULL OR (h.item_id IS NULL AND h.match_source = '' AND NOT h.done) AS should_process FROM u LEFT JOIN had h ON h.id = u.id""")
+def upserted_listings(spark, sf):
+    own = listings_of(spark, sf).groupBy("store_id", "source_url").agg(F.min("id").alias("id"), F.min("item_id").alias("item_id"), F.min("listing_status").alias("listing_status"))
+    had = own.where("id % 3 <> 0").withColumns({
+        "match_source": F.when(F.col("id") % 4 == 0, "ai").otherwise(""), "processed_at": F.when(F.col("id") % 9 == 0, F.lit("2024-01-01").cast("timestamp")), "title": F.lit("old"),
+    })
+    fresh = own.select("store_id", "source_url", F.concat(F.lit("T"), "id").alias("title"), F.lit("PENDING").alias("listing_status"), F.lit(None).cast("long").alias("item_id"), F.col("id").alias("k"))
+    return merge.upsert_listings(had, fresh, F.col("k") + 1_000_000_000).select("id", "source_url", "item_id", "listing_status", "title", "should_process")
