@@ -20,6 +20,8 @@ LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿĀ-ſ"
 DIGITS = "0-9²³¹¼-¾"
 #: A character for which no rule is written out here: other scripts, control characters, odd white space.
 OTHER = re.compile(r"[^\t\n\r -~¡-¬®-ňŊ-žİ]|[İ]")
+#: White space at which a text may be cut whatever characters it has.
+SPACES = re.compile(r"[ \t\n\r]+")
 #: White space where cutting before a space could part one piece in two.
 RUN = ("  ", " \n", "\n ", "\t", "\r")
 
@@ -77,11 +79,11 @@ class WordCounter:
     """Token counts of a word-end BPE vocabulary, by the whole-token shortcut.
 
     ``single`` holds every string that encodes alone as one token. It is proved once, by running the merges on each
-    vocabulary entry that ends a word, before any text is seen. A pre-token found in it counts 1 without merging;
-    only the others are merged, and their counts remembered.
+    vocabulary entry that ends a word, before any text is seen, and may be handed on to other counters. A pre-token
+    found in it counts 1 without merging; only the others are merged, and their counts remembered.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, single: frozenset[str] | None = None, most: int = 500_000):
         spec = json.loads(open(path, encoding="utf-8").read())
         self.end = spec["model"]["end_of_word_suffix"]
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -89,9 +91,10 @@ class WordCounter:
         self.model = self.whole.model
         stand_in = {b: c for c, b in byte_alphabet().items()}
         self.spelling = [stand_in[b] for b in range(256)]
-        self.single = self._prove(spec["model"]["vocab"])
+        self.single = self._prove(spec["model"]["vocab"]) if single is None else single
         self.memo = _Memo(self._piece, most)
         self.words = _Memo(self._word, most // 2)
+        self.odd = _Memo(lambda piece: len(self.whole.encode(piece, add_special_tokens=False).ids), most // 10)
         self.split = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
 
     def _prove(self, vocab: dict[str, int]) -> frozenset[str]:
@@ -122,9 +125,11 @@ class WordCounter:
         return sum(map(self.words.__getitem__, self.split.findall(low)))
 
     def count(self, text: str) -> int:
-        """Tokens of a null-free text; pieces between white space never share a token."""
-        if "<|" in text and any(s in text for s in self.special) or OTHER.search(text):
+        """Tokens of a null-free text; pieces between white space never share a token, so only pieces with odd characters go to the library."""
+        if "<|" in text and any(s in text for s in self.special):
             return len(self.whole.encode(text, add_special_tokens=False).ids)
+        if OTHER.search(text):
+            return sum((self.odd if OTHER.search(p) else self.memo)[p] for p in SPACES.split(text) if p)
         return sum(map(self.memo.__getitem__, text.split()))
 
 
@@ -134,5 +139,5 @@ def byte_bpe(path: str) -> ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def word_counter(path: str) -> WordCounter:
-    return WordCounter(path)
+def word_counter(path: str, single: frozenset[str] | None = None) -> WordCounter:
+    return WordCounter(path, single)

@@ -14,13 +14,15 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     """Per row of ``docs``: its id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``).
 
     ``tokenizer`` is the path of a word-end BPE vocabulary, present on every executor. One pass, no shuffle: the
-    vocabulary's proof that strings are whole tokens is made once per Python worker. Null and empty texts have
+    proof which of the vocabulary's strings are whole tokens is made once, on the driver, and broadcast (its size is the vocabulary's). Null and empty texts have
     0 bytes and 0 tokens; repeated rows are counted each; an empty table gives no rows; columns other than the
     two named are not read. Texts are taken whole, however long.
     """
 
+    proved = docs.sparkSession.sparkContext.broadcast(bpe.word_counter(tokenizer).single)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = bpe.word_counter(tokenizer)
+        counter = bpe.word_counter(tokenizer, proved.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             tokens = [counter.count(t) for t in texts]

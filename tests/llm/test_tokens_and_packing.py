@@ -1,3 +1,4 @@
+import random
 import zlib
 from array import array
 
@@ -107,3 +108,13 @@ def test_sequences_hold_the_ids(odd):
     for r in packing.sequences(packed).collect():
         own = b"".join(bytes(p["ids"]) for p in parts if p["sequence_id"] == r["sequence_id"])
         assert bytes(r["ids"]) == own and len(own) == 4 * r["n_tokens"]
+
+
+def test_odd_characters_go_to_the_library_by_the_piece():
+    counter = bpe.word_counter(WORD)
+    rng = random.Random(1)
+    odd = [chr(c) for c in (0x2019, 0x201C, 0x2013, 0xA0, 0x2003, 0x2028, 0x85, 0x1C, 0x0B, 0x300, 0x3A3, 0x3C3, 0x130, 0xAD, 0x200B, 0x1F600, 0x4E2D, 0xFB01, 0x345, 0x0, 0x5D0, 0xE33)]
+    base = [*"abcXYZ 019.,'!-&<|>\n\t\r  ", "the ", "'s", "don't ", " word", "Zürich ", "él "]
+    for _ in range(3000):
+        text = "".join(rng.choice(odd if rng.random() < 0.25 else base) for _ in range(rng.randint(1, 25)))
+        assert counter.count(text) == len(counter.whole.encode(text, add_special_tokens=False).ids)
