@@ -135,3 +135,14 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == odd.columns
+            kept = {(r["doc_id"], r["text"]) for r in out.collect()}
+            assert kept <= {(r["doc_id"], r["text"]) for r in odd.collect()}
+        else:
+            assert out.where("doc_id is not null").select("doc_id").distinct().count() == 9
