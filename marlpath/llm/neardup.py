@@ -352,7 +352,7 @@ def near_duplicates(
     threshold: float = 0.8,
     bands: int = 10,
     rows: int = 3,
-    part_size: int = 1 << 20,
+    part_size: int = 1 << 17,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
