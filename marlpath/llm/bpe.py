@@ -48,7 +48,7 @@ class _Memo(dict):
 class ByteBpe:
     """Ids of a byte-level BPE vocabulary, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         spec = json.loads(open(path, encoding="utf-8").read())
         byte_of = byte_alphabet()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -30,10 +30,10 @@ _parts = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 
 
 class _Shapes(dict):
-    """Token -> 32-bit shape, remembered for up to 300,000 tokens."""
+    """Token -> 32-bit shape, remembered for up to 120,000 tokens."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 120_000:
             self.clear()
         lead, core, trail = _parts.match(token).groups()
         if not core:
