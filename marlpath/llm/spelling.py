@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .blocks import meet
 from .frames import pinned
 
-#: Letters a to z have a dimension each, all others share the rest by their code.
+#: Letters a to z have a dimension each, all others share the rest by their code; two bits a dimension are 64.
 DIMS, PLAIN = 32, 26
 #: Words of this length and longer are one class.
 LONGEST = 255
@@ -74,7 +74,11 @@ def word_counts(docs: DataFrame, least: int = 7, least_n: int = 2, drop_one_in:
 
 
 class Spelled:
-    """Words as code points, lengths and points (letter counts, 127 at most: that shortens distances only)."""
+    """Words as code points, lengths and points.
+
+    A point's coordinates are letter counts up to 2, written in unary as two bits each (0, 1, 3) of one number: the L1
+    distance of two points is the number of bits in which they differ. That counts above 2 are alike shortens distances only.
+    """
 
     def __init__(self, words: list[str]):
         self.words = words
@@ -84,7 +88,8 @@ class Spelled:
         code = self.flat.astype(np.int64)
         dim = np.where((code >= 97) & (code <= 122), code - 97, PLAIN + code % (DIMS - PLAIN))
         cells = np.repeat(np.arange(len(words)), self.length) * DIMS + dim
-        self.points = np.minimum(np.bincount(cells, minlength=len(words) * DIMS), 127).astype(np.int8).reshape(-1, DIMS)
+        counts = np.bincount(cells, minlength=len(words) * DIMS).reshape(-1, DIMS)
+        self.points = np.packbits(np.stack((counts > 0, counts > 1), axis=2).reshape(len(words), -1), axis=1).view("<u8").ravel()
 
     def letters(self, at: np.ndarray, length: int) -> np.ndarray:
         return self.flat[self.first[at][:, None] + np.arange(length)]
@@ -109,61 +114,48 @@ def one_edit(a: Spelled, i: np.ndarray, b: Spelled, j: np.ndarray) -> np.ndarray
     return out
 
 
-def best_split(points: np.ndarray) -> tuple[int, int] | None:
-    """(dimension, limit) that halves the points best, among the dimensions in which they vary most; None if all are equal."""
-    spread = points.var(axis=0)
-    found = None
-    for dim in np.argsort(-spread)[:4].tolist():
-        if spread[dim] == 0:
-            break
-        values, n = np.unique(points[:, dim], return_counts=True)
-        left = np.cumsum(n)[:-1]
-        at = int(np.abs(2 * left - len(points)).argmin())
-        uneven = abs(2 * int(left[at]) - len(points))
-        if found is None or uneven < found[0]:
-            found = (uneven, dim, int(values[at]))
-    return found and found[1:]
+BITS = [np.uint64(1 << b) for b in range(64)]
+
+
+def best_split(points: np.ndarray) -> int | None:
+    """The bit (a dimension and a limit) that halves the points best; None if all are equal."""
+    ones = np.unpackbits(points.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    uneven = np.where((ones == 0) | (ones == len(points)), len(points) + 1, np.abs(2 * ones - len(points)))
+    bit = int(uneven.argmin())
+    return bit if uneven[bit] <= len(points) else None
+
+
+def apart(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """L1 distance of points from boxes: what lacks to the lower bounds and what is above the upper ones."""
+    return np.bitwise_count((low & ~points) | (points & ~high))
 
 
 class Boxes:
     """The upper k-d tree of one length: leaves are boxes between split planes."""
 
     def __init__(self, sample: np.ndarray, leaves: int):
-        low, high = np.full(DIMS, -1, np.int16), np.full(DIMS, 128, np.int16)
-        done, waiting = [], [(sample, low, high)]
+        done, waiting = [], [(sample, np.uint64(0), ~np.uint64(0))]
         while waiting:
             waiting.sort(key=lambda node: len(node[0]))
             points, low, high = waiting.pop()
-            split = best_split(points) if len(points) and len(done) + len(waiting) + 1 < leaves else None
-            if split is None:
+            bit = best_split(points) if len(points) and len(done) + len(waiting) + 1 < leaves else None
+            if bit is None:
                 done.append((low, high))
                 continue
-            dim, limit = split
-            left = points[:, dim] <= limit
-            up, down = high.copy(), low.copy()
-            up[dim], down[dim] = limit, limit + 1
-            waiting += [(points[left], low, up), (points[~left], down, high)]
-        self.low, self.high = np.stack([d[0] for d in done]), np.stack([d[1] for d in done])
+            right = points & BITS[bit] != 0
+            waiting += [(points[~right], low, high & ~BITS[bit]), (points[right], low | BITS[bit], high)]
+        self.low, self.high = (np.array([d[k] for d in done], np.uint64) for k in (0, 1))
 
     def within(self, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
         """(place of the point, box) for all boxes within ``reach`` of each point; within 0 it is the one box that holds it."""
-        at, box = [], []
-        for k in range(len(self.low)):
-            near = np.flatnonzero(apart(points, self.low[k][None, :], self.high[k][None, :]) <= reach)
-            at.append(near)
-            box.append(np.full(len(near), k))
-        return np.concatenate(at), np.concatenate(box)
-
-
-def apart(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """L1 distance of points from boxes, row by row."""
-    return (points - np.minimum(np.maximum(points, low), high)).__abs__().sum(axis=1, dtype=np.int32)
+        found = [np.flatnonzero(apart(points, low, high) <= reach) for low, high in zip(self.low, self.high)]
+        return np.concatenate(found), np.repeat(np.arange(len(found)), [len(f) for f in found])
 
 
 class Tree:
     """A k-d tree over a block's points with tight boxes; leaves are ranges of ``order``."""
 
-    def __init__(self, points: np.ndarray, leaf: int = 12):
+    def __init__(self, points: np.ndarray, leaf: int = 16):
         self.order = np.arange(len(points))
         self.low, self.high, self.kids, self.range = [], [], [], []
         waiting = [(0, len(points), -1)]
@@ -171,40 +163,43 @@ class Tree:
             lo, hi, parent = waiting.pop()
             own = points[self.order[lo:hi]]
             node = len(self.low)
-            self.low.append(own.min(axis=0))
-            self.high.append(own.max(axis=0))
+            self.low.append(np.bitwise_and.reduce(own))
+            self.high.append(np.bitwise_or.reduce(own))
             self.kids.append([-1, -1])
             self.range.append((lo, hi))
             if parent >= 0:
                 self.kids[parent][0 if self.kids[parent][0] < 0 else 1] = node
-            if hi - lo <= leaf or (split := best_split(own)) is None:
+            if hi - lo <= leaf or (bit := best_split(own)) is None:
                 continue
-            left = own[:, split[0]] <= split[1]
-            self.order[lo:hi] = np.concatenate((self.order[lo:hi][left], self.order[lo:hi][~left]))
-            middle = lo + int(left.sum())
+            right = own & BITS[bit] != 0
+            self.order[lo:hi] = np.concatenate((self.order[lo:hi][~right], self.order[lo:hi][right]))
+            middle = hi - int(right.sum())
             waiting += [(lo, middle, node), (middle, hi, node)]
-        self.low, self.high, self.kids, self.range = np.stack(self.low), np.stack(self.high), np.array(self.kids), np.array(self.range)
+        self.low, self.high, self.kids, self.range = np.array(self.low), np.array(self.high), np.array(self.kids), np.array(self.range)
+        self.points = points[self.order]
 
-    def near(self, points: np.ndarray, held: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ``points``, place in ``held``) of all pairs within ``reach``."""
+    def near(self, points: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in ``points``, place of the held point) of all pairs within ``reach``, some at a time."""
         q, node = np.arange(len(points)), np.zeros(len(points), np.int64)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         while len(q):
             keep = apart(points[q], self.low[node], self.high[node]) <= reach[q]
             q, node = q[keep], node[keep]
             end = self.kids[node, 0] < 0
             lo, hi = self.range[node[end]].T
-            n = hi - lo
-            who = np.repeat(q[end], n)
-            at = self.order[np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)]
-            for i in range(0, len(who), 1 << 17):
-                w, a = who[i : i + (1 << 17)], at[i : i + (1 << 17)]
-                close = np.abs(points[w] - held[a]).sum(axis=1, dtype=np.int32) <= reach[w]
-                found.append((w[close], a[close]))
+            who, n = q[end], hi - lo
+            # leaves whose pairs begin in one stretch of PAIRS go together; a leaf of equal points may have up to a block's
+            stretch = (np.cumsum(n) - n) // PAIRS
+            cut = (np.flatnonzero(stretch[1:] != stretch[:-1]) + 1).tolist() if len(n) else []
+            for a, b in zip([0, *cut], [*cut, len(n)]):
+                w = np.repeat(who[a:b], n[a:b])
+                at = np.arange(len(w)) + np.repeat(lo[a:b] - (np.cumsum(n[a:b]) - n[a:b]), n[a:b])
+                close = np.bitwise_count(points[w] ^ self.points[at]) <= reach[w]
+                yield w[close], self.order[at[close]]
             q, node = np.repeat(q[~end], 2), self.kids[node[~end]].ravel()
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+#: Pairs of points that are compared at a time.
+PAIRS = 1 << 19
 
 
 class Block:
@@ -220,9 +215,11 @@ class Block:
         for lo in range(0, len(asked), 2048):
             own = Spelled(asked.column("word").slice(lo, 2048).to_pylist())
             reach = np.where(np.minimum(own.length, LONGEST) == self.kind, 2, 1)
-            i, j = self.tree.near(own.points, self.held.points, reach)
-            true = one_edit(own, i, self.held, j)
-            i, j = i[true], j[true]
+            found = []
+            for i, j in self.tree.near(own.points, reach):
+                true = one_edit(own, i, self.held, j)
+                found.append((i[true], j[true]))
+            i, j = (np.concatenate([f[k] for f in found] or [np.empty(0, np.int64)]) for k in (0, 1))
             count = np.bincount(i, minlength=len(own.words))
             best = np.full(len(own.words), len(self.n))
             np.minimum.at(best, i, j)
@@ -298,7 +295,7 @@ def planned(words: DataFrame, block: int, sample: int) -> Plan:
     return plan
 
 
-def near_words(words: DataFrame, block: int = 1 << 15, sample: int = 1 << 16) -> DataFrame:
+def near_words(words: DataFrame, block: int = 1 << 16, sample: int = 1 << 16) -> DataFrame:
     """(word, n_near, best_n, best) of the words (word, n; distinct) that have a near one: how many, and the one of largest n, ties by code points."""
     spark = words.sparkSession
     plan = planned(words, block, sample)
@@ -313,7 +310,7 @@ def near_words(words: DataFrame, block: int = 1 << 15, sample: int = 1 << 16) ->
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", (-F.col("b.n")).alias("best_n"), F.col("b.word").alias("best"))
 
 
-def variants(words: DataFrame, ratio: int = 10, block: int = 1 << 15, sample: int = 1 << 16) -> DataFrame:
+def variants(words: DataFrame, ratio: int = 10, block: int = 1 << 16, sample: int = 1 << 16) -> DataFrame:
     """word, form, root, n, n_near, form_n of each of ``words`` (word, n): the near word of largest n, if that is ``ratio`` times the word's, and where forms lead.
 
     Near words are one code point put in, left out or replaced apart; every pair is found. Ties go to the smaller word in
