@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,13 +10,10 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. A fresh temporary one where that is unset and all runs on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, which spark.checkpoint.dir names; a session without the setting is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="marlpath-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError("set spark.checkpoint.dir, when the session is made, to a folder that the driver and all executors share")
     return folder.rstrip("/")
 
 
@@ -45,9 +40,9 @@ def pinned(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a pinned table that nothing will read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes the files of pinned tables that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
         _forget(spark, path)
 
 

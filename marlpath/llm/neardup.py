@@ -17,15 +17,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from hashlib import blake2b
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import few, pinned, shuffle_width, without_ids
+from .frames import few, pinned, released, shuffle_width, without_ids
 from .wordstream import chunks, mix, shingles, words
 
 CELLS = 1 << 21
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, n: int, idf, bands: int, rows: int, id_col: str,
         weights = idf.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            digest = [blake2b(t.encode(), digest_size=16).digest() for t in texts]
+            digest = [sha256(t.encode()).digest()[:16] for t in texts]
             keys, joined, size = [None] * len(texts), [None] * len(texts), [0] * len(texts)
             group: list[tuple[int, np.ndarray, np.ndarray]] = []
 
@@ -233,7 +233,7 @@ class Meeting:
         self.band, self.main, self.alone, self.idf, self.threshold = band, main, alone, idf, threshold
         self.rows: list[tuple] = []
         self.index: Postings | None = None
-        self.links: list[tuple[int, int]] = []
+        self.links: list[tuple[int, int, float]] = []
         self.root: dict[int, int] = {}
 
     def close(self) -> None:
@@ -256,15 +256,16 @@ class Meeting:
             wanted[before:] = False
         if not wanted.any():
             return
-        near = np.flatnonzero(wanted & (self.index.similarities(*own) >= self.threshold))
+        same = self.index.similarities(*own)
+        near = np.flatnonzero(wanted & (same >= self.threshold))
         for k in near.tolist():
             was = int(self.labels[k])
             if was != label:
-                self.links.append((min(doc, int(self.ids[k])), max(doc, int(self.ids[k]))))
+                self.links.append((min(doc, int(self.ids[k])), max(doc, int(self.ids[k])), float(same[k])))
                 self.root[was] = label
                 self.labels[self.labels == was] = label
 
-    def finish(self) -> list[tuple[int, int]]:
+    def finish(self) -> list[tuple[int, int, float]]:
         """Compares a part that is alone with itself."""
         if self.alone:
             self.close()
@@ -276,7 +277,7 @@ class Meeting:
 
 
 def bucket_links(meetings: DataFrame, texts: DataFrame, n: int, idf, threshold: float) -> DataFrame:
-    """Distinct links (a, b), similar by ``threshold``, between documents of different label in one bucket.
+    """Distinct links (a, b, similarity), similar by ``threshold``, between documents of different label in one bucket.
 
     Each meeting is one task's: it holds the shingles of one part, of bounded size, while the other streams by.
     Documents that its links have joined already aren't compared again.
@@ -286,10 +287,11 @@ def bucket_links(meetings: DataFrame, texts: DataFrame, n: int, idf, threshold:
         weights, now, meeting = idf.value, None, None
 
         def out(links):
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+            kinds = [pa.int64(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], t) for k, t in enumerate(kinds)], ["a", "b", "similarity"])
 
         for batch in batches:
-            found: list[tuple[int, int]] = []
+            found: list[tuple[int, int, float]] = []
             for lo in range(0, len(batch), 256):
                 rows = batch.slice(lo, 256)
                 sets = {k: (h, tf) for k, h, tf in shingle_sets(rows.column(9).to_pylist(), n)}
@@ -309,17 +311,35 @@ def bucket_links(meetings: DataFrame, texts: DataFrame, n: int, idf, threshold:
             yield out(meeting.finish())
 
     tasks = meetings.join(texts, "id").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "side", "id")
-    return tasks.select("band", "key", "i", "j", "side", "id", "label", "main", "bands", "text").mapInArrow(run, "a long, b long").distinct()
+    return tasks.select("band", "key", "i", "j", "side", "id", "label", "main", "bands", "text").mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def with_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text), one row for each of ``ids`` (distinct): these are broadcast if they are few, else a shuffled join.
+    """(id, text) of the rows whose id is one of ``ids`` (distinct): these are broadcast if they are few, else a shuffled join.
 
     A written table, so that joins with it are plain ones, which adaptive skew handling splits.
     """
-    found = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).join(few(ids), "id", "left_semi")
-    table = pinned(found, "texts")
-    return table if table.count() <= ids.count() else pinned(table.dropDuplicates(["id"]), "texts")
+    found = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    return pinned(found.join(few(ids), "id", "left_semi"), "texts")
+
+
+def repeats_ids(rows: DataFrame, id_col: str = "id") -> bool:
+    return not rows.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+
+
+def numbered_texts(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``reps`` (digest, id, ...) and ``docs`` with an id for each different text, and the links (a, b) between those of one row's id.
+
+    Only for tables in which rows of one id have different texts: the least text digest of an id keeps it, the others get
+    unused ids below all.
+    """
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("digest"))
+    least = min(0, reps.agg(F.min("id")).first()[0])
+    ranked = pinned(reps.withColumn("turn", turn).withColumn("n", F.monotonically_increasing_id()), "numbered")
+    new = pinned(ranked.withColumn("was", F.col("id")).withColumn("id", F.when(F.col("turn") == 1, F.col("id")).otherwise(F.lit(least - 1) - F.col("n"))), "numbered")
+    own = docs.withColumn("_digest", F.substring(F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)), 1, 16)).drop(id_col)
+    texts = own.join(new.select(F.col("digest").alias("_digest"), F.col("id").alias(id_col)), "_digest").dropDuplicates(["_digest"]).drop("_digest")
+    return new.drop("turn", "n", "was"), texts, new.where("turn > 1").select(F.col("was").alias("a"), F.col("id").alias("b"))
 
 
 def verified_links(pairs: DataFrame, texts: DataFrame, n: int, idf, threshold: float) -> DataFrame:
@@ -356,40 +376,53 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: its id, class_id (the least id of its class), is_first (it is that one).
+    """One row per row of ``docs``: its id, class_id (the least id of its class), is_first (it is that one), n_links, similarity.
 
-    Null texts are empty; equal texts are always one class, so all empty texts are. A text without words is like its
-    equals only. Rows with one id are one document (its texts all count). A null id is a class of its own, with
-    null class_id and is_first true. Ids are integers. An empty table gives no rows; other columns aren't read.
+    Links are copies of equal text, each to the least id with it, and the verified pairs that joined classes: n_links counts a
+    document's own, and similarity is the largest of theirs (null without any). Null texts are empty; equal texts are
+    always one class, so all empty texts are. A text without words is like its equals only. Rows with one id are one document
+    in whatever order they stand: all its texts count. A null id is a class of its own, with null class_id, is_first true and no
+    links. Ids are integers. An empty table gives no rows; other columns aren't read.
     All pairs of a bucket are compared, whatever its size, so that what is missed shares none: a pair of similarity
     s shares a bucket with probability 1 - (1 - s**rows)**bands: 0.9992 at 0.8. ``part_size`` bounds a task's memory.
     """
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     n_docs = docs.count()
-    idf = sc.broadcast(cell_weights(cell_frequencies(docs, n, text_col), n_docs))
+    idf = spark.sparkContext.broadcast(cell_weights(cell_frequencies(docs, n, text_col), n_docs))
     signed = pinned(signatures(docs.withColumn(id_col, docs[id_col].cast("long")), n, idf, bands, rows, id_col, text_col), "signed")
     reps = signed.where("id is not null").groupBy("digest").agg(F.min(F.struct("id", "band_keys", "bands", "size")).alias("r")).select("digest", "r.*")
     reps = pinned(reps, "reps")
     copies = signed.join(reps.select("digest", F.col("id").alias("a")), "digest").where("id <> a").select("a", F.col("id").alias("b"))
+    nodes, texts_of, own = signed.select("id"), docs, copies
+    if repeats_ids(reps):
+        reps, texts_of, same_row = numbered_texts(docs, reps, id_col, text_col)
+        nodes, own = nodes.union(reps.select("id")), copies.union(same_row)
     members = pinned(bucket_members(reps), "members")
     pairs = pinned(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    texts = with_texts(docs, members.select("id").distinct(), id_col, text_col)
-    links = pinned(verified_links(pairs, texts, n, idf, threshold).select("a", "b"), "verified")
+    texts = with_texts(texts_of, members.select("id").distinct(), id_col, text_col)
+    links = pinned(verified_links(pairs, texts, n, idf, threshold), "verified")
     labels = components(members.select("id"), links).withColumnRenamed("class_id", "label")
     meetings = open_buckets(members, pinned(labels, "labels"), part_size)
     rest = pinned(bucket_links(meetings, texts, n, idf, threshold), "rest")
-    classes = pinned(components(signed.select("id"), copies.union(links).union(rest)), "classes")
+    released(spark, members, pairs, texts)
+    classes = pinned(components(nodes, own.union(links.select("a", "b")).union(rest.select("a", "b"))), "classes")
+    linked = copies.distinct().withColumn("similarity", F.lit(1.0)).union(links).union(rest)
+    ends = linked.select(F.explode(F.array("a", "b")).alias("id"), "similarity")
+    counts = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.max("similarity").alias("similarity"))
     return (
-        signed.select("id").join(classes, "id", "left")
-        .select(F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("is_first"))
+        signed.select("id").join(classes, "id", "left").join(counts, "id", "left")
+        .select(
+            F.col("id").alias(id_col), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("is_first"),
+            F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "similarity",
+        )
     )
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any others) that are the first of their class, one row for each id; rows with null ids all stay."""
+    """The rows of ``docs`` (doc_id, text and any others) that are the first of their class, one row for each id (that of the smallest text); rows with null ids all stay."""
     rest = near_duplicates(docs, **options).where(~F.col("is_first")).select("doc_id").distinct()
     found = without_ids(docs, rest)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    if not repeats_ids(found, "doc_id"):
         return found
-    once = found.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(found.where("doc_id is null"))
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*found.columns)))
+    return found.withColumn("_turn", F.when(F.col("doc_id").isNull(), 1).otherwise(turn)).where("_turn = 1").drop("_turn")

@@ -232,10 +232,11 @@ class Block:
 
 
 class Plan:
-    """For each class of lengths its boxes, and of each box the number of blocks."""
+    """For each class of lengths its boxes and in how many turns it is asked, and of each box the number of blocks."""
 
     def __init__(self):
         self.boxes: dict[int, Boxes] = {}
+        self.turns: dict[int, int] = {}
         self.parts: dict[tuple[int, int], int] = {}
 
 
@@ -257,14 +258,14 @@ def boxed(words: DataFrame, plan) -> DataFrame:
 
 
 def asking(words: DataFrame, plan) -> DataFrame:
-    """``words`` once for each block that may hold a near word: kind, box, part, word, n."""
+    """``words`` once for each block that may hold a near word: kind, box, part, turn, word, n."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = plan.value
         for batch in batches:
             own = Spelled(batch.column("word").to_pylist())
             kind = np.minimum(own.length, LONGEST)
-            rows, kinds, boxes, parts = [], [], [], []
+            rows, kinds, boxes, parts, turns = [], [], [], [], []
             for k in np.unique(kind).tolist():
                 of = np.flatnonzero(kind == k)
                 for other in {k - 1, k, min(k + 1, LONGEST)} & p.boxes.keys():
@@ -274,11 +275,12 @@ def asking(words: DataFrame, plan) -> DataFrame:
                     boxes.append(np.repeat(found, n))
                     kinds.append(np.full(len(rows[-1]), other))
                     parts.append(np.arange(len(rows[-1])) - np.repeat(np.cumsum(n) - n, n))
-            at, *cols = (np.concatenate(c or [np.empty(0, np.int64)]) for c in (rows, kinds, boxes, parts))
+                    turns.append(rows[-1] % p.turns[other])
+            at, *cols = (np.concatenate(c or [np.empty(0, np.int64)]) for c in (rows, kinds, boxes, parts, turns))
             taken = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32)) for c in cols], *taken.columns], ["kind", "box", "part", "word", "n"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int32)) for c in cols], *taken.columns], ["kind", "box", "part", "turn", "word", "n"])
 
-    return words.select("word", "n").mapInArrow(run, "kind int, box int, part int, word string, n long")
+    return words.select("word", "n").mapInArrow(run, "kind int, box int, part int, turn int, word string, n long")
 
 
 def planned(words: DataFrame, block: int, sample: int) -> Plan:
@@ -292,20 +294,25 @@ def planned(words: DataFrame, block: int, sample: int) -> Plan:
     for k, n in sizes.items():
         points = own.points[own_kind == k]
         plan.boxes[k] = Boxes(points, max(1, min(math.ceil(n / block), len(points) // 16)))
+        plan.turns[k] = math.ceil(sum(sizes.get(other, 0) for other in (k - 1, k, k + 1)) / (2 * block))
     return plan
 
 
 def near_words(words: DataFrame, block: int = 1 << 16, sample: int = 1 << 16) -> DataFrame:
-    """(word, n_near, best_n, best) of the words (word, n; distinct) that have a near one: how many, and the one of largest n, ties by code points."""
+    """(word, n_near, best_n, best) of the words (word, n; distinct) that have a near one: how many, and the one of largest n, ties by code points.
+
+    A block is held by as many tasks as it takes for each to answer some 2 * ``block`` words.
+    """
     spark = words.sparkSession
     plan = planned(words, block, sample)
     own = pinned(boxed(words, spark.sparkContext.broadcast(plan)), "boxed")
     for r in own.groupBy("kind", "box").agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each box, whose number the sample bounds
         plan.parts[r["kind"], r["box"]] = math.ceil(r["n"] / block)
     shared = spark.sparkContext.broadcast(plan)
-    table = spark.createDataFrame([(k, b, n) for (k, b), n in plan.parts.items()] or [(0, 0, 1)], "kind int, box int, parts int")
-    held = own.join(F.broadcast(table), ["kind", "box"]).select("kind", "box", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int").alias("part"), "word", "n")
-    found = meet(held, asking(own, shared), ["kind", "box", "part"], lambda key, rows: Block(key[0], rows), "word string, n_near long, best_n long, best string")
+    table = spark.createDataFrame([(k, b, n, plan.turns[k]) for (k, b), n in plan.parts.items()] or [(0, 0, 1, 1)], "kind int, box int, parts int, turns int")
+    held = own.join(F.broadcast(table), ["kind", "box"]).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    held = held.select("kind", "box", F.pmod(F.xxhash64("word"), F.col("parts")).cast("int").alias("part"), "turn", "word", "n")
+    found = meet(held, asking(own, shared), ["kind", "box", "part", "turn"], lambda key, rows: Block(key[0], rows), "word string, n_near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("n"), F.col("best").alias("word"))).alias("b")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", (-F.col("b.n")).alias("best_n"), F.col("b.word").alias("best"))
 

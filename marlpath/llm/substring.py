@@ -1,11 +1,12 @@
 """Substring dedup: passages that documents share, exactly or with edits, by seeds, collinear chains and alignment.
 
 1. Seeds of a document are those k-mers of words whose hash falls into one ``rate``-th of all, whatever stands
-   around them. Beside them stand its long keys: hashes of ``min_words`` words in a row, of every ``spread`` neighbours
-   the least. Who shares a long key shares a whole passage, and any shared run of ``min_words`` + ``spread`` - 1 words
-   shares one, so no such passage depends on who else holds a part of it.
-2. Each occurrence of a repeated seed is an anchor to the seed's first document and to the last one before its own
-   (of a long key, to the first): two links an occurrence, however often the seed occurs, never all pairs.
+   around them. Beside them stand keys that no part of a passage holds, so that excerpts can't hide who shares it all:
+   long keys, hashes of ``min_words`` words in a row, of every ``spread`` neighbours the least (any shared run of
+   ``min_words`` + ``spread`` - 1 words has one), and span keys, hashes of two seeds: each seed with that of the least hash
+   among those that end ``min_words`` to ``min_words`` + REACH words after it begins. Of these the words between may differ.
+2. Each occurrence of a repeated seed is an anchor to its first document and to the last one before its own, that of a
+   key to the first: two links an occurrence at most, however often the seed occurs, never all pairs.
 3. The anchors of two documents are chained in text order. The best chain pays for the words it skips (an L1 gap
    cost), and a Fenwick tree of prefix maxima finds each anchor's best predecessor.
 4. Chains are aligned word by word, between their anchors and outwards from both ends, as far as the score of a banded
@@ -22,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import few, pinned, shuffle_width
-from .neardup import with_texts
-from .wordstream import chunks, runs, shingles, words
+from .frames import few, pinned, released, shuffle_width
+from .neardup import repeats_ids, with_texts
+from .wordstream import chunks, mix, runs, shingles, words
 
 #: Words beyond its anchors with which a chain is first aligned; those that go on there are aligned again with more, at last with all.
 MARGINS = (48, 1024, None)
@@ -32,6 +33,8 @@ MARGINS = (48, 1024, None)
 GAIN, LOSS, DROP = 1, 2, 12
 BAND = 8
 SIDES_A_ROW = 256
+#: In how many words after ``min_words`` of them a span key may end.
+REACH = 30
 
 
 def winnow(h: np.ndarray, window: int) -> np.ndarray:
@@ -55,8 +58,25 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
     return at[~again]
 
 
+def spans(h: np.ndarray, at: np.ndarray, doc: np.ndarray, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the first seeds, places of the last ones, hashes) of the span keys of seeds in text order; ``at`` counts on over all texts."""
+    lo = np.searchsorted(at, at + (min_words - k))
+    end = np.searchsorted(doc, doc, "right")
+    hi = np.minimum(np.searchsorted(at, at + (min_words - k + REACH), "right"), end)
+    first = np.flatnonzero(lo < hi)
+    lo, n = lo[first], (hi - lo)[first]
+    turn = mix(h ^ np.uint64(0x5851F42D4C957F2D))
+    last, least = lo.copy(), turn[lo]
+    for step in range(1, int(n.max(initial=0))):
+        own = np.flatnonzero(n > step)
+        other = turn[lo[own] + step]
+        less = other < least[own]
+        last[own[less]], least[own[less]] = lo[own[less]] + step, other[less]
+    return first, last, mix(mix(h[first]) + least)
+
+
 def seeds(docs: DataFrame, k: int, rate: int, min_words: int, spread: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, seed): at is the word at which the seed's k-mer begins; of a long key that begins at word p it is -1 - p."""
+    """(id, at, size, seed): at is the word at which the seed's k-mer begins; size is 0, or how much later the last k-mer of a key begins."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,22 +85,26 @@ def seeds(docs: DataFrame, k: int, rate: int, min_words: int, spread: int, id_co
                 w = words(texts[lo:hi])
                 h, at = shingles(w, k)
                 own = (h >> np.uint64(33)) % np.uint64(rate) == 0
-                h, at, doc = h[own], at[own], w.doc[at[own]]
-                at = at - w.first[doc]
-                long, begin = runs(w, min_words)
+                h, at = h[own], at[own]
+                hashes, begin, size = [h], [at], [np.zeros(len(at), np.int64)]
+                first, last, key = spans(h, at, w.doc[at], k, min_words)
+                hashes.append(key), begin.append(at[first]), size.append(at[last] - at[first])
+                long, start = runs(w, min_words)
                 if len(long):
-                    cut = np.searchsorted(w.doc[begin], np.arange(hi - lo + 1))
-                    picked = [cut[i] + winnow(long[cut[i] : cut[i + 1]], spread) for i in range(hi - lo) if cut[i] < cut[i + 1]]
-                    place = np.concatenate(picked)
-                    of = w.doc[begin[place]]
-                    h, doc = np.concatenate((h, long[place])), np.concatenate((doc, of))
-                    at = np.concatenate((at, -1 - (begin[place] - w.first[of])))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + lo)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["id", "at", "seed"])
+                    cut = np.searchsorted(w.doc[start], np.arange(hi - lo + 1))
+                    picked = np.concatenate([cut[i] + winnow(long[cut[i] : cut[i + 1]], spread) for i in range(hi - lo) if cut[i] < cut[i + 1]])
+                    hashes.append(long[picked]), begin.append(start[picked]), size.append(np.full(len(picked), min_words - k))
+                h, at, size = np.concatenate(hashes), np.concatenate(begin), np.concatenate(size)
+                doc = w.doc[at]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(doc + lo)), pa.array((at - w.first[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(h.view(np.int64))],
+                    ["id", "at", "size", "seed"],
+                )
 
     return (
         docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t"))
         .where("id is not null and t is not null")
-        .mapInArrow(run, "id long, at int, seed long")
+        .mapInArrow(run, "id long, at int, size int, seed long")
     )
 
 
@@ -96,11 +120,11 @@ def hot_seeds(sample: DataFrame, share: int = 4) -> DataFrame:
     return counts.select("seed", parts.alias("parts")).where("parts > 1")
 
 
-def linked(occurrences: DataFrame, keys: list[str], k: int, min_words: int) -> DataFrame:
-    """(x, y, px, py, seed) with x < y: from each occurrence of a seed to that of the first document with it and of the last one before.
+def linked(occurrences: DataFrame, keys: list[str], min_words: int) -> DataFrame:
+    """(x, y, px, py, size, seed) with x < y: from each occurrence of a seed to that of the first document with it and of the last one before.
 
-    Rows with a null x are the first of their keys and hand on (y, py, seed). Rows stream by in order; a task only keeps
-    the first and the last row of the seed at hand. A long key gives an anchor at each of its ends. Occurrences that follow
+    Rows with a null x are the first of their keys and hand on (y, py, size, seed). Rows stream by in order; a task only keeps
+    the first and the last row of the seed at hand. A key gives an anchor at each of its ends. Occurrences that follow
     another in the same document within ``min_words`` words give none: the alignment reaches them.
     """
 
@@ -118,7 +142,7 @@ def linked(occurrences: DataFrame, keys: list[str], k: int, min_words: int) -> D
             at = np.arange(len(new))
             start = np.maximum.accumulate(np.where(new, at, 0))
             own = at if last is None else at[2:]
-            doc, place, seed = cols[-2], cols[-1], cols[0]
+            doc, place, size, seed = *cols[-3:], cols[0]
             first, last = [c[start[-1]] for c in cols], [c[-1] for c in cols]
             heads = own[new[own]]
             own = own[~new[own]]
@@ -126,42 +150,39 @@ def linked(occurrences: DataFrame, keys: list[str], k: int, min_words: int) -> D
             own = own[(doc[own] != doc[own - 1]) | (np.abs(place[own] - place[own - 1]) >= min_words)]
             to_first = own[doc[own] != doc[start[own]]]
             before = own - 1
-            also = (doc[before] != doc[own]) & (doc[before] != doc[start[own]]) & (place[own] >= 0)
+            also = (doc[before] != doc[own]) & (doc[before] != doc[start[own]]) & (size[own] == 0)
             frm, to = np.concatenate((start[to_first], before[also])), np.concatenate((to_first, own[also]))
-            px, py = place[frm], place[to]
-            long = py < 0
-            px, py = np.where(long, -1 - px, px), np.where(long, -1 - py, py)
-            end = np.flatnonzero(long)
+            end = np.flatnonzero(size[to] != 0)
             xs, ys = np.concatenate((doc[frm], doc[frm[end]])), np.concatenate((doc[to], doc[to[end]]))
-            px, py = np.concatenate((px, px[end] + min_words - k)), np.concatenate((py, py[end] + min_words - k))
+            px, py = np.concatenate((place[frm], (place + size)[frm[end]])), np.concatenate((place[to], (place + size)[to[end]]))
             none = len(xs)
             heads = heads[cols[1][heads] >= 0] if "part" in keys else heads[:0]
             zero = np.zeros(len(heads), np.int64)
             xs, ys, px, py = (np.concatenate(c) for c in ((xs, zero), (ys, doc[heads]), (px, zero), (py, place[heads])))
-            seeds_of = np.concatenate((np.zeros(none, np.int64), seed[heads]))
+            sizes, seeds_of = (np.concatenate((np.zeros(none, np.int64), c[heads])) for c in (size, seed))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(xs, pa.int64(), mask=np.arange(len(xs)) >= none), pa.array(ys, pa.int64()),
-                    pa.array(px.astype(np.int32)), pa.array(py.astype(np.int32)), pa.array(seeds_of, pa.int64(), mask=np.arange(len(xs)) < none),
+                    *[pa.array(c.astype(np.int32)) for c in (px, py, sizes)], pa.array(seeds_of, pa.int64(), mask=np.arange(len(xs)) < none),
                 ],
-                ["x", "y", "px", "py", "seed"],
+                ["x", "y", "px", "py", "size", "seed"],
             )
 
-    dealt = occurrences.repartition(*keys).sortWithinPartitions(*keys, "id", "at").select(*keys, "id", "at")
-    return dealt.mapInArrow(run, "x long, y long, px int, py int, seed long")
+    dealt = occurrences.repartition(*keys).sortWithinPartitions(*keys, "id", "at").select(*keys, "id", "at", "size")
+    return dealt.mapInArrow(run, "x long, y long, px int, py int, size int, seed long")
 
 
-def anchors(found: DataFrame, sample: DataFrame, k: int, min_words: int) -> DataFrame:
-    """(x, y, px, py) with x < y: the anchors of all seeds.
+def anchors(found: DataFrame, sample: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """A written table, and made from it (x, y, px, py) with x < y: the anchors of all seeds.
 
     Seeds that are frequent in ``sample`` (some of the occurrences) are dealt over several tasks: there each
     occurrence is linked within its part, and then the first ones of all parts with each other.
     """
     hot = F.broadcast(hot_seeds(sample))
     part = F.when(F.col("parts").isNull(), -1).otherwise(F.pmod(F.xxhash64("id"), "parts")).cast("int")
-    made = pinned(linked(found.join(hot, "seed", "left").withColumn("part", part), ["seed", "part"], k, min_words), "anchors")
-    firsts = made.where("x is null").select("seed", F.col("y").alias("id"), F.col("py").alias("at"))
-    return made.where("x is not null").drop("seed").union(linked(firsts, ["seed"], k, min_words).where("x is not null").drop("seed"))
+    made = pinned(linked(found.join(hot, "seed", "left").withColumn("part", part), ["seed", "part"], min_words), "anchors")
+    firsts = made.where("x is null").select("seed", F.col("y").alias("id"), F.col("py").alias("at"), "size")
+    return made, made.where("x is not null").drop("seed", "size").union(linked(firsts, ["seed"], min_words).where("x is not null").drop("seed", "size"))
 
 
 class Fenwick:
@@ -424,7 +445,7 @@ def stretches(match: np.ndarray, loss: int = LOSS, drop: int = DROP) -> list[tup
 
 
 def aligned(found: DataFrame, docs: DataFrame, min_words: int, similarity: float, margin: int | None, id_col: str, text_col: str) -> DataFrame:
-    """(chain, open, doc_id, start, stop, source_id, source_start, source_stop, matches, similarity): the passages of chains, and those chains that would go on beyond ``margin`` (open)."""
+    """(chain, open, doc_id, start, stop, source_id, source_start, source_stop, matches, similarity): the passages of chains, and those chains that would go on beyond ``margin`` (open). A written table."""
     side = lambda of, s: found.select(F.col(of).alias("id"), "chain", F.lit(s).alias("side"), F.col(f"lo{s}").alias("lo"), F.col(f"hi{s}").alias("hi"))
     sides = side("x", 0).union(side("y", 1))
     # a document that very many others share a passage with has its sides dealt over several rows
@@ -437,7 +458,7 @@ def aligned(found: DataFrame, docs: DataFrame, min_words: int, similarity: float
     )
     texts = with_texts(docs, counts.select("id"), id_col, text_col)
 
-    def spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, own in zip(batch.column(0).to_pylist(), batch.column(1)):
                 w = words([text])
@@ -449,7 +470,7 @@ def aligned(found: DataFrame, docs: DataFrame, min_words: int, similarity: float
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["chain", "side", "lo", "less", "more", "hashes"])
 
-    cut = texts.join(dealt, "id").select("text", "sides").mapInArrow(spans, "chain long, side int, lo int, less boolean, more boolean, hashes binary")
+    cut = texts.join(dealt, "id").select("text", "sides").mapInArrow(cut_out, "chain long, side int, lo int, less boolean, more boolean, hashes binary")
     both = pinned(cut, "spans")
     one = lambda s: both.where(F.col("side") == s).select("chain", *[F.col(c).alias(f"{c}{s}") for c in ("lo", "less", "more", "hashes")])
     wide = found.select("chain", "x", "y", "frags").join(one(0), "chain").join(one(1), "chain")
@@ -493,9 +514,14 @@ def aligned(found: DataFrame, docs: DataFrame, min_words: int, similarity: float
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
     names = ["chain", "open", "doc_id", "start", "stop", "source_id", "source_start", "source_stop", "matches", "similarity"]
-    return wide.mapInArrow(
-        align, "chain long, open boolean, doc_id long, start int, stop int, source_id long, source_start int, source_stop int, matches int, similarity double"
+    done = pinned(
+        wide.mapInArrow(
+            align, "chain long, open boolean, doc_id long, start int, stop int, source_id long, source_start int, source_stop int, matches int, similarity double"
+        ),
+        "aligned",
     )
+    released(docs.sparkSession, counts, texts, both)
+    return done
 
 
 def passages(found: DataFrame, docs: DataFrame, min_words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
@@ -505,7 +531,7 @@ def passages(found: DataFrame, docs: DataFrame, min_words: int, similarity: floa
     """
     out = None
     for margin in MARGINS:
-        done = pinned(aligned(found, docs, min_words, similarity, margin, id_col, text_col), "aligned")
+        done = aligned(found, docs, min_words, similarity, margin, id_col, text_col)
         kept = done.where(~F.col("open")).drop("chain", "open")
         out = kept if out is None else out.union(kept)
         still = done.where("open").select("chain").distinct()
@@ -515,22 +541,27 @@ def passages(found: DataFrame, docs: DataFrame, min_words: int, similarity: floa
 
 
 def shared_passages(
-    docs: DataFrame, k: int = 5, rate: int = 5, spread: int = 16, min_words: int = 50, similarity: float = 0.8, max_gap: int = 40, far: int = 400, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, k: int = 5, rate: int = 5, spread: int = 10, min_words: int = 50, similarity: float = 0.8, max_gap: int = 40, far: int = 400, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Passages that a document shares with one of a smaller id: doc_id, start, stop, source_id, source_start, source_stop, matches, similarity.
 
     start and stop count words (see wordstream) of the whole text; a passage has ``min_words`` words at least in
-    both. It is reported against the first document that has its seeds or long keys, and the last one before, so a
-    passage of n documents gives 2 to 3 n rows, not n squared, and the document of the smallest id is only ever a source.
-    Every shared run of ``min_words`` + ``spread`` - 1 words or more is found; shorter and edited ones by their seeds.
-    Null and empty texts and null ids share nothing; repetition within one document isn't reported; rows of one id
-    are read as one document's. Of ties between places of a seed in its document the first counts. Ids are whole
+    both. It is reported against the first documents that have its seeds and keys, and the last one with its seeds before, so a
+    passage of n documents gives 2 to 4 n rows, not n squared, and the document of the smallest id is only ever a source.
+    Every shared run of ``min_words`` + ``spread`` - 1 words or more is found; shorter and edited ones by their seeds and span keys.
+    Null and empty texts and null ids share nothing; repetition within one document isn't reported; of rows with one id
+    that with the smallest text counts. Of ties between places of a seed in its document the first counts. Ids are whole
     numbers. No rows from an empty table; other columns aren't read.
     """
+    if repeats_ids(docs, id_col):
+        docs = docs.groupBy(id_col).agg(F.min(text_col).alias(text_col))
     of = lambda table: seeds(table, k, rate, min_words, spread, id_col, text_col)
     sample = docs.where(F.pmod(F.xxhash64(docs[id_col], F.lit(11)), F.lit(64)) == 0)  # only tells which seeds to deal over several tasks
-    links = anchors(of(docs), pinned(of(sample), "sample"), k, min_words)
-    return passages(pinned(chains(links, k, min_words, max_gap, far), "chains"), docs, min_words, similarity, id_col, text_col)
+    drawn = pinned(of(sample), "sample")
+    made, links = anchors(of(docs), drawn, min_words)
+    found = pinned(chains(links, k, min_words, max_gap, far), "chains")
+    released(docs.sparkSession, drawn, made)
+    return passages(found, docs, min_words, similarity, id_col, text_col)
 
 
 _word = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")

@@ -113,6 +113,33 @@ def test_odd_rows(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_rows_of_one_id_count_in_any_order(spark, make_prose):
+    # ten ids with two texts each, and a near copy of either; the rows in both orders
+    rng, rows = random.Random(17), []
+    for i in range(10):
+        for k in (0, 1):
+            text = make_prose(rng, 120)
+            rows += [(i, " ".join(text)), (100 + 2 * i + k, " ".join([*text[:60], "edited", *text[61:]]))]
+    want = {j: i for i in range(10) for j in (i, 100 + 2 * i, 101 + 2 * i)}
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        got = neardup.near_duplicates(df).collect()
+        assert len(got) == 40 and {r["doc_id"]: r["class_id"] for r in got} == want
+        assert all(r["n_links"] >= 1 and 0.8 <= r["similarity"] < 1 for r in got if r["doc_id"] >= 100)
+        kept = {r["doc_id"]: r["text"] for r in neardup.keep_first(df).collect()}
+        assert kept == {i: min(t for j, t in rows if j == i) for i in range(10)}
+
+
+def test_links_are_counted(spark, make_prose):
+    rng = random.Random(18)
+    base = make_prose(rng, 100)
+    near = " ".join([*base[:50], "edited", *base[51:]])
+    texts = {1: " ".join(base), 2: " ".join(base), 3: near, 4: " ".join(make_prose(rng, 100))}
+    got = {r["doc_id"]: r for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [got[i]["n_links"] for i in (1, 2, 3, 4)] == [2, 1, 1, 0] and got[4]["similarity"] is None and got[2]["similarity"] == 1
+    assert got[1]["similarity"] == 1 and 0.8 <= got[3]["similarity"] < 1
+
+
 def test_samples_agree_as_often_as_documents_are_alike():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 3000).astype(np.uint64)

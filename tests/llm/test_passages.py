@@ -108,6 +108,38 @@ def test_passage_hidden_behind_excerpts(spark, make_prose):
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(4, 3)}
 
 
+@pytest.mark.parametrize(("n", "every", "around"), [(240, 20, 45), (240, 40, 45), (60, 0, 40), (120, 20, 45)])
+def test_no_passage_is_hidden_behind_excerpts(spark, make_prose, n, every, around):
+    # before and between the holders of each passage stand documents with overlapping excerpts of it, each below the length that counts
+    rng = random.Random(21)
+    texts, many = {}, 40 if n == 60 else 20
+    for c in range(many):
+        passage = make_prose(rng, n)
+        copy = [w if not every or p % every else "changed" for p, w in enumerate(passage, 1)]
+        base = 1000 * c
+        texts[base + 100], texts[base + 300] = plant(rng, make_prose, passage), plant(rng, make_prose, copy)
+        for first in (0, 200):
+            for i in range(13):
+                at = rng.randrange(n - around + 1) if n < 100 else min(i * (n - around) // 12, n - around)
+                texts[base + first + i] = plant(rng, make_prose, passage[at : at + around])
+    got = {(r["doc_id"], r["source_id"]) for r in substring.shared_passages(frame(spark, texts)).collect()}
+    assert got == {(1000 * c + 300, 1000 * c + 100) for c in range(many)}
+
+
+def test_span_keys_take_the_least_hash_in_reach():
+    rng = np.random.default_rng(5)
+    doc = np.sort(rng.integers(0, 4, 300))
+    at = np.cumsum(rng.integers(1, 12, 300))
+    h = rng.integers(0, 2**63, 300).astype(np.uint64)
+    first, last, key = substring.spans(h, at, doc, 5, 50)
+    turn = substring.mix(h ^ np.uint64(0x5851F42D4C957F2D))
+    want = {}
+    for i in range(300):
+        if own := [j for j in range(300) if doc[j] == doc[i] and 50 <= at[j] + 5 - at[i] <= 50 + substring.REACH]:
+            want[i] = min(own, key=lambda j: turn[j])
+    assert dict(zip(first.tolist(), last.tolist())) == want and len(set(key.tolist())) == len(key)
+
+
 def test_every_exact_passage_is_found_as_by_brute_force(spark, make_prose):
     # passages of many lengths, cut from few texts, so that most share parts with many others
     rng = random.Random(13)
@@ -128,9 +160,9 @@ def test_every_exact_passage_is_found_as_by_brute_force(spark, make_prose):
     got: dict[int, int] = {}
     for r in substring.shared_passages(frame(spark, texts)).collect():
         got[r["doc_id"]] = max(got.get(r["doc_id"], 0), r["stop"] - r["start"])
-    assert all(got.get(i, 0) >= 50 for i, n in longest.items() if n >= 65)
+    assert all(got.get(i, 0) >= 50 for i, n in longest.items() if n >= 59)
     wanted = [i for i, n in longest.items() if n >= 50]
-    assert sum(i in got for i in wanted) >= 0.95 * len(wanted)  # hard on purpose: 50 to 64 words have no long key for sure
+    assert sum(i in got for i in wanted) >= 0.95 * len(wanted)  # hard on purpose: 50 to 58 words have no long key for sure
     assert all(n <= longest[i] + 2 for i, n in got.items())
 
 
@@ -190,7 +222,16 @@ def test_many_copies_give_linear_rows(spark, make_prose):
     rng = random.Random(6)
     passage = make_prose(rng, 80)
     got = substring.shared_passages(frame(spark, {i: plant(rng, make_prose, passage) for i in range(300)})).collect()
-    assert {r["doc_id"] for r in got} == set(range(1, 300)) and len(got) <= 900  # two, and a third where the first holder of a long key at an edge is another
+    assert {r["doc_id"] for r in got} == set(range(1, 300)) and len(got) <= 1200  # two, and one or two more where the first holders of keys at an edge are others
+
+
+def test_of_rows_with_one_id_the_smallest_text_counts(spark, make_prose):
+    rng = random.Random(19)
+    passage = make_prose(rng, 80)
+    rows = [(1, " ".join(passage)), (2, "zzz " + " ".join(passage)), (2, "aaa alone"), (3, " ".join(passage))]
+    for order in (rows, rows[::-1]):
+        got = substring.shared_passages(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert {(r["doc_id"], r["source_id"], r["stop"]) for r in got} == {(3, 1, 80)}
 
 
 def test_passages_of_odd_rows(odd, none):
