@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .ranking import ordered_rank
 
 
@@ -99,42 +101,68 @@ def ordered_list(value: str, by: str) -> Column:
     return F.transform(F.array_sort(pairs), lambda p: p["v"])
 
 
-def greedy_assignment(matches: DataFrame, categories: list[int], order: Column, cycles: int = 32) -> DataFrame:
-    """(front_page_category_id, item_id, item_order) by cycling over the categories, each taking its first unused item in ``order``.
+def greedy_assignment(matches: DataFrame, categories: DataFrame, order: Column, cycles: int = 32) -> DataFrame:
+    """(front_page_category_id, item_id, item_order): the categories take turns, ``cycles`` times over, each its first item in ``order`` that none has taken.
 
-    Each turn depends on all before it, but a category can lose no more items to others than there are turns: so many
-    candidates of each matter, and the turns are one fold over them. ``cycles`` and the number of categories, both small, bound it.
+    ``categories`` is (front_page_category_id, position), position from 1. Instead of one turn after the other, all categories walk
+    down their own candidates at once and claim items, each with the time of its turn; an item that another claims at an
+    earlier time is passed over. Claims are made anew until none changes. The first turn's claim is right at once and, once
+    all claims before a turn are right, so is its own: claims that no longer change are those of the turns one by one.
+    A category loses no more items to others than there are turns, so many candidates of each matter: its group is bounded by them.
     """
-    turns = cycles * len(categories)
-    if not turns:
-        return matches.select("front_page_category_id", "item_id", F.lit(0).alias("item_order")).limit(0)
+    n = categories.count()
+    turns, step = cycles * n, n + 1
     w = Window.partitionBy("front_page_category_id").orderBy("_o", "item_id")
-    top = matches.distinct().withColumn("_o", order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= turns)
-    own = top.groupBy("front_page_category_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "item_id"))), lambda x: x["item_id"]).alias("items"))
-    table = own.agg(F.map_from_entries(F.collect_list(F.struct("front_page_category_id", "items"))).alias("of"))
-    listed = F.array(*[F.lit(c).cast("long") for c in categories])
-    pick_kind = "array<struct<category: bigint, item: bigint, turn: int>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast(pick_kind).alias("picks"))
-
-    def take(held, slot):
-        category = F.element_at(listed, (slot % len(categories) + 1).cast("int"))
-        left = F.filter(F.coalesce(F.try_element_at(F.col("of"), category), F.array().cast("array<bigint>")), lambda x: ~F.array_contains(held["used"], x))
-        item = F.try_element_at(left, F.lit(1))
-        picks = F.concat(held["picks"], F.array(F.struct(category.alias("category"), item.alias("item"), (F.floor(slot / len(categories)) + 1).cast("int").alias("turn"))).cast(pick_kind))
-        return F.when(item.isNull(), held).otherwise(F.struct(F.concat(held["used"], F.array(item)).alias("used"), picks.alias("picks")))
-
-    picked = table.select(F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(turns - 1)), start, take, lambda held: held["picks"])).alias("p"))
-    return picked.select(F.col("p.category").alias("front_page_category_id"), F.col("p.item").alias("item_id"), F.col("p.turn").alias("item_order"))
-
-
-def balanced_assignment(matches: DataFrame, position: Column, tie: Column, pieces: int = 64) -> DataFrame:
+    top = matches.distinct().withColumn("_o", order).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= turns)
+    top = cut(top.join(F.broadcast(categories), "front_page_category_id").select("front_page_category_id", "position", "item_id", "turn"))
+    kind = "front_page_category_id long, item_id long, time long"
+
+    def walk(rows: pa.Table) -> pa.Table:
+        own = rows.sort_by("turn")
+        claims, time, position = [], step, own.column("position")[0].as_py()
+        for item, other in zip(own.column("item_id").to_pylist(), own.column("other").to_pylist()):
+            if other is None or other > time + position:
+                claims.append((item, time + position))
+                time += step
+                if len(claims) == cycles:
+                    break
+        category = own.column("front_page_category_id")[0].as_py()
+        return pa.table({"front_page_category_id": pa.array([category] * len(claims), pa.int64()), "item_id": pa.array([c[0] for c in claims], pa.int64()), "time": pa.array([c[1] for c in claims], pa.int64())})
+
+    claims, was = None, None
+    for _ in range(turns + 2):
+        offers = top.withColumn("other", F.lit(None).cast("long"))
+        if claims is not None:
+            first = F.slice(F.array_sort(F.collect_set("time")), 1, 2).alias("first")  # a time names its category
+            held = F.broadcast(claims.groupBy("item_id").agg(first))  # at most ``turns`` items
+            own = F.col("first")[0] % step == F.col("position")
+            offers = top.join(held, "item_id", "left").withColumn("other", F.when(own, F.try_element_at("first", F.lit(2))).otherwise(F.col("first")[0])).drop("first")
+        claims = cut(offers.groupBy("front_page_category_id").applyInArrow(walk, kind))
+        now = claims.agg(F.count(F.lit(1)), F.sum(F.xxhash64("front_page_category_id", "item_id", "time") % 1_000_003), F.bit_xor(F.xxhash64("item_id", "time"))).first()
+        if now == was:
+            break
+        was = now
+    return claims.select("front_page_category_id", "item_id", F.floor(F.col("time") / step).cast("int").alias("item_order"))
+
+
+def assignment_bundle(assigned: DataFrame, existing: DataFrame, slots: int) -> dict[str, DataFrame]:
+    """What a new assignment changes in ``existing`` (front_page_category_id, item_id, item_order): upserts, deletes (item_id) and the counts that are reported."""
+    gone = existing.join(assigned, "item_id", "left_anti").select("item_id")
+    numbers = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    counts = numbers(assigned, "assigned_count").withColumn("skipped_count", F.lit(slots) - F.col("assigned_count"))
+    for df, name in ((existing, "replaced_count"), (gone, "removed_count")):
+        counts = counts.join(F.broadcast(numbers(df, name)))
+    return {"upserts": assigned, "deletes": gone, "counts": counts}
+
+
+def balanced_assignment(matches: DataFrame, position: Column, tie: Column, places: int, pieces: int = 64) -> DataFrame:
     """(item_id, front_page_category_id, item_order): each item goes to its matching category with the fewest matching items from its own place on.
 
     ``matches`` is (item_id, front_page_category_id). The places are the order of ``position`` (0 or more, spread evenly
-    over 10,007); the items that remain in a category are its number less the item's rank. A category is ranked in ``pieces``.
+    below ``places``); the items that remain in a category are its number less the item's rank. A category is ranked in ``pieces``.
     """
     placed = matches.withColumn("position", position)
-    piece = F.floor(F.col("position") * pieces / 10_007)
+    piece = F.floor(F.col("position") * pieces / places)
     ranked = ordered_rank(placed, ["front_page_category_id"], piece, [F.col("position"), F.col("item_id")], "_rank", "_all")
     counted = ranked.withColumn("remaining", F.col("_all") - F.col("_rank") + 1)
     choice = Window.partitionBy("item_id").orderBy("remaining", tie, "front_page_category_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog, grid
@@ -181,19 +182,40 @@ def exists_flags(spark, sf):
 SELECT item_id, front_page_category_id, row_number() OVER (PARTITION BY front_page_category_id ORDER BY position, item_id) AS item_order FROM chosen WHERE c = 1""")
 def balanced_assignment(spark, sf):
     tie = (F.col("item_id") * 31 + F.col("front_page_category_id") * 17) % 101
-    return catalog.balanced_assignment(matches(spark, sf), (F.col("item_id") * 7919) % 10007, tie)
+    return catalog.balanced_assignment(matches(spark, sf), (F.col("item_id") * 7919) % 10007, tie, places=10_007)
 
 
-@query("WITH RECURSIVE " + LINKED.strip().removeprefix("WITH") + """, pool AS (SELECT front_page_category_id AS c, list(item_id ORDER BY (item_id * 7919 + front_page_category_id * 31) % 10007, item_id) AS items
-    FROM matches WHERE front_page_category_id % 3 = 0 GROUP BY 1), cats AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k, items FROM pool),
+GREEDY = "WITH RECURSIVE " + LINKED.strip().removeprefix("WITH") + """, pool AS (SELECT front_page_category_id AS c, list(item_id ORDER BY (item_id * 7919 + front_page_category_id * 31) % 10007, item_id) AS items
+    FROM matches GROUP BY 1), cats AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS k, items FROM pool),
 turns AS (SELECT 0::BIGINT AS slot, []::BIGINT[] AS used, NULL::BIGINT AS c, NULL::BIGINT AS item
     UNION ALL SELECT slot + 1, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, cat, pick FROM (
         SELECT t.slot, t.used, cats.c AS cat, list_filter(cats.items, lambda x: NOT list_contains(t.used, x))[1] AS pick
-        FROM turns t JOIN cats ON cats.k = t.slot % (SELECT count(*) FROM cats) WHERE t.slot < 32 * (SELECT count(*) FROM cats)))
-SELECT c AS front_page_category_id, item AS item_id, ((slot - 1) // (SELECT count(*) FROM cats) + 1)::INT AS item_order FROM turns WHERE item IS NOT NULL""")
+        FROM turns t JOIN cats ON cats.k = t.slot % (SELECT count(*) FROM cats) WHERE t.slot < 32 * (SELECT count(*) FROM cats))),
+assigned AS (SELECT c AS front_page_category_id, item AS item_id, ((slot - 1) // (SELECT count(*) FROM cats) + 1)::INT AS item_order FROM turns WHERE item IS NOT NULL)"""
+
+
+def shown_categories(spark, sf):
+    """The categories that items match, numbered in order: as many as the front page has, so few."""
+    numbers = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("front_page_category_id"))
+    return matches(spark, sf).select("front_page_category_id").distinct().withColumn("position", numbers)
+
+
+def greedy(spark, sf):
+    return catalog.greedy_assignment(matches(spark, sf), shown_categories(spark, sf), (F.col("item_id") * 7919 + F.col("front_page_category_id") * 31) % 10007)
+
+
+@query(GREEDY + " SELECT * FROM assigned")
 def greedy_assignment(spark, sf):
-    shown = [r[0] for r in matches(spark, sf).where("front_page_category_id % 3 = 0").select("front_page_category_id").distinct().orderBy("front_page_category_id").collect()]
-    return catalog.greedy_assignment(matches(spark, sf), shown, (F.col("item_id") * 7919 + F.col("front_page_category_id") * 31) % 10007)
+    return greedy(spark, sf)
+
+
+@query(GREEDY + """, existing AS (SELECT item_id FROM qualified WHERE item_id % 4 = 0)
+SELECT count(*) AS assigned_count, 32 * (SELECT count(*) FROM cats) - count(*) AS skipped_count, (SELECT count(*) FROM existing) AS replaced_count,
+    (SELECT count(*) FROM existing WHERE item_id NOT IN (SELECT item_id FROM assigned)) AS removed_count FROM assigned""")
+def assignment_counts(spark, sf):
+    """What a new front page changes where a quarter of the qualified items stood on the old one."""
+    existing = matches(spark, sf).select("item_id").distinct().where("item_id % 4 = 0")
+    return catalog.assignment_bundle(greedy(spark, sf), existing, 32 * shown_categories(spark, sf).count())["counts"]
 
 
 @query(LINKED + """ SELECT item_id, category_type, category_id FROM links WHERE item_id % 3 = 0

@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
+        spark__checkpoint__dir=tmp_path_factory.mktemp("shared").as_uri(),
         spark__driver__memory="4g",
     )
     session.sparkContext.setLogLevel("ERROR")
