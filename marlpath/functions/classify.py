@@ -69,7 +69,10 @@ def store_decision(domain: Column, text: Column) -> Column:
 
 
 def item_decision(text: Column, publisher: Column, players: Column, minutes: Column, age: Column) -> Column:
-    """(category, confidence, reasons) of an item from its folded text and publisher and from whether players, minutes and age are known."""
+    """(category, confidence, reasons) of an item from its folded text and publisher and from whether players, minutes and age are known.
+
+    A reason names three terms at most; where there is none, the last one says so.
+    """
     number = F.size(word_hits(text, ITEM_TERMS))
     known = F.lit(False)
     for p in PUBLISHERS:
@@ -86,12 +89,14 @@ def item_decision(text: Column, publisher: Column, players: Column, minutes: Col
     against = F.least(F.lit(0.85), F.size(word_hits(text, OTHER_TERMS)) * 0.25)
     sure = lambda x: F.bround(F.greatest(F.lit(0.0), F.least(F.lit(0.99), x)), 2)
     none = F.array().cast("array<string>")
-    say = lambda condition, word: F.when(F.coalesce(condition, F.lit(False)), F.array(F.lit(word))).otherwise(none)
-    tagged = lambda mark, terms: F.transform(word_hits(text, terms), lambda t: F.concat(F.lit(f"{mark}:"), t))
+    say = lambda condition, text: F.when(F.coalesce(condition, F.lit(False)), F.array(F.lit(text))).otherwise(none)
+    found = lambda what, terms: F.when(F.size(word_hits(text, terms)) > 0, F.array(F.concat(F.lit(f"{what} terms found: "), F.array_join(F.slice(word_hits(text, terms), 1, 3), ", ")))).otherwise(none)
+    # fixed values: the texts of the reasons
     reasons = F.concat(
-        say(players, "players"), say(minutes, "play_time"), say(age, "minimum_age"), tagged("term", ITEM_TERMS), say(known, "publisher"),
-        tagged("expansion", EXPANSION_TERMS), F.when(expansion, none).otherwise(tagged("negative", OTHER_TERMS)),
+        say(players, "player count found"), say(minutes, "play time found"), say(age, "minimum age found"), found("boardgame", ITEM_TERMS),
+        say(known, "known boardgame publisher found"), found("expansion", EXPANSION_TERMS), F.when(expansion, none).otherwise(found("non-boardgame", OTHER_TERMS)),
     )
+    reasons = F.when(F.size(reasons) > 0, reasons).otherwise(F.array(F.lit("insufficient classification evidence")))
     made = lambda name, x: F.struct(F.lit(name).alias("category"), sure(x).alias("confidence"), reasons.alias("reasons"))
     return (
         F.when(expansion, made("LIKELY_EXPANSION", 0.75 + (points + 0.3) / 4))
@@ -155,6 +160,8 @@ TUTORIAL = ("como jugar", "como se juega", "tutorial", "explicar", "explicado",
 TEACHING = ("aprende", "aprendiendo", "enseno", "ensenamos")
 OVERVIEW = ("conoce", "conocer", "conoceremos", "vista rapida", "resena", "review", "que es", "juegazo")
 WEAK = ("unboxing", "destroquel", "comprar", "top ", "mejores que")
+#: Tags of videos on board games.
+TAGS = ("juegosdemesa", "juego de mesa", "boardgame")
 
 
 def video_score(text: Column, name: Column, tokens: Column, likes: Column) -> Column:
@@ -164,7 +171,7 @@ def video_score(text: Column, name: Column, tokens: Column, likes: Column) -> Co
         F.when((name != "") & text.contains(name), 6.0).otherwise(0.0)
         + 2.0 * F.size(F.filter(tokens, lambda t: text.contains(t)))
         + 7.0 * count(TUTORIAL) + 5.0 * count(TEACHING) + 4.0 * count(OVERVIEW)
-        + F.when(F.size(hits(text, ("juegosdemesa", "juego de mesa", "boardgame"))) > 0, 2.0).otherwise(0.0)
+        + F.when(F.size(hits(text, TAGS)) > 0, 2.0).otherwise(0.0)
         - 2.5 * count(WEAK)
         + F.least(F.lit(4.0), F.log10(likes + 1))
     )

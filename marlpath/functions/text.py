@@ -139,5 +139,7 @@ def without_nul(column: Column) -> Column:
 
 
 def bounded_text(column: Column, most: int) -> Column:
-    """At most ``most`` characters, the last three of a longer text being dots."""
-    return F.when(F.length(column) > most, F.concat(F.left(column, F.lit(most - 3)), F.lit("..."))).otherwise(column)
+    """White space as single spaces, and at most ``most`` characters: the last three of a longer text are dots, unless only three or fewer are allowed."""
+    plain = F.trim(F.regexp_replace(column, r"(?U)\s+", " "))
+    cut = F.left(plain, F.lit(most)) if most <= 3 else F.concat(F.left(plain, F.lit(most - 3)), F.lit("..."))
+    return F.when(F.length(plain) > most, cut).otherwise(plain)

@@ -104,7 +104,8 @@ kernel("money_amounts", lambda v: offers.money(v), ((" 12.5 ",), "12.50"), (("-1
 kernel("video_ids", lambda u: offers.video_id(u), (("https://t.com/@a/video/123?x",), "123"), (("https://t.com/@a",), None))
 kernel("image_sources", lambda s: products.largest_source(s), (("a.jpg 100w, b.jpg 300w, c.jpg 300w, d.jpg 2x",), "b.jpg"), (("",), ""), (("only.png",), "only.png"))
 kernel("site_suffixes", lambda t: text.without_site_suffix(t), (("Catan - Base | Tienda - MX",), "Catan - Base"), (("Catan - MX",), "Catan"), (("Catan",), "Catan"))
-kernel("bounded_texts", lambda t: text.bounded_text(t, 6), (("abcdefgh",), "abc..."), (("abcdef",), "abcdef"), ((None,), None))
+kernel("bounded_texts", lambda t: text.bounded_text(t, 6), (("abcdefgh",), "abc..."), (("abcdef",), "abcdef"), ((" ab \n  cd ",), "ab cd"), ((None,), None))
+kernel("short_texts", lambda t: text.bounded_text(t, 3), (("a  b",), "a b"), (("abcd",), "abc"), (("",), ""))
 kernel("clean_addresses", lambda u: offers.clean_url(u), (("https://a.mx/p;x=1?y#z",), "https://a.mx/p"), (("https://a.mx/p#z",), "https://a.mx/p"))
 
 kernel("title_forms", lambda t: spoken(match.title_variants(t)),
@@ -119,7 +120,9 @@ kernel("store_decisions", lambda d, t: F.concat_ws(" ", classify.store_decision(
     (("tienda.mx", "juegos de mesa y catan, agregar al carrito, comprar, mexico"), "true 1.0 boardgame; online_store; mexico"), (("tienda.com", "juegos de mesa, carrito"), "false 0.49 boardgame; online_store; missing_mexico"),
     (("amazon.com.mx", "juegos de mesa carrito"), "false 0.0 blocked_domain"))
 kernel("item_decisions", lambda t, p: F.concat_ws(" ", *[classify.item_decision(t, p, F.lit(False), F.lit(False), F.lit(False))[c] for c in ("category", "confidence")], spoken(classify.item_decision(t, p, F.lit(False), F.lit(False), F.lit(False))["reasons"])),
-    (("cosa", ""), "UNCERTAIN 0.5 "), (("painted sleevesx", ""), "UNCERTAIN 0.5 "))
+    (("cosa", ""), "UNCERTAIN 0.5 insufficient classification evidence"), (("painted sleevesx", ""), "UNCERTAIN 0.5 insufficient classification evidence"), 
+    (("juego de mesa familiar estrategia cooperativo", "devir"), "LIKELY_BOARDGAME 0.9 boardgame terms found: juego de mesa, familiar, estrategia; known boardgame publisher found"),
+    (("paint brush", ""), "LIKELY_NON_BOARDGAME 0.82 non-boardgame terms found: paint, brush"), (("catan expansion, sleeves", ""), "LIKELY_EXPANSION 0.82 expansion terms found: expansion"))
 kernel("input_numbers", lambda v: F.concat_ws("|", predicates.truthy(v), predicates.whole_number(v), predicates.finite_number(v), spoken(predicates.listed_values(v))),
     ((" On ",), "true|On"), (("12",), "false|12|12.0|12"), (("1e2",), "false|100.0|1e2"), (("NaN",), "false|NaN"), (("a, b\nc,,",), "false|a; b; c"), (("1",), "true|1|1.0|1"))
 kernel("json_equality", lambda v: predicates.same_json(v, '{"a": 1, "b": [true]}'), (('{"b":[true],"a":1}',), "true"), (('{"a":1}',), "false"), (("{",), "false"), ((None,), "false"))

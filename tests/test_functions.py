@@ -116,8 +116,9 @@ def test_item_classifier(spark):
     paint = decide(spark, "pintura acrilica, paint brush")
     assert paint["category"] == "LIKELY_NON_BOARDGAME" and paint["confidence"] >= 0.75
     assert decide(spark, "catan expansion", "", True)["category"] == "LIKELY_EXPANSION"
-    assert tuple(decide(spark, "cosa"))[:2] == ("UNCERTAIN", 0.5) and decide(spark, "cosa")["reasons"] == []
-    assert game["reasons"][:3] == ["players", "play_time", "minimum_age"] and "publisher" in game["reasons"] and paint["reasons"][0].startswith("negative:")
+    assert tuple(decide(spark, "cosa"))[:2] == ("UNCERTAIN", 0.5) and decide(spark, "cosa")["reasons"] == ["insufficient classification evidence"]
+    assert game["reasons"] == ["player count found", "play time found", "minimum age found", "boardgame terms found: juego de mesa", "known boardgame publisher found"]
+    assert paint["reasons"] == ["non-boardgame terms found: paint, pintura, acrilica"]
     assert decide(spark, "painted sleevesx")["category"] == "UNCERTAIN"
 
 

@@ -58,25 +58,48 @@ def test_balanced_assignment_matches_the_definition(spark):
         own = [c for j, c in pairs if j == i]
         left = {c: sum(1 for j, d in pairs if d == c and place[j] >= place[i]) for c in own}
         want[i] = min(own, key=lambda c: (left[c], c))
-    got = catalog.balanced_assignment(df, (F.col("item_id") * 7919) % 10007, F.lit(0)).collect()
+    got = catalog.balanced_assignment(df, (F.col("item_id") * 7919) % 10007, F.lit(0), places=10_007).collect()
     assert {r["item_id"]: r["front_page_category_id"] for r in got} == want
     for c in range(5):
         own = sorted((r["item_order"], place[r["item_id"]]) for r in got if r["front_page_category_id"] == c)
         assert [o for o, _ in own] == list(range(1, len(own) + 1)) and [p for _, p in own] == sorted(p for _, p in own)
 
 
-def test_greedy_assignment_uses_items_once(spark):
-    pairs = [(i, c) for i in range(20) for c in (1, 2) if (i + c) % 3]
-    df = spark.createDataFrame(pairs, "item_id long, front_page_category_id long")
-    got = [tuple(r) for r in catalog.greedy_assignment(df, [1, 2, 9], (F.col("item_id") * 7) % 11, cycles=4).collect()]
-    used, want = set(), []
-    for turn in range(4):
-        for c in (1, 2, 9):
-            left = sorted(((i * 7) % 11, i) for i, d in pairs if d == c and i not in used)
+def one_by_one(pairs, order, categories, cycles):
+    """Turns taken one after the other."""
+    used, out = set(), []
+    for turn in range(cycles):
+        for c in categories:
+            left = sorted((order(i, c), i) for i, d in pairs if d == c and i not in used)
             if left:
                 used.add(left[0][1])
-                want.append((c, left[0][1], turn + 1))
-    assert sorted(got) == sorted(want) and len(got) == 8 and catalog.greedy_assignment(df, [], F.lit(0)).count() == 0
+                out.append((c, left[0][1], turn + 1))
+    return sorted(out)
+
+
+def categories_of(spark, ids):
+    return spark.createDataFrame([(c, k) for k, c in enumerate(ids, 1)], "front_page_category_id long, position int")
+
+
+def test_greedy_assignment_is_that_of_turns_one_by_one(spark):
+    rng = random.Random(4)
+    cases = [
+        ([(i, c) for i in range(20) for c in (1, 2) if (i + c) % 3], lambda i, c: (i * 7) % 11, (F.col("item_id") * 7) % 11, [1, 2, 9], 4),
+        ([(i, c) for i in range(40) for c in (3, 1, 2, 5)], lambda i, c: i, F.col("item_id"), [5, 3, 1, 2], 6),  # all want the same
+        ([(i, c) for i in range(60) for c in range(8) if rng.random() < 0.4], lambda i, c: (i * 13 + c * 7) % 31, (F.col("item_id") * 13 + F.col("front_page_category_id") * 7) % 31, list(range(8)), 5),
+    ]
+    for pairs, plain, order, ids, cycles in cases:
+        df = spark.createDataFrame(pairs + pairs[:3], "item_id long, front_page_category_id long")
+        got = sorted(tuple(r) for r in catalog.greedy_assignment(df, categories_of(spark, ids), order, cycles=cycles).collect())
+        assert got == one_by_one(pairs, plain, ids, cycles)
+    assert catalog.greedy_assignment(df, categories_of(spark, [1]).limit(0), F.lit(0)).count() == 0
+
+
+def test_assignment_bundle(spark):
+    assigned = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "front_page_category_id long, item_id long, item_order int")
+    old = spark.createDataFrame([(2, 11, 1), (2, 12, 2)], "front_page_category_id long, item_id long, item_order int")
+    got = catalog.assignment_bundle(assigned, old, 32)
+    assert rows(got["deletes"]) == [(12,)] and rows(got["counts"]) == [(2, 30, 2, 1)]
 
 
 def test_monitor(spark):
