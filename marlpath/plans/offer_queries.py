@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, offers, text
-from ..sources import pages, products, tables
+from ..sources import pages, product_pages, products, tables
 from .binding import query
 
 #: Offer texts of listings, in DuckDB's and in Spark's words.
@@ -181,11 +181,46 @@ def site_titles(spark, sf):
 
 @query()
 def product_detail_rows(spark, sf):
-    """The details of every page as a product page; tested against hand-made pages."""
-    found = products.details(products.product_pages(tables.read(spark, sf, "pages")))
+    """The details of every page as a product page; tested against hand-made pages, and told_details has SQL for made ones."""
+    found = product_pages.details(product_pages.product_pages(tables.read(spark, sf, "pages")))
     return found.select("page_id", "title", "description", "price", "availability", "min_age", F.col("language.language").alias("language"))
 
 
+def told_pages(spark, sf):
+    """A product page of each part: structured data on some, as a group's variant, a graph's product or a second script, else blocks, labelled facts and texts."""
+    part, key, size = tables.read(spark, sf, "part"), F.col("p_partkey"), F.col("p_size")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    url = text("https://www.shop.mx/products/p-", key, F.when(key % 3 == 0, "/?x=1").otherwise(""))
+    product = text('{"@type": ["Thing", "Product"], "name": "', F.col("p_name"), '", "url": "/products/p-', key, '", "sku": ', size, ', "gtin13": 0123, "brand": {"name": "', F.col("p_brand"), '"}, "image": [{"url": "/i/', key, '.jpg"}], "offers": [1, {"price": "1,', size + 100, '.50", "priceCurrency": "usd", "availability": "https://schema.org/InStock"}]}')
+    other = '{"@graph": [{"@type": "WebPage"}, [{"@type": "Product", "name": "Other thing", "url": "/products/other"}]]}'
+    group = text('[{"@type": "WebPage", "mainEntity": {"@type": "ProductGroup", "name": "Group ', size, '", "hasVariant": [{"@type": "Product", "url": "/q"}, {"@type": "Product", "url": "/products/p-', key, '", "sku": "v', key, '"}]}}]')
+    script = lambda json: text('<script type="application/ld+json">', json, "</script>")
+    data = F.when(key % 4 == 0, F.concat(script(F.lit(other)), script(product))).when(key % 4 == 1, F.concat(script(F.lit(other)), script(group))).when(key % 4 == 2, script(F.lit("{bad"))).otherwise("")
+    head = text("<html><head><title>", F.col("p_name"), ' | Tienda</title><meta content="/og.png" property="og:image"/>', data, "<style>p {color: red}</style></head><body>")
+    menu = '<div class="elementor-menu-cart"><p class="price">$ 1.00</p><br>Carrito</div>'
+    heading = F.when(key % 5 == 0, text("<h2>Sub</h2>")).otherwise(text("<h1>", F.col("p_name"), "</h1>"))
+    blocks = text('<p class="price"><span>$ ', size, '.00</span></p><div class="x stock ', F.when(size % 2 == 0, "out-of-stock").otherwise("in-stock"), '">nota</div>')
+    facts = text('<p class="product__text">N min jugadores: ', size % 4 + 1, '</p><p class="product__text">N&deg; max jugadores: 6</p><p class="product__text">Edad m&iacute;nima: ', size, '</p><p class="product__text">Editorial: Casa ', size % 3, "</p>")
+    words = F.when(key % 7 == 0, "<p>Idioma: Español Menu English</p>").when(key % 7 == 1, "<p>English, español</p>").otherwise("")
+    body = text(menu, heading, blocks, "<p>Un juego de prueba.</p>", facts, '<img alt="foto ', F.col("p_name"), '" src="data:x" data-src="/f/', key, '.png">', words, "<p>Copyright</p></body></html>")
+    return part.select(key.alias("page_id"), url.alias("url"), F.concat(head, body).alias("html"))
+
+
+@query("""SELECT p_partkey AS page_id, CASE WHEN p_partkey % 4 = 1 THEN 'Group ' || p_size WHEN p_partkey % 4 = 0 THEN p_name WHEN p_partkey % 5 = 0 THEN 'Sub' ELSE p_name END AS title,
+    CASE WHEN p_partkey % 4 = 0 THEN (1100 + p_size) || '.50' ELSE p_size || '.00' END AS price, CASE WHEN p_partkey % 4 = 0 THEN 'json_ld_offer' ELSE 'woocommerce_product_price' END AS price_source,
+    CASE WHEN p_partkey % 4 = 0 THEN 'USD' ELSE 'MXN' END AS currency, CASE WHEN p_partkey % 4 = 0 OR p_size % 2 = 1 THEN 'available' ELSE 'out_of_stock' END AS availability,
+    CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN 'v' || p_partkey ELSE '' END AS sku, CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE 'Casa ' || p_size % 3 END AS publisher,
+    CASE WHEN p_partkey % 4 = 0 THEN '/i/' || p_partkey || '.jpg' WHEN p_partkey % 4 = 1 OR p_partkey % 5 = 0 THEN '/og.png' ELSE '/f/' || p_partkey || '.png' END AS image,
+    p_size % 4 + 1 AS least, 6 AS most, p_size AS age, CASE p_partkey % 7 WHEN 0 THEN 'es' ELSE '' END AS language, CASE p_partkey % 7 WHEN 0 THEN 'product_language_label' ELSE '' END AS told_by,
+    CASE p_partkey % 7 WHEN 0 THEN 'Idioma: Español' ELSE '' END AS evidence FROM part""")
+def told_details(spark, sf):
+    found = product_pages.details(product_pages.product_pages(told_pages(spark, sf)))
+    return found.select(
+        "page_id", "title", "price", "price_source", "currency", "availability", "sku", "publisher", "image", F.col("players.min").alias("least"), F.col("players.max").alias("most"),
+        F.col("min_age").alias("age"), "language.language", F.col("language.source").alias("told_by"), "language.evidence",
+    )
+
+
 @query(r"""WITH t AS (SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN 'tienda en nuevo leon' WHEN 1 THEN 'leon, nuevo leon' WHEN 2 THEN 'sucursal merida' WHEN 3 THEN 'baja california sur' WHEN 4 THEN 'cdmx' ELSE lower(c_mktsegment) END AS x FROM customer)
 SELECT id, CASE id % 6 WHEN 1 THEN 'León' WHEN 2 THEN 'Mérida' WHEN 4 THEN 'Ciudad de México' ELSE '' END AS city,
     CASE id % 6 WHEN 0 THEN 'Nuevo León' WHEN 1 THEN 'Guanajuato' WHEN 2 THEN 'Yucatán' WHEN 3 THEN 'Baja California' WHEN 4 THEN 'Ciudad de México' ELSE '' END AS state FROM t""")

@@ -334,17 +334,22 @@ def test_stream_gives_the_batch_counts(spark, tmp_path):
 
 
 def test_product_pages(spark):
-    from marlpath.sources import products
+    from marlpath.sources import product_pages, products
 
     group = '{"@type": "ProductGroup", "name": "Catan", "brand": "Devir", "hasVariant": [{"@type": "Product", "url": "/products/catan", "offers": {"price": "1,200.50", "availability": "https://schema.org/InStock"}}]}'
     other = '{"@graph": [{"@type": "Product", "name": "Azul", "gtin13": 0123, "url": "https://a.mx/products/azul"}]}'
     html = f'<title>Catan | Tienda</title><h1>Catan</h1><script type="application/ld+json">{other}</script><script type="application/ld+json">{group}</script><p>De 3 a 4 jugadores, 60 min, edad: 10+. English</p>'
     df = spark.createDataFrame([(1, "https://www.a.mx/products/catan/", html), (2, None, None), (3, "u", "<script type='x application/ld+json'>{bad</script>")], "page_id long, url string, html string")
-    found = {r["page_id"]: r for r in products.details(products.product_pages(df)).collect()}
-    assert found[1]["title"] == "Catan" and found[1]["price"] == "1200.50" and found[1]["availability"] == "available"
+    found = {r["page_id"]: r for r in product_pages.details(product_pages.product_pages(df)).collect()}
+    assert found[1]["title"] == "Catan" and found[1]["price"] == "1200.50" and found[1]["availability"] == "available" and found[1]["publisher"] == "Devir"
     assert tuple(found[1]["players"]) == (3, 4) and found[1]["min_age"] == 10 and found[1]["language"]["language"] == "en" and found[2]["title"] == ""
+
+    def pick(scripts, url, titles):
+        one = spark.createDataFrame([(1, url, titles, scripts)], "page_id long, url string, titles array<string>, scripts array<string>")
+        found = product_pages.picked_products(one).collect()
+        return found[0]["product"] if found else None
+
     f = lambda c: spark.range(1).select(c).first()[0]
-    pick = lambda scripts, url, titles: f(products.picked_product(F.array(*map(F.lit, scripts)), F.lit(url), F.array(*map(F.lit, titles))))
     assert pick([other], "", ["Azul"])["name"] == "Azul" and pick(["{"], "u", ["x"]) is None
     deep = '[{"@type": "WebPage", "mainEntity": {"@graph": [{"@type": ["Thing", "PRODUCT"], "name": "Uno", "@id": "/other"}, {"@type": "Product", "name": "Dos", "offers": [1, {"url": "dos?x=1", "price": 7}]}]}}]'
     assert pick([deep, other], "https://a.mx/p/dos", ["Uno"])["price"] == "7" and pick([deep, other], "https://a.mx/q", ["Azul"])["name"] == "Azul"
@@ -353,6 +358,33 @@ def test_product_pages(spark):
     assert like("Catan Base", "Catan") == 501 and like("Catan", "catan") == 1001 and like("Dominó", "domino azul", "x") == 501 and like("", "x") == 0 and like("a b", "b c") == 1
 
 
+def test_elements_of_product_pages():
+    from marlpath.sources.product_pages import Reader
+
+    r = Reader()
+    r.feed(
+        "<title>T</title><div class='elementor-menu-cart'><div>gone<img src='/g.png'></div><br></div><p>one <b>two</b></p><p class='price'>$ <i>5</i></p><div class='stock x'>hay</div>"
+        "<div class='woocommerce-product-gallery'><a href='/a.JPG?x'><img src='/b.png'></a></div><img itemprop='image' src='/c.png'><h2>H <i>2</i></h2><h3>no</h3><noscript>not</noscript>"
+        "<p class='product__text'>A: <b>1</b></p><script type='application/ld+json'> {} </script><script>var x = '<p>';</script></body></p>last"
+    )
+    r.close()
+    assert r.nodes == ["T", "one", "two", "H", "2", "no", "A:", "1", "last"] and r.texts["title"] == ["T"] and r.texts["h2"] == ["H", "2"]
+    assert (r.prices, r.stock, r.facts, r.scripts, r.gallery) == (["$ 5"], [{"class": "stock x", "text": "hay"}], ["A: 1"], ["{}"], ["/a.JPG?x"])
+    assert [(i["sources"], i["own"]) for i in r.images] == [(["/b.png"], True), (["/c.png"], True)]
+
+
+def test_language_labels(spark):
+    from marlpath.sources.product_pages import labelled_facts, language_told, snippets
+
+    f = lambda c: spark.range(1).select(c).first()[0]
+    assert f(snippets(F.lit("x Idioma: Español Entrega en 3 días. Language: " + "a" * 300), "idioma|language")) == ["Idioma: Español", "Language: " + "a" * 210]
+    told = lambda *a: tuple(f(language_told(*map(F.lit, a))))
+    assert told("Catan inglés", "u", "", "Idioma: español") == ("en", "title", "Catan inglés")
+    assert told("Catan", "u", "in English", "Highlights: x Menu  Idioma: castellano") == ("es", "product_language_label", "Idioma: castellano")
+    assert told("Catan", "u", "in English", "nothing")[:2] == ("en", "description") and told("Catan", "u", "", "english español") == ("", "", "")
+    assert f(labelled_facts(F.array(*map(F.lit, ("Edad mínima: 8", "sin", ": x", "EDAD MINIMA: 10: más"))))) == {"edad minima": "10: más"}
+
+
 def test_places_images_and_titles(spark):
     from marlpath.sources import products
 
