@@ -17,6 +17,7 @@ words, which bounds all that is broadcast. For each block:
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -127,27 +128,30 @@ def located(features: np.ndarray, flag: np.ndarray, h: np.ndarray) -> np.ndarray
     return found
 
 
-def feature_counts(docs: DataFrame, block, text_col: str) -> np.ndarray:
-    """Occurrences of each of the block's features in the corpus."""
+def feature_counts(docs: DataFrame, held, text_col: str) -> list[np.ndarray]:
+    """Occurrences of each feature of the blocks in the corpus, in one scan for all of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = block.value.features
-        flag, total = flags(features), np.zeros(len(features), np.int64)
+        own = [(b.features, flags(b.features), np.zeros(len(b.features), np.int64)) for b in held.value]
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for lo, hi in chunks(texts):
                 w = words(texts[lo:hi])
                 for h in (w.hash, shingles(w, 2)[0]):
-                    f = located(features, flag, h)
-                    total += np.bincount(f[f >= 0], minlength=len(features))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["feature", "n"])
-
-    counted = docs.select(docs[text_col].alias("t")).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # at most the block's features
-    total = np.zeros(len(block.value.features), np.int64)
-    total[found.column("feature").to_numpy()] = found.column("n").to_numpy()
-    return total
+                    for features, flag, total in own:
+                        f = located(features, flag, h)
+                        total += np.bincount(f[f >= 0], minlength=len(features))
+        for i, (_, _, total) in enumerate(own):
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int32)), pa.array(some), pa.array(total[some])], ["block", "feature", "n"])
+
+    counted = docs.select(docs[text_col].alias("t")).mapInArrow(run, "block int, feature long, n long").groupBy("block", "feature").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()  # at most the blocks' features
+    block, feature, n = (found.column(c).to_numpy() for c in ("block", "feature", "n"))
+    out = [np.zeros(len(b.features), np.int64) for b in held.value]
+    for i, total in enumerate(out):
+        total[feature[block == i]] = n[block == i]
+    return out
 
 
 def rare_seeds(block: Block, counts: np.ndarray, most: int = 3) -> Seeds:
@@ -191,49 +195,49 @@ def tiles(own: Block, seeds: Seeds, w, word: np.ndarray, pair: np.ndarray) -> It
         seen[word[first:last]] = seen[pair[first : last - 1]] = False
 
 
-def aligned(docs: DataFrame, block, seeds, threshold: float, id_col: str, text_col: str, item_type: str) -> DataFrame:
+def copies_of(own: Block, rare: Seeds, flag: np.ndarray, w, h: np.ndarray, at: np.ndarray, code: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
+    """(doc, item, score, start, stop) of the tiles of some texts that align with an item of one block; ``h``, ``at``: the texts' bigrams, ``code``: their words."""
+    word, pair = located(own.features, flag, w.hash), np.full(len(w.hash), -1, np.int64)
+    pair[at] = located(own.features, flag, h)
+    todo = sorted(tiles(own, rare, w, word, pair), key=lambda t: (t[3] - t[2], len(own.words[t[1]])))
+    rows, now = [], 0
+    while now < len(todo):  # pairs of like length together, so that little is padded
+        part = todo[now : now + max(1, min(256, 400_000 // (todo[now][3] - todo[now][2])))]
+        text = [code[a:b] for _, _, a, b in part]
+        best, end = smith_waterman([own.words[t[1]] for t in part], text)
+        good = [j for j, t in enumerate(part) if best[j] >= threshold * MATCH * len(own.words[t[1]])]
+        if good:
+            _, back = smith_waterman([own.words[part[j][1]][::-1] for j in good], [text[j][: end[j]][::-1] for j in good])
+            for j, b in zip(good, back):
+                d, i, first, _ = part[j]
+                stop = int(first - w.first[d] + end[j])
+                rows.append((d, i, float(best[j]) / (MATCH * len(own.words[i])), stop - int(b), stop))
+        now += len(part)
+    return rows
+
+
+def aligned(docs: DataFrame, held, seeds, threshold: float, id_col: str, text_col: str, item_type: str) -> DataFrame:
     """(id, item_id, score, start, stop) of tiles that align with an item at ``threshold`` or more."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rare = block.value, seeds.value
-        flag = flags(own.features)
+        blocks_ = [(own, rare, flags(own.features)) for own, rare in zip(held.value, seeds.value)]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in chunks(texts):
                 w = words(texts[lo:hi])
                 h, at = shingles(w, 2)
-                word, pair = located(own.features, flag, w.hash), np.full(len(w.hash), -1, np.int64)
-                pair[at] = located(own.features, flag, h)
                 code = short(w.hash)
-                todo = sorted(tiles(own, rare, w, word, pair), key=lambda t: (t[3] - t[2], len(own.words[t[1]])))
-                rows, scores, starts, stops = [], [], [], []
-                now = 0
-                while now < len(todo):  # pairs of like length together, so that little is padded
-                    part = todo[now : now + max(1, min(256, 400_000 // (todo[now][3] - todo[now][2])))]
-                    text = [code[a:b] for _, _, a, b in part]
-                    best, end = smith_waterman([own.words[t[1]] for t in part], text)
-                    good = [j for j, t in enumerate(part) if best[j] >= threshold * MATCH * len(own.words[t[1]])]
-                    if good:
-                        _, back = smith_waterman([own.words[part[j][1]][::-1] for j in good], [text[j][: end[j]][::-1] for j in good])
-                        for j, b in zip(good, back):
-                            d, i, first, _ = part[j]
-                            rows.append((d, i))
-                            scores.append(float(best[j]) / (MATCH * len(own.words[i])))
-                            stops.append(int(first - w.first[d] + end[j]))
-                            starts.append(stops[-1] - int(b))
-                    now += len(part)
-                if not rows:
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array([d + lo for d, _ in rows], pa.int64())),
-                        pa.array([own.ids[i] for _, i in rows], pa.int64() if item_type == "bigint" else None),
-                        pa.array(scores, pa.float64()),
-                        pa.array(starts, pa.int64()),
-                        pa.array(stops, pa.int64()),
-                    ],
-                    ["id", "item_id", "score", "start", "stop"],
-                )
+                for own, rare, flag in blocks_:
+                    rows = copies_of(own, rare, flag, w, h, at, code, threshold)
+                    if not rows:
+                        continue
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array([r[0] + lo for r in rows], pa.int64())), pa.array([own.ids[r[1]] for r in rows], pa.int64() if item_type == "bigint" else None),
+                            pa.array([r[2] for r in rows], pa.float64()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (3, 4)],
+                        ],
+                        ["id", "item_id", "score", "start", "stop"],
+                    )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).mapInArrow(run, f"id {kind}, item_id {item_type}, score double, start long, stop long")
@@ -245,6 +249,7 @@ def contaminated(
     n: int = 4,
     threshold: float = 0.5,
     block_words: int = 200_000,
+    blocks_a_scan: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -253,18 +258,18 @@ def contaminated(
     score is the alignment's score over an exact copy's (1: exact), with 2 for a matching word, -1 for another one
     and -1 for one left out or put in; start and stop count words of the document. Items of fewer than ``n`` words,
     null and empty texts match nothing. Repeated rows of one id give its best passage; a null id is reported as
-    null. An empty table on either side gives no rows. Columns other than ids and texts aren't read.
+    null. An empty table on either side gives no rows. Columns other than ids and texts aren't read. The corpus is read
+    twice for each ``blocks_a_scan`` blocks of ``block_words`` words, which tasks hold together.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     result = spark.createDataFrame([], f"id {id_type}, item_id {item_type}, score double, start long, stop long")
-    for own in blocks(benchmark, n, threshold, block_words, "item_id", "text"):
-        if not len(own.features):
-            continue
-        block = spark.sparkContext.broadcast(own)
-        seeds = spark.sparkContext.broadcast(rare_seeds(own, feature_counts(docs, block, text_col)))
-        result = result.union(pinned(aligned(docs, block, seeds, threshold, id_col, text_col, item_type), "copies"))
+    with_features = (own for own in blocks(benchmark, n, threshold, block_words, "item_id", "text") if len(own.features))
+    while some := list(islice(with_features, blocks_a_scan)):
+        held = spark.sparkContext.broadcast(some)
+        seeds = spark.sparkContext.broadcast([rare_seeds(own, n) for own, n in zip(some, feature_counts(docs, held, text_col))])
+        result = result.union(pinned(aligned(docs, held, seeds, threshold, id_col, text_col, item_type), "copies"))
     best = result.groupBy("id", "item_id").agg(F.max(F.struct("score", -F.col("start"), "stop")).alias("b"))
     return best.select(F.col("id").alias(id_col), "item_id", "b.score", (-F.col("b.col2")).alias("start"), "b.stop")
 

@@ -287,8 +287,8 @@ def test_leaks_are_found_and_clean_documents_are_not(spark, make_prose):
     texts[200] = plant(rng, make_prose, items[9][:8])  # a fifth of an item is no copy of it
     df = frame(spark, texts)
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()] + [(50, "too short"), (51, None), (52, "")], "item_id long, text string")
-    for size in (200_000, 60):  # in one block and in several
-        got = decontamination.contaminated(df, bench, block_words=size).collect()
+    for size, scan in ((200_000, 4), (60, 2), (60, 1)):  # in one block and in several, several and one a scan
+        got = decontamination.contaminated(df, bench, block_words=size, blocks_a_scan=scan).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == {(100 + k, k) for k in range(10)}
         for r in got:
             assert (r["score"] == 1) == (r["item_id"] % 2 == 0) and abs(r["stop"] - r["start"] - len(items[r["item_id"]])) <= 1
