@@ -108,6 +108,50 @@ def grid_scoped_tiebreak(spark, sf):
     return grid.page(tables.store_items(spark, sf), scoped("listings", "store_id", 3), request).select("id", "store_id", "price")
 
 
+@query(LINKED + """, n AS (SELECT front_page_category_id AS id, category_type, CASE category_type WHEN 'category' THEN category_id WHEN 'family' THEN 'The ' || category_id WHEN 'mechanic' THEN 'No. ' || category_id END AS name FROM front_page)
+SELECT id, name FROM n WHERE name ILIKE '%brand#1%' ORDER BY name DESC, id DESC LIMIT 5""")
+def grid_category_names(spark, sf):
+    """Front-page categories by the name of their taxonomy, whichever it is."""
+    name = lambda kind, prefix: F.when(F.col("category_type") == kind, F.concat(F.lit(prefix), "category_id")).alias(f"{kind}_name")
+    named = front_page(spark, sf).select(F.col("front_page_category_id").alias("id"), "category_type", "category_id", name("category", ""), name("family", "The "), name("mechanic", "No. "))
+    request = grid.GridRequest(page_size=5, sort="category_name", sort_direction="desc", filters={"category_name": "brand#1"})
+    return grid.page(named, GRIDS["front_page_categories"], request).select("id", F.coalesce("category_name", "family_name", "mechanic_name").alias("name"))
+
+
+@query(SQL + """, p AS (SELECT id, id % 5 AS lo, CASE WHEN id % 3 = 0 THEN NULL ELSE id % 7 + 2 END AS hi, price, '$' || CAST(price AS VARCHAR) || ' mxn' AS raw FROM items)
+SELECT id, lo FROM p WHERE concat_ws(' ', lo, hi) ILIKE '%2 4%' AND raw ILIKE '%mx%' ORDER BY lo DESC, id DESC LIMIT 30""")
+def grid_players_and_prices(spark, sf):
+    """Listings by the text of both numbers of players and of price and raw price."""
+    key = F.col("id")
+    made = tables.items(spark, sf).select(
+        "id", (key % 5).alias("min_players"), F.when(key % 3 != 0, key % 7 + 2).alias("max_players"), "price", F.concat(F.lit("$"), F.col("price").cast("string"), F.lit(" mxn")).alias("raw_price"),
+    )
+    request = grid.GridRequest(page_size=30, sort="players", sort_direction="desc", filters={"players": "2 4", "price": " MX "})
+    return grid.page(made, GRIDS["listings"], request).select("id", F.col("min_players").alias("lo"))
+
+
+@query("""SELECT 'candidate' AS kind, id FROM (SELECT c_custkey AS id FROM customer WHERE c_mktsegment ILIKE '%auto%' ORDER BY c_acctbal DESC, c_custkey DESC LIMIT 25)
+UNION ALL SELECT 'change', id FROM (SELECT event_id AS id FROM events WHERE event_type ILIKE '%c%' ORDER BY ts DESC NULLS FIRST, event_id DESC LIMIT 25)
+UNION ALL SELECT 'job', id FROM (SELECT event_id AS id FROM events ORDER BY event_id LIMIT 25 OFFSET 25) UNION ALL SELECT 'task', id FROM (SELECT event_id AS id FROM events ORDER BY event_type, event_id LIMIT 10)
+UNION ALL SELECT 'review', id FROM (SELECT p_partkey AS id FROM part ORDER BY p_partkey DESC LIMIT 200)""")
+def grids_by_name(spark, sf):
+    """A page of each further grid over tables with its columns: candidates, changes, jobs, tasks and reviews."""
+    customer, events = tables.read(spark, sf, "customer"), tables.read(spark, sf, "events")
+    event = [F.col("event_id").alias("id"), F.col("ts").alias("changed_at"), F.col("ts").alias("created_at"), F.col("ts").alias("started_at"), F.col("event_type").alias("field_name"), F.col("event_type").alias("task_type")]
+    parts = [
+        ("candidate", "store_candidates", customer.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("store_name"), F.col("c_acctbal").alias("confidence")), grid.GridRequest(sort="confidence", sort_direction="desc", filters={"store_name": "auto"})),
+        ("change", "update_changes", events.select(*event), grid.GridRequest(page=0, filters={"field_name": "C"})),
+        ("job", "discovery_jobs", events.select(*event), grid.GridRequest(page=1, sort="id")),
+        ("task", "review_tasks", events.select(*event), grid.GridRequest(sort="task_type", page_size=10)),
+        ("review", "offer_reviews", tables.read(spark, sf, "part").select(F.col("p_partkey").alias("id")), grid.GridRequest()),
+    ]
+    found = [grid.page(df, GRIDS[name], request).select(F.lit(kind).alias("kind"), "id") for kind, name, df, request in parts]
+    whole = found[0]
+    for one in found[1:]:
+        whole = whole.unionByName(one)
+    return whole
+
+
 @query(SQL + " SELECT id, canonical_name, canonical_domain FROM stores ORDER BY canonical_name, id LIMIT 200")
 def grid_default_scan(spark, sf):
     return grid.page(tables.stores(spark, sf), GRIDS["stores"], grid.GridRequest()).select("id", "canonical_name", "canonical_domain")
@@ -135,6 +179,16 @@ def option_counts_unlinked(spark, sf):
     return catalog.category_options(dims, own, qualified(spark, sf).join(taken, "item_id", "left_anti"), shown)
 
 
+@query(LINKED + """, shown AS (SELECT * FROM front_page WHERE category_type = 'mechanic')
+SELECT d.category_type, d.category_id, f.front_page_category_id, coalesce(c.n, 0) AS game_count FROM dims d LEFT JOIN shown f USING (category_type, category_id)
+LEFT JOIN (SELECT category_type, category_id, count(*) AS n FROM links WHERE item_id IN (SELECT item_id FROM qualified) AND item_id NOT IN (SELECT item_id FROM links JOIN shown USING (category_type, category_id)) GROUP BY ALL) c USING (category_type, category_id)""")
+def option_counts_open(spark, sf):
+    """Categories with their items that a front page of mechanics doesn't hold yet."""
+    own = links(spark, sf)
+    shown = front_page(spark, sf).where("category_type = 'mechanic'").withColumnRenamed("front_page_category_id", "id")
+    return catalog.category_options(own.select("category_type", "category_id").distinct(), own, qualified(spark, sf), shown, only_unlinked=True)
+
+
 @query(LINKED + """ SELECT i.id, i.canonical_name FROM links l JOIN qualified q ON q.item_id = l.item_id JOIN items i ON i.id = l.item_id
 WHERE l.category_type = 'mechanic' AND l.category_id = '10' ORDER BY i.canonical_name, i.id LIMIT 500""")
 def category_products(spark, sf):
