@@ -148,3 +148,49 @@ def import_bundle(tables: dict[str, DataFrame], roots: DataFrame, things: DataFr
         "publishers": publishers, "item_publishers": insert_missing(tables["item_publishers"], house, ["item_id", "publisher_id"]),
         "relationships": kept.select("item_a_id", "link_type", "item_b_id", "source", "source_ref").unionByName(two), "imported": taken,
     }
+
+
+def items_of_listings(tables: dict[str, DataFrame], wanted: DataFrame, as_of: Column, fold) -> dict[str, DataFrame]:
+    """All tables after an item was made of each wanted listing (id, implements_id, extends_id: items, or null).
+
+    ``tables``: listings, items, publishers (id, name, normalized_name, bgg_id), item_publishers, relationships and links
+    (item_id, category_type, category_id). Listings without a store, a title or an address give none. The listing's publisher
+    is found by its trimmed name or added; an item takes the taxonomy of the items that it implements and extends, and an edge to
+    either; its listing is matched to it by hand. Of several wishes for one listing the least counts.
+    """
+    listings = tables["listings"]
+    own = wanted.groupBy("id").agg(F.min(F.struct("implements_id", "extends_id")).alias("w")).select("id", "w.*")
+    told = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    chosen = listings.where(F.col("store_id").isNotNull() & told("title") & told("source_url")).join(own, "id")
+    expansion = F.when(F.col("item_type") == "expansion", "expansion").otherwise("base_game")
+    made = chosen.select(
+        F.col("id").alias("listing_id"), F.col("title").alias("canonical_name"), fold(F.col("title")).alias("normalized_name"), expansion.alias("item_type"),
+        F.col("extends_id").alias("parent_item_id"), F.trim("publisher").alias("house"), "implements_id", "extends_id", *[c for c in ("min_players", "max_players", "min_minutes", "max_minutes", "min_age") if c in listings.columns],
+    )
+    new = cut(insert_numbered(tables["items"], made, [F.col("listing_id")], id_bucket("listing_id")))
+    items = tables["items"]
+    added = new.select(*[F.col(c) if c in new.columns else F.lit(None).cast(items.schema[c].dataType).alias(c) for c in items.columns])
+
+    named = new.where(told("house")).groupBy(F.col("house").alias("name")).agg(F.min("listing_id").alias("first")).withColumn("normalized_name", fold(F.col("name")))
+    known = tables["publishers"]
+    missing = named.join(known.select("name").distinct(), "name", "left_anti")
+    fresh = insert_numbered(known, missing, [F.col("first")], id_bucket("first")).select("id", "name", "normalized_name", F.lit(None).cast("long").alias("bgg_id"))
+    touched = known.join(named.select("name", F.col("normalized_name").alias("_folded")), "name", "left").withColumn("normalized_name", F.coalesce("_folded", "normalized_name"))
+    publishers = cut(touched.select("id", "name", "normalized_name", "bgg_id").unionByName(fresh))
+    of_name = publishers.groupBy("name").agg(F.min("id").alias("publisher_id"))
+    house = new.where(told("house")).join(of_name, F.col("house") == F.col("name")).select(F.col("id").alias("item_id"), "publisher_id")
+
+    edge = lambda column, kind: new.where(F.col(column).isNotNull()).select(F.col("id").alias("item_a_id"), F.lit(kind).alias("link_type"), F.col(column).alias("item_b_id"), F.lit("admin").alias("source"), F.col("listing_id").cast("string").alias("source_ref"))
+    edges = edge("implements_id", "implementation").unionByName(edge("extends_id", "extension"))
+    relations = upsert(tables["relationships"], edges, ["item_a_id", "link_type", "item_b_id"], ["source", "source_ref"])
+    above = new.select(F.col("id").alias("_new"), F.explode(F.array_distinct(F.array("implements_id", "extends_id"))).alias("item_id")).where("item_id is not null")
+    taken = above.join(tables["links"], "item_id").select(F.col("_new").alias("item_id"), "category_type", "category_id")
+
+    hit = new.select(F.col("listing_id").alias("id"), F.col("id").alias("_item"))
+    joined = listings.join(hit, "id", "left")
+    matched = {"item_id": F.col("_item"), "is_boardgame": F.lit(True), "is_boardgame_confirmed": F.lit(True), "match_source": F.lit("MANUAL"), "matched_name": F.col("title"), "match_score": F.lit(1.0), "processing_error": F.lit(""), "last_updated": as_of}
+    after = joined.select(*[F.when(F.col("_item").isNotNull(), matched[c].cast(listings.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in matched else F.col(c) for c in listings.columns])
+    return {
+        "items": items.unionByName(added), "publishers": publishers, "item_publishers": insert_missing(tables["item_publishers"], house, ["item_id", "publisher_id"]),
+        "relationships": relations, "links": insert_missing(tables["links"], taken, ["item_id", "category_type", "category_id"]), "listings": after,
+    }

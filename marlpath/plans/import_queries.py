@@ -141,3 +141,50 @@ def item_import(spark, sf):
     for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole
+
+
+CREATED = SQL + """, one AS (SELECT id, min(store_id) AS store_id, min(source_url) AS source_url FROM store_items WHERE item_id IS NULL GROUP BY id),
+l AS (SELECT id, CASE WHEN id % 11 = 0 THEN NULL ELSE store_id END AS store_id, CASE WHEN id % 7 = 0 THEN ' ' ELSE 'Game ' || id END AS title, CASE id % 4 WHEN 0 THEN ' House ' || id % 30 || ' ' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'New ' || id % 5 END AS publisher,
+    CASE WHEN id % 3 = 0 THEN 'expansion' ELSE 'unknown' END AS item_type, CASE WHEN id % 2 = 0 THEN id % 50 END AS impl, CASE WHEN id % 5 = 0 THEN id % 40 END AS ext FROM one),
+c AS (SELECT *, (SELECT max(id) FROM items) + row_number() OVER (ORDER BY id) AS item FROM l WHERE store_id IS NOT NULL AND trim(title) <> ''),
+known AS (SELECT n_nationkey + 1 AS id, 'House ' || n_nationkey AS name FROM nation), named AS (SELECT trim(publisher) AS name, min(id) AS first FROM c WHERE trim(coalesce(publisher, '')) <> '' GROUP BY 1),
+fresh AS (SELECT (SELECT max(id) FROM known) + row_number() OVER (ORDER BY first) AS id, name FROM named WHERE name NOT IN (SELECT name FROM known)), houses AS (SELECT * FROM known UNION ALL SELECT * FROM fresh),
+links AS (SELECT p_partkey AS item_id, 'category' AS t, p_type AS c FROM part UNION ALL SELECT p_partkey, 'family', p_brand FROM part)
+SELECT 'item' AS kind, item AS a, ext AS b, title AS name, CASE WHEN item_type = 'expansion' THEN 'expansion' ELSE 'base_game' END || '/' || lower(title) AS more FROM c
+UNION ALL SELECT 'listing', id, (SELECT item FROM c WHERE c.id = l.id), CASE WHEN id IN (SELECT id FROM c) THEN 'MANUAL' END, NULL FROM l
+UNION ALL SELECT 'house', id, NULL, name, CASE WHEN name IN (SELECT name FROM named) THEN lower(name) ELSE 'old' END FROM houses
+UNION ALL SELECT 'item house', c.item, h.id, NULL, NULL FROM c JOIN houses h ON h.name = trim(c.publisher)
+UNION ALL SELECT 'edge', item, impl, 'implementation', 'admin/' || id FROM c WHERE impl IS NOT NULL UNION ALL SELECT 'edge', item, ext, 'extension', 'admin/' || id FROM c WHERE ext IS NOT NULL
+UNION ALL SELECT DISTINCT 'link', item, NULL, t || ' ' || c, NULL FROM (SELECT item, impl AS p FROM c UNION SELECT item, ext FROM c) JOIN links ON links.item_id = p"""
+
+
+@query(CREATED)
+def created_items(spark, sf):
+    """An item of each listing without one, with its publisher, edges and the taxonomy of what it implements and extends."""
+    listed = tables.store_items(spark, sf).where("item_id is null").groupBy("id").agg(F.min("store_id").alias("store_id"), F.min("source_url").alias("source_url"))
+    key, none = F.col("id"), lambda kind: F.lit(None).cast(kind)
+    text = lambda prefix, c, end="": F.concat(F.lit(prefix), c.cast("string"), F.lit(end))
+    listings = listed.select(
+        "id", F.when(key % 11 != 0, F.col("store_id")).alias("store_id"), "source_url", F.when(key % 7 == 0, " ").otherwise(text("Game ", key)).alias("title"),
+        F.when(key % 4 == 0, text(" House ", key % 30, " ")).when(key % 4 == 1, "").when(key % 4 == 3, text("New ", key % 5)).alias("publisher"), F.when(key % 3 == 0, "expansion").otherwise("unknown").alias("item_type"),
+        none("bigint").alias("item_id"), none("string").alias("match_source"), none("timestamp").alias("last_updated"),
+    )
+    wanted = listed.select("id", F.when(key % 2 == 0, key % 50).alias("implements_id"), F.when(key % 5 == 0, key % 40).alias("extends_id"))
+    before = state(spark, sf)
+    part = tables.read(spark, sf, "part")
+    links = part.select(F.col("p_partkey").alias("item_id"), F.lit("category").alias("category_type"), F.col("p_type").alias("category_id")).union(part.select("p_partkey", F.lit("family"), "p_brand"))
+    held = {n: before[n] for n in ("items", "publishers", "item_publishers")} | {"listings": listings, "relationships": before["relationships"].limit(0), "links": links}
+    got = importing.items_of_listings(held, wanted, F.lit(AS_OF).cast("timestamp"), fold_title)
+    last, no, nothing = tables.items(spark, sf).agg(F.max("id").alias("last")), F.lit(None).cast("string"), F.lit(None).cast("long")
+    rows = lambda df, kind, a, b, name=no, more=no: df.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), (F.col(b) if b else nothing).alias("b"), name.alias("name"), more.alias("more"))
+    fresh = lambda df, column: df.crossJoin(F.broadcast(last)).where(F.col(column) > F.col("last"))
+    parts = [
+        rows(fresh(got["items"], "id"), "item", "id", "parent_item_id", F.col("canonical_name"), F.concat("item_type", F.lit("/"), "normalized_name")), rows(got["listings"], "listing", "id", "item_id", F.col("match_source")),
+        rows(got["publishers"], "house", "id", None, F.col("name"), F.col("normalized_name")), rows(got["item_publishers"], "item house", "item_id", "publisher_id"),
+        rows(got["relationships"], "edge", "item_a_id", "item_b_id", F.col("link_type"), F.concat("source", F.lit("/"), "source_ref")),
+        rows(fresh(got["links"], "item_id"), "link", "item_id", None, F.concat("category_type", F.lit(" "), "category_id")),
+    ]
+    whole = parts[0]
+    for one in parts[1:]:
+        whole = whole.unionByName(one)
+    return whole
