@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import pinned
+
 
 def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
@@ -22,13 +24,14 @@ class Sample(NamedTuple):
     prior: float
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int, features, id_col: str = "doc_id") -> Sample:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int, features, id_col: str = "doc_id", most_bytes: int = 1 << 28) -> Sample:
     """Features and labels of at most ``most`` labelled documents, half of each class where there are enough.
 
     ``labels`` rows count where ``keep`` holds and neither id nor label is null; a label over 0 is 1. Of an id that
     is labelled twice the larger label holds. The sample is that with the least hashes of the ids, the same on every
     run; its ids, of which there are at most ``most``, are broadcast to the documents. ``features`` maps a DataFrame
-    (id, text) to (id, features binary of uint32); of an id's repeated rows one stays.
+    (id, text) to (id, features binary of uint32); of an id's repeated rows one stays. Features of ``most_bytes`` in all
+    come to the driver: where very long texts have more, the sample ends before the one that passes it.
     """
     known = (
         labels.where(keep)
@@ -48,7 +51,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         picked = part if picked is None else picked.union(part)
     texts = docs.select(docs[id_col].alias("id"), docs["text"].alias("text")).join(F.broadcast(picked.select("id")), "id", "left_semi")
     made = features(texts).groupBy("id").agg(F.min("features").alias("features"))
-    rows = made.join(F.broadcast(picked), "id").orderBy(F.xxhash64("id"), "id").select("y", "features").collect()
+    table = pinned(made.join(F.broadcast(picked), "id").withColumn("turn", F.xxhash64("id")), "sample")
+    sizes = table.select("turn", "id", F.octet_length("features").alias("n")).orderBy("turn", "id").collect()
+    fit = int(np.searchsorted(np.cumsum([r["n"] for r in sizes]), most_bytes, "right")) if sizes else 0
+    if fit < len(sizes):
+        edge = sizes[max(fit, 1) - 1]
+        table = table.where((F.col("turn") < edge["turn"]) | ((F.col("turn") == edge["turn"]) & (F.col("id") <= edge["id"])))
+    rows = table.orderBy("turn", "id").select("y", "features").collect()
     label_of = np.array([r["y"] for r in rows], np.int64)
     odds = lambda a, b: float(np.log((a + 0.5) / (b + 0.5)))
     prior = odds(total[1], total[0])

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -103,3 +104,47 @@ def test_calibration_orders_and_centres():
     y = (rng.random(4000) < 1 / (1 + np.exp(-(1.5 * m - 1)))).astype(int)
     a, b = labelled.calibrate(m, y)
     assert abs(a - 1.5) < 0.2 and abs(b + 1) < 0.2
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * (10 + i)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    made = lambda texts: texts.select("id", F.encode(F.rpad("text", 80, "y"), "UTF-8").alias("features"))
+    sample = lambda **o: labelled.labelled_sample(docs, labels, "quality", F.lit(True), 40, made, **o)
+    whole, part = sample(), sample(most_bytes=80 * 7 + 5)
+    assert len(whole.features) == 40 and sorted(whole.label.tolist()) == [0] * 20 + [1] * 20
+    assert len(part.features) == 7 and all((a == b).all() for a, b in zip(part.features, whole.features)) and len(sample(most_bytes=1).features) == 1
+
+
+def test_embeddings_are_trained_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(toxicity, "DIM", 64)
+    rng = np.random.default_rng(4)
+    bags = [np.unique(rng.integers(0, 64, rng.integers(0, 9))) for _ in range(40)]
+    label = rng.integers(0, 2, 40)
+    weight, bias = toxicity.train_embeddings(bags, label, width=3, epochs=2)
+
+    draw = np.random.default_rng(0)
+    v = draw.normal(0, 0.02, (64, 3)).astype(np.float32).astype(float)
+    w = draw.normal(0, 0.5, (2, 3)).astype(np.float32).astype(float)
+    b, spent = [0.0, 0.0], [1e-8] * 64
+    for _ in range(2):
+        for i in draw.permutation(40):
+            own, n = bags[i].tolist(), len(bags[i])
+            if not n:
+                continue
+            mean = [sum(v[k][d] for k in own) / n for d in range(3)]
+            z = [sum(w[c][d] * mean[d] for d in range(3)) + b[c] for c in (0, 1)]
+            e = [math.exp(x) for x in z]
+            p = [x / sum(e) for x in e]
+            p[label[i]] -= 1  # the gradient of the softmax's log loss
+            back = [sum(p[c] * w[c][d] for c in (0, 1)) for d in range(3)]
+            for c in (0, 1):
+                b[c] -= 0.05 * p[c]
+                for d in range(3):
+                    w[c][d] -= 0.05 * p[c] * mean[d]
+            for k in own:
+                spent[k] += (max(abs(x) for x in back) / n) ** 2
+                for d in range(3):
+                    v[k][d] -= 0.5 / n / math.sqrt(spent[k]) * back[d]
+    want = [sum(v[k][d] * (w[1][d] - w[0][d]) for d in range(3)) for k in range(64)]
+    assert np.allclose(weight, want, atol=2e-3) and abs(bias - (b[1] - b[0])) < 2e-3

@@ -1,7 +1,9 @@
 import collections
+import random
 import zlib
 
 import corpus_pipeline
+import pytest
 from marlpath.llm import frames, sharding
 from pyspark.sql import functions as F
 
@@ -65,6 +67,47 @@ def test_large_groups_that_fit_stay_whole(spark):
     assert cut <= 0.01
 
 
+def least_cut(sizes, room):
+    """The least number of groups that stand in more than one shard, over all ways to fill shards with room for so many rows."""
+    best = len(sizes)
+    for whole in range(1 << len(sizes)):
+        kept = sorted((n for k, n in enumerate(sizes) if whole >> k & 1), reverse=True)
+        cut = len(sizes) - len(kept)
+        if cut < best and fits(kept, list(room)):
+            best = cut
+    return best
+
+
+def fits(kept, room):
+    if not kept:
+        return True
+    for k in range(len(room)):
+        if room[k] >= kept[0] and room[k] not in room[:k]:
+            room[k] -= kept[0]
+            if fits(kept[1:], room):
+                return True
+            room[k] += kept[0]
+    return False
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cut_groups_against_the_least_cut(spark, seed):
+    # groups of equal texts and single rows in four shards, where some groups must be cut or none
+    rng = random.Random(seed)
+    sizes = [rng.randint(2, 9) for _ in range(9)]
+    rows = [(f"group {k}", k) for k, n in enumerate(sizes) for _ in range(n)] + [(f"single {i}", -1) for i in range(rng.choice((0, 8)))]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = sharding.shard_rows(df, shards=4).collect()
+    n = len(rows)
+    where: dict = {}
+    for r in got:
+        if rows[r["doc_id"]][1] >= 0:
+            where.setdefault(rows[r["doc_id"]][1], set()).add(r["shard"])
+    cut = sum(len(s) > 1 for s in where.values())
+    least = least_cut(sizes, [n // 4 + (k < n % 4) for k in range(4)])
+    assert least <= cut <= least + 2
+
+
 def test_shards_do_not_depend_on_the_order_of_rows(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for df, shards in ((docs, 5), (odd, 3)):
