@@ -164,11 +164,11 @@ WEAK = ("unboxing", "destroquel", "comprar", "top ", "mejores que")
 TAGS = ("juegosdemesa", "juego de mesa", "boardgame")
 
 
-def video_score(text: Column, name: Column, tokens: Column, likes: Column) -> Column:
-    """How well a video's folded text suits an item: name and tokens, tutorial and overview signs, likes; at least 0, one decimal."""
+def video_score(text: Column, names: Column, tokens: Column, likes: Column) -> Column:
+    """How well a video's folded text suits an item: its ``names`` and their ``tokens`` (arrays; of each name), tutorial and overview signs, likes; at least 0, one decimal."""
     count = lambda terms: F.size(hits(text, terms))
     score = (
-        F.when((name != "") & text.contains(name), 6.0).otherwise(0.0)
+        6.0 * F.size(F.filter(names, lambda n: (n != "") & text.contains(n)))
         + 2.0 * F.size(F.filter(tokens, lambda t: text.contains(t)))
         + 7.0 * count(TUTORIAL) + 5.0 * count(TEACHING) + 4.0 * count(OVERVIEW)
         + F.when(F.size(hits(text, TAGS)) > 0, 2.0).otherwise(0.0)

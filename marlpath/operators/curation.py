@@ -86,6 +86,22 @@ def first_spellings(df: DataFrame, keys: list[str], spelling: Column, pos: str)
     return latest(df.withColumn("_spelled", spelling).where(F.coalesce("_spelled", F.lit("")) != ""), [*keys, "_spelled"], F.col(pos).asc()).drop("_spelled")
 
 
+#: What stores are searched for by city and, in the widest scope, by state.
+CITY_TEXTS = ("tienda juegos de mesa {} mexico", "juegos de mesa tienda online {}")
+STATE_TEXTS = ("tienda juegos de mesa {} mexico", "comprar juegos de mesa {}")
+
+
+def search_texts(core: DataFrame, cities: DataFrame, states: DataFrame, scope: str = "expanded") -> DataFrame:
+    """(pos, text) of the searches for stores: ``core`` (pos, text), with "expanded" those of ``cities`` (pos, name), with "full" those of ``states`` too; of texts alike but for case the first."""
+    if scope not in ("core", "expanded", "full"):
+        raise ValueError("scope must be core, expanded or full")
+    out = core.select(F.struct(F.lit(0).alias("part"), F.col("pos").cast("long").alias("pos"), F.lit(0).alias("n")).alias("pos"), "text")
+    for part, (names, texts) in enumerate(((cities, CITY_TEXTS), (states, STATE_TEXTS))[: ("core", "expanded", "full").index(scope)], 1):
+        made = F.posexplode(F.array(*[F.concat(F.lit(t.split("{}")[0]), F.col("name"), F.lit(t.split("{}")[1])) for t in texts]))
+        out = out.unionByName(names.select("pos", made.alias("n", "text")).select(F.struct(F.lit(part).alias("part"), F.col("pos").cast("long").alias("pos"), "n").alias("pos"), "text"))
+    return first_spellings(out, [], F.lower("text"), "pos")
+
+
 def ranked_videos(videos: DataFrame) -> DataFrame:
     """``videos`` (item_id, video_id, pos, score, likes, url) with rank: each video of an item once, by score, likes and address."""
     once = latest(videos.where(F.coalesce("video_id", F.lit("")) != ""), ["item_id", "video_id"], F.col("pos").asc())

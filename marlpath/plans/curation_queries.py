@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.offers import item_type_of
-from ..operators import curation, imports, match, predicates, schedule
-from ..functions.classify import auto_confirmed, item_decision
+from ..operators import curation, imports, match, monitor, predicates, schedule
+from ..functions.classify import auto_confirmed, item_decision, video_score
 from ..sources import pages, payloads, products, storefronts, tables
 from ..sources.tables import SQL
 from .binding import query
@@ -180,6 +181,37 @@ def next_local_times(spark, sf):
     return tables.read(spark, sf, "events").select("event_id", schedule.next_local_time(F.col("ts").cast("timestamp")).alias("next_at"))
 
 
+@query("""WITH c AS (SELECT n_nationkey AS pos, n_name AS name FROM nation), s AS (SELECT r_regionkey AS pos, r_name AS name FROM region),
+t AS (SELECT 0 AS part, r_regionkey AS pos, 0 AS n, 'Comprar juegos de mesa ' || r_name AS text FROM region WHERE r_regionkey < 3 UNION ALL SELECT 1, pos, 0, 'tienda juegos de mesa ' || name || ' mexico' FROM c UNION ALL SELECT 1, pos, 1, 'juegos de mesa tienda online ' || name FROM c
+    UNION ALL SELECT 2, pos, 0, 'tienda juegos de mesa ' || name || ' mexico' FROM s UNION ALL SELECT 2, pos, 1, 'comprar juegos de mesa ' || name FROM s)
+SELECT text, row_number() OVER (ORDER BY part, pos, n) AS place FROM (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY part, pos, n) AS r FROM t) WHERE r = 1""")
+def store_search_texts(spark, sf):
+    """Nations as cities and regions as states; some core texts are those of a state in other letters."""
+    nation, region = tables.read(spark, sf, "nation"), tables.read(spark, sf, "region")
+    core = region.where("r_regionkey < 3").select(F.col("r_regionkey").alias("pos"), text("Comprar juegos de mesa ", F.col("r_name")).alias("text"))
+    found = curation.search_texts(core, nation.select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name")), region.select(F.col("r_regionkey").alias("pos"), F.col("r_name").alias("name")), "full")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pos"))  # a list of some hundred texts
+    return found.select("text", place.alias("place"))
+
+
+@query("""SELECT '{"id":' || id || ',"status":"' || status || '"}' AS row FROM (SELECT event_id AS id, event_type AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 1)""")
+def latest_attempt_json(spark, sf):
+    made = tables.read(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("status"), "ts")
+    return monitor.latest_as_json(made.orderBy(F.desc("ts"), F.desc("id")).limit(1).select("id", "status"), F.desc("id"))
+
+
+@query("""SELECT event_id, CAST(greatest(0, round(6 * (CASE WHEN n1 THEN 1 ELSE 0 END + CASE WHEN n2 THEN 1 ELSE 0 END) + 2 * (CASE WHEN n1 THEN 1 ELSE 0 END + CASE WHEN n2 THEN 1 ELSE 0 END) + CASE k WHEN 0 THEN 7 WHEN 1 THEN 5 WHEN 2 THEN 4 ELSE -2.5 END + least(4, log10(likes + 1)), 1)) AS DECIMAL(6, 1)) AS score FROM (
+    SELECT event_id, event_id % 2 = 0 AS n1, event_id % 3 = 0 AS n2, event_id % 4 AS k, 10 ** (event_id % 3) - 1 AS likes FROM events)""")
+def video_scores(spark, sf):
+    """Captions of events that name an item in one or both of its languages, with a sign each."""
+    key = F.col("event_id")
+    sign = F.when(key % 4 == 0, "tutorial").when(key % 4 == 1, "aprende").when(key % 4 == 2, "conoce").otherwise("unboxing")
+    caption = F.concat_ws(" ", F.when(key % 2 == 0, "azul"), F.when(key % 3 == 0, "blue"), sign)
+    names = F.array(F.lit("azul"), F.lit("blue"), F.lit(""))
+    likes = F.when(key % 3 == 0, 0).when(key % 3 == 1, 9).otherwise(99)
+    return tables.read(spark, sf, "events").select("event_id", video_score(caption, names, F.array(F.lit("azul"), F.lit("blue")), likes).cast("decimal(6,1)").alias("score"))
+
+
 #: Kernels over stated texts.
 kernel("item_types", lambda t, u: item_type_of(t, u), (("Catan expansión", "u"), "expansion"), (("Catan", "https://a.mx/expansiones/1"), "expansion"), (("Catan", None), "unknown"))
 kernel("kept_titles", lambda a, b, c: products.refreshed_title(a, b, c), (("Mine", "Shop", " Shop "), "Mine"), (("Mine", "Shop", "New "), "New"), (("Mine", "", "Mine"), "Mine"))

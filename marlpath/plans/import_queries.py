@@ -60,6 +60,12 @@ def xml_records(spark, sf):
     )
 
 
+@query("""SELECT p_partkey + 100000 AS bgg_id, CASE WHEN p_partkey = 1 THEN 100008 ELSE p_partkey // 2 + 100000 END AS linked_bgg_id, 'implementation' AS link_type, p_partkey <> 1 AND p_partkey % 2 = 0 AS inbound FROM part WHERE p_partkey % 37 <> 0 AND (p_partkey = 1 OR p_partkey % 4 <> 3)
+UNION ALL SELECT p_partkey + 100000, CASE WHEN p_size % 7 = 0 THEN p_partkey // 3 + 100000 ELSE p_partkey + 100001 END, 'extension', p_size % 7 = 0 FROM part WHERE p_partkey % 37 <> 0""")
+def related_records(spark, sf):
+    return records.related(records.things(record_documents(spark, sf))).select("bgg_id", "linked_bgg_id", "link_type", "inbound")
+
+
 def state(spark, sf):
     """The tables before the import: items of which a quarter is fresh, lookups made of regions, publishers made of nations, and a few edges."""
     items, at = tables.items(spark, sf), F.lit(AS_OF).cast("timestamp")

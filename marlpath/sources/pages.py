@@ -88,31 +88,6 @@ def sitemap_urls(documents: DataFrame, xml: str = "xml") -> DataFrame:
     return own.select("domain", F.replace("url", F.lit("&amp;"), F.lit("&")).alias("url"), F.col("url").rlike(r"(?i)\.xml(\.gz)?$").alias("is_map")).distinct()
 
 
-def thing_record(xml: Column) -> Column:
-    """(external_id, kind, name, alternate_names, rating, links) of an XML record; null fields where it has none or is malformed."""
-    attr = lambda path: F.regexp_extract_all(xml, F.lit(path), 1)
-    unescape = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&quot;"), F.lit('"')), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    first = lambda c: F.get(c, F.lit(0))
-    return F.struct(
-        first(attr(r'<item [^>]*?id="(\d+)"')).try_cast("long").alias("external_id"),
-        first(attr(r'<item [^>]*?type="([^"]*)"')).alias("kind"),
-        unescape(first(attr(r'<name type="primary"[^>]*? value="([^"]*)"'))).alias("name"),
-        F.transform(attr(r'<name type="alternate"[^>]*? value="([^"]*)"'), unescape).alias("alternate_names"),
-        first(attr(r'<average value="([0-9.]+)"')).try_cast("double").alias("rating"),
-        F.regexp_extract_all(xml, F.lit(r"(<link [^>]*>)"), 1).alias("links"),
-    )
-
-
-def record_links(things: DataFrame) -> DataFrame:
-    """(bgg_id, pos, link_type, linked_bgg_id, inbound) of the links in thing_record's ``links``, in document order."""
-    links = things.select("bgg_id", F.posexplode("links").alias("pos", "l"))
-    kind = F.regexp_extract("l", r'type="boardgame(expansion|implementation)"', 1)
-    return links.where(kind != "").select(
-        "bgg_id", "pos", F.when(kind == "expansion", "extension").otherwise("implementation").alias("link_type"),
-        F.regexp_extract("l", r' id="(\d+)"', 1).cast("long").alias("linked_bgg_id"), F.col("l").contains('inbound="true"').alias("inbound"),
-    )
-
-
 def json_rows(df: DataFrame, column: str, ddl: str) -> DataFrame:
     """A row for each element of a JSON array of objects, typed; malformed arrays give none."""
     return df.select("*", F.inline(F.from_json(F.col(column), f"array<struct<{ddl}>>")))

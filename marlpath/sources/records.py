@@ -81,3 +81,10 @@ def things(documents: DataFrame, xml: str = "xml") -> DataFrame:
         value("minage").cast("int").alias("min_age"), number(F.col("item.statistics.ratings.average.at_value")).alias("rating"), number(F.col("item.statistics.ratings.averageweight.at_value")).alias("weight"),
         F.filter(links, lambda k: (k["id"] > 0) & (k["name"] != "")).alias("links"),
     )
+
+
+def related(things: DataFrame) -> DataFrame:
+    """(bgg_id, pos, link_type, linked_bgg_id, inbound) of the links of things to expansions and implementations, in document order."""
+    links = things.select(F.col("external_id").alias("bgg_id"), F.explode("links").alias("k"))
+    kind = F.regexp_extract("k.type", "^boardgame(expansion|implementation)$", 1)
+    return links.where(kind != "").select("bgg_id", "k.pos", F.when(kind == "expansion", "extension").otherwise("implementation").alias("link_type"), F.col("k.id").alias("linked_bgg_id"), "k.inbound")

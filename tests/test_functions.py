@@ -131,6 +131,6 @@ def test_derived_keywords(spark):
 
 
 def test_video_score(spark):
-    high = one(spark, lambda t: classify.video_score(t, F.lit("catan"), F.array(F.lit("catan")), F.lit(999)), "como jugar catan reglas")
+    high = one(spark, lambda t: classify.video_score(t, F.array(F.lit("catan"), F.lit("")), F.array(F.lit("catan")), F.lit(999)), "como jugar catan reglas")
     assert high == 6 + 2 + 7 + 7 + 3
-    assert one(spark, lambda t: classify.video_score(t, F.lit("catan"), F.array(F.lit("catan")), F.lit(0)), "unboxing") == 0
+    assert one(spark, lambda t: classify.video_score(t, F.array(F.lit("catan")), F.array(F.lit("catan")), F.lit(0)), "unboxing") == 0

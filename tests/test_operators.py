@@ -298,11 +298,6 @@ def test_page_sources(spark):
     assert rows(pages.listing_candidates(df)) == [(1, "https://a.mx/products/catan", "Catan Base", "899.00", "out_of_stock")]
     maps = spark.createDataFrame([("a.mx", "<urlset><url><loc> https://www.a.mx/p?a=1&amp;b=2 </loc></url><loc>https://b.mx/x</loc><loc>https://a.mx/s.xml</loc><loc>https://a.mx/s.xml</loc></urlset>")], "domain string, xml string")
     assert rows(pages.sitemap_urls(maps)) == [("a.mx", "https://a.mx/s.xml", True), ("a.mx", "https://www.a.mx/p?a=1&b=2", False)]
-    xml = '<items><item type="boardgame" id="7"><name type="primary" sortindex="1" value="Tom &amp;amp; Jerry" /><name type="alternate" sortindex="1" value="TJ" /><link type="boardgameexpansion" id="9" value="X" inbound="true" /><link type="boardgamemechanic" id="3" value="Y" /><average value="7.5" /></item></items>'
-    thing = spark.createDataFrame([(7, xml), (8, "<broken")], "bgg_id long, raw string").select("bgg_id", pages.thing_record(F.col("raw")).alias("t")).select("bgg_id", "t.*")
-    found = {r["bgg_id"]: r for r in thing.collect()}
-    assert found[7]["external_id"] == 7 and found[7]["rating"] == 7.5 and found[7]["alternate_names"] == ["TJ"] and found[8]["external_id"] is None
-    assert rows(pages.record_links(thing)) == [(7, 0, "extension", 9, True)]
     assert spark.range(1).select(pages.json_ld_price(F.lit('{"gtin13": 0123, "offers": [{"price": "1,200.5"}]}'))).first()[0] == "1200.5"
     walk = spark.createDataFrame([(1, 1, 3, 2, "a"), (1, 1, 3, 2, "b"), (1, 2, 3, 2, "c"), (2, 1, 3, 2, "a"), (2, 2, 4, 2, "b")], "store_id long, page int, declared int, page_size int, key string")
     assert rows(pages.catalogue_faults(walk)) == [(2, "short page"), (2, "total changed")]
@@ -402,8 +397,6 @@ def test_places_images_and_titles(spark):
     assert gone("<title>404</title>") and gone("<h1 class='x'>Página <b>no encontrada</b></h1>") and not gone("<title>Puzzle 404 piezas</title>") and not gone("<p>page not found</p>")
     assert reason("Catan", "A1", "Catan", "u", "a2") == "store_sku_mismatch" and reason(" ", "", "x", "u", "") == "missing_detail_title"
     assert f(products.refreshed_title(F.lit("Mine"), F.lit("Shop"), F.lit(" Shop "))) == "Mine" and f(products.refreshed_title(F.lit("Mine"), F.lit("Shop"), F.lit("New"))) == "New"
-    assert products.store_queries(["a", "A"], ["Leon"], ["Jalisco"], "full")[0] == "a" and len(products.store_queries(["a", "A"], ["Leon"], ["Jalisco"], "full")) == 5
-    assert products.dereferenced([{"a": 1, "b": 2}, [3], "x", 7]) == {"a": [7], "b": "x"} and products.dereferenced([[0]]) == [None]
     pages_of = spark.createDataFrame([("s", 1, "", "x"), ("s", 2, "Leon", "y"), ("t", 1, None, "")], "store string, n int, city string, name string")
     assert rows(products.merged_metadata(pages_of, "store", "n", ["city", "name"]).fillna("-")) == [("s", "Leon", "x"), ("t", "-", "-")]
 

@@ -149,3 +149,30 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
 @pytest.mark.parametrize("text, decoded", [("a &amp;amp; b", "a & b"), ("&amp;amp;amp;amp;", "&amp;"), ("&#x41;&nbsp;", "A\xa0"), ("plain", "plain"), ("&unknown;", "&unknown;")])
 def test_entities_are_decoded_three_times(text, decoded):
     assert records.decoded_text(text) == decoded
+
+
+def test_related_links_and_payloads(spark):
+    from marlpath.operators import curation
+    from marlpath.sources import payloads
+
+    got = records.related(records.things(spark.createDataFrame([(XML,)], "xml string"))).collect()
+    assert [tuple(r) for r in got] == [(7, 0, "extension", 9, True)]
+    made = [(1, '[{"a": 1, "b": 2}, [3], "x", 7]'), (2, "[[0]]"), (3, "[]"), (4, "{"), (5, None), (6, '[{"a": "text", "b": true, "c": -1}]'), (7, '["only"]')]
+    found = {(r["id"], ".".join(r["path"])): r["value"] for r in payloads.values(spark.createDataFrame(made, "id long, payload string")).collect()}
+    assert found == {(1, "a.[0]"): "7", (1, "b"): "x", (2, "[0]"): None, (6, "a"): None, (6, "b"): None, (6, "c"): None, (7, ""): "only"}
+    names = lambda *v: spark.createDataFrame(list(enumerate(v)), "pos int, name string")
+    core = names("a", "A", "tienda juegos de mesa leon mexico").withColumnRenamed("name", "text")
+    texts = lambda scope: [r["text"] for r in curation.search_texts(core, names("Leon"), names("Jalisco"), scope).orderBy("pos").collect()]
+    assert texts("core") == ["a", "tienda juegos de mesa leon mexico"] and texts("expanded") == [*texts("core"), "juegos de mesa tienda online Leon"] and len(texts("full")) == 5
+    with pytest.raises(ValueError):
+        texts("all")
+
+
+def test_listing_fallbacks_and_links(spark):
+    from marlpath.operators import curation
+
+    items = spark.createDataFrame([(1,), (2,)], "id long")
+    links = spark.createDataFrame([(5, 1, "u", "old", "en", "x", "HIDDEN"), (6, 1, "u", "twin", "en", "x", "HIDDEN")], "id long, item_id long, url string, title string, language string, source string, status string")
+    new = spark.createDataFrame([(1, "u", "first", 1), (1, "u", "new", 2), (2, "v", "other", 3), (9, "w", "nobody's", 4)], "item_id long, url string, title string, pos int")
+    got = sorted((r["id"], r["item_id"], r["title"], r["status"]) for r in curation.links_after(links, items, new).collect())
+    assert got == [(5, 1, "new", "ACTIVE"), (6, 1, "twin", "HIDDEN"), (7, 2, "other", "ACTIVE")]
