@@ -122,6 +122,48 @@ def catalogue_pages(spark, sf):
     return pages.catalogue_faults(storefronts.catalogue_products(page.select("store_id", body.alias("body"))))
 
 
+@query("""WITH p AS (SELECT p_size % 4 AS store_id, p_partkey, p_name, p_size, p_brand FROM part)
+SELECT 'row' AS kind, store_id, 'https://s.mx/product/p%20' || p_partkey AS url, CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 2 = 0 THEN p_size || '.5' ELSE CAST(p_size AS VARCHAR) END AS price,
+    CASE WHEN p_partkey % 3 = 0 THEN 'out_of_stock' WHEN p_partkey % 4 = 0 THEN 'unknown' WHEN p_partkey % 4 = 1 THEN 'available' WHEN p_size % 2 = 0 THEN 'out_of_stock' ELSE 'available' END AS availability FROM p WHERE p_partkey % 7 <> 0
+UNION ALL SELECT 'fault', 1, 'products missing', NULL, NULL WHERE EXISTS (SELECT 1 FROM p WHERE store_id = 1) UNION ALL SELECT 'fault', 9, 'invalid response', NULL, NULL UNION ALL SELECT 'fault', 8, 'another page', NULL, NULL""")
+def whole_catalogues(spark, sf):
+    """The parts as four stores' products, ten a page; one store says one product too many, and two more give no catalogue."""
+    part, key, size = tables.read(spark, sf, "part"), F.col("p_partkey"), F.col("p_size")
+    price = F.when(size % 5 == 0, "null").when(size % 2 == 0, text('"', size, '.50"')).otherwise(size.cast("string"))
+    online, stock = F.when(key % 3 == 0, "false").when(key % 4 == 1, "true").otherwise("null"), F.when((key % 4 < 2), "null").when(size % 2 == 0, "0").otherwise("2")
+    one = text('{"id": "', key, '", "name": " ', F.when(key % 7 == 0, "").otherwise(F.col("p_name")), '", "slug": "/p ', key, '/", "price": ', price, ', "brand": "x", "availableOnline": ', online, ', "stock": ', stock, "}")
+    numbered = part.select((size % 4).alias("store_id"), key.alias("k"), one.alias("one")).withColumn("place", F.row_number().over(Window.partitionBy("store_id").orderBy("k")) - 1)
+    totals = numbered.groupBy("store_id").agg(F.count(F.lit(1)).alias("n"))
+    page = numbered.groupBy("store_id", F.floor(F.col("place") / 10).alias("page")).agg(F.array_join(F.collect_list("one"), ", ").alias("own")).join(totals, "store_id")
+    body = text('{"content": [', F.col("own"), '], "number": ', F.col("page"), ', "totalPages": ', F.ceil(F.col("n") / 10), ', "totalElements": ', F.col("n") + F.when(F.col("store_id") == 1, 1).otherwise(0), "}")
+    other = spark.range(8, 10).select(F.col("id").cast("int").alias("store_id"), F.lit(0).cast("long").alias("page"), F.when(F.col("id") == 8, '{"content": [], "number": 1, "totalPages": 1, "totalElements": 0}').otherwise('{"content": 3}').alias("body"))
+    rows, faults = storefronts.whole_catalogue(page.select("store_id", "page", body.alias("body")).unionByName(other).withColumn("store_url", F.lit("https://s.mx/tienda")))
+    none = F.lit(None).cast("string")
+    found = rows.select(F.lit("row").alias("kind"), "store_id", F.col("source_url").alias("url"), "price", "availability")
+    return found.unionByName(faults.select(F.lit("fault").alias("kind"), "store_id", F.col("fault").alias("url"), none.alias("price"), none.alias("availability")))
+
+
+@query("""SELECT 'row' AS kind, CAST(p_partkey AS VARCHAR) AS sku, min(p_size % 3) AS category, min(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_size || '.50' END) AS price,
+    min(CASE p_partkey % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'out_of_stock' ELSE 'available' END) AS availability FROM part WHERE p_partkey % 11 <> 0 GROUP BY p_partkey
+UNION ALL SELECT 'fault', f, NULL, NULL, NULL FROM (VALUES ('unavailable'), ('another domain'), ('incomplete product'), ('another product''s address')) v(f)
+WHERE f = 'unavailable' OR EXISTS (SELECT 1 FROM part WHERE p_partkey % 11 = 0 AND p_partkey // 11 % 3 = CASE f WHEN 'another domain' THEN 0 WHEN 'incomplete product' THEN 1 ELSE 2 END)""")
+def category_catalogues(spark, sf):
+    """The parts in two categories each of one store, one page a part and category; every eleventh has a fault, and one page wasn't ready."""
+    part, key, size = tables.read(spark, sf, "part"), F.col("p_partkey"), F.col("p_size")
+    fault = F.when(key % 11 == 0, F.floor(key / 11) % 3)
+    link = F.when(fault == 0, text("https://other.mx/", key, "-x.html")).when(fault == 2, text("https://www.s.mx/a/9", key, "-x.html")).otherwise(text("https://www.s.mx/a/", key, "-X.HTML?q=1"))
+    one = text(
+        '{"status": true, "total": 5, "items": [{"id_product": ', key, ', "name": "', F.when(fault == 1, " ").otherwise(F.col("p_name")), '", "link": "', link, '", "price_amount": ', F.when(key % 3 == 0, '"-1"').otherwise(text(size, ".5")),
+        ', "stock": ', F.when(key % 4 == 0, "null").when(key % 4 == 1, "0").otherwise('"3"'), "}]}",
+    )
+    pages_of = part.select(F.explode(F.array(size % 3, size % 3 + 3)).alias("category"), key.alias("page"), one.alias("body"))
+    bad = spark.range(1).select(F.lit(7).alias("category"), F.lit(0).cast("long").alias("page"), F.lit('{"status": false, "items": [], "total": 0}').alias("body"))
+    rows, faults = storefronts.category_catalogue(pages_of.unionByName(bad).withColumns({"store_id": F.lit(1), "store_url": F.lit("https://s.mx/")}))
+    none = F.lit(None).cast("string")
+    found = rows.select(F.lit("row").alias("kind"), F.col("store_sku").alias("sku"), "category", "price", "availability")
+    return found.unionByName(faults.select(F.lit("fault").alias("kind"), F.col("fault").alias("sku"), F.lit(None).cast("int").alias("category"), none.alias("price"), none.alias("availability")))
+
+
 @query(SQL + """, q AS (SELECT DISTINCT 'k' || id % 9 AS query_key FROM items)
 SELECT query_key, CAST(CASE WHEN query_key IN ('k1', 'k2') THEN 1 ELSE 3 END AS BIGINT) AS n, query_key IN ('k1', 'k2') AS fresh FROM q""")
 def replaced_results(spark, sf):

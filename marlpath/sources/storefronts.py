@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.offers import money
+from ..functions.offers import canonical_domain, money
 from ..functions.text import collapse, fold_title
 
 #: The shape of a storefront's product answer; anything else in it is ignored.
@@ -71,3 +71,77 @@ def buy_box(price: Column, can_buy: Column) -> Column:
     """(price, availability): without a way to buy, a marketplace page has no price and is out of stock."""
     ok = F.coalesce(can_buy, F.lit(False))
     return F.struct(F.when(ok, price).otherwise("").alias("price"), F.when(ok, "available").otherwise("out_of_stock").alias("availability"))
+
+
+#: The shapes of two further catalogue services: pages of a numbered whole, and pages of a category.
+WHOLE = (
+    "content array<struct<id: string, name: string, slug: string, price: string, brand: string, longDescription: string, shortDescription: string, imageUrl: string, "
+    "availableOnline: boolean, stock: double>>, number int, totalPages int, totalElements int"
+)
+CATEGORY = "status boolean, items array<struct<id_product: string, name: string, link: string, price_amount: string, stock: string, description_short: string, cover: string, reference: string>>, total int"
+
+
+def plain_amount(value: Column) -> Column:
+    """A finite amount of at least zero without zeros at the end, as text; empty for anything else."""
+    amount = F.trim(value).try_cast("decimal(30,10)")
+    return F.when(amount >= 0, F.regexp_replace(F.regexp_replace(amount.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")).otherwise("")
+
+
+def whole_catalogue(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(listing rows, faults) of answers (store_id, store_url, page, body): the pages, from 0, of a catalogue that says how many pages and products it has.
+
+    A page that isn't JSON, lacks a list or a number, or says another number than its own is a fault of its store, as is
+    a total that changes or isn't that of the different products. Products without name or slug are left out.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    parsed = answers.select("store_id", "store_url", "page", F.from_json("body", WHOLE).alias("b"))
+    shape = F.col("b.content").isNull() | F.col("b.number").isNull() | F.col("b.totalPages").isNull() | F.col("b.totalElements").isNull()
+    checked = parsed.withColumn("fault", F.when(shape, "invalid response").when(F.col("b.number") != F.col("page"), "another page"))
+    entry = checked.where("fault is null").select("store_id", "store_url", F.explode("b.content").alias("p"))
+    slug = F.regexp_replace(text(F.col("p.slug")), "^/+|/+$", "")
+    stock = F.when(F.col("p.stock").isNotNull(), F.when(F.col("p.stock") > 0, "available").otherwise("out_of_stock"))
+    available = F.when(F.col("p.availableOnline") == F.lit(False), "out_of_stock").otherwise(F.coalesce(stock, F.when(F.col("p.availableOnline"), "available").otherwise("unknown")))
+    price = plain_amount(F.col("p.price"))
+    rows = entry.where((text(F.col("p.name")) != "") & (slug != "")).select(
+        "store_id", F.concat(F.regexp_replace("store_url", r"^([a-z]+://[^/]+).*$", "$1"), F.lit("/product/"), F.replace(F.url_encode(slug), F.lit("+"), F.lit("%20"))).alias("source_url"),
+        text(F.col("p.name")).alias("title"), text(F.col("p.brand")).alias("publisher"), F.coalesce(F.nullif(text(F.col("p.longDescription")), F.lit("")), text(F.col("p.shortDescription"))).alias("description"),
+        text(F.col("p.imageUrl")).alias("image_url"), price.alias("price"), F.when(price != "", "catalogue").otherwise("none").alias("price_source"), available.alias("availability"), text(F.col("p.id")).alias("store_sku"),
+    )
+    products = checked.where("fault is null").select("store_id", F.explode("b.content.slug").alias("slug")).groupBy("store_id").agg(F.countDistinct("slug").alias("n"))
+    totals = checked.where("fault is null").groupBy("store_id").agg(F.min("b.totalElements").alias("lo"), F.max("b.totalElements").alias("hi"), F.max("b.totalPages").alias("pages"), F.countDistinct("page").alias("read"))
+    whole = totals.join(products, "store_id", "left").select(
+        "store_id", F.when(F.col("lo") != F.col("hi"), "total changed").when(F.col("read") < F.col("pages"), "pages missing").when(F.coalesce("n", F.lit(0)) != F.col("hi"), "products missing").alias("fault")
+    )
+    faults = checked.where("fault is not null").select("store_id", "fault").distinct().unionByName(whole.where("fault is not null"))
+    return rows, faults
+
+
+def category_catalogue(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(listing rows, faults) of answers (store_id, store_url, category, page, body): the pages of categories, of which a product may stand in several.
+
+    A page that isn't JSON, isn't ready, or lacks a list or total is a fault, as is a product without id, name or address, or whose
+    address is on another domain or doesn't begin with its id. A product in several categories counts once, in the first.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    parsed = answers.select("store_id", "store_url", "category", "page", F.from_json("body", CATEGORY).alias("b"))
+    bad = ~F.coalesce(F.col("b.status"), F.lit(False)) | F.col("b.items").isNull() | F.coalesce(F.col("b.total") < 0, F.lit(True))
+    entry = parsed.where(~bad).select("store_id", "store_url", "category", "page", F.posexplode("b.items").alias("pos", "p"))
+    link = F.regexp_replace(F.when(text(F.col("p.link")).rlike("^https?://[^/]"), text(F.col("p.link"))).otherwise(""), "[;?#].*$", "")
+    number = text(F.col("p.id_product"))
+    entry = entry.withColumns({"url": link, "number": number, "name": text(F.col("p.name"))})
+    file = F.lower(F.element_at(F.split("url", "/"), -1))
+    fault = (
+        F.when((F.col("number") == "") | (F.col("name") == "") | (F.col("url") == ""), "incomplete product")
+        .when(canonical_domain(F.col("url")) != canonical_domain(F.col("store_url")), "another domain")
+        .when(~(file.startswith(F.concat(F.lower("number"), F.lit("-"))) & file.endswith(".html")), "another product's address")
+    )
+    entry = entry.withColumn("fault", fault)
+    price, stock = F.col("p.price_amount").try_cast("decimal(30,10)"), text(F.col("p.stock")).try_cast("decimal(30,10)")
+    amount = F.when(price >= 0, price.cast("decimal(12,2)").cast("string")).otherwise("")
+    first = entry.where("fault is null").groupBy("store_id", "number").agg(F.min_by(F.struct("url", "name", "category", "p"), F.struct("category", "page", "pos")).alias("f")).select("store_id", "number", "f.*")
+    rows = first.select(
+        "store_id", F.col("url").alias("source_url"), "category", F.col("name").alias("title"), text(F.col("p.description_short")).alias("description"), text(F.col("p.cover")).alias("image_url"), amount.alias("price"),
+        F.when(stock.isNull(), "unknown").when(stock > 0, "available").otherwise("out_of_stock").alias("availability"), F.col("number").alias("store_sku"),
+    )
+    faults = parsed.where(bad).select("store_id", F.lit("unavailable").alias("fault")).unionByName(entry.where("fault is not null").select("store_id", "fault")).distinct()
+    return rows, faults
