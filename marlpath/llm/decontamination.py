@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import pinned, without_ids
+from .frames import pinned, settled, without_ids
 from .wordstream import chunks, shingles, words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -145,7 +145,7 @@ def feature_counts(docs: DataFrame, held, text_col: str) -> list[np.ndarray]:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int32)), pa.array(some), pa.array(total[some])], ["block", "feature", "n"])
 
-    counted = docs.select(docs[text_col].alias("t")).mapInArrow(run, "block int, feature long, n long").groupBy("block", "feature").agg(F.sum("n").alias("n"))
+    counted = docs.select(docs[text_col].alias("t")).mapInArrow(settled(run), "block int, feature long, n long").groupBy("block", "feature").agg(F.sum("n").alias("n"))
     found = counted.toArrow()  # at most the blocks' features
     block, feature, n = (found.column(c).to_numpy() for c in ("block", "feature", "n"))
     out = [np.zeros(len(b.features), np.int64) for b in held.value]
@@ -240,7 +240,7 @@ def aligned(docs: DataFrame, held, seeds, threshold: float, id_col: str, text_co
                     )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).mapInArrow(run, f"id {kind}, item_id {item_type}, score double, start long, stop long")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("t")).mapInArrow(settled(run), f"id {kind}, item_id {item_type}, score double, start long, stop long")
 
 
 def contaminated(

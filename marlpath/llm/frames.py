@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +49,21 @@ def released(spark: SparkSession, *tables: DataFrame) -> None:
         _forget(spark, path)
 
 
+def settled(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, after which a worker, which lives on between tasks, gives the memory that it freed back to the machine."""
+
+    def until_done(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others give it back themselves
+            if trim:
+                trim(0)
+
+    return until_done
+
+
 def few(keys: DataFrame, most: int = 500_000) -> DataFrame:
     """``keys`` (one integer column), marked for a broadcast if they are at most ``most`` rows (about 12 MB as a hash table)."""
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys

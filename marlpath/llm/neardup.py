@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import few, pinned, released, shuffle_width, without_ids
+from .frames import few, pinned, released, settled, shuffle_width, without_ids
 from .wordstream import chunks, mix, shingles, words
 
 CELLS = 1 << 21
@@ -75,10 +75,10 @@ def cell_frequencies(docs: DataFrame, n: int, text_col: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["slice", "cells"])
 
     kind = "slice int, cells binary"
-    parts = docs.select(F.col(text_col)).mapInArrow(count, kind)
+    parts = docs.select(F.col(text_col)).mapInArrow(settled(count), kind)
     groups = max(16, math.isqrt(shuffle_width(docs.sparkSession)))
-    parts = parts.withColumn("_s", F.spark_partition_id() % groups).repartition(4 * groups, "slice", "_s").drop("_s").mapInArrow(merge, kind)
-    parts = parts.repartition(CELLS // SLICE, "slice").mapInArrow(merge, kind)
+    parts = parts.withColumn("_s", F.spark_partition_id() % groups).repartition(4 * groups, "slice", "_s").drop("_s").mapInArrow(settled(merge), kind)
+    parts = parts.repartition(CELLS // SLICE, "slice").mapInArrow(settled(merge), kind)
     cells = np.zeros(CELLS, np.int64)
     for row in parts.collect():  # at most CELLS / SLICE rows, CELLS numbers
         cells[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["cells"], np.int64)
@@ -161,7 +161,7 @@ def signatures(docs: DataFrame, n: int, idf, bands: int, rows: int, id_col: str,
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("_t")).mapInArrow(
-        run, f"id {kind}, digest binary, band_keys array<bigint>, bands binary, size long"
+        settled(run), f"id {kind}, digest binary, band_keys array<bigint>, bands binary, size long"
     )
 
 
@@ -311,7 +311,7 @@ def bucket_links(meetings: DataFrame, texts: DataFrame, n: int, idf, threshold:
             yield out(meeting.finish())
 
     tasks = meetings.join(texts, "id").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "side", "id")
-    return tasks.select("band", "key", "i", "j", "side", "id", "label", "main", "bands", "text").mapInArrow(run, "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return tasks.select("band", "key", "i", "j", "side", "id", "label", "main", "bands", "text").mapInArrow(settled(run), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def with_texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -363,7 +363,7 @@ def verified_links(pairs: DataFrame, texts: DataFrame, n: int, idf, threshold: f
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     wide = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return wide.mapInArrow(run, "a long, b long, similarity double")
+    return wide.mapInArrow(settled(run), "a long, b long, similarity double")
 
 
 def near_duplicates(

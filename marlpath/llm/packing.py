@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .frames import gapless_rank, pinned
+from .frames import gapless_rank, pinned, settled
 
 PIECES = "_id {kind}, piece int, start long, length long, ids binary, ids_crc32 long"
 
@@ -61,7 +61,7 @@ def token_pieces(
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).mapInArrow(run, PIECES.format(kind=kind))
+    out = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text")).mapInArrow(settled(run), PIECES.format(kind=kind))
     return out.withColumnRenamed("_id", id_col)
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import settled
 from .labelled import calibrate, labelled_sample, sigmoid
 from .wordstream import chunks, mix, shingles, words
 
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: in
                 made = [f.tobytes() for f in ngrams(batch.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["id", "features"])
 
-        return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, features binary")
+        return texts.mapInArrow(settled(run), f"id {texts.schema['id'].dataType.simpleString()}, features binary")
 
     sample = labelled_sample(docs, labels, label, keep, most, features)
     y = sample.label
@@ -172,7 +173,7 @@ def scores(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str =
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), docs["text"].alias("t")).mapInArrow(run, f"id {kind}, score double, predicted int")
+    out = docs.select(docs[id_col].alias("id"), docs["text"].alias("t")).mapInArrow(settled(run), f"id {kind}, score double, predicted int")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -187,4 +188,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
             good = [own.score(f) >= threshold for f in ngrams(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(settled(run), docs.schema)

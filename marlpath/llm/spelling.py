@@ -89,7 +89,7 @@ class Spelled:
         dim = np.where((code >= 97) & (code <= 122), code - 97, PLAIN + code % (DIMS - PLAIN))
         cells = np.repeat(np.arange(len(words)), self.length) * DIMS + dim
         counts = np.bincount(cells, minlength=len(words) * DIMS).reshape(-1, DIMS)
-        self.points = np.packbits(np.stack((counts > 0, counts > 1), axis=2).reshape(len(words), -1), axis=1).view("<u8").ravel()
+        self.points = np.packbits(np.stack((counts > 0, counts > 1), axis=2).reshape(len(words), 2 * DIMS), axis=1).view("<u8").ravel()
 
     def letters(self, at: np.ndarray, length: int) -> np.ndarray:
         return self.flat[self.first[at][:, None] + np.arange(length)]

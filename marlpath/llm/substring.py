@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import few, pinned, released, shuffle_width
+from .frames import few, pinned, released, settled, shuffle_width
 from .neardup import repeats_ids, with_texts
 from .wordstream import chunks, mix, runs, shingles, words
 
@@ -104,7 +104,7 @@ def seeds(docs: DataFrame, k: int, rate: int, min_words: int, spread: int, id_co
     return (
         docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("t"))
         .where("id is not null and t is not null")
-        .mapInArrow(run, "id long, at int, size int, seed long")
+        .mapInArrow(settled(run), "id long, at int, size int, seed long")
     )
 
 
@@ -169,7 +169,7 @@ def linked(occurrences: DataFrame, keys: list[str], min_words: int) -> DataFrame
             )
 
     dealt = occurrences.repartition(*keys).sortWithinPartitions(*keys, "id", "at").select(*keys, "id", "at", "size")
-    return dealt.mapInArrow(run, "x long, y long, px int, py int, size int, seed long")
+    return dealt.mapInArrow(settled(run), "x long, y long, px int, py int, size int, seed long")
 
 
 def anchors(found: DataFrame, sample: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
@@ -312,7 +312,7 @@ def chains(links: DataFrame, k: int, step: int, max_gap: int, far: int) -> DataF
             yield batch_of(work(*held))
 
     dealt = links.repartition("x", "y").sortWithinPartitions("x", "y", "py", "px")
-    return dealt.mapInArrow(run, "x long, y long, frags binary, lo0 int, lo1 int, hi0 int, hi1 int").withColumn("chain", F.monotonically_increasing_id())
+    return dealt.mapInArrow(settled(run), "x long, y long, frags binary, lo0 int, lo1 int, hi0 int, hi1 int").withColumn("chain", F.monotonically_increasing_id())
 
 
 def extend(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -470,7 +470,7 @@ def aligned(found: DataFrame, docs: DataFrame, min_words: int, similarity: float
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["chain", "side", "lo", "less", "more", "hashes"])
 
-    cut = texts.join(dealt, "id").select("text", "sides").mapInArrow(cut_out, "chain long, side int, lo int, less boolean, more boolean, hashes binary")
+    cut = texts.join(dealt, "id").select("text", "sides").mapInArrow(settled(cut_out), "chain long, side int, lo int, less boolean, more boolean, hashes binary")
     both = pinned(cut, "spans")
     one = lambda s: both.where(F.col("side") == s).select("chain", *[F.col(c).alias(f"{c}{s}") for c in ("lo", "less", "more", "hashes")])
     wide = found.select("chain", "x", "y", "frags").join(one(0), "chain").join(one(1), "chain")
@@ -516,7 +516,7 @@ def aligned(found: DataFrame, docs: DataFrame, min_words: int, similarity: float
     names = ["chain", "open", "doc_id", "start", "stop", "source_id", "source_start", "source_stop", "matches", "similarity"]
     done = pinned(
         wide.mapInArrow(
-            align, "chain long, open boolean, doc_id long, start int, stop int, source_id long, source_start int, source_stop int, matches int, similarity double"
+            settled(align), "chain long, open boolean, doc_id long, start int, stop int, source_id long, source_start int, source_stop int, matches int, similarity double"
         ),
         "aligned",
     )
@@ -614,4 +614,4 @@ def cut_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
                 cols[size] = pa.array([len(texts[i]) if i in touched else was[i] for i in range(len(texts))], batch.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(settled(run), docs.schema)
