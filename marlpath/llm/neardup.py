@@ -331,12 +331,12 @@ def numbered_texts(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str)
     """``reps`` (digest, id, ...) and ``docs`` with an id for each different text, and the links (a, b) between those of one row's id.
 
     Only for tables in which rows of one id have different texts: the least text digest of an id keeps it, the others get
-    unused ids below all.
+    unused ids above all.
     """
     turn = F.row_number().over(Window.partitionBy("id").orderBy("digest"))
-    least = min(0, reps.agg(F.min("id")).first()[0])
+    most = reps.agg(F.max("id")).first()[0]
     ranked = pinned(reps.withColumn("turn", turn).withColumn("n", F.monotonically_increasing_id()), "numbered")
-    new = pinned(ranked.withColumn("was", F.col("id")).withColumn("id", F.when(F.col("turn") == 1, F.col("id")).otherwise(F.lit(least - 1) - F.col("n"))), "numbered")
+    new = pinned(ranked.withColumn("was", F.col("id")).withColumn("id", F.when(F.col("turn") == 1, F.col("id")).otherwise(F.lit(most + 1) + F.col("n"))), "numbered")
     own = docs.withColumn("_digest", F.substring(F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)), 1, 16)).drop(id_col)
     texts = own.join(new.select(F.col("digest").alias("_digest"), F.col("id").alias(id_col)), "_digest").dropDuplicates(["_digest"]).drop("_digest")
     return new.drop("turn", "n", "was"), texts, new.where("turn > 1").select(F.col("was").alias("a"), F.col("id").alias("b"))
@@ -393,7 +393,7 @@ def near_duplicates(
     reps = signed.where("id is not null").groupBy("digest").agg(F.min(F.struct("id", "band_keys", "bands", "size")).alias("r")).select("digest", "r.*")
     reps = pinned(reps, "reps")
     copies = signed.join(reps.select("digest", F.col("id").alias("a")), "digest").where("id <> a").select("a", F.col("id").alias("b"))
-    nodes, texts_of, own = signed.select("id"), docs, copies
+    nodes, texts_of, own, same_row = signed.select("id"), docs, copies, None
     if repeats_ids(reps):
         reps, texts_of, same_row = numbered_texts(docs, reps, id_col, text_col)
         nodes, own = nodes.union(reps.select("id")), copies.union(same_row)
@@ -408,6 +408,8 @@ def near_duplicates(
     classes = pinned(components(nodes, own.union(links.select("a", "b")).union(rest.select("a", "b"))), "classes")
     linked = copies.distinct().withColumn("similarity", F.lit(1.0)).union(links).union(rest)
     ends = linked.select(F.explode(F.array("a", "b")).alias("id"), "similarity")
+    if same_row is not None:
+        ends = ends.join(same_row.select(F.col("b").alias("id"), F.col("a").alias("row_id")), "id", "left").select(F.coalesce("row_id", "id").alias("id"), "similarity")
     counts = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n_links"), F.max("similarity").alias("similarity"))
     return (
         signed.select("id").join(classes, "id", "left").join(counts, "id", "left")
