@@ -76,6 +76,14 @@ def test_records_in_xml(spark):
     assert [tuple(k) for k in r["links"]] == [(0, "boardgameexpansion", 9, "Base", True), (2, "boardgamecategory", 3, "A < B", False)]
 
 
+def test_addresses_of_a_map_do_not_carry_its_text(spark):
+    df = spark.createDataFrame([("https://a.mx/sitemap.xml", "<sitemap/><loc>/products/a</loc><loc>/products/b</loc>"), ("https://a.mx/none.xml", None)], "url string, text string")
+    found = sitemaps.entries(df)
+    assert [(r["pos"], r["target"], r["is_map"]) for r in found.orderBy("pos").collect()] == [(0, "https://a.mx/products/a", False), (1, "https://a.mx/products/b", False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "<sitemap" in plan and plan.index("Generate posexplode") < plan.index("<sitemap")  # the root stands first: the map is asked below
+
+
 def test_sitemaps_with_cycles_and_limits(spark):
     at = "https://www.shop.mx"
     docs = {
