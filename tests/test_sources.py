@@ -132,6 +132,18 @@ def test_order_of_shown_grids(spark):
     assert down == up[::-1]
 
 
+def test_attempts_of_many_parts_have_ids_of_their_own(spark, tmp_path):
+    from marlpath.plans.source_queries import queue_state, queue_transitions
+
+    keys = [13, 26, 1_000_013, 1_000_026, 2_000_013, 2_000_026]  # a second attempt of one would be the first of another at a distance of a million
+    spark.createDataFrame([(k, k % 50) for k in keys], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    _, outcomes = queue_state(spark, str(tmp_path))
+    ids = [r["attempt_id"] for r in outcomes.collect()]
+    assert len(ids) == len(set(ids))
+    shown = sorted(r["id"] for r in queue_transitions(spark, str(tmp_path)).where("kind = 'attempt'").collect())
+    assert shown == sorted(keys + [k + 1_000_000 for k in keys if k % 13 == 0])
+
+
 def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     from marlpath.plans.source_queries import queue_state
 
