@@ -79,7 +79,7 @@ def ranked_videos(spark, sf):
 UNION ALL SELECT p_partkey, 'self', NULL FROM part UNION ALL SELECT p_partkey, 'tags.[2]', NULL FROM part UNION ALL SELECT p_partkey, 'far', NULL FROM part UNION ALL SELECT p_partkey, 'none', '[]' FROM part UNION ALL SELECT p_partkey, 'inner.name', 'n ' || p_name FROM part""")
 def payload_values(spark, sf):
     """A payload of each part: an object of places, a list among them that leads back, a place beyond the end, and an object in an object."""
-    part = tables.read(spark, sf, "part")
+    part = tables.spread(tables.read(spark, sf, "part"), "p_partkey")
     made = text('[{"name": 2, "tags": 1, "self": 0, "far": 99, "none": 5, "inner": 6}, [3, 4, 1], "n ', F.col("p_name"), '", "', F.col("p_brand"), '", ', F.col("p_size"), ', [], {"name": 2}, true]')
     found = payloads.values(part.select(F.col("p_partkey").alias("id"), made.alias("payload")))
     return found.select("id", F.array_join("path", ".").alias("path"), "value")

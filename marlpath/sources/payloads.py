@@ -29,13 +29,13 @@ def values(payloads: DataFrame, depth: int = 64) -> DataFrame:
     """(id, path, value) of all that a payload's first entry leads to; ``path`` is an array of names, lists' as "[0]".
 
     An entry that stands above itself, or a place beyond the list, gives null; empty objects and lists give "{}" and "[]".
-    Each level is a join of places with entries. Raises where places lead deeper than ``depth``.
+    Each level is a join of places with entries, merged: Spark takes the entries to be as few as the payloads. Raises where places lead deeper than ``depth``.
     """
     held = cut(cells(payloads))
     at = held.where("at = 0").select("id", F.array().cast("array<string>").alias("path"), F.array(F.lit(0).cast("long")).alias("above"), F.lit(0).cast("long").alias("at"))
     out = None
     for _ in range(depth):
-        found = at.join(held, ["id", "at"], "left")
+        found = at.join(held.hint("merge"), ["id", "at"], "left")
         empty = F.when((F.col("kind") == "object") & (F.size("kids") == 0), "{}").when((F.col("kind") == "list") & (F.size("kids") == 0), "[]")
         leaf = found.where("kids is null or size(kids) = 0").select("id", "path", F.coalesce(empty, F.col("value")).alias("value"))
         kids = found.where("size(kids) > 0").select("id", "path", "above", F.explode("kids").alias("k"))
@@ -57,7 +57,7 @@ def product_descriptions(payloads: DataFrame) -> DataFrame:
     held = cut(cells(payloads))
     texts = held.where("kind = 'value'").select("id", F.col("at").alias("to"), F.trim("value").alias("text"))
     fields = held.where("kind = 'object'").select("id", "at", F.explode("kids").alias("k")).where("k.name in ('slug', 'description')").select("id", "at", "k.name", "k.to")
-    told = fields.join(texts, ["id", "to"]).groupBy("id", "at").pivot("name", ["slug", "description"]).agg(F.first("text"))
+    told = fields.join(texts.hint("merge"), ["id", "to"]).groupBy("id", "at").pivot("name", ["slug", "description"]).agg(F.first("text"))
     slugs = payloads.select("id", F.lower("slug").alias("wanted"))
     hit = told.join(slugs, "id").where((F.lower("slug") == F.col("wanted")) & (F.coalesce("description", F.lit("")) != ""))
     best = hit.groupBy("id").agg(F.min_by("description", "at").alias("own"))

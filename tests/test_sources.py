@@ -171,6 +171,17 @@ def test_entities_are_decoded_three_times(text, decoded):
     assert records.decoded_text(text) == decoded
 
 
+def test_entries_of_payloads_are_never_broadcast(spark, tmp_path):
+    from marlpath.sources import payloads
+
+    path = str(tmp_path / "payloads")
+    spark.range(50).select("id", F.lit('[{"slug": 1, "description": 2}, "a", "b"]').alias("payload"), F.lit("a").alias("slug")).write.parquet(path)
+    for found, n in ((payloads.values(spark.read.parquet(path)), 100), (payloads.product_descriptions(spark.read.parquet(path)), 50)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and found.count() == n
+    assert "BroadcastHashJoin" not in payloads.values(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_related_links_and_payloads(spark):
     from marlpath.operators import curation
     from marlpath.sources import payloads
