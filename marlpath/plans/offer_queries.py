@@ -188,7 +188,7 @@ def product_detail_rows(spark, sf):
 
 def told_pages(spark, sf):
     """A product page of each part: structured data on some, as a group's variant, a graph's product or a second script, else blocks, labelled facts and texts."""
-    part, key, size = tables.read(spark, sf, "part"), F.col("p_partkey"), F.col("p_size")
+    part, key, size = tables.spread(tables.read(spark, sf, "part"), "p_partkey"), F.col("p_partkey"), F.col("p_size")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     url = text("https://www.shop.mx/products/p-", key, F.when(key % 3 == 0, "/?x=1").otherwise(""))
     product = text('{"@type": ["Thing", "Product"], "name": "', F.col("p_name"), '", "url": "/products/p-', key, '", "sku": ', size, ', "gtin13": 0123, "brand": {"name": "', F.col("p_brand"), '"}, "image": [{"url": "/i/', key, '.jpg"}], "offers": [1, {"price": "1,', size + 100, '.50", "priceCurrency": "usd", "availability": "https://schema.org/InStock"}]}')

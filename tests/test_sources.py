@@ -171,6 +171,19 @@ def test_entities_are_decoded_three_times(text, decoded):
     assert records.decoded_text(text) == decoded
 
 
+@pytest.mark.parametrize("made", ["pages", "texts", "records"])
+def test_work_made_of_a_narrow_table_is_dealt_over_tasks(spark, made):
+    from marlpath.plans import import_queries, kernel_queries, offer_queries
+
+    sf = "/root/testdata/sf0.01"  # 2,000 parts in one row group
+    of = {"pages": offer_queries.told_pages, "texts": lambda *a: kernel_queries.dealt(*a, [("a",), ("b",)]), "records": import_queries.record_documents}[made](spark, sf)
+    sizes = of.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 1000
+    if made == "records":  # and XML is not parsed before it is dealt
+        plan = records.things(of)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.rindex("from_xml") < plan.rindex("RepartitionByExpression") if "from_xml" in plan else plan.rindex("xmltostructs") < plan.rindex("RepartitionByExpression")
+
+
 def test_entries_of_payloads_are_never_broadcast(spark, tmp_path):
     from marlpath.sources import payloads
 
