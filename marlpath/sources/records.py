@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import spread
+
 _named = "struct<at_type: string, at_value: string>"
 _value = "struct<at_value: string>"
 #: The elements and attributes of a record, as far as they are read.
@@ -54,7 +56,10 @@ def things(documents: DataFrame, xml: str = "xml") -> DataFrame:
     external_id, kind, name, alternate_names, description, image, year, min_players, max_players, min_minutes, max_minutes,
     min_age, rating, weight, and links as an array of (pos, type, id, name, inbound): those with a positive id and a name.
     """
-    found = read(documents.select(F.col(xml).alias("xml"))).withColumn("external_id", number(F.col("item.at_id")).cast("long")).where("external_id > 0")
+    found = read(documents.select(F.col(xml).alias("xml"))).withColumn("external_id", number(F.col("item.at_id")).cast("long"))
+    # A plain condition would move below a repartition of the documents' own table, and the XML be parsed in its few tasks.
+    found = found.where(F.when(F.spark_partition_id() >= 0, F.col("external_id") > 0))
+    found = spread(found, "external_id", documents.count())  # so that each task sorts few of the wide rows
     item = found.groupBy("external_id").agg(F.max_by("item", "xml").alias("item"))
     none = F.array().cast(f"array<{_named}>")
     of = lambda kind: F.transform(F.filter(F.coalesce("item.name", none), lambda n: n["at_type"] == kind), lambda n: n["at_value"])
