@@ -25,7 +25,7 @@ def dealt(spark, sf, arguments: list[tuple[str | None, ...]]):
     """(id, a0, a1, …): each item with the arguments that its key picks."""
     pick = (F.col("p_partkey") % len(arguments) + 1).cast("int")
     of = lambda values: F.array(*[F.lit(v).cast("string") for v in values])
-    return tables.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), *[F.element_at(of(v), pick).alias(f"a{i}") for i, v in enumerate(zip(*arguments))])
+    return tables.spread(tables.read(spark, sf, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), *[F.element_at(of(v), pick).alias(f"a{i}") for i, v in enumerate(zip(*arguments))])
 
 
 def kernel(name: str, apply, *cases: Case) -> None:
