@@ -184,6 +184,17 @@ def test_work_made_of_a_narrow_table_is_dealt_over_tasks(spark, made):
         assert plan.rindex("from_xml") < plan.rindex("RepartitionByExpression") if "from_xml" in plan else plan.rindex("xmltostructs") < plan.rindex("RepartitionByExpression")
 
 
+def test_equal_lookups_are_ranked_once(spark):
+    wanted = spark.createDataFrame([(i, "Red Box", "red box", "c" if i % 2 else None) for i in range(6)], "query_id long, query string, folded string, context string")
+    searches = spark.sql("select 'red box::cover-context:c' as key, 'ai' as kind, 7L as external_id, 1 as result_rank, timestamp'2020-01-01' as updated_at union all select 'red box', 'plain', 8L, 1, timestamp'2020-01-01'")
+    names = spark.createDataFrame([(9, "red big box", 1)], "external_id long, name string, year int")
+    found = match.search_cascade(wanted, searches, names, names.limit(0))
+    got = {(r["query_id"], r["external_id"]): (r["level"], r["verified"], r["rank"]) for r in found.collect()}
+    assert got == {(i, e): v for i in range(6) for e, v in ((7, (1, True, 1) if i % 2 else (2, False, 1)), (8, (4, False, 2)), (9, (5, False, 3)))}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # the root stands first: ranks are given out to the lookups, not made for each
+
+
 def test_entries_of_payloads_are_never_broadcast(spark, tmp_path):
     from marlpath.sources import payloads
 
