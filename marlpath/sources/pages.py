@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,9 @@ from ..functions.offers import availability_of, clean_url, is_product_url, price
 from ..functions.text import collapse
 
 BEFORE, AFTER = 3, 7
+#: Characters of links that a worker holds before it hands them on.
+HELD = 1_000_000
+LINKS = pa.schema([("page_id", pa.int64()), ("pos", pa.int32()), ("url", pa.string()), ("title", pa.string()), ("context", pa.string())])
 
 
 class _Links(HTMLParser):
@@ -45,32 +48,38 @@ class _Links(HTMLParser):
             self.events.append(("text", "", " ".join(data.split())))
 
 
+def near_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of pages (page_id, url, html), taken from a batch one page at a time and handed on whenever their texts exceed HELD characters."""
+    rows, held = [], 0
+    for batch in batches:
+        for page_id, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html"))):
+            parser = _Links(url.as_py() or "")
+            parser.feed(html.as_py() or "")
+            events = parser.events
+            for i, (kind, target, title) in enumerate(events):
+                if kind != "link":
+                    continue
+                near = []
+                for e in reversed(events[max(0, i - BEFORE) : i]):
+                    if e[0] == "link":
+                        break
+                    near.insert(0, e[2])
+                for e in events[i + 1 : i + 1 + AFTER]:
+                    if e[0] == "link":
+                        break
+                    near.append(e[2])
+                rows.append((page_id.as_py(), i, target, title, " ".join(near)))
+                held += sum(map(len, rows[-1][2:]))
+                if held > HELD:
+                    yield pa.record_batch(list(zip(*rows)), schema=LINKS)
+                    rows, held = [], 0
+    if rows:
+        yield pa.record_batch(list(zip(*rows)), schema=LINKS)
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, url, title, context) of each link; context is the text around it up to the next link, 3 before and 7 after at most."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for page_id, url, html in zip(p["page_id"], p["url"], p["html"]):
-                parser = _Links(url or "")
-                parser.feed(html or "")
-                events = parser.events
-                for i, (kind, target, title) in enumerate(events):
-                    if kind != "link":
-                        continue
-                    near = []
-                    for e in reversed(events[max(0, i - BEFORE) : i]):
-                        if e[0] == "link":
-                            break
-                        near.insert(0, e[2])
-                    for e in events[i + 1 : i + 1 + AFTER]:
-                        if e[0] == "link":
-                            break
-                        near.append(e[2])
-                    rows.append((page_id, i, target, title, " ".join(near)))
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "url", "title", "context"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, pos int, url string, title string, context string")
+    return pages.select("page_id", "url", "html").mapInArrow(near_links, "page_id long, pos int, url string, title string, context string")
 
 
 def listing_candidates(pages: DataFrame) -> DataFrame:

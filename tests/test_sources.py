@@ -231,3 +231,23 @@ def test_listing_fallbacks_and_links(spark):
     new = spark.createDataFrame([(1, "u", "first", 1), (1, "u", "new", 2), (2, "v", "other", 3), (9, "w", "nobody's", 4)], "item_id long, url string, title string, pos int")
     got = sorted((r["id"], r["item_id"], r["title"], r["status"]) for r in curation.links_after(links, items, new).collect())
     assert got == [(5, 1, "new", "ACTIVE"), (6, 1, "twin", "HIDDEN"), (7, 2, "other", "ACTIVE")]
+
+
+def test_links_are_handed_on_in_parts_and_batches_read_one_by_one():
+    import pyarrow as pa
+    from marlpath.sources import pages
+
+    read = []
+
+    def batches():
+        for k in range(3):
+            read.append(k)
+            html = [f"<p>{'w' * 3000}</p><a href='/a{i}'>t{i}</a><p>{'v' * 2000}</p><a href='/b{i}'>u</a>" for i in range(400)]
+            yield pa.record_batch([list(range(k * 400, k * 400 + 400)), ["https://a.mx/"] * 400, html], names=["page_id", "url", "html"])
+
+    made = pages.near_links(batches())
+    first = next(made)
+    assert read == [0] and 0 < first.num_rows < 400
+    parts = [first, *made]
+    assert max(p.nbytes for p in parts) < 1_200_000 and sum(p.num_rows for p in parts) == 2400
+    assert parts[-1].slice(parts[-1].num_rows - 1).to_pylist() == [{"page_id": 1199, "pos": 3, "url": "https://a.mx/b399", "title": "u", "context": "v" * 2000}]
