@@ -449,3 +449,14 @@ def test_storefronts_and_marketplace_rules(spark):
     assert tuple(f(storefronts.number_range(F.lit("2 hasta 4 personas")))) == (2, 4) and tuple(f(storefronts.number_range(F.lit("45 min")))) == (45, 45)
     assert [f(storefronts.age_in_years(F.lit(a))) for a in ("10 años y más", "36 meses", "120", "6 months", "8")] == [10, 3, 10, 1, 8]
     assert tuple(f(storefronts.buy_box(F.lit("5.00"), F.lit(False)))) == ("", "out_of_stock")
+
+
+def test_listings_of_one_id_are_grouped_in_bounded_tasks(spark, monkeypatch):
+    from marlpath.plans.edit_queries import listings_of
+    from marlpath.sources import tables
+
+    monkeypatch.setattr(tables, "GROUPED", 500)
+    line = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    made = listings_of(spark, "/root/testdata/sf0.001")
+    sizes = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 800 and sum(sizes) == line.select("l_orderkey", "l_linenumber").distinct().count()
