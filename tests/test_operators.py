@@ -460,3 +460,13 @@ def test_listings_of_one_id_are_grouped_in_bounded_tasks(spark, monkeypatch):
     made = listings_of(spark, "/root/testdata/sf0.001")
     sizes = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert max(sizes) < 800 and sum(sizes) == line.select("l_orderkey", "l_linenumber").distinct().count()
+
+
+def test_kept_confirmations_are_joined_in_bounded_tasks(spark, monkeypatch):
+    from marlpath.plans.registry import QUERIES
+    from marlpath.sources import tables
+
+    monkeypatch.setattr(tables, "GROUPED", 500)
+    made = QUERIES["kept_confirmations"](spark, "/root/testdata/sf0.001")
+    sizes = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 800 and sum(sizes) == made.count()
