@@ -10,6 +10,10 @@ from .lineage import cut
 from .ranking import ordered_rank
 
 
+#: Matches that a task ranks.
+RANKED = 500_000
+
+
 def active_items(items: DataFrame, store_items: DataFrame, additional: DataFrame, relationships: DataFrame) -> DataFrame:
     """Items with an eligible listing, directly or bundled, with has_approved_listing and is_expansion.
 
@@ -109,11 +113,17 @@ def greedy_assignment(matches: DataFrame, categories: DataFrame, order: Column,
     earlier time is passed over. Claims are made anew until none changes. The first turn's claim is right at once and, once
     all claims before a turn are right, so is its own: claims that no longer change are those of the turns one by one.
     A category loses no more items to others than there are turns, so many candidates of each matter: its group is bounded by them.
+    They are found in parts of some RANKED matches first, and then among the best of the parts, so no task sorts all of a category.
     """
     n = categories.count()
     turns, step = cycles * n, n + 1
+    own = cut(matches.distinct().withColumn("_o", order))
+    parts = max(1, -(-own.count() // RANKED))
+    first = Window.partitionBy("front_page_category_id", "_part").orderBy("_o", "item_id")
+    parted = own.withColumn("_part", F.pmod(F.xxhash64("item_id"), F.lit(parts))).repartition(parts, "front_page_category_id", "_part")
+    best = parted.withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= turns).drop("_part")
     w = Window.partitionBy("front_page_category_id").orderBy("_o", "item_id")
-    top = matches.distinct().withColumn("_o", order).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= turns)
+    top = best.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= turns)
     top = cut(top.join(F.broadcast(categories), "front_page_category_id").select("front_page_category_id", "position", "item_id", "turn"))
     kind = "front_page_category_id long, item_id long, time long"
 

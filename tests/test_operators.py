@@ -470,3 +470,18 @@ def test_kept_confirmations_are_joined_in_bounded_tasks(spark, monkeypatch):
     made = QUERIES["kept_confirmations"](spark, "/root/testdata/sf0.001")
     sizes = [r["n"] for r in made.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert max(sizes) < 800 and sum(sizes) == made.count()
+
+
+def test_greedy_assignment_ranks_candidates_in_parts(spark, monkeypatch):
+    rng = random.Random(5)
+    rows_of = [(i, c) for i in range(400) for c in range(1, 4) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows_of, "item_id long, front_page_category_id long")
+    cats = spark.createDataFrame([(c, c) for c in range(1, 4)], "front_page_category_id long, position int")
+    run = lambda: sorted(tuple(r) for r in catalog.greedy_assignment(df, cats, F.col("item_id") * 37 % 101, cycles=4).collect())
+    whole = run()
+    monkeypatch.setattr(catalog, "RANKED", 100)
+    read, cut = [], catalog.cut
+    monkeypatch.setattr(catalog, "cut", lambda d: read.append(d) or cut(d))
+    assert run() == whole and len(whole) == 12
+    ranked = read[1]  # the candidates, ranked in parts and then by category
+    assert ranked._jdf.queryExecution().optimizedPlan().toString().count("Window [row_number") == 2
