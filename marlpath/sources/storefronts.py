@@ -81,6 +81,10 @@ WHOLE = (
 CATEGORY = "status boolean, items array<struct<id_product: string, name: string, link: string, price_amount: string, stock: string, description_short: string, cover: string, reference: string>>, total int"
 
 
+#: Bytes of answers whose products one task groups.
+DEALT = 16_000_000
+
+
 def plain_amount(value: Column) -> Column:
     """A finite amount of at least zero without zeros at the end, as text; empty for anything else."""
     amount = F.trim(value).try_cast("decimal(30,10)")
@@ -121,6 +125,7 @@ def category_catalogue(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A page that isn't JSON, isn't ready, or lacks a list or total is a fault, as is a product without id, name or address, or whose
     address is on another domain or doesn't begin with its id. A product in several categories counts once, in the first.
+    Products are dealt over tasks of some DEALT bytes of answers, in which they are sorted.
     """
     text = lambda c: F.trim(F.coalesce(c, F.lit("")))
     parsed = answers.select("store_id", "store_url", "category", "page", F.from_json("body", CATEGORY).alias("b"))
@@ -138,7 +143,9 @@ def category_catalogue(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     entry = entry.withColumn("fault", fault)
     price, stock = F.col("p.price_amount").try_cast("decimal(30,10)"), text(F.col("p.stock")).try_cast("decimal(30,10)")
     amount = F.when(price >= 0, price.cast("decimal(12,2)").cast("string")).otherwise("")
-    first = entry.where("fault is null").groupBy("store_id", "number").agg(F.min_by(F.struct("url", "name", "category", "p"), F.struct("category", "page", "pos")).alias("f")).select("store_id", "number", "f.*")
+    size = answers.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    dealt = entry.where("fault is null").repartition(-(-size // DEALT) or 1, "number")
+    first = dealt.groupBy("store_id", "number").agg(F.min_by(F.struct("url", "name", "category", "p"), F.struct("category", "page", "pos")).alias("f")).select("store_id", "number", "f.*")
     rows = first.select(
         "store_id", F.col("url").alias("source_url"), "category", F.col("name").alias("title"), text(F.col("p.description_short")).alias("description"), text(F.col("p.cover")).alias("image_url"), amount.alias("price"),
         F.when(stock.isNull(), "unknown").when(stock > 0, "available").otherwise("out_of_stock").alias("availability"), F.col("number").alias("store_sku"),

@@ -495,3 +495,16 @@ def test_qualified_items_are_told_apart_in_bounded_tasks(spark, monkeypatch):
     made = qualified(spark, "/root/testdata/sf0.001")
     per = made.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
     assert len(per) > 8 and sum(r["n"] for r in per) == made.distinct().count()
+
+
+def test_products_of_categories_are_grouped_in_bounded_tasks(spark, monkeypatch):
+    from marlpath.sources import storefronts
+
+    monkeypatch.setattr(storefronts, "DEALT", 5000)
+    body = F.concat(F.lit('{"status": true, "total": 1, "items": [{"id_product": "'), "page", F.lit('", "name": "n", "link": "https://s.mx/'), "page", F.lit('-x.html"}]}'))
+    answers = spark.range(1000).select(F.lit(1).alias("store_id"), F.lit("https://s.mx/").alias("store_url"), F.explode(F.array(F.lit(2), F.lit(1))).alias("category"), F.col("id").alias("page")).withColumn("body", body)
+    found, faults = storefronts.category_catalogue(answers)
+    per = found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.max("category").alias("c")).collect()
+    assert sum(r["n"] for r in per) == 1000 and max(r["n"] for r in per) < 100 and {r["c"] for r in per} == {1} and faults.count() == 0
+    empty, none = storefronts.category_catalogue(answers.limit(0))
+    assert empty.count() == 0 and none.count() == 0
