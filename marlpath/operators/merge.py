@@ -172,16 +172,15 @@ def upsert_listings(listings: DataFrame, fresh: DataFrame, next_ids: Column) ->
     A known one is to be processed if it has no item, no match_source and was never processed.
     """
     kept = {"id", "listing_status", "item_id", "match_source", "processed_at", "store_id", "source_url"}
-    o, n = listings.withColumn("_old", F.lit(True)).alias("o"), fresh.withColumn("id", next_ids).alias("n")
-    both = n.join(o, F.col("n.store_id").eqNullSafe(F.col("o.store_id")) & F.col("n.source_url").eqNullSafe(F.col("o.source_url")), "left")
-    has = F.col("o._old").isNotNull()
+    o, n = listings.withColumn("_old", F.lit(True)).alias("o"), fresh.withColumn("id", next_ids).withColumn("_new", F.lit(True)).alias("n")
+    both = n.join(o, F.col("n.store_id").eqNullSafe(F.col("o.store_id")) & F.col("n.source_url").eqNullSafe(F.col("o.source_url")), "full")  # one join gives the fetched and the rest
+    has, rest = F.col("o._old").isNotNull(), F.col("n._new").isNull()
     value = lambda c: (F.col(f"n.{c}") if c in fresh.columns or c == "id" else F.lit(None))
-    touched = both.select(
-        *[(F.when(has, F.col(f"o.{c}")).otherwise(value(c)) if c in kept else (value(c) if c in fresh.columns else F.col(f"o.{c}"))).alias(c) for c in listings.columns],
-        F.when(has, F.col("o.item_id").isNull() & (F.coalesce(F.col("o.match_source"), F.lit("")) == "") & F.col("o.processed_at").isNull()).otherwise(True).alias("should_process"),
+    own = lambda c: has if c in kept else rest if c in fresh.columns else F.lit(True)
+    return both.select(
+        *[F.when(own(c), F.col(f"o.{c}")).otherwise(value(c)).alias(c) for c in listings.columns],
+        F.when(rest, False).when(has, F.col("o.item_id").isNull() & (F.coalesce(F.col("o.match_source"), F.lit("")) == "") & F.col("o.processed_at").isNull()).otherwise(True).alias("should_process"),
     )
-    rest = listings.join(touched.select("id"), "id", "left_anti").withColumn("should_process", F.lit(False))
-    return rest.unionByName(touched)
 
 
 def delete_items(store_items: DataFrame, additional: DataFrame, relationships: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:

@@ -508,3 +508,16 @@ def test_products_of_categories_are_grouped_in_bounded_tasks(spark, monkeypatch)
     assert sum(r["n"] for r in per) == 1000 and max(r["n"] for r in per) < 100 and {r["c"] for r in per} == {1} and faults.count() == 0
     empty, none = storefronts.category_catalogue(answers.limit(0))
     assert empty.count() == 0 and none.count() == 0
+
+
+def test_listings_are_put_in_by_one_join(spark):
+    old = spark.createDataFrame([(1, 1, "u", 7, "LISTED", "", None, "a"), (2, None, "v", None, "PENDING", "", None, "b"), (3, 1, None, None, "LISTED", "ai", None, "c"), (4, 2, "u", None, "LISTED", "", None, "d")],
+        "id long, store_id long, source_url string, item_id long, listing_status string, match_source string, processed_at timestamp, title string")
+    fresh = spark.createDataFrame([(1, "u", "A"), (None, "v", "B"), (1, None, "C"), (2, None, "E")], "store_id long, source_url string, title string").withColumn("listing_status", F.lit("PENDING"))
+    after = merge.upsert_listings(old, fresh, F.lit(90))
+    got = {r["id"]: (r["store_id"], r["source_url"], r["item_id"], r["listing_status"], r["title"], r["should_process"]) for r in after.collect()}
+    assert got == {
+        1: (1, "u", 7, "LISTED", "A", False), 2: (None, "v", None, "PENDING", "B", True), 3: (1, None, None, "LISTED", "C", False),
+        4: (2, "u", None, "LISTED", "d", False), 90: (2, None, None, "PENDING", "E", True),
+    }
+    assert after._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
