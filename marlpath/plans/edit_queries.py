@@ -17,8 +17,8 @@ ONE = SQL + """, one AS (SELECT id, min(store_id) AS store_id, min(item_id) AS i
 
 
 def listings_of(spark, sf):
-    """One row an id, dealt by it beforehand: what a task groups, and joins by id, doesn't grow with the table, as partitions that are merged by their packed sizes do."""
-    dealt = tables.spread(tables.store_items(spark, sf), "id", tables.read(spark, sf, "lineitem").count(), tables.GROUPED)
+    """One row an id, dealt by it beforehand: what a task groups, and joins by id, has a bound in rows, which partitions that are merged by their packed sizes lack."""
+    dealt = tables.spread_grouped(tables.store_items(spark, sf), "id", tables.read(spark, sf, "lineitem").count())
     least = [F.min(c).alias(c) for c in ("store_id", "item_id", "source_url", "listing_status", "last_updated")]
     either = [F.bool_or(c).alias(c) for c in ("is_boardgame", "is_boardgame_confirmed")]
     return dealt.groupBy("id").agg(*least, *either, F.max("next_update_at").alias("next_update_at"))

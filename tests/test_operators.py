@@ -472,6 +472,21 @@ def test_kept_confirmations_are_joined_in_bounded_tasks(spark, monkeypatch):
     assert max(sizes) < 800 and sum(sizes) == made.count()
 
 
+def test_listings_are_dealt_without_being_held_where_they_are_read(spark, monkeypatch):
+    from marlpath.plans.catalog_queries import qualified
+    from marlpath.plans.edit_queries import listings_of
+    from marlpath.plans.registry import QUERIES
+    from marlpath.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    rows = lambda: sorted(tuple(r) for r in QUERIES["kept_confirmations"](spark, sf).collect())
+    whole, n = rows(), tables.read(spark, sf, "lineitem").count()
+    monkeypatch.setattr(tables, "GROUPED", 10)
+    assert n > 2500 and {f(spark, sf).rdd.getNumPartitions() for f in (listings_of, qualified, QUERIES["kept_confirmations"])} == {200} and rows() == whole
+    monkeypatch.setattr(tables, "MOST", n // 250)  # more than 200 tasks, so that none gets more rows than that
+    assert listings_of(spark, sf).rdd.getNumPartitions() > 200 and rows() == whole
+
+
 def test_greedy_assignment_ranks_candidates_in_parts(spark, monkeypatch):
     rng = random.Random(5)
     rows_of = [(i, c) for i in range(400) for c in range(1, 4) if rng.random() < 0.8]
