@@ -1,6 +1,7 @@
 """Sources and queues against plain loops."""
 
 import random
+import re
 
 import pytest
 from marlpath.operators import match, natural, pacing
@@ -195,6 +196,79 @@ def test_equal_lookups_are_ranked_once(spark):
     assert plan.index("Join") < plan.index("Window")  # the root stands first: ranks are given out to the lookups, not made for each
 
 
+def cascade_of_loops(wanted, searches, cached, things):
+    """search_cascade in plain loops; names are looked for word by word."""
+    mark, ids, out = "::cover-context:", {}, []
+    for i, *own in wanted:
+        ids.setdefault(tuple(own), []).append(i)
+    asked = {own: min((i for i in own_ids if i is not None), default=None) for own, own_ids in ids.items()}
+    best = {}
+    for (query, folded, context), i in asked.items():
+        own = None if context is None else folded + mark + context
+        hits = [(1, 0, r, e) for k, kind, e, r, _ in searches if kind == "ai" and k == own]
+        hits += [(2, -t, r, e) for k, kind, e, r, t in searches if kind == "ai" and mark in k and k.split(mark)[0] == folded and k != own]
+        hits += [({"ai": 3, "plain": 4}[kind], 0, r, e) for k, kind, e, r, _ in searches if k == folded]
+        for level, names in ((5, cached), (6, things)):
+            like = sorted((n != query.lower(), -y, -e) for e, n, y in set(names) if re.search(".*".join(folded.split()), n))
+            hits += [(level, 0, at, -e) for at, (_, _, e) in enumerate(like[:20], 1)]
+        for *m, e in hits:
+            if e > 0:
+                best.setdefault(i, {})[e] = min(best.get(i, {}).get(e, [9]), m)
+    for own, i in asked.items():
+        order = sorted((*m, e) for e, m in best.get(i, {}).items()) if i is not None else []
+        out += [(member, e, m, m == 1, at) for at, (m, _, _, e) in enumerate(order, 1) for member in ids[own]]
+    return sorted(map(str, out))
+
+
+def made_cascade(spark, wanted, searches, cached, things):
+    from datetime import UTC, datetime
+
+    name = "external_id long, name string, year int"
+    return match.search_cascade(
+        spark.createDataFrame(wanted, "query_id long, query string, folded string, context string"),
+        spark.createDataFrame([(*s[:4], datetime.fromtimestamp(s[4], UTC)) for s in searches], "key string, kind string, external_id long, result_rank int, updated_at timestamp"),
+        spark.createDataFrame(cached, name), spark.createDataFrame(things, name),
+    )
+
+
+@pytest.mark.parametrize("shared_ids", [False, True])
+def test_caches_are_ranked_as_by_loops(spark, monkeypatch, shared_ids):
+    monkeypatch.setattr(match, "BLOCK", 4)
+    monkeypatch.setattr(match, "GIVEN", 3)
+    rng = random.Random(5)
+    names, contexts = ["red box", "red big box", "gold ring", "duel"], ["a", "b", None]
+    wanted = [(i, n.title(), n, rng.choice(contexts)) for i in range(30) for n in [rng.choice(names)]] + [(None, "Duel", "duel", "a"), (None, "No", "no", None)]
+    wanted += [wanted[3], (7, "Red Box", "red box", "a"), (2, "Duel", "duel", "b")] if shared_ids else [wanted[3], (90, "red BOX", "red box", "a"), (91, "Red", "red", None), (92, "ring", "ring", "a")]
+    context = lambda: rng.choice(["", "::cover-context:a", "::cover-context:b", "::cover-context:c"])
+    searches = [(rng.choice(names) + context(), "ai", rng.randint(-1, 60), rng.randint(1, 3), rng.randint(0, 5)) for _ in range(120)]
+    searches += [(rng.choice(names), "plain", rng.randint(-1, 90), rng.randint(1, 3), rng.randint(0, 5)) for _ in range(60)] + searches[:9]
+    cached, things = ([(rng.randint(1, 150), rng.choice(names), rng.randint(1990, 2020)) for _ in range(40)] for _ in range(2))
+    got = made_cascade(spark, wanted, searches, cached, things)
+    assert sorted(str(tuple(r)) for r in got.collect()) == cascade_of_loops(wanted, searches, cached, things)
+
+
+def shuffled_rows(df) -> int:
+    """The rows that the exchanges of a frame's last run wrote."""
+
+    def of(node) -> int:
+        kind = node.getClass().getSimpleName()
+        if kind in ("AdaptiveSparkPlanExec", "ShuffleQueryStageExec", "BroadcastQueryStageExec", "ResultQueryStageExec"):
+            return of(node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan())
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(of(node.children().apply(i)) for i in range(node.children().size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_hits_are_not_shuffled_for_each_lookup(spark):
+    lookups, hits = 60, 1500
+    wanted = [(i, "Red Box", "red box", f"c{i}") for i in range(lookups)]
+    searches = [(f"red box::cover-context:c{e % lookups}" if e % 3 else "red box", "ai" if e % 2 else "plain", e, 1, e % 7) for e in range(1, hits)]
+    found = made_cascade(spark, wanted, searches, [], [])
+    assert len(found.collect()) > lookups * hits / 2
+    assert 0 < shuffled_rows(found) < 10 * (lookups + hits)  # lookups * hits before
+
+
 def test_entries_of_payloads_are_never_broadcast(spark, tmp_path):
     from marlpath.sources import payloads
 
