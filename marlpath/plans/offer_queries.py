@@ -214,7 +214,7 @@ def told_pages(spark, sf):
     p_size % 4 + 1 AS least, 6 AS most, p_size AS age, CASE p_partkey % 7 WHEN 0 THEN 'es' ELSE '' END AS language, CASE p_partkey % 7 WHEN 0 THEN 'product_language_label' ELSE '' END AS told_by,
     CASE p_partkey % 7 WHEN 0 THEN 'Idioma: Español' ELSE '' END AS evidence FROM part""")
 def told_details(spark, sf):
-    found = product_pages.details(product_pages.product_pages(told_pages(spark, sf)))
+    found = product_pages.details(product_pages.product_pages(told_pages(spark, sf), tables.tasks(tables.read(spark, sf, "part"))))
     return found.select(
         "page_id", "title", "price", "price_source", "currency", "availability", "sku", "publisher", "image", F.col("players.min").alias("least"), F.col("players.max").alias("most"),
         F.col("min_age").alias("age"), "language.language", F.col("language.source").alias("told_by"), "language.evidence",

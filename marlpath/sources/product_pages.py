@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -24,7 +23,7 @@ SNIPPET_STOPS, SNIPPET = (" Añadir ", " Producto añadido", " Entrega ", " Prod
 MIN_AGE, PUBLISHER = ("edad minima",), ("editorial", "publisher")
 
 READ = (
-    "page_id long, url string, title string, h1 string, h2 string, meta map<string,string>, nodes array<string>, scripts array<string>, price_blocks array<string>, "
+    "title string, h1 string, h2 string, meta map<string,string>, nodes array<string>, scripts array<string>, price_blocks array<string>, "
     "stock_blocks array<struct<class: string, text: string>>, facts array<string>, gallery array<string>, images array<struct<alt: string, sources: array<string>, srcset: string, own: boolean>>"
 )
 
@@ -114,23 +113,25 @@ class Reader(HTMLParser):
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) as the columns of READ: what a page's elements hold, in its order. Null pages are empty."""
+    """``pages`` (url, html and others) with the columns of READ in place of html: what a page's elements hold, in its order. Null pages are empty. The others stay where they are."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for page_id, url, html in zip(p["page_id"], p["url"], p["html"]):
-                r = Reader()
-                r.feed(html or "")
-                r.close()
-                heads = [" ".join(r.texts["title"]), " ".join(r.texts["h1"]), r.texts["h2"][0] if r.texts["h2"] else ""]
-                rows.append((page_id, url or "", *heads, r.meta, r.nodes, r.scripts, r.prices, r.stock, r.facts, r.gallery, r.images))
-            yield pd.DataFrame(rows, columns=NAMES)
+    @F.pandas_udf(READ)
+    def held(html: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in html:
+            r = Reader()
+            r.feed(text or "")
+            r.close()
+            heads = [" ".join(r.texts["title"]), " ".join(r.texts["h1"]), r.texts["h2"][0] if r.texts["h2"] else ""]
+            rows.append((*heads, r.meta, r.nodes, r.scripts, r.prices, r.stock, r.facts, r.gallery, r.images))
+        return pd.DataFrame(rows, columns=NAMES)
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, READ)
+    # not to be done again for a condition on what it gives
+    read = pages.withColumns({"url": F.coalesce("url", F.lit("")), "_held": held.asNondeterministic()("html")})
+    return read.select(*[c for c in pages.columns if c != "html"], "_held.*")
 
 
-NAMES = ("page_id", "url", "title", "h1", "h2", "meta", "nodes", "scripts", "price_blocks", "stock_blocks", "facts", "gallery", "images")
+NAMES = ("title", "h1", "h2", "meta", "nodes", "scripts", "price_blocks", "stock_blocks", "facts", "gallery", "images")
 
 
 def record_of(product: Column, group: Column) -> Column:
@@ -172,22 +173,30 @@ def structured_products(scripts: DataFrame, keys: list[str]) -> DataFrame:
     return found
 
 
-def picked_products(pages: DataFrame) -> DataFrame:
-    """(page_id, product) of pages (page_id, url, titles, scripts): of its products one with the page's address, else the one most like its titles, else the first."""
+def picked_products(pages: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(page_id, product) of pages (page_id, url, titles, scripts): of its products one with the page's address, else the one most like its titles, else the first. Dealt by page_id over so many ``tasks``, if told."""
     keys = ["page_id", "url", "titles"]
     found = structured_products(pages.where(F.size("scripts") > 0), keys).withColumn("here", place_of(F.col("url"), F.col("url")))
     own = F.exists("product.urls", lambda u: place_of(u, F.col("url")) == F.col("here")) & (F.col("url") != "")
     found = found.select("page_id", "order", "product", own.alias("own"), likeness(F.col("product.name"), F.col("titles")).alias("like"))
+    found = found if tasks is None else found.repartition(tasks, "page_id")
     return found.groupBy("page_id").agg(F.min_by("product", F.struct(~F.col("own"), -F.col("like"), F.col("order"))).alias("product"))
 
 
-def product_pages(pages: DataFrame) -> DataFrame:
-    """The columns of READ for pages (page_id, url, html; one row an id), with heading, titles, text and product (null without structured data)."""
+def product_pages(pages: DataFrame, tasks: int | None = None) -> DataFrame:
+    """page_id, url, and the columns of READ for pages (page_id, url, html; one row an id), with heading, titles, text and product (null without structured data).
+
+    Products are never broadcast, as Spark takes them to be far smaller than they are. They meet the pages before these are read
+    for the result, so what the elements hold is not shuffled; nor are pages that are dealt by page_id over so many ``tasks``.
+    """
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     heading = F.coalesce(F.nullif("h1", F.lit("")), "h2")
     og = F.coalesce(F.col("meta")["og:title"], F.lit(""))
     titles = F.array(heading, F.col("h1"), without_site_suffix(og), og, without_site_suffix(F.col("title")), F.col("title"))
-    read = read_pages(pages).withColumns({"heading": heading, "titles": titles, "text": F.array_join("nodes", " ")})
-    return read.join(picked_products(read.select("page_id", "url", "titles", "scripts")), "page_id", "left")
+    read = lambda df: read_pages(df).withColumns({"heading": heading, "titles": titles, "text": F.array_join("nodes", " ")})
+    picked = picked_products(read(pages).select("page_id", "url", "titles", "scripts"), tasks)
+    told = read(pages.join(picked.hint("merge"), "page_id", "left"))
+    return told.select(*[c for c in told.columns if c != "product"], "product")
 
 
 def labelled_facts(blocks: Column) -> Column:

@@ -280,6 +280,29 @@ def test_entries_of_payloads_are_never_broadcast(spark, tmp_path):
     assert "BroadcastHashJoin" not in payloads.values(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_products_are_never_broadcast_and_pages_dealt_once(spark):
+    from marlpath.plans import offer_queries
+
+    found = offer_queries.told_details(spark, "/root/testdata/sf0.01")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    # the parts twice, for both readings, and the products: no page is shuffled, before it is read or after
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") == 3
+
+
+@pytest.mark.parametrize("tasks", [None, 3])
+def test_pages_of_one_id_share_a_product(spark, tasks):
+    from marlpath.sources import product_pages
+
+    script = lambda name, url: f'<script type="application/ld+json">{{"@type": "Product", "name": "{name}", "url": "{url}"}}</script>'
+    rows = [(1, "https://a.mx/p", script("Other", "/q")), (1, "https://a.mx/p", script("Own", "/p")), (1, "https://a.mx/p", "<h1>T</h1>"), (2, None, script("Two", "")), (3, "u", None), (None, "u", script("None", "")), (2**60 + 1, "u", script("Far", ""))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = product_pages.product_pages(pages if tasks is None else pages.repartition(tasks, "page_id"), tasks)
+    got = sorted(str(tuple(r)) for r in found.select("page_id", "url", "h1", "product.name").collect())
+    want = [(1, "https://a.mx/p", "", "Own")] * 2 + [(1, "https://a.mx/p", "T", "Own"), (2, "", "", "Two"), (3, "u", "", None), (None, "u", "", None), (2**60 + 1, "u", "", "Far")]
+    assert got == sorted(map(str, want))
+
+
 def test_related_links_and_payloads(spark):
     from marlpath.operators import curation
     from marlpath.sources import payloads
